@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, shuffle_width, texts
@@ -57,19 +57,17 @@ def _chain_keys(fps: DataFrame) -> DataFrame:
 
     Of two fingerprints that differ in one bit there, exactly the one without the bit probes the other.
     """
-    at = lambda i: F.shiftrightunsigned("fp", WIDTH * (i % SEGMENTS)).bitwiseAND((1 << WIDTH) - 1)
-    head = lambda i: F.shiftleft(F.lit(i).cast("long"), 2 * WIDTH) + F.shiftleft(at(i), WIDTH)
-    flips = [F.lit(1 << b).cast("long") for b in range(WIDTH)]
-    keys = [
-        F.concat(
-            F.array(F.struct((head(i) + at(i + 1)).alias("key"), F.lit(False).alias("probe"))),
-            F.transform(
-                F.filter(F.array(*flips), lambda bit, i=i: at(i + 1).bitwiseAND(bit) == 0),
-                lambda bit, i=i: F.struct((head(i) + at(i + 1) + bit).alias("key"), F.lit(True).alias("probe")),
-            ),
-        )
-        for i in range(SEGMENTS)
-    ]
+    flips = F.array(*[F.lit(1 << b).cast("long") for b in range(WIDTH)])
+
+    def segment(i: int) -> Column:
+        return F.shiftrightunsigned("fp", WIDTH * (i % SEGMENTS)).bitwiseAND((1 << WIDTH) - 1)
+
+    def keys_from(i: int) -> Column:
+        exact = F.lit(i << (2 * WIDTH)).cast("long") + F.shiftleft(segment(i), WIDTH) + segment(i + 1)
+        unset = F.filter(flips, lambda bit: segment(i + 1).bitwiseAND(bit) == 0)
+        return F.concat(F.array(F.struct(exact.alias("key"), F.lit(False).alias("probe"))), F.transform(unset, lambda bit: F.struct((exact + bit).alias("key"), F.lit(True).alias("probe"))))
+
+    keys = [keys_from(i) for i in range(SEGMENTS)]
     return fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("k.key", "k.probe", "fp")
 
 
