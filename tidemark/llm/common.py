@@ -53,3 +53,28 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def whole_groups(batches, columns: int):
+    """Arrays of ``columns`` columns in which every key of the first, sorted column is complete.
+
+    What is held between two batches is the rows of one key, as packed values.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        last = np.searchsorted(held[0], held[0][-1])
+        if last:
+            yield [x[:last] for x in held]
+            held = [x[last:] for x in held]
+    if held is not None:
+        yield held
+
+
+def spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shuffle_width, texts
+from tidemark.llm.common import cut, shuffle_width, spans, texts, whole_groups
 from tidemark.llm.components import connected_components
 
 SEGMENTS, WIDTH, TOLERANCE, WORDS, SEED = 4, 16, 3, 3, 42
@@ -116,11 +116,9 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = _chain_keys(fps).repartition(shuffle_width(fps.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.uint64)]
-
-        def linked(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.diff(key)) + 1
-            begin, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+        for key, probe, fp in whole_groups(batches, 3):
+            fp = fp.view(np.uint64)
+            begin, end = spans(key)
             many = end - begin > 1
             out = []
             for s, e in zip(begin[many], end[many]):
@@ -128,19 +126,7 @@ def links(fps: DataFrame) -> DataFrame:
                 if not is_probe.all():
                     out += _stars_of_group(int(key[s]), fp[s:e][~is_probe], fp[s:e][is_probe])
             a, b = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.uint64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)
-            key, probe, fp = (np.concatenate(x) for x in zip(left, new))
-            last = np.searchsorted(key, key[-1])
-            left = [key[last:], probe[last:], fp[last:]]
-            if last:
-                yield linked(key[:last], probe[:last], fp[:last])
-        if len(left[0]):
-            yield linked(*left)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return keyed.mapInArrow(run, "a long, b long")
 
