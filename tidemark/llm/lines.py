@@ -21,8 +21,8 @@ from tidemark.llm.common import codepoints, cut, mixed, shuffle_width, spans, wh
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 3, 9, 160, 0.8, 42
-#: Code points that are hashed at once.
-BLOCK = 2_000_000
+#: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
+BLOCK, GROUP = 2_000_000, 20_000
 
 _ODD = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -104,8 +104,8 @@ def _bands(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, line_id long, n int")
 
 
-def _buckets(bands: DataFrame) -> DataFrame:
-    """(key, hub, line_id): for buckets of several lines, each line beside the most frequent one."""
+def _bucket_stars(bands: DataFrame) -> DataFrame:
+    """(a, b): for buckets of several lines, each line beside the bucket's most frequent one."""
     sorted_bands = bands.repartition(shuffle_width(bands.sparkSession), "key").sortWithinPartitions("key", "line_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,36 +115,65 @@ def _buckets(bands: DataFrame) -> DataFrame:
             key, line = key[first], line[first]
             begin, end = spans(key)
             many = end - begin > 1
-            out = []
+            out = [np.empty((0, 2), np.int64)]
             for s, e in zip(begin[many], end[many]):
                 hub = s + int(np.argmax(n[s:e]))
-                rest = np.delete(line[s:e], hub - s)
-                out.append((np.full(len(rest), key[s]), np.full(len(rest), line[hub]), rest))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hub", "line_id"])
-
-    return sorted_bands.mapInArrow(run, "key long, hub long, line_id long")
-
-
-def jaccard(a: str, b: str) -> float:
-    """Exact Jaccard similarity of two lines' shingle sets."""
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
-
-
-def _verified(pairs: DataFrame, line_texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their verdict ``alike``."""
-    left = line_texts.select(F.col("line_id").alias("a"), F.col("line").alias("left_line"))
-    right = line_texts.select(F.col("line_id").alias("b"), F.col("line").alias("right_line"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            alike = [jaccard(s, t) >= SIMILARITY for s, t in zip(x.to_pylist(), y.to_pylist())]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_line", "right_line").mapInArrow(run, "a long, b long, alike boolean")
+                out.append(np.stack((np.full(e - s - 1, line[hub]), np.delete(line[s:e], hub - s)), axis=1))
+            found = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return sorted_bands.mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of every line one after another, and how many each line has."""
+    code, owner, value = [codepoints(x) for x in lines], [], []
+    for size in sorted({min(len(c), SHINGLE) for c in code}):
+        at = [i for i, c in enumerate(code) if min(len(c), SHINGLE) == size]
+        flat = np.concatenate([code[i] for i in at]).astype(np.uint64)
+        length = np.array([len(code[i]) for i in at])
+        count = length - size + 1
+        start = np.repeat(np.cumsum(length) - length - np.cumsum(count) + count, count) + np.arange(count.sum())
+        h = np.full(count.sum(), size, np.uint64)
+        for j in range(size):
+            h = mixed(h ^ (flat[start + j] + np.uint64(1)))
+        owner.append(np.repeat(np.array(at), count))
+        value.append(h)
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
+    return value[new], np.bincount(owner[new], minlength=len(lines))
+
+
+def stars_of_similar(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
+    """Links of exact Jaccard >= SIMILARITY among shingle sets, as stars over line numbers.
+
+    A line is compared with the lines that nothing is linked to yet, so a close group costs little more than one pass.
+    """
+    code = np.unique(value, return_inverse=True)[1]
+    sets = np.split(code, np.cumsum(count)[:-1])
+    mark = np.zeros(code.max() + 1, np.int32)
+    free, links = np.arange(len(count)), []
+    while len(free) > 1:
+        seed, free = free[0], free[1:]
+        todo = [seed]
+        while todo and len(free):
+            x = todo.pop()
+            sized = (count[free] >= SIMILARITY * count[x] - 1e-9) & (SIMILARITY * count[free] - 1e-9 <= count[x])
+            if not sized.any():
+                continue
+            other = free[sized]
+            mark[sets[x]] = 1
+            both = np.add.reduceat(mark[np.concatenate([sets[i] for i in other])], np.cumsum(count[other]) - count[other])
+            mark[sets[x]] = 0
+            alike = both >= SIMILARITY * (count[x] + count[other] - both) - 1e-9
+            found = other[alike]
+            links += [(int(seed), int(i)) for i in found]
+            todo += found.tolist()
+            if len(found):
+                free = np.setdiff1d(free, found, assume_unique=True)
+    return links
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
@@ -154,18 +183,47 @@ def _exploded(docs: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(node, component): the lines, by the hash of their text, that have a line alike.
 
-    In a bucket every line is compared with the bucket's most frequent one, not with every other.  Those that
-    are not alike are compared with all lines of the bucket, so no link between lines of a bucket is lost.
+    Buckets are first joined to coarse groups by ids alone; a line's text then travels once, to its coarse
+    group, where exact Jaccard similarity decides.  A group of more than ``GROUP`` lines is dealt into parts, and every
+    pair of parts is a group of its own: all lines meet, no task holds more than two parts.
     """
-    buckets = cut(_buckets(_bands(docs)))
-    wanted = buckets.select("line_id").union(buckets.select("hub")).distinct()
-    line_texts = cut(_exploded(docs).select("line_id", "line").join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line")))
-    hubs = cut(_verified(buckets.select(F.col("hub").alias("a"), F.col("line_id").alias("b")).distinct(), line_texts))
-    failed = hubs.where("not alike").select(F.col("a").alias("hub"), F.col("b").alias("line_id"))
-    apart = buckets.join(failed, ["hub", "line_id"], "left_semi").select("key", F.col("line_id").alias("a"))
-    rest = apart.join(buckets.select("key", F.col("line_id").alias("b")), "key").where("a != b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return connected_components(hubs.where("alike").select("a", "b").union(_verified(rest, line_texts).where("alike").select("a", "b")))
+    coarse = cut(connected_components(_bucket_stars(_bands(docs))))
+    parts = coarse.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    several = parts.where("parts > 1")
+    found = _exploded(docs).select("line_id", "line").join(coarse.withColumnRenamed("node", "line_id"), "line_id")
+    found = found.groupBy("line_id", "component").agg(F.min("line").alias("line")).join(several, "component", "left")
+    part = F.pmod(F.xxhash64(F.col("line_id"), F.lit(1)), F.col("parts"))
+    rank = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
+    dealt = found.select("component", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(rank)).alias("part"), "line_id", "line")
+    grouped = dealt.select(F.xxhash64("component", "part").alias("key"), "component", "line_id", "line")
+    grouped = grouped.repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key", "line_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, line_id, line in whole_groups(batches, 4):
+            begin, end = spans(key)
+            out = []
+            for s, e in _blocks(begin, end, line):
+                value, count = shingle_sets(list(line[s:e]))
+                offset = np.concatenate(([0], np.cumsum(count)))
+                inner = (begin >= s) & (begin < e)
+                for x, y in zip(begin[inner] - s, end[inner] - s):
+                    out += [(line_id[s + x + i], line_id[s + x + j]) for i, j in stars_of_similar(value[offset[x] : offset[y]], count[x:y])]
+            found = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return connected_components(grouped.mapInArrow(run, "a long, b long"))
+
+
+def _blocks(begin: np.ndarray, end: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of whole groups with about BLOCK code points each, for hashing at once."""
+    start, size = 0, 0
+    for s, e in zip(begin, end):
+        size += sum(map(len, line[s:e]))
+        if size >= BLOCK:
+            yield start, e
+            start, size = e, 0
+    if start < len(line):
+        yield start, len(line)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
