@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, simhash, toxicity
+from tidemark.llm import decontaminate, language_id, lines, simhash, spotsigs, toxicity
 from tidemark.llm.common import table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs, ~language_id.held_out()))
@@ -37,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_language_id": op2_language_id,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
