@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, simhash, spotsigs, toxicity
+from tidemark.llm import decontaminate, language_id, lines, quality, simhash, spotsigs, toxicity
 from tidemark.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    return quality.scores(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decisions(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
