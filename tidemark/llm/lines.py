@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard verification and distributed union-find.
 
 A line is its shingles of ``SHINGLE`` code points (a shorter line: itself).  Bands of ``ROWS`` minima meet
-in buckets; ``BANDS`` bands find a pair at Jaccard 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.998.
+in buckets; ``BANDS`` bands find a pair at Jaccard 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.997.
 Lines of up to ``LONG`` shingles take one hash function a minimum, longer ones one permutation in bins; around
 the limit lines carry both, so that no pair at the threshold falls between the two.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import codepoints, cut, mixed, shuffle_width, spans, whole_groups
 from tidemark.llm.components import connected_components
 
-SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 3, 9, 160, 0.8, 42
+SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 3, 8, 160, 0.8, 42
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
@@ -139,11 +139,10 @@ def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = mixed(h ^ (flat[start + j] + np.uint64(1)))
         owner.append(np.repeat(np.array(at), count))
         value.append(h)
-    owner, value = np.concatenate(owner), np.concatenate(value)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
-    return value[new], np.bincount(owner[new], minlength=len(lines))
+    # sorted as one number: 20 bits of the line, 44 of the hash
+    packed = np.sort((np.concatenate(owner).astype(np.uint64) << np.uint64(44)) | (np.concatenate(value) >> np.uint64(20)))
+    packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+    return packed & np.uint64((1 << 44) - 1), np.bincount((packed >> np.uint64(44)).astype(np.int64), minlength=len(lines))
 
 
 def stars_of_similar(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
@@ -151,28 +150,31 @@ def stars_of_similar(value: np.ndarray, count: np.ndarray) -> list[tuple[int, in
 
     A line is compared with the lines that nothing is linked to yet, so a close group costs little more than one pass.
     """
-    code = np.unique(value, return_inverse=True)[1]
+    if len(count) == 2:
+        both = len(np.intersect1d(value[: count[0]], value[count[0] :], assume_unique=True))
+        return [(0, 1)] if both >= SIMILARITY * (len(value) - both) - 1e-9 else []
+    code = np.unique(value, return_inverse=True)[1].astype(np.int32)
     sets = np.split(code, np.cumsum(count)[:-1])
     mark = np.zeros(code.max() + 1, np.int32)
-    free, links = np.arange(len(count)), []
-    while len(free) > 1:
-        seed, free = free[0], free[1:]
-        todo = [seed]
-        while todo and len(free):
-            x = todo.pop()
-            sized = (count[free] >= SIMILARITY * count[x] - 1e-9) & (SIMILARITY * count[free] - 1e-9 <= count[x])
-            if not sized.any():
-                continue
-            other = free[sized]
-            mark[sets[x]] = 1
-            both = np.add.reduceat(mark[np.concatenate([sets[i] for i in other])], np.cumsum(count[other]) - count[other])
-            mark[sets[x]] = 0
-            alike = both >= SIMILARITY * (count[x] + count[other] - both) - 1e-9
-            found = other[alike]
+    free, links = np.arange(1, len(count)), []
+    seed, todo = 0, [0]
+    flat, start = code[count[0] :], np.cumsum(count[1:]) - count[1:]
+    while len(free):
+        if not todo:  # the lines not linked yet begin anew with their first
+            seed, free = free[0], free[1:]
+            todo, flat, start = [seed], flat[count[seed] :], start[1:] - count[seed]
+            continue
+        x = todo.pop()
+        mark[sets[x]] = 1
+        both = np.add.reduceat(mark[flat], start)
+        mark[sets[x]] = 0
+        alike = both >= SIMILARITY * (count[x] + count[free] - both) - 1e-9
+        if alike.any():
+            found = free[alike]
             links += [(int(seed), int(i)) for i in found]
             todo += found.tolist()
-            if len(found):
-                free = np.setdiff1d(free, found, assume_unique=True)
+            flat, free = flat[np.repeat(~alike, count[free])], free[~alike]
+            start = np.cumsum(count[free]) - count[free]
     return links
 
 
@@ -219,7 +221,7 @@ def _blocks(begin: np.ndarray, end: np.ndarray, line: np.ndarray) -> Iterator[tu
     start, size = 0, 0
     for s, e in zip(begin, end):
         size += sum(map(len, line[s:e]))
-        if size >= BLOCK:
+        if size >= BLOCK or e - start >= 1 << 19:
             yield start, e
             start, size = e, 0
     if start < len(line):
