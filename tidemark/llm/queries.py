@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, quality, simhash, spotsigs, toxicity
+from tidemark.llm import decontaminate, language_id, lines, pieces, quality, simhash, spotsigs, toxicity
 from tidemark.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out())
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model()
+    found = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(pieces.decode(F.col("ids"), model), 256).alias("decoded_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,6 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_language_id": op2_language_id,
+    "op3_pieces": op3_pieces,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
