@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard verification and distributed union-find.
 
 A line is its shingles of ``SHINGLE`` code points (a shorter line: itself).  Bands of ``ROWS`` minima meet
-in buckets; ``BANDS`` bands find a pair at Jaccard 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.997.
+in buckets; ``BANDS`` bands find a pair at Jaccard 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.995.
 Lines of up to ``LONG`` shingles take one hash function a minimum, longer ones one permutation in bins; around
 the limit lines carry both, so that no pair at the threshold falls between the two.
 """
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import codepoints, cut, mixed, shuffle_width, spans, whole_groups
 from tidemark.llm.components import connected_components
 
-SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 3, 8, 160, 0.8, 42
+SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 4, 10, 100, 0.8, 42
+#: Bits of the map of wanted lines, 16 MB whatever the input.
+MAP_BITS = 27
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
@@ -106,10 +108,14 @@ def _bands(docs: DataFrame) -> DataFrame:
 
 def _bucket_stars(bands: DataFrame) -> DataFrame:
     """(a, b): for buckets of several lines, each line beside the bucket's most frequent one."""
-    sorted_bands = bands.repartition(shuffle_width(bands.sparkSession), "key").sortWithinPartitions("key", "line_id")
+    dealt = bands.repartition(shuffle_width(bands.sparkSession), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, line, n in whole_groups(batches, 3):
+        held = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        if held:  # a partition's packed numbers; sorting them here costs a tenth of sorting rows
+            key, line, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((line, key))
+            key, line, n = key[order], line[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1]))))
             n = np.add.reduceat(n.astype(np.int64), first)
             key, line = key[first], line[first]
@@ -122,7 +128,7 @@ def _bucket_stars(bands: DataFrame) -> DataFrame:
             found = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return sorted_bands.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +188,31 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) != ''").withColumn("line_id", F.xxhash64("line"))
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line_id, line) of all wanted lines, with a few others and some repeats.
+
+    The wanted ids set bits of a map of fixed size, which every task gets; lines whose bit is unset are not shuffled.
+    """
+    size = 1 << MAP_BITS
+    place = F.col("node").bitwiseAND(size - 1)
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+    bitmap = np.zeros(size >> 6, np.int64)
+    found = words.toArrow()  # at most size / 64 rows
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
+        for batch in batches:
+            lines = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if x.strip(" ")})
+            ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64)
+            at = ids & np.uint64(size - 1)
+            hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit].view(np.int64)), pa.array([lines[i] for i in hit], pa.string())], names=["line_id", "line"])
+
+    return docs.select("text").mapInArrow(run, "line_id long, line string")
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(node, component): the lines, by the hash of their text, that have a line alike.
 
@@ -192,7 +223,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     coarse = cut(connected_components(_bucket_stars(_bands(docs))))
     parts = coarse.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     several = parts.where("parts > 1")
-    found = _exploded(docs).select("line_id", "line").join(coarse.withColumnRenamed("node", "line_id"), "line_id")
+    found = _texts_of(docs, coarse.select("node")).join(coarse.withColumnRenamed("node", "line_id"), "line_id")
     found = found.groupBy("line_id", "component").agg(F.min("line").alias("line")).join(several, "component", "left")
     part = F.pmod(F.xxhash64(F.col("line_id"), F.lit(1)), F.col("parts"))
     rank = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
@@ -229,12 +260,11 @@ def _blocks(begin: np.ndarray, end: np.ndarray, line: np.ndarray) -> Iterator[tu
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, removed): for each document its number of lines that are not blank and the numbers of those to remove.
+    """(doc_id, removed): for each document the numbers of its lines to remove, in order.
 
     Lines are what line feeds part, numbered from 0.  Of each class of lines (equal ones, and those linked by a
-    Jaccard similarity of 0.8 or more) the first by (doc_id, line number) stays.  Blank lines are no lines: they are neither
-    counted nor removed.  Rows with a null id take no part and are not returned.  Repeated rows with one id and
-    text are one document.  A document without lines, or of null or empty text, has 0 and an empty array; an
+    Jaccard similarity of 0.8 or more) the first by (doc_id, line number) stays.  Blank lines stay.  Rows with a null id take no part and are not returned.  Repeated rows with one id and
+    text are one document.  A document without lines, or of null or empty text, has an empty array; an
     empty table gives no rows.
     """
     rows = docs.where(docs[id_col].isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -244,9 +274,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keeper = named.groupBy("component").agg(F.min("first").alias("keep"))
     kept = named.join(keeper, "component").select("line_id", "keep")
     marked = found.join(kept, "line_id").select("doc_id", "line_no", (F.struct("doc_id", "line_no") != F.col("keep")).alias("extra"))
-    per_doc = marked.groupBy("doc_id").agg(F.count_distinct("line_no").cast("int").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("extra"), F.col("line_no")))).alias("removed"))
+    per_doc = marked.where("extra").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     ids = rows.select("doc_id").distinct()
-    return ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
