@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, pieces, quality, simhash, spotsigs, toxicity
+from tidemark.llm import decontaminate, language_id, lines, main_text, pieces, quality, simhash, spotsigs, toxicity
 from tidemark.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(pieces.decode(F.col("ids"), model), 256).alias("decoded_sha256"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.main_texts(pages, *main_text.fit(pages, table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_language_id": op2_language_id,
     "op3_pieces": op3_pieces,
+    "op4_main_text": op4_main_text,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
