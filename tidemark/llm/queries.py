@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, main_text, pieces, quality, simhash, spotsigs, toxicity
+from tidemark.llm import decontaminate, language_id, lines, main_text, passages, pieces, quality, simhash, spotsigs, toxicity
 from tidemark.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_passages": op7_passages,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
