@@ -145,9 +145,14 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
     path = _best_path(n) if pieces.kind == UNIGRAM else _merge_path(n)
     cut = lattice.select("word", "edges", path.alias("cuts"))
-    pick = lambda k: F.filter("edges", lambda e: (e["start"] == F.element_at("cuts", k)) & (e["end"] == F.element_at("cuts", k + 1)))
-    char = lambda k: F.substr("word", F.element_at("cuts", k) + 1, F.lit(1))
-    ids = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.when(F.get(pick(k), F.lit(0))["id"].isNotNull(), F.array(F.get(pick(k), F.lit(0))["id"])).otherwise(_chars_ids(pieces, char(k)))))
+    found = F.transform(
+        F.sequence(F.lit(1), F.size("cuts") - 1),
+        lambda k: F.struct(
+            F.element_at("cuts", k).alias("start"),
+            F.get(F.filter("edges", lambda e: (e["start"] == F.element_at("cuts", k)) & (e["end"] == F.element_at("cuts", k + 1))), F.lit(0))["id"].alias("id"),
+        ),
+    )
+    ids = F.flatten(F.transform(found, lambda f: F.when(f["id"].isNotNull(), F.array(f["id"])).otherwise(_chars_ids(pieces, F.substr("word", f["start"] + 1, F.lit(1))))))
     native = cut.select("word", ids.alias("ids"))
     return native.unionByName(_long_words(words.where(n > BITS), pieces))
 
@@ -182,13 +187,12 @@ def _merge_path(n: Column) -> Column:
     )
     state = F.struct(((bit(n) - 1) + bit(n)).alias("bits"), prepared.alias("merges"))
     step = lambda bits, merges: F.get(F.filter(merges, lambda m: (bits.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(bits.bitwiseAND(m["inner"])) == 1)), F.lit(0))["inner"]
-    folded = F.aggregate(
-        F.sequence(F.lit(1), n),
+    return F.aggregate(
+        F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")),
         state,
         lambda s, _: F.struct(s["bits"].bitwiseAND(F.bitwise_not(F.coalesce(step(s["bits"], s["merges"]), F.lit(0).cast("long")))).alias("bits"), s["merges"].alias("merges")),
-        lambda s: s["bits"],
+        lambda s: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", s["bits"], i).bitwiseAND(1) == 1),
     )
-    return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", folded, i).bitwiseAND(1) == 1)
 
 
 def _long_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -306,7 +310,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "word"])
 
     used = chunks.mapInArrow(words_of_chunks, "chunk long, word string").repartition(width, "word")
-    known = segment(used.select("word").distinct(), pieces)
+    # the aggregate keeps both columns, so that one exchange serves it and the join
+    known = segment(used.groupBy("word").agg(F.min("chunk").alias("chunk")).select("word"), pieces)
     looked_up = used.join(known, "word").select("chunk", "word", "ids").repartition(width, "chunk")
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
