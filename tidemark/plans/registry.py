@@ -1,10 +1,6 @@
 """All queries of the library's own operators and their SQL, by name."""
 
-from __future__ import annotations
+from tidemark.plans import cleaning, entities, events, labels, models, portfolio, search, statistics  # noqa: F401  (they register)
+from tidemark.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
