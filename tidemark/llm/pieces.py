@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -131,20 +132,24 @@ def _chars_ids(pieces: Pieces, char: Column) -> Column:
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for distinct ``words``: the lattice of each word, folded by the model's own rule."""
+    """(word, ids) for distinct ``words``: the lattice of each word, folded by the model's own rule.
+
+    Further columns of ``words`` are dropped.  Words of over BITS code points are segmented one at a time.
+    """
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.normal, "piece string, id int, score double"))  # a fixed vocabulary
     n = F.length("word")
-    starts = words.where(n <= BITS).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
+    # one branch for all words, so that what gives them is computed once: a long word has its ids and no edges
+    starts = _long_words(words, pieces).select("word", "long_ids", F.explode_outer(F.when(F.col("long_ids").isNull(), F.sequence(F.lit(0), n - 1))).alias("start"))
+    spans = starts.select("word", "long_ids", "start", F.explode_outer(F.when(F.col("start").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start"))))).alias("size"))
     spans = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("size")))
     # every single character is kept as an edge, known or not, so that each word has a path
-    edges = spans.join(table, "piece", "left").where("id is not null or size = 1")
+    edges = spans.join(table, "piece", "left").where("id is not null or size = 1 or start is null")
     least = min((s for _, _, s in pieces.normal), default=0.0) - 10
-    edge = F.struct(F.coalesce("score", F.lit(least)).alias("score"), "start", (F.col("start") + F.col("size")).alias("end"), F.col("id"))
-    lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    edges = edges.select("word", "long_ids", F.coalesce("score", F.lit(least)).alias("score"), "start", (F.col("start") + F.col("size")).alias("end"), "id")
+    lattice = edges.mapInArrow(_edges_by_word, "word string, long_ids array<int>, edges array<struct<score: double, start: int, end: int, id: int>>")
     path = _best_path(n) if pieces.kind == UNIGRAM else _merge_path(n)
-    cut = lattice.select("word", "edges", path.alias("cuts"))
+    cut = lattice.select("word", "long_ids", "edges", F.when(F.col("long_ids").isNull(), path).alias("cuts"))
     found = F.transform(
         F.sequence(F.lit(1), F.size("cuts") - 1),
         lambda k: F.struct(
@@ -153,8 +158,39 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
         ),
     )
     ids = F.flatten(F.transform(found, lambda f: F.when(f["id"].isNotNull(), F.array(f["id"])).otherwise(_chars_ids(pieces, F.substr("word", f["start"] + 1, F.lit(1))))))
-    native = cut.select("word", ids.alias("ids"))
-    return native.unionByName(_long_words(words.where(n > BITS), pieces))
+    return cut.select("word", F.when(F.col("long_ids").isNull(), ids).otherwise(F.col("long_ids")).alias("ids"))
+
+
+def _edges_by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each word as one list.  A word's edges follow each other, as they were exploded from one row: runs are cut, nothing is sorted."""
+    held: pa.Table | None = None
+
+    def runs(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Table]:
+        t = t.combine_chunks()
+        ends = pc.run_end_encode(t.column("word").chunk(0)).run_ends.to_numpy()
+        begin = np.concatenate(([0], ends[:-1]))
+        rest = t.slice(int(begin[-1]))
+        return t, begin, rest
+
+    def packed(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        columns = [t.column(c).chunk(0) for c in ("score", "start", "end", "id")]
+        edges = pa.StructArray.from_arrays(columns, names=["score", "start", "end", "id"])
+        offsets = pa.array(np.append(begin, t.num_rows).astype(np.int32))
+        first = pa.array(begin)
+        listed = pa.ListArray.from_arrays(offsets, edges)
+        return pa.RecordBatch.from_arrays([t.column("word").chunk(0).take(first), t.column("long_ids").chunk(0).take(first), listed], names=["word", "long_ids", "edges"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        t, begin, rest = runs(now if held is None else pa.concat_tables([held, now]))
+        if len(begin) > 1:
+            yield packed(t.slice(0, int(begin[-1])), begin[:-1])
+        held = rest
+    if held is not None and held.num_rows:
+        yield packed(held, np.array([0]))
 
 
 def _best_path(n: Column) -> Column:
@@ -196,19 +232,35 @@ def _merge_path(n: Column) -> Column:
 
 
 def _long_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Words of over BITS code points, one at a time."""
+    """(word, long_ids): the ids of words of over BITS code points, null for the others."""
     scores, ids = {p: s for p, _, s in pieces.normal}, {p: i for p, i, _ in pieces.normal}
     byte_ids, unknown, kind, longest = pieces.byte_ids, pieces.unknown, pieces.kind, pieces.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for word in batch.column(0).to_pylist():
+            column = batch.column(0)
+            found: list[list[int] | None] = [None] * len(column)
+            for k in np.flatnonzero(pc.greater(pc.utf8_length(column), BITS).to_numpy(zero_copy_only=False)):
+                word = column[int(k)].as_py()
                 parts = merged_long(word, scores) if kind == BPE else best_path(word, scores, longest)
-                found.append([i for p in parts for i in ([ids[p]] if p in ids else [byte_ids[b] for b in p.encode()] if min(byte_ids) >= 0 else [unknown])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+                found[k] = [i for p in parts for i in ([ids[p]] if p in ids else [byte_ids[b] for b in p.encode()] if min(byte_ids) >= 0 else [unknown])]
+            yield pa.RecordBatch.from_arrays([column, pa.array(found, pa.list_(pa.int32()))], names=["word", "long_ids"])
+
+    return words.mapInArrow(run, "word string, long_ids array<int>")
+
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+def _packed(known: DataFrame, kind: str) -> DataFrame:
+    """(word, packed): ids as little-endian bytes of the given width, which are shuffled in place of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            offsets = ids.offsets.to_numpy()
+            data = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(kind)
+            buffers = [None, pa.py_buffer(((offsets - offsets[0]) * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ids), buffers)], names=["word", "packed"])
+
+    return known.mapInArrow(run, "word string, packed binary")
 
 
 def best_path(word: str, scores: dict[str, float], longest: int) -> list[str]:
@@ -301,33 +353,43 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     pattern = pieces.word
     chunks = _chunks(texts(docs, id_col, text_col)).repartition(width, "chunk")
 
+    kind = "<u2" if len(pieces.texts) < 1 << 16 else "<u4"
+
     def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(pattern)
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {w for t in _unpacked(data).column(1).to_pylist() for w in _words_of(split, t)}
-                words = pa.array(sorted(found), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "word"])
+                words = sorted({w for t in _unpacked(data).column(1).to_pylist() for w in _words_of(split, t)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], names=["chunk", "at", "word"])
 
-    used = chunks.mapInArrow(words_of_chunks, "chunk long, word string").repartition(width, "word")
-    # the aggregate keeps both columns, so that one exchange serves it and the join
-    known = segment(used.groupBy("word").agg(F.min("chunk").alias("chunk")).select("word"), pieces)
-    looked_up = used.join(known, "word").select("chunk", "word", "ids").repartition(width, "chunk")
+    used = chunks.mapInArrow(words_of_chunks, "chunk long, at int, word string").where("word is not null").repartition(width, "word")
+    # the aggregate keeps all columns, so that one exchange serves it and the join
+    distinct = used.groupBy("word").agg(F.min(F.struct("chunk", "at")).alias("first"))
+    known = _packed(segment(distinct, pieces), kind)
+    looked_up = used.join(known, "word").select("chunk", "at", "packed").repartition(width, "chunk")
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         split = re.compile(pattern)
-        listed, ids = right.column("word").combine_chunks(), right.column("ids").combine_chunks()
-        flat, offset = ids.values.to_numpy(), ids.offsets.to_numpy()
+        order = np.argsort(right.column("at").to_numpy())
+        packed = right.column("packed").combine_chunks().take(pa.array(order)) if right.num_rows else pa.array([], pa.binary())
+        packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
+        _, where, data = packed.buffers()
+        item = np.dtype(kind).itemsize
+        offset = np.frombuffer(where, np.int32)[packed.offset : packed.offset + len(packed) + 1] // item if len(packed) else np.zeros(1, np.int32)
+        flat = np.frombuffer(data, kind) if data is not None else np.empty(0, kind)
         out = []
-        for data in left.column("data").to_pylist():
-            table = _unpacked(data)
-            texts_, number = table.column(1).to_pylist(), {w: i for i, w in enumerate(listed.to_pylist())}
-            places = [np.fromiter(map(number.__getitem__, _words_of(split, t)), np.int64) for t in texts_]
-            place = np.concatenate(places) if places else np.empty(0, np.int64)
-            size = offset[place + 1] - offset[place]
-            take = np.repeat(offset[place] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(place) else place
-            ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0] + [len(p) for p in places])]
-            out.append(pa.table([table.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[take], pa.int32()))], names=["doc_id", "ids"]))
+        for blob in left.column("data").to_pylist():
+            table = _unpacked(blob)
+            parts = [_words_of(split, t) for t in table.column(1).to_pylist()]
+            number = {w: i for i, w in enumerate(sorted(set().union(*parts)))}
+            if len(number) != len(packed):
+                raise RuntimeError("a chunk's words are not those that were looked up")
+            place = np.fromiter((number[w] for p in parts for w in p), np.int64)
+            size = (offset[1:] - offset[:-1])[place].astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            take = np.repeat(offset[place] - ends[:-1], size) + np.arange(ends[-1])
+            rows = ends[np.cumsum([0] + [len(p) for p in parts])]
+            out.append(pa.table([table.column(0), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat[take].astype(np.int32)))], names=["doc_id", "ids"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, "doc_id long, ids array<int>")
