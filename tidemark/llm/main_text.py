@@ -25,7 +25,7 @@ LABELLED_PAGES = 3_000
 #: Weight of a log-odds unit of a tag, and the bounds of a word's and a tag's weight.
 TAG_UNIT, WORD_RANGE, TAG_RANGE = 10.0, (0.5, 3.0), (-100.0, -0.05)
 #: Weights of tags that no labelled page shows: inline tags, links, blocks, and what stands around an article; and of an element taken out.
-UNSEEN_INLINE, UNSEEN_LINK, UNSEEN_BLOCK, UNSEEN_FRAME, TAKEN_OUT = -0.05, -1.5, -0.5, -60.0, -0.5
+UNSEEN_INLINE, UNSEEN_LINK, UNSEEN_BLOCK, UNSEEN_FRAME, TAKEN_OUT = -0.05, -1.5, -0.1, -60.0, -0.1
 
 RAW = frozenset("script style noscript template textarea title iframe xmp".split())
 NEVER = RAW | frozenset("head nav footer aside form button select svg canvas object dialog menu audio video map datalist".split())
