@@ -106,12 +106,11 @@ def test_kernels():
 
 def test_simulation_repeats_and_adds_up(spark):
     names = pd.DataFrame({"id": range(5), "p": [0.05, 0.1, 0.2, 0.02, 0.15], "borrowers": 40, "exposure": 100.0, "lgd": 0.45})
-    draws = 8_000
-    one = simulate.losses(spark, names, 0.02, 0.4, draws)
-    a, b = simulate.tail(one, draws).first(), simulate.tail(simulate.losses(spark, names, 0.02, 0.4, draws), draws).first()
+    draws, d = 8_000, spark.createDataFrame(names)
+    a, b = simulate.tail(d, 0.02, 0.4, draws).first(), simulate.tail(d.repartition(3), 0.02, 0.4, draws).first()
     assert a == b
     assert a["mean"] == pytest.approx((names.p * names.exposure * names.lgd).sum(), rel=0.06)
-    free = simulate.tail(simulate.losses(spark, names, 0.0, 0.0, draws), draws).first()
+    free = simulate.tail(d, 0.0, 0.0, draws).first()
     assert a["var"] > free["var"]
-    parts = sum(r.contribution for r in simulate.contributions(one, draws).collect())
+    parts = sum(r.contribution for r in simulate.contributions(d, 0.02, 0.4, draws).collect())
     assert parts == pytest.approx(a["es"])

@@ -38,7 +38,31 @@ def retrieve(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02)
     return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def tier(name: Column, wanted: Column) -> Column:
-    """0 equal, 1 containing, 4 alike at both ends; NULL where nothing agrees."""
-    ends = (F.length(wanted) >= 4) & (F.substring(name, 1, 2) == F.substring(wanted, 1, 2)) & (F.right(name, F.lit(2)) == F.right(wanted, F.lit(2)))
-    return F.when(name == wanted, 0).when(name.contains(wanted), 1).when(ends, 4)
+GRAM = 3
+
+
+def tiered_search(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, name, tier) for distinct ``names`` (name) and ``wanted`` (wanted), the best tier of each only.
+
+    Tier 0 is equal, 1 containing, 4 alike at both ends (two characters each, of four or more).  Every tier is an equi-join: a name that contains
+    what is wanted holds its rarest gram, so the postings of one gram are read; what is shorter than a gram meets
+    the names by itself.  Nulls and empty strings match nothing.
+    """
+    names, wanted = names.where("name != ''").select("name").distinct(), wanted.where("wanted != ''").select("wanted").distinct()
+
+    def grams(c: str, size: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(size))))
+
+    exact = wanted.join(names, F.col("wanted") == F.col("name")).select("wanted", "name", F.lit(0).alias("tier"))
+    postings = names.where(F.length("name") >= GRAM).select("name", F.explode(grams("name", GRAM)).alias("gram"))
+    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(grams("wanted", GRAM)).alias("gram"))
+    rarest = asked.join(frequency, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    holding = rarest.select("wanted", "g.gram").join(postings, "gram").where(F.col("name").contains(F.col("wanted")))
+    short = names.select("name", F.explode(F.array_union(grams("name", 1), grams("name", 2))).alias("gram")).where(F.length("gram") < GRAM)
+    holding = holding.select("wanted", "name").union(short.join(wanted, F.col("gram") == F.col("wanted")).select("wanted", "name"))
+    ends = lambda df, c: df.where(F.length(c) >= 4).withColumn("ends", F.concat(F.substring(c, 1, 2), F.right(c, F.lit(2))))
+    alike = ends(wanted, "wanted").join(ends(names, "name"), "ends").select("wanted", "name", F.lit(4).alias("tier"))
+    every = exact.union(holding.withColumn("tier", F.lit(1))).union(alike).groupBy("wanted", "name").agg(F.min("tier").alias("tier"))
+    best = every.groupBy("wanted").agg(F.min("tier").alias("tier"))
+    return every.join(best, ["wanted", "tier"]).select("wanted", "name", "tier")

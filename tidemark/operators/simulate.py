@@ -1,60 +1,75 @@
-"""Two-factor tail-loss simulation, spread over tasks by blocks of draws."""
+"""Two-factor tail-loss simulation, spread over tasks by names."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2_000
+#: Losses are summed as whole numbers of this part of a unit, so that a sum does not hang on the order of its terms.
+PART = 10_000
 
 
-def losses(spark: SparkSession, names: pd.DataFrame, rho_between: float, rho_within: float, draws: int, seed: int = 7) -> DataFrame:
-    """(draw, name, loss) of every name with a loss: a common factor, a factor of the name, then binomial borrowers.
+def _drawer(rho_between: float, rho_within: float, draws: int, seed: int) -> Callable[..., np.ndarray]:
+    """A function of one name's row: its losses in all draws, in parts.
 
-    ``names`` has id, p, borrowers, exposure, lgd: one portfolio, some hundred rows.  Each block of draws has its own seed, so a lost
-    task repeats the same numbers.
+    The common factor has the seed alone, a name's own factor the seed and its id: any task, and a task run again, draws the same numbers.
     """
     normal = NormalDist()
-    cut = np.array([normal.inv_cdf(min(max(p, 1e-9), 1 - 1e-9)) for p in names.p])
-    borrowers, unit = names.borrowers.to_numpy(), (names.exposure * names.lgd / names.borrowers).to_numpy()
-    ids = names.id.to_numpy()
-    own = np.sqrt(1 - rho_within)
-    share, rest = np.sqrt(rho_between), np.sqrt(max(rho_within - rho_between, 0.0))
+    z = np.random.default_rng(seed).standard_normal(draws)
     grid = np.linspace(-9, 9, 4001)
     table = np.array([normal.cdf(x) for x in grid])
+    own, share, rest = np.sqrt(1 - rho_within), np.sqrt(rho_between), np.sqrt(max(rho_within - rho_between, 0.0))
+
+    def losses(row) -> np.ndarray:
+        rng = np.random.default_rng([seed, int(row.id)])
+        cut = normal.inv_cdf(min(max(row.p, 1e-9), 1 - 1e-9))
+        p = np.interp((cut - share * z - rest * rng.standard_normal(draws)) / own, grid, table)
+        return np.rint(rng.binomial(int(row.borrowers), p) * (row.exposure * row.lgd / row.borrowers * PART)).astype(np.int64)
+
+    return losses
+
+
+def totals(names: DataFrame, rho_between: float, rho_within: float, draws: int, seed: int = 7) -> DataFrame:
+    """(draw, loss) for every draw: the sum over all ``names`` (id, p, borrowers, exposure, lgd).
+
+    A task adds up its names before the shuffle, so a row a draw and task moves, however many names there are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        losses, total = _drawer(rho_between, rho_within, draws, seed), np.zeros(draws, np.int64)
         for batch in batches:
-            for block in batch.id:
-                rng = np.random.default_rng([seed, int(block)])
-                z, y = rng.standard_normal((BLOCK, 1)), rng.standard_normal((BLOCK, len(ids)))
-                p = np.interp((cut - share * z - rest * y) / own, grid, table)
-                loss = rng.binomial(borrowers, p) * unit
-                at, name = np.nonzero(loss)
-                yield pd.DataFrame({"draw": block * BLOCK + at, "name": ids[name], "loss": loss[at, name]})
-
-    blocks = spark.range(0, -(-draws // BLOCK), 1, max(1, draws // BLOCK // 4))
-    return blocks.mapInPandas(run, "draw long, name long, loss double")
-
-
-def tail(losses_: DataFrame, draws: int, level: float = 0.99) -> DataFrame:
-    """(mean, var, es) of the total loss; draws without loss count as zero."""
-    total = losses_.groupBy("draw").agg(F.sum("loss").alias("loss"))
-    every = losses_.sparkSession.range(draws).select(F.col("id").alias("draw")).join(total, "draw", "left").select(F.coalesce("loss", F.lit(0.0)).alias("loss"))
+            for row in batch.itertuples():
+                total += losses(row)
+        yield pd.DataFrame({"draw": np.arange(draws), "parts": total})
+
+    wanted = names.select("id", "p", "borrowers", "exposure", "lgd")
+    return wanted.mapInPandas(run, "draw long, parts long").groupBy("draw").agg((F.sum("parts") / PART).alias("loss"))
+
+
+def tail(names: DataFrame, rho_between: float, rho_within: float, draws: int, level: float = 0.99, seed: int = 7) -> DataFrame:
+    """(mean, var, es) of the total loss."""
+    every = totals(names, rho_between, rho_within, draws, seed)
     var = every.agg(F.avg("loss").alias("mean"), F.percentile("loss", level).alias("var"))
     return every.crossJoin(F.broadcast(var)).groupBy("mean", "var").agg(F.avg(F.when(F.col("loss") >= F.col("var"), F.col("loss"))).alias("es"))
 
 
-def contributions(losses_: DataFrame, draws: int, level: float = 0.99) -> DataFrame:
-    """(name, contribution): the mean loss of each name in the draws at or beyond the quantile; they add up to the shortfall."""
-    total = losses_.groupBy("draw").agg(F.sum("loss").alias("total"))
-    every = losses_.sparkSession.range(draws).select(F.col("id").alias("draw")).join(total, "draw", "left").fillna(0.0, ["total"])
-    var = every.agg(F.percentile("total", level).alias("var"))
-    bad = every.crossJoin(F.broadcast(var)).where("total >= var").select("draw")
-    n = bad.agg(F.count("*").alias("n"))
-    return losses_.join(bad, "draw").groupBy("name").agg(F.sum("loss").alias("s")).crossJoin(F.broadcast(n)).select("name", (F.col("s") / F.col("n")).alias("contribution"))
+def contributions(names: DataFrame, rho_between: float, rho_within: float, draws: int, level: float = 0.99, seed: int = 7) -> DataFrame:
+    """(name, contribution): the mean loss of each name in the draws at or beyond the quantile; they add up to the shortfall.
+
+    A second pass over the names with the same draws: what the driver holds between the two is the numbers of the tail's draws.
+    """
+    every = totals(names, rho_between, rho_within, draws, seed)
+    var = every.agg(F.percentile("loss", level).alias("var"))
+    bad = np.array(sorted(r.draw for r in every.crossJoin(F.broadcast(var)).where("loss >= var").select("draw").collect()), np.int64)  # at most ``draws`` numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        losses = _drawer(rho_between, rho_within, draws, seed)
+        for batch in batches:
+            yield pd.DataFrame({"name": batch.id, "contribution": [losses(row)[bad].sum() / PART / len(bad) for row in batch.itertuples()]})
+
+    return names.select("id", "p", "borrowers", "exposure", "lgd").mapInPandas(run, "name long, contribution double")

@@ -9,22 +9,25 @@ from tidemark.functions.expr import first_match, normal_name
 from tidemark.operators import retrieval
 from tidemark.plans.base import query, r6, table
 
-_NAMES = "n AS (SELECT p_partkey AS id, nullif(regexp_replace(lower(trim(p_name)), '[^a-z0-9가-힣]', '', 'g'), '') AS name FROM part)"
+_NAMES = "n AS (SELECT p_partkey AS id, nullif(regexp_replace(lower(trim(p_name)), '[^a-z0-9가-힣]', '', 'g'), '') AS name, nullif(regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9가-힣]', '', 'g'), '') AS word FROM part)"
 
 
-@query(f"""WITH {_NAMES}, w AS (SELECT id AS query_id, name AS wanted FROM n WHERE id % 200 = 0), t AS (SELECT query_id, id, CASE WHEN name = wanted THEN 0 WHEN contains(name, wanted) THEN 1
- WHEN length(wanted) >= 4 AND left(name, 2) = left(wanted, 2) AND right(name, 2) = right(wanted, 2) THEN 4 END AS tier FROM w, n)
- SELECT query_id, id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best""")
+@query(f"""WITH {_NAMES}, d AS (SELECT name, count(*) AS owners FROM n WHERE name IS NOT NULL GROUP BY 1), w AS (SELECT DISTINCT unnest([word, left(name, length(name) // 2) || substr(name, length(name) // 2 + 2)]) AS wanted FROM n WHERE id % 50 = 0),
+ t AS (SELECT wanted, name, owners, CASE WHEN name = wanted THEN 0 WHEN contains(name, wanted) THEN 1 WHEN length(wanted) >= 4 AND length(name) >= 4 AND left(name, 2) = left(wanted, 2) AND right(name, 2) = right(wanted, 2) THEN 4 END AS tier FROM w, d WHERE wanted <> '')
+ SELECT wanted, name, tier, owners FROM (SELECT *, min(tier) OVER (PARTITION BY wanted) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best""")
 def tiered_search(spark, sf_dir):
-    """A stated set of queries (ids divisible by 200) against all names, the best tier only."""
-    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normal_name(F.col("p_name")).alias("name"))
-    wanted = n.where("id % 200 = 0").select(F.col("id").alias("query_id"), F.col("name").alias("wanted"))
-    t = n.join(wanted, F.substring("name", 1, 0) == F.lit("")).withColumn("tier", retrieval.tier(F.col("name"), F.col("wanted"))).where("tier is not null")
-    best = t.groupBy("query_id").agg(F.min("tier").alias("best"))
-    return t.join(best, "query_id").where("tier = best").select("query_id", "id", "tier")
+    """What is typed (the first word, or the name with its middle character lost) for every id divisible by 50, against all names.
 
+    Rows of one name are one class: ``owners`` counts them, they are not expanded.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), normal_name(F.col("p_name")).alias("name"), normal_name(F.substring_index("p_name", " ", 1)).alias("word"))
+    half = F.floor(F.length("name") / 2).cast("int")
+    typed = p.where("id % 50 = 0").select(F.explode(F.array("word", F.concat(F.substr("name", F.lit(1), half), F.substr("name", half + 2)))).alias("wanted"))
+    names = p.where("name is not null").groupBy("name").agg(F.count("*").alias("owners"))
+    return retrieval.tiered_search(names, typed).join(names, "name").select("wanted", "name", "tier", "owners")
 
-@query(r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE lang = 'de'), qw AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+
+@query(r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), qw AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
  tm AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0), tf AS (SELECT id, term, count(*) AS tf FROM tm GROUP BY 1, 2),
  qm AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM qw WHERE len(w) > 0), qf AS (SELECT id, term, count(*) AS tf FROM qm GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM w),
@@ -33,7 +36,7 @@ def tiered_search(spark, sf_dir):
  s AS (SELECT qn.id AS query_id, dw.id AS doc_id, round(sum(qn.w * dw.w), 6) AS score FROM qn JOIN dw USING (term) GROUP BY 1, 2)
  SELECT query_id, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM s WHERE score >= 0.02) WHERE place <= 5""")
 def tfidf_retrieve(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval.retrieve(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
 
 
