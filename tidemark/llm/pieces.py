@@ -3,16 +3,18 @@
 A text is cut into words between which no piece reaches.  The distinct words' substrings of bounded length are exploded and
 equi-joined to the piece table; the edges of a word are grouped and folded by a higher-order aggregate.  For a
 unigram model the fold is Viterbi's best path by the sum of scores.  For a BPE model, whose scores are merge ranks and not
-log probabilities, the best path is not the model's segmentation: there the fold applies, over the same lattice, the best merge
-that is open, until none is.
+log probabilities, the best path is not the model's segmentation: there the fold goes over the same lattice's edges in the order of
+their ranks and takes each merge that is open.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +31,9 @@ from tidemark.llm.common import shuffle_width, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Code points of text that are packed into one chunk; a chunk's words are looked up together.
-CHUNK = 16_000_000
-#: A word of the native merge fold has at most this many code points: its boundaries are the bits of one bigint.
+#: Code points of text that are packed into one chunk, whose words are looked up together, and input partitions that one task reads.
+CHUNK, MERGED_PARTITIONS = 40_000_000, 4
+#: A word of the native fold has at most this many code points: its boundaries are the bits of one bigint.
 BITS = 62
 _LETTER = r"[^\W\d_]"
 
@@ -121,80 +123,66 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-def _chars_ids(pieces: Pieces, char: Column) -> Column:
-    """The ids of a character that is no piece: its bytes, or the unknown piece where the model has no bytes."""
-    if min(pieces.byte_ids) < 0:
-        return F.array(F.lit(pieces.unknown))
-    ids = F.from_json(F.lit(json.dumps(pieces.byte_ids)), "array<int>")
-    code = F.hex(F.encode(char, "UTF-8"))
-    pair = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int"))
-    return F.transform(pair, lambda b: F.element_at(ids, b + 1))
+def in_rank_order(pieces: Pieces) -> bool:
+    """Whether best-first merging of every piece's own characters takes merges in rising rank.
 
+    What is merged inside a piece's span hangs on that span alone, so if this holds for all pieces it holds in every word: a merge
+    never opens one of a better rank, and one pass over a word's edges by (rank, start) takes the merges that best-first merging takes.
+    """
+    rank = {p: -s for p, _, s in pieces.normal}
+    for piece in rank:
+        parts, last = list(piece), -np.inf
+        while open_ := [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]:
+            best, i = min(open_)
+            if best < last:
+                return False
+            last = best
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return True
 
-def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for distinct ``words``: the lattice of each word, folded by the model's own rule.
 
-    Further columns of ``words`` are dropped.  Words of over BITS code points are segmented one at a time.
-    """
-    spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame(pieces.normal, "piece string, id int, score double"))  # a fixed vocabulary
-    n = F.length("word")
-    # one branch for all words, so that what gives them is computed once: a long word has its ids and no edges
-    starts = _long_words(words, pieces).select("word", "long_ids", F.explode_outer(F.when(F.col("long_ids").isNull(), F.sequence(F.lit(0), n - 1))).alias("start"))
-    spans = starts.select("word", "long_ids", "start", F.explode_outer(F.when(F.col("start").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start"))))).alias("size"))
-    spans = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("size")))
-    # every single character is kept as an edge, known or not, so that each word has a path
-    edges = spans.join(table, "piece", "left").where("id is not null or size = 1 or start is null")
-    least = min((s for _, _, s in pieces.normal), default=0.0) - 10
-    edges = edges.select("word", "long_ids", F.coalesce("score", F.lit(least)).alias("score"), "start", (F.col("start") + F.col("size")).alias("end"), "id")
-    lattice = edges.mapInArrow(_edges_by_word, "word string, long_ids array<int>, edges array<struct<score: double, start: int, end: int, id: int>>")
-    path = _best_path(n) if pieces.kind == UNIGRAM else _merge_path(n)
-    cut = lattice.select("word", "long_ids", "edges", F.when(F.col("long_ids").isNull(), path).alias("cuts"))
-    found = F.transform(
-        F.sequence(F.lit(1), F.size("cuts") - 1),
-        lambda k: F.struct(
-            F.element_at("cuts", k).alias("start"),
-            F.get(F.filter("edges", lambda e: (e["start"] == F.element_at("cuts", k)) & (e["end"] == F.element_at("cuts", k + 1))), F.lit(0))["id"].alias("id"),
-        ),
-    )
-    ids = F.flatten(F.transform(found, lambda f: F.when(f["id"].isNotNull(), F.array(f["id"])).otherwise(_chars_ids(pieces, F.substr("word", f["start"] + 1, F.lit(1))))))
-    return cut.select("word", F.when(F.col("long_ids").isNull(), ids).otherwise(F.col("long_ids")).alias("ids"))
-
-
-def _edges_by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each word as one list.  A word's edges follow each other, as they were exploded from one row: runs are cut, nothing is sorted."""
-    held: pa.Table | None = None
-
-    def runs(t: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Table]:
-        t = t.combine_chunks()
-        ends = pc.run_end_encode(t.column("word").chunk(0)).run_ends.to_numpy()
-        begin = np.concatenate(([0], ends[:-1]))
-        rest = t.slice(int(begin[-1]))
-        return t, begin, rest
-
-    def packed(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        columns = [t.column(c).chunk(0) for c in ("score", "start", "end", "id")]
-        edges = pa.StructArray.from_arrays(columns, names=["score", "start", "end", "id"])
-        offsets = pa.array(np.append(begin, t.num_rows).astype(np.int32))
-        first = pa.array(begin)
-        listed = pa.ListArray.from_arrays(offsets, edges)
-        return pa.RecordBatch.from_arrays([t.column("word").chunk(0).take(first), t.column("long_ids").chunk(0).take(first), listed], names=["word", "long_ids", "edges"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        t, begin, rest = runs(now if held is None else pa.concat_tables([held, now]))
-        if len(begin) > 1:
-            yield packed(t.slice(0, int(begin[-1])), begin[:-1])
-        held = rest
-    if held is not None and held.num_rows:
-        yield packed(held, np.array([0]))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, 6).bitwiseAND(63).cast("int")
 
 
-def _best_path(n: Column) -> Column:
+def _end(edge: Column) -> Column:
+    return edge.bitwiseAND(63).cast("int")
+
+
+def boundaries(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(*columns of words, bits): for distinct words of at most BITS code points the places where the model cuts them, as bits of a bigint.
+
+    ``words`` has a column word, and others that are kept.  The lattice of each word is exploded, equi-joined, grouped and folded.
+    An edge is one bigint: the rank of its score, its start and its end.
+    """
+    spark, keys = words.sparkSession, words.columns
+    least = 1 if pieces.kind == UNIGRAM else 2
+    scores = sorted({s for p, _, s in pieces.normal if len(p) >= least}, reverse=True)
+    rank = {s: k for k, s in enumerate(scores)}
+    table = F.broadcast(spark.createDataFrame([(p, rank[s]) for p, _, s in pieces.normal if len(p) >= least], "piece string, rank long"))  # a fixed vocabulary
+    n = F.length("word")
+    starts = words.select(*keys, F.explode(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))).alias("start"))
+    sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(pieces.longest), n - F.col("start"))))
+    spans = starts.select(*keys, "start", F.explode(sizes).alias("size")).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("size")))
+    # the first span of each word is kept, known or not, so that no word is lost; for a best path every single character is
+    kept = F.col("rank").isNotNull() | (F.col("size") == 1) | ((F.col("start") == 0) & (F.col("size") == least))
+    known = F.when(F.col("size") == 1, F.coalesce("rank", F.lit(len(scores)))).otherwise(F.col("rank"))
+    edges = spans.join(table, "piece", "left").where(kept).select(*keys, (F.shiftleft(known, 12) + F.col("start") * 64 + F.col("start") + F.col("size")).alias("edge"))
+    lattice = edges.groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
+    if pieces.kind == UNIGRAM:
+        fold = _best_path(n, [*scores, min(scores, default=0.0) - 10])
+    else:
+        fold = _merge_path(n, in_rank_order(pieces))
+    return lattice.select(*keys, fold.alias("bits"))
+
+
+def _best_path(n: Column, scores: list[float]) -> Column:
     """Viterbi: the boundaries of the path of greatest score; of equal ones the one whose last piece begins first."""
+    table = F.from_json(F.lit(json.dumps(scores)), "array<double>")
     nodes = F.aggregate(
         F.sequence(F.lit(1), n),
         F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"))),
@@ -203,64 +191,92 @@ def _best_path(n: Column) -> Column:
             F.array(
                 F.array_max(
                     F.transform(
-                        F.filter("edges", lambda e: e["end"] == end),
-                        lambda e: F.struct((F.element_at(found, e["start"] + 1)["score"] + e["score"]).alias("score"), (-e["start"]).alias("back")),
+                        F.filter("edges", lambda e: _end(e) == end),
+                        lambda e: F.struct((F.element_at(found, _start(e) + 1)["score"] + F.element_at(table, F.shiftright(e, 12).cast("int") + 1)).alias("score"), (-_start(e)).alias("back")),
                     )
                 )
             ),
         ),
     )
-    walk = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda cuts, _: F.when(cuts[0] == 0, cuts).otherwise(F.concat(F.array(-F.element_at(nodes, cuts[0] + 1)["back"]), cuts)))
-    return walk
+    path = F.struct(n.alias("at"), _bit(n).alias("bits"), nodes.alias("nodes"))
 
+    def back(state: Column, _: Column) -> Column:
+        at = -F.element_at(state["nodes"], state["at"] + 1)["back"]
+        return F.when(state["at"] == 0, state).otherwise(F.struct(at.alias("at"), state["bits"].bitwiseOR(_bit(at)).alias("bits"), state["nodes"].alias("nodes")))
 
-def _merge_path(n: Column) -> Column:
-    """BPE: all boundaries are bits of a bigint; each step clears the one inside the best open merge, the leftmost of equals."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    prepared = F.transform(
-        F.array_sort(F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["end"].alias("end")))),
-        lambda e: F.struct((bit(e["start"]) + bit(e["end"])).alias("outer"), (bit(e["end"]) - bit(e["start"] + 1)).alias("inner")),
-    )
-    state = F.struct(((bit(n) - 1) + bit(n)).alias("bits"), prepared.alias("merges"))
-    step = lambda bits, merges: F.get(F.filter(merges, lambda m: (bits.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(bits.bitwiseAND(m["inner"])) == 1)), F.lit(0))["inner"]
-    return F.aggregate(
-        F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")),
-        state,
-        lambda s, _: F.struct(s["bits"].bitwiseAND(F.bitwise_not(F.coalesce(step(s["bits"], s["merges"]), F.lit(0).cast("long")))).alias("bits"), s["merges"].alias("merges")),
-        lambda s: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", s["bits"], i).bitwiseAND(1) == 1),
-    )
+    return F.aggregate(F.sequence(F.lit(1), n), path, back, lambda s: s["bits"])
 
 
-def _long_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, long_ids): the ids of words of over BITS code points, null for the others."""
-    scores, ids = {p: s for p, _, s in pieces.normal}, {p: i for p, i, _ in pieces.normal}
-    byte_ids, unknown, kind, longest = pieces.byte_ids, pieces.unknown, pieces.kind, pieces.longest
+def _merge_path(n: Column, once: bool) -> Column:
+    """BPE: all boundaries are set; a merge that is open, whose two ends are set with one boundary between them, clears that one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            found: list[list[int] | None] = [None] * len(column)
-            for k in np.flatnonzero(pc.greater(pc.utf8_length(column), BITS).to_numpy(zero_copy_only=False)):
-                word = column[int(k)].as_py()
-                parts = merged_long(word, scores) if kind == BPE else best_path(word, scores, longest)
-                found[k] = [i for p in parts for i in ([ids[p]] if p in ids else [byte_ids[b] for b in p.encode()] if min(byte_ids) >= 0 else [unknown])]
-            yield pa.RecordBatch.from_arrays([column, pa.array(found, pa.list_(pa.int32()))], names=["word", "long_ids"])
+    Merges are taken by rank and then from the left: in one pass where ``in_rank_order`` holds, else the best open one n - 1 times.
+    """
+    merges = F.sort_array(F.filter("edges", lambda e: e.isNotNull()))
+    every = (_bit(n) - 1) + _bit(n)
+
+    def inner(bits: Column, edge: Column) -> Column:
+        return bits.bitwiseAND(_bit(_end(edge)) - _bit(_start(edge) + 1))
+
+    def is_open(bits: Column, edge: Column) -> Column:
+        outer = _bit(_start(edge)) + _bit(_end(edge))
+        return (bits.bitwiseAND(outer) == outer) & (F.bit_count(inner(bits, edge)) == 1)
+
+    if once:
+        return F.aggregate(merges, every, lambda bits, e: F.when(is_open(bits, e), bits - inner(bits, e)).otherwise(bits))
+    state = F.struct(every.alias("bits"), merges.alias("merges"))
+
+    def step(s: Column, _: Column) -> Column:
+        best = F.get(F.filter(s["merges"], lambda e: is_open(s["bits"], e)), F.lit(0))
+        return F.struct((s["bits"] - F.coalesce(inner(s["bits"], best), F.lit(0).cast("long"))).alias("bits"), s["merges"].alias("merges"))
+
+    return F.aggregate(F.sequence(F.lit(1), n), state, step, lambda s: s["bits"])
+
+
+class Spelled:
+    """The ids of a word: cut at given boundaries, or segmented here where it is longer than BITS."""
+
+    def __init__(self, pieces: Pieces):
+        self.ids = {p: i for p, i, _ in pieces.normal}
+        self.scores = {p: s for p, _, s in pieces.normal}
+        self.byte_ids, self.unknown, self.kind, self.longest = pieces.byte_ids, pieces.unknown, pieces.kind, pieces.longest
+
+    def of(self, parts: list[str]) -> list[int]:
+        return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()] if min(self.byte_ids) >= 0 else [self.unknown])]
 
-    return words.mapInArrow(run, "word string, long_ids array<int>")
+    def cut(self, word: str, bits: int) -> list[int]:
+        parts, at = [], 0
+        bits >>= 1
+        while bits:
+            size = (bits & -bits).bit_length()
+            parts.append(word[at : at + size])
+            at += size
+            bits >>= size
+        try:
+            return [self.ids[p] for p in parts]
+        except KeyError:
+            return self.of(parts)
 
+    def long(self, word: str) -> list[int]:
+        return self.of(merged_long(word, self.scores) if self.kind == BPE else best_path(word, self.scores, self.longest))
 
-def _packed(known: DataFrame, kind: str) -> DataFrame:
-    """(word, packed): ids as little-endian bytes of the given width, which are shuffled in place of arrays."""
+
+def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) for distinct ``words``: the lattice of each word, folded by the model's own rule.
+
+    Words of over BITS code points are segmented one at a time.  Null words are left out; an empty word has no ids.
+    """
+    words = words.select("word").where("word is not null")
+    n, spelled = F.length("word"), Spelled(pieces)
+    short = boundaries(words.where(n.between(1, BITS)), pieces)
+    both = short.union(words.where((n == 0) | (n > BITS)).select("word", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            offsets = ids.offsets.to_numpy()
-            data = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(kind)
-            buffers = [None, pa.py_buffer(((offsets - offsets[0]) * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(ids), buffers)], names=["word", "packed"])
+            found = [spelled.long(w) if b is None else spelled.cut(w, b) for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return known.mapInArrow(run, "word string, packed binary")
+    return both.mapInArrow(run, "word string, ids array<int>")
 
 
 def best_path(word: str, scores: dict[str, float], longest: int) -> list[str]:
@@ -305,41 +321,55 @@ def merged_long(word: str, scores: dict[str, float]) -> list[str]:
     return [p for p in part if p is not None]
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, data): some documents each, compressed; the chunk's name is the hash of its content."""
+def _chunks(docs: DataFrame, pattern: str) -> DataFrame:
+    """(chunk, words, data): some documents each, as numbers into the chunk's own list of distinct words, both compressed.
+
+    The chunk's name is the hash of its content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, held, size = zstandard.ZstdCompressor(level=3), [], 0
+        split, pack = re.compile(pattern), zstandard.ZstdCompressor(level=3)
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        ids, at, size = [], [], 0
 
         def packed() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as w:
-                for b in held:
-                    w.write_batch(b)
-            data = sink.getvalue().to_pybytes()
-            name = np.array([xxhash.xxh64_intdigest(data)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array([pack.compress(data)], pa.binary())], names=["chunk", "data"])
+            counts = np.fromiter(map(len, at), np.int64, len(at))
+            # byte by byte of all numbers: the higher ones are nearly all zero
+            planes = np.concatenate(at).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            head = _stream(pa.table({"doc_id": pa.chunked_array(ids), "count": counts}))
+            words = _stream(pa.table({"word": pa.array(number, pa.string())}))
+            data = len(head).to_bytes(8, "little") + head + planes
+            name = np.array([xxhash.xxh64_intdigest(data + words)], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array([pack.compress(words)], pa.binary()), pa.array([pack.compress(data)], pa.binary())], names=["chunk", "words", "data"])
 
         for batch in batches:
-            step = 500
-            for at in range(0, batch.num_rows, step):
-                held.append(batch.slice(at, step))
-                size += held[-1].nbytes
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                ids.append(part.column(0))
+                for text in part.column(1).to_pylist():
+                    found = split.findall(SPACE + text.replace(" ", SPACE)) if text else []
+                    at.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                    size += len(text)
                 if size >= CHUNK:
                     yield packed()
-                    held, size = [], 0
-        if held:
+                    number.clear()
+                    ids, at, size = [], [], 0
+        if ids:
             yield packed()
 
-    return docs.mapInArrow(run, "chunk long, data binary")
+    return docs.mapInArrow(run, "chunk long, words binary, data binary")
 
 
-def _unpacked(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _words_of(pattern: re.Pattern, text: str) -> list[str]:
-    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def _words_in(blob: bytes) -> pa.Array:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all().column("word").combine_chunks()
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,49 +377,52 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     As in the model's own normaliser a blank is put before the text and no white space is dropped; characters that are no
     piece are spelled by their bytes.  A null or empty text has no ids.  Null ids and repeated rows keep their rows; an empty table
-    gives none.  Texts are compressed before their one shuffle; beside them travel only the distinct words of a chunk.
+    gives none.  Texts become numbers of words before their one shuffle; beside them travel only the distinct words of a chunk
+    and, on the way back, their boundaries.
     """
     width = shuffle_width(docs.sparkSession)
-    pattern = pieces.word
-    chunks = _chunks(texts(docs, id_col, text_col)).repartition(width, "chunk")
-
-    kind = "<u2" if len(pieces.texts) < 1 << 16 else "<u4"
+    rows = texts(docs, id_col, text_col)
+    # fewer and larger chunks have fewer words in all; no shuffle
+    rows = rows.coalesce(-(-rows.rdd.getNumPartitions() // MERGED_PARTITIONS))
+    chunks = _chunks(rows, pieces.word).repartition(width, "chunk")
 
     def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = re.compile(pattern)
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = sorted({w for t in _unpacked(data).column(1).to_pylist() for w in _words_of(split, t)})
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], names=["chunk", "at", "word"])
-
-    used = chunks.mapInArrow(words_of_chunks, "chunk long, at int, word string").where("word is not null").repartition(width, "word")
-    # the aggregate keeps all columns, so that one exchange serves it and the join
-    distinct = used.groupBy("word").agg(F.min(F.struct("chunk", "at")).alias("first"))
-    known = _packed(segment(distinct, pieces), kind)
-    looked_up = used.join(known, "word").select("chunk", "at", "packed").repartition(width, "chunk")
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = _words_in(blob.as_py())
+                short = np.flatnonzero(pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)).astype(np.int32)
+                for begin in range(0, len(short), 10_000):
+                    at = pa.array(short[begin : begin + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), at, words.take(at)], names=["chunk", "at", "word"])
+
+    used = chunks.select("chunk", "words").mapInArrow(words_of_chunks, "chunk long, at int, word string").repartition(width, "word")
+    # the first chunk and place stay beside each word, so that this reads the very rows that are joined below and one exchange serves both
+    distinct = used.groupBy("word").agg(F.min("chunk").alias("first_chunk"), F.min("at").alias("first_at"))
+    known = boundaries(distinct, pieces)
+    looked_up = used.join(known, "word").where("chunk >= first_chunk and at >= first_at").select("chunk", "at", "bits").repartition(width, "chunk")
+    spelled = Spelled(pieces)
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = re.compile(pattern)
-        order = np.argsort(right.column("at").to_numpy())
-        packed = right.column("packed").combine_chunks().take(pa.array(order)) if right.num_rows else pa.array([], pa.binary())
-        packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
-        _, where, data = packed.buffers()
-        item = np.dtype(kind).itemsize
-        offset = np.frombuffer(where, np.int32)[packed.offset : packed.offset + len(packed) + 1] // item if len(packed) else np.zeros(1, np.int32)
-        flat = np.frombuffer(data, kind) if data is not None else np.empty(0, kind)
         out = []
-        for blob in left.column("data").to_pylist():
-            table = _unpacked(blob)
-            parts = [_words_of(split, t) for t in table.column(1).to_pylist()]
-            number = {w: i for i, w in enumerate(sorted(set().union(*parts)))}
-            if len(number) != len(packed):
-                raise RuntimeError("a chunk's words are not those that were looked up")
-            place = np.fromiter((number[w] for p in parts for w in p), np.int64)
-            size = (offset[1:] - offset[:-1])[place].astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(size)))
-            take = np.repeat(offset[place] - ends[:-1], size) + np.arange(ends[-1])
-            rows = ends[np.cumsum([0] + [len(p) for p in parts])]
-            out.append(pa.table([table.column(0), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat[take].astype(np.int32)))], names=["doc_id", "ids"]))
+        for blob, data in zip(left.column("words"), left.column("data")):
+            words = _words_in(blob.as_py()).to_pylist()
+            bits = np.zeros(len(words), np.int64)
+            bits[right.column("at").to_numpy()] = right.column("bits").to_numpy()
+            short = np.array([len(w) <= BITS for w in words], bool)
+            if not bits[short].all():
+                raise RuntimeError("a word of a chunk was not looked up")
+            found = [spelled.cut(w, b) if b else spelled.long(w) for w, b in zip(words, bits.tolist())]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, size.sum())
+            offset = np.cumsum(size) - size
+            data = zstandard.decompress(data.as_py())
+            cut = 8 + int.from_bytes(data[:8], "little")
+            head = pa.ipc.open_stream(data[8:cut]).read_all()
+            place = np.frombuffer(data, np.uint8, offset=cut).reshape(4, -1).T.copy().view("<u4").ravel()
+            ends = np.concatenate(([0], np.cumsum(size[place])))
+            take = np.repeat(offset[place] - ends[:-1], size[place]) + np.arange(ends[-1])
+            rows = ends[np.concatenate(([0], np.cumsum(head.column("count").to_numpy())))]
+            out.append(pa.table([head.column("doc_id"), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat[take]))], names=["doc_id", "ids"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, "doc_id long, ids array<int>")
