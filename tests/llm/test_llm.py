@@ -367,6 +367,8 @@ def test_every_passage_within_the_budget_is_found(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [*range(100, 110), 200, 201]
     assert decontaminate.matches(d, b.limit(0)).count() == 0 and decontaminate.matches(d.limit(0), b).count() == 0
     assert decontaminate.clean(d, b.limit(0)).count() == d.count()
+    blocks = list(decontaminate.benchmark_blocks(b, block_chars=500))
+    assert len(blocks) > 3 and sorted(i for block in blocks for i, _ in block) == sorted(i for i, t in items if t is not None)
 
 
 # op10

@@ -8,6 +8,7 @@ next piece has more is dropped; what is left is verified with Myers' bit-paralle
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from tidemark.llm.common import texts
 ERROR_RATE = 0.1
 #: Items with fewer code points than this name no passage.
 MIN_CHARS = 40
-#: The items are sent to every task, so their size is checked against this many code points.
-MAX_ITEM_CHARS = 64_000_000
+#: The items are sent to every task in blocks of about this many code points; each block costs one scan of the documents.
+BLOCK_CHARS = 64_000_000
 
 _SPACE = re.compile(r"\s+")
 
@@ -127,13 +128,14 @@ def matcher(items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_ch
     return find
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, str]]:
-    """The items on the driver, after a check of their total size; items with a null id or text are left out."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks whose size was checked, one on the driver at a time; items with a null id or text are left out."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"{chars} code points of items; the bound for sending them to every task is {MAX_ITEM_CHARS}. Match the items in several runs")
-    return sorted((r.i, r.t) for r in rows.distinct().collect())
+    blocks = max(1, -(-chars // block_chars))
+    for k in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        yield sorted((r.i, r.t) for r in block.collect())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,16 +146,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     no passage.  A null or empty text has no match, a null doc_id keeps its rows, repeated rows repeat their
     matches, two items with one text both match.  An empty documents or benchmark table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(benchmark_items(benchmark))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher(shared.value, error_rate, min_chars)
-        for batch in batches:
-            out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in find(t)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "start", "end", "distance"), r)) for r in out], schema=schema)
+    def against(items: list[tuple[int, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())])
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, start int, end int, distance int")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = matcher(shared.value, error_rate, min_chars)
+            for batch in batches:
+                out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in find(t)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "start", "end", "distance"), r)) for r in out], schema=schema)
+
+        return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, start int, end int, distance int")
+
+    return functools.reduce(DataFrame.unionByName, map(against, benchmark_blocks(benchmark)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,13 +167,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
 
     A row is decided by its own text alone, in one scan without a shuffle.  Null and empty texts stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(benchmark_items(benchmark))
+    schema = docs.schema
+
+    def without(kept: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = matcher(shared.value, error_rate, min_chars)
+            for batch in batches:
+                at = batch.schema.get_field_index(text_col)
+                yield batch.filter(pa.array([not (t and find(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    def unmatched(batches: Iterator) -> Iterator:
-        find = matcher(shared.value, error_rate, min_chars)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            keep = pa.array([not (t and find(t)) for t in batch.column(at).to_pylist()], pa.bool_())
-            yield batch.filter(keep)
+        return kept.mapInArrow(unmatched, schema)
 
-    return docs.mapInArrow(unmatched, docs.schema)
+    return functools.reduce(without, benchmark_blocks(benchmark), docs)
