@@ -10,10 +10,10 @@ their ranks and takes each merge that is open.
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
 import re
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Code points of text that are packed into one chunk, whose words are looked up together, and input partitions that one task reads.
-CHUNK, MERGED_PARTITIONS = 40_000_000, 4
+CHUNK, MERGED_PARTITIONS = 56_000_000, 4
+#: Words of a chunk whose ids are put together at once.
+BLOCK = 1_000_000
 #: A word of the native fold has at most this many code points: its boundaries are the bits of one bigint.
 BITS = 62
 _LETTER = r"[^\W\d_]"
@@ -390,13 +392,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = _words_in(blob.as_py())
-                short = np.flatnonzero(pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)).astype(np.int32)
-                for begin in range(0, len(short), 10_000):
-                    at = pa.array(short[begin : begin + 10_000])
+                order = pc.sort_indices(words)  # neighbours share their beginnings, which the shuffle's compression takes out
+                order = order.filter(pc.less_equal(pc.utf8_length(words), BITS).take(order)).cast(pa.int32())
+                for begin in range(0, len(order), 10_000):
+                    at = order.slice(begin, 10_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), at, words.take(at)], names=["chunk", "at", "word"])
 
-    used = chunks.select("chunk", "words").mapInArrow(words_of_chunks, "chunk long, at int, word string").repartition(width, "word")
-    # the first chunk and place stay beside each word, so that this reads the very rows that are joined below and one exchange serves both
+    # all columns and no filter that the join would add: one exchange of chunks and one of words serve their two readers each
+    used = chunks.mapInArrow(words_of_chunks, "chunk long, at int, word string").where("chunk is not null and at is not null and word is not null").repartition(width, "word")
     distinct = used.groupBy("word").agg(F.min("chunk").alias("first_chunk"), F.min("at").alias("first_at"))
     known = boundaries(distinct, pieces)
     looked_up = used.join(known, "word").where("chunk >= first_chunk and at >= first_at").select("chunk", "at", "bits").repartition(width, "chunk")
@@ -411,18 +414,28 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             short = np.array([len(w) <= BITS for w in words], bool)
             if not bits[short].all():
                 raise RuntimeError("a word of a chunk was not looked up")
-            found = [spelled.cut(w, b) if b else spelled.long(w) for w, b in zip(words, bits.tolist())]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, size.sum())
+            size, flat = np.zeros(len(words), np.int64), array("i")
+            for i, (w, b) in enumerate(zip(words, bits.tolist())):
+                found = spelled.cut(w, b) if b else spelled.long(w)
+                size[i] = len(found)
+                flat.extend(found)
+            flat = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)
             offset = np.cumsum(size) - size
             data = zstandard.decompress(data.as_py())
             cut = 8 + int.from_bytes(data[:8], "little")
             head = pa.ipc.open_stream(data[8:cut]).read_all()
             place = np.frombuffer(data, np.uint8, offset=cut).reshape(4, -1).T.copy().view("<u4").ravel()
-            ends = np.concatenate(([0], np.cumsum(size[place])))
-            take = np.repeat(offset[place] - ends[:-1], size[place]) + np.arange(ends[-1])
-            rows = ends[np.concatenate(([0], np.cumsum(head.column("count").to_numpy())))]
-            out.append(pa.table([head.column("doc_id"), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat[take]))], names=["doc_id", "ids"]))
+            rows = np.concatenate(([0], np.cumsum(head.column("count").to_numpy())))
+            ids = head.column("doc_id").combine_chunks()
+            begin = 0
+            while begin < len(ids):
+                end = max(begin + 1, int(np.searchsorted(rows, rows[begin] + BLOCK, "right")) - 1)
+                own = place[rows[begin] : rows[end]]
+                ends = np.concatenate(([0], np.cumsum(size[own])))
+                take = np.repeat(offset[own] - ends[:-1], size[own]) + np.arange(ends[-1])
+                bounds = pa.array(ends[rows[begin : end + 1] - rows[begin]], pa.int32())
+                out.append(pa.table([ids.slice(begin, end - begin), pa.ListArray.from_arrays(bounds, pa.array(flat[take]))], names=["doc_id", "ids"]))
+                begin = end
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, "doc_id long, ids array<int>")
