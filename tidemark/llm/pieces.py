@@ -33,8 +33,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Code points of text that are packed into one chunk, whose words are looked up together, and input partitions that one task reads.
 CHUNK, MERGED_PARTITIONS = 56_000_000, 4
-#: Words of a chunk whose ids are put together at once.
-BLOCK = 1_000_000
+#: Words of a chunk's texts that are put together at once, and of its list of words that are spelled at once.
+BLOCK, SLICE = 500_000, 50_000
 #: A word of the native fold has at most this many code points: its boundaries are the bits of one bigint.
 BITS = 62
 _LETTER = r"[^\W\d_]"
@@ -338,7 +338,10 @@ def _chunks(docs: DataFrame, pattern: str) -> DataFrame:
         def packed() -> pa.RecordBatch:
             counts = np.fromiter(map(len, at), np.int64, len(at))
             # byte by byte of all numbers: the higher ones are nearly all zero
-            planes = np.concatenate(at).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            flat = np.concatenate(at)
+            at.clear()
+            planes = flat.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
+            del flat
             head = _stream(pa.table({"doc_id": pa.chunked_array(ids), "count": counts}))
             words = _stream(pa.table({"word": pa.array(number, pa.string())}))
             data = len(head).to_bytes(8, "little") + head + planes
@@ -408,29 +411,31 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for blob, data in zip(left.column("words"), left.column("data")):
-            words = _words_in(blob.as_py()).to_pylist()
+            words = _words_in(blob.as_py())
             bits = np.zeros(len(words), np.int64)
             bits[right.column("at").to_numpy()] = right.column("bits").to_numpy()
-            short = np.array([len(w) <= BITS for w in words], bool)
+            short = pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)
             if not bits[short].all():
                 raise RuntimeError("a word of a chunk was not looked up")
-            size, flat = np.zeros(len(words), np.int64), array("i")
-            for i, (w, b) in enumerate(zip(words, bits.tolist())):
-                found = spelled.cut(w, b) if b else spelled.long(w)
-                size[i] = len(found)
-                flat.extend(found)
+            size, flat = np.zeros(len(words), np.int32), array("i")
+            for begin in range(0, len(words), SLICE):
+                for i, (w, b) in enumerate(zip(words.slice(begin, SLICE).to_pylist(), bits[begin : begin + SLICE].tolist()), begin):
+                    found = spelled.cut(w, b) if b else spelled.long(w)
+                    size[i] = len(found)
+                    flat.extend(found)
+            del words, bits
             flat = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)
-            offset = np.cumsum(size) - size
+            offset = np.cumsum(size, dtype=np.int64) - size
             data = zstandard.decompress(data.as_py())
             cut = 8 + int.from_bytes(data[:8], "little")
             head = pa.ipc.open_stream(data[8:cut]).read_all()
-            place = np.frombuffer(data, np.uint8, offset=cut).reshape(4, -1).T.copy().view("<u4").ravel()
+            planes = np.frombuffer(data, np.uint8, offset=cut).reshape(4, -1)
             rows = np.concatenate(([0], np.cumsum(head.column("count").to_numpy())))
             ids = head.column("doc_id").combine_chunks()
             begin = 0
             while begin < len(ids):
                 end = max(begin + 1, int(np.searchsorted(rows, rows[begin] + BLOCK, "right")) - 1)
-                own = place[rows[begin] : rows[end]]
+                own = np.ascontiguousarray(planes[:, rows[begin] : rows[end]].T).view("<u4").ravel()
                 ends = np.concatenate(([0], np.cumsum(size[own])))
                 take = np.repeat(offset[own] - ends[:-1], size[own]) + np.arange(ends[-1])
                 bounds = pa.array(ends[rows[begin : end + 1] - rows[begin]], pa.int32())
