@@ -1,6 +1,7 @@
 """Operators against hand-made cases and plain Python."""
 
 import datetime
+import math
 
 import numpy as np
 import pandas as pd
@@ -114,3 +115,43 @@ def test_simulation_repeats_and_adds_up(spark):
     assert a["var"] > free["var"]
     parts = sum(r.contribution for r in simulate.contributions(d, 0.02, 0.4, draws).collect())
     assert parts == pytest.approx(a["es"])
+
+
+def test_alarm_is_the_exact_binomial_test(spark):
+    from tidemark.plans import validation
+
+    rows = [(2, 12, 40, 40), (2, 2, 40, 40), (12, 1, 60, 60), (0, 3, 5, 40), (0, 3, 18, 18), (0, 2, 40, 40)]
+    df = spark.createDataFrame(rows, "a int, b int, x int, y int")
+    got = [r[0] for r in df.select(validation.alarm(*map(F.col, "abxy"))).collect()]
+
+    def expected(a, b, x, y):
+        n, p = a + b, y / (x + y)
+        above = lambda k, q: sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1))
+        if min(x, y) < 10 or n < 3:
+            return "hold"
+        worse = b * x > a * y
+        return "worse" if worse and above(b, p) <= 0.05 else "better" if not worse and above(a, 1 - p) <= 0.05 else "same"
+
+    assert got == [expected(*r) for r in rows] == ["worse", "same", "better", "hold", "same", "hold"]
+
+
+def test_exact_rates_hold_their_rate(spark):
+    from tidemark.plans.registry import QUERIES
+
+    for r in QUERIES["exact_rate_table"](spark, "/root/testdata/sf0.001").collect():
+        assert 0 <= r.low <= r.rate <= r.high <= 1 and 0 <= r.p_above <= 1
+        tail = lambda p: sum(math.comb(r.n, i) * p**i * (1 - p) ** (r.n - i) for i in range(r.k, r.n + 1))
+        assert r.k == 0 or tail(r.low) == pytest.approx(0.025, abs=1e-6)
+    s = QUERIES["sibling_contrast"](spark, "/root/testdata/sf0.001").first()
+    a, b, c, d = s.k_with, s.n_with - s.k_with, s.k_without, s.n_without - s.k_without
+    way = lambda x: math.comb(a + b, x) * math.comb(c + d, a + c - x) / math.comb(a + b + c + d, a + c)
+    assert s.p_value == pytest.approx(sum(way(x) for x in range(max(0, a - d), min(a + b, a + c) + 1) if way(x) <= way(a) * (1 + 1e-7)))
+
+
+def test_tiers_of_search(spark):
+    from tidemark.operators import retrieval
+
+    names = spark.createDataFrame([(n,) for n in ("bluecoffee", "coffee", "cafe", "coffeehouse", "코끼리커피", "cobyee", "", None)], "name string")
+    wanted = spark.createDataFrame([(w,) for w in ("coffee", "blue", "커피", "coxxee", "zzz", "", None)], "wanted string")
+    got = {tuple(r) for r in retrieval.tiered_search(names, wanted).collect()}
+    assert got == {("coffee", "coffee", 0), ("blue", "bluecoffee", 1), ("커피", "코끼리커피", 1), ("coxxee", "coffee", 4), ("coxxee", "cobyee", 4)}
