@@ -31,8 +31,8 @@ from tidemark.llm.common import shuffle_width, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Code points of text that are packed into one chunk, whose words are looked up together, and input partitions that one task reads.
-CHUNK, MERGED_PARTITIONS = 56_000_000, 4
+#: Code points of text in one chunk, whose words are looked up together, and in one of its parts; and input partitions that one task reads.
+CHUNK, PART, MERGED_PARTITIONS = 64_000_000, 8_000_000, 2
 #: Words of a chunk's texts that are put together at once, and of its list of words that are spelled at once.
 BLOCK, SLICE = 500_000, 50_000
 #: A word of the native fold has at most this many code points: its boundaries are the bits of one bigint.
@@ -324,44 +324,51 @@ def merged_long(word: str, scores: dict[str, float]) -> list[str]:
 
 
 def _chunks(docs: DataFrame, pattern: str) -> DataFrame:
-    """(chunk, words, data): some documents each, as numbers into the chunk's own list of distinct words, both compressed.
+    """(chunk, words, data): parts of some documents each, as numbers into their chunk's own list of distinct words, both compressed.
 
-    The chunk's name is the hash of its content.
+    The first row of a chunk holds its words.  The chunk's name is the hash of its content.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pack = re.compile(pattern), zstandard.ZstdCompressor(level=3)
         number: defaultdict[str, int] = defaultdict()
         number.default_factory = number.__len__
-        ids, at, size = [], [], 0
+        ids, at, parts, size, whole = [], [], [], 0, 0
 
-        def packed() -> pa.RecordBatch:
+        def part() -> bytes:
             counts = np.fromiter(map(len, at), np.int64, len(at))
-            # byte by byte of all numbers: the higher ones are nearly all zero
-            flat = np.concatenate(at)
-            at.clear()
-            planes = flat.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
-            del flat
             head = _stream(pa.table({"doc_id": pa.chunked_array(ids), "count": counts}))
-            words = _stream(pa.table({"word": pa.array(number, pa.string())}))
-            data = len(head).to_bytes(8, "little") + head + planes
-            name = np.array([xxhash.xxh64_intdigest(data + words)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array([pack.compress(words)], pa.binary()), pa.array([pack.compress(data)], pa.binary())], names=["chunk", "words", "data"])
+            # byte by byte of all numbers: the higher ones are nearly all zero
+            planes = np.concatenate(at).astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
+            return pack.compress(len(head).to_bytes(8, "little") + head + planes)
+
+        def chunk() -> pa.RecordBatch:
+            words = pack.compress(_stream(pa.table({"word": pa.array(number, pa.string())})))
+            name = xxhash.xxh64(words)
+            for p in parts:
+                name.update(p)
+            names = np.full(len(parts), np.array([name.intdigest()], np.uint64).view(np.int64)[0])
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([words] + [b""] * (len(parts) - 1), pa.binary()), pa.array(parts, pa.binary())], names=["chunk", "words", "data"])
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                ids.append(part.column(0))
-                for text in part.column(1).to_pylist():
+                rows = batch.slice(begin, 500)
+                ids.append(rows.column(0))
+                for text in rows.column(1).to_pylist():
                     found = split.findall(SPACE + text.replace(" ", SPACE)) if text else []
                     at.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
                     size += len(text)
-                if size >= CHUNK:
-                    yield packed()
+                if size >= PART:
+                    parts.append(part())
+                    ids, at, size, whole = [], [], 0, whole + size
+                if whole >= CHUNK:
+                    yield chunk()
                     number.clear()
-                    ids, at, size = [], [], 0
+                    parts, whole = [], 0
         if ids:
-            yield packed()
+            parts.append(part())
+        if parts:
+            yield chunk()
 
     return docs.mapInArrow(run, "chunk long, words binary, data binary")
 
@@ -394,7 +401,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = _words_in(blob.as_py())
+                if not (blob := blob.as_py()):
+                    continue
+                words = _words_in(blob)
                 order = pc.sort_indices(words)  # neighbours share their beginnings, which the shuffle's compression takes out
                 order = order.filter(pc.less_equal(pc.utf8_length(words), BITS).take(order)).cast(pa.int32())
                 for begin in range(0, len(order), 10_000):
@@ -407,25 +416,27 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     known = boundaries(distinct, pieces)
     looked_up = used.join(known, "word").where("chunk >= first_chunk and at >= first_at").select("chunk", "at", "bits").repartition(width, "chunk")
     spelled = Spelled(pieces)
+    narrow = len(pieces.texts) <= 1 << 15  # ids come from the tasks in as few bytes as they need
+    kind = pa.int16() if narrow else pa.int32()
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = _words_in(next(b for x in left.column("words") if (b := x.as_py())))
+        bits = np.zeros(len(words), np.int64)
+        bits[right.column("at").to_numpy()] = right.column("bits").to_numpy()
+        short = pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)
+        if not bits[short].all():
+            raise RuntimeError("a word of a chunk was not looked up")
+        size, flat = np.zeros(len(words), np.int32), array("i")
+        for begin in range(0, len(words), SLICE):
+            for i, (w, b) in enumerate(zip(words.slice(begin, SLICE).to_pylist(), bits[begin : begin + SLICE].tolist()), begin):
+                found = spelled.cut(w, b) if b else spelled.long(w)
+                size[i] = len(found)
+                flat.extend(found)
+        del words, bits
+        flat = np.frombuffer(flat, np.int32).astype(kind.to_pandas_dtype()) if len(flat) else np.empty(0, kind.to_pandas_dtype())
+        offset = np.cumsum(size, dtype=np.int64) - size
         out = []
-        for blob, data in zip(left.column("words"), left.column("data")):
-            words = _words_in(blob.as_py())
-            bits = np.zeros(len(words), np.int64)
-            bits[right.column("at").to_numpy()] = right.column("bits").to_numpy()
-            short = pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)
-            if not bits[short].all():
-                raise RuntimeError("a word of a chunk was not looked up")
-            size, flat = np.zeros(len(words), np.int32), array("i")
-            for begin in range(0, len(words), SLICE):
-                for i, (w, b) in enumerate(zip(words.slice(begin, SLICE).to_pylist(), bits[begin : begin + SLICE].tolist()), begin):
-                    found = spelled.cut(w, b) if b else spelled.long(w)
-                    size[i] = len(found)
-                    flat.extend(found)
-            del words, bits
-            flat = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)
-            offset = np.cumsum(size, dtype=np.int64) - size
+        for data in left.column("data"):
             data = zstandard.decompress(data.as_py())
             cut = 8 + int.from_bytes(data[:8], "little")
             head = pa.ipc.open_stream(data[8:cut]).read_all()
@@ -441,9 +452,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 bounds = pa.array(ends[rows[begin : end + 1] - rows[begin]], pa.int32())
                 out.append(pa.table([ids.slice(begin, end - begin), pa.ListArray.from_arrays(bounds, pa.array(flat[take]))], names=["doc_id", "ids"]))
                 begin = end
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(kind))], names=["doc_id", "ids"])
 
-    return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, "doc_id long, ids array<int>")
+    return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, f"doc_id long, ids array<{'smallint' if narrow else 'int'}>").select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
