@@ -35,8 +35,8 @@ UNIGRAM, BPE = 1, 2
 CHUNK, PART, MERGED_PARTITIONS = 64_000_000, 8_000_000, 2
 #: Words of a chunk's texts that are put together at once, and of its list of words that are spelled at once.
 BLOCK, SLICE = 500_000, 50_000
-#: A word of the native fold has at most this many code points: its boundaries are the bits of one bigint.
-BITS = 62
+#: A word of the native fold has at most this many code points, and a chunk as many words that are looked up: inner boundaries and number share one bigint.
+BITS, NUMBERS = 40, 1 << 24
 _LETTER = r"[^\W\d_]"
 
 
@@ -126,7 +126,7 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
 
 
 def in_rank_order(pieces: Pieces) -> bool:
-    """Whether best-first merging of every piece's own characters takes merges in rising rank.
+    """Whether best-first merging of every piece's own characters gives the piece, by merges in rising rank.
 
     What is merged inside a piece's span hangs on that span alone, so if this holds for all pieces it holds in every word: a merge
     never opens one of a better rank, and one pass over a word's edges by (rank, start) takes the merges that best-first merging takes.
@@ -140,6 +140,8 @@ def in_rank_order(pieces: Pieces) -> bool:
                 return False
             last = best
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [piece]:
+            return False
     return True
 
 
@@ -259,6 +261,9 @@ class Spelled:
         except KeyError:
             return self.of(parts)
 
+    def alone(self, word: str, whole: bool) -> list[int]:
+        return [self.ids[word]] if whole and word in self.ids else self.long(word)
+
     def long(self, word: str) -> list[int]:
         return self.of(merged_long(word, self.scores) if self.kind == BPE else best_path(word, self.scores, self.longest))
 
@@ -384,6 +389,16 @@ def _words_in(blob: bytes) -> pa.Array:
     return pa.ipc.open_stream(zstandard.decompress(blob)).read_all().column("word").combine_chunks()
 
 
+def looked_up_words(words: pa.Array, whole: pa.Array) -> np.ndarray:
+    """The places of a chunk's words that are looked up: all but whole pieces and long words, in the order of their texts.
+
+    In that order neighbours share their beginnings and numbers rise, which a shuffle's compression takes out.
+    """
+    order = pc.sort_indices(words)
+    asked = pc.and_(pc.less_equal(pc.utf8_length(words), BITS), pc.invert(pc.is_in(words, value_set=whole)))
+    return order.filter(asked.take(order)).to_numpy()[:NUMBERS].astype(np.int64)
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row: the model's piece ids of its whole text.
 
@@ -397,6 +412,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     # fewer and larger chunks have fewer words in all; no shuffle
     rows = rows.coalesce(-(-rows.rdd.getNumPartitions() // MERGED_PARTITIONS))
     chunks = _chunks(rows, pieces.word).repartition(width, "chunk")
+    # where pieces are merged from their own characters, a word that is a piece is found in the table at once
+    whole = pa.array([p for p, _, _ in pieces.normal] if pieces.kind == BPE and in_rank_order(pieces) else [], pa.string())
 
     def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,32 +421,35 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 if not (blob := blob.as_py()):
                     continue
                 words = _words_in(blob)
-                order = pc.sort_indices(words)  # neighbours share their beginnings, which the shuffle's compression takes out
-                order = order.filter(pc.less_equal(pc.utf8_length(words), BITS).take(order)).cast(pa.int32())
-                for begin in range(0, len(order), 10_000):
-                    at = order.slice(begin, 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk)), at, words.take(at)], names=["chunk", "at", "word"])
+                words = words.take(pa.array(looked_up_words(words, whole)))
+                for begin in range(0, len(words), 10_000):
+                    part = words.slice(begin, 10_000)
+                    at = pa.array(np.arange(begin, begin + len(part), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), at, part], names=["chunk", "at", "word"])
 
     # all columns and no filter that the join would add: one exchange of chunks and one of words serve their two readers each
     used = chunks.mapInArrow(words_of_chunks, "chunk long, at int, word string").where("chunk is not null and at is not null and word is not null").repartition(width, "word")
     distinct = used.groupBy("word").agg(F.min("chunk").alias("first_chunk"), F.min("at").alias("first_at"))
     known = boundaries(distinct, pieces)
-    looked_up = used.join(known, "word").where("chunk >= first_chunk and at >= first_at").select("chunk", "at", "bits").repartition(width, "chunk")
+    inner = F.shiftright("bits", 1).bitwiseAND(_bit(F.length("word") - 1) - 1)
+    packed = (F.shiftleft(F.col("at").cast("long"), BITS - 1) + inner).alias("packed")
+    looked_up = used.join(known, "word").where("chunk >= first_chunk and at >= first_at").select("chunk", packed).repartition(width, "chunk")
     spelled = Spelled(pieces)
     narrow = len(pieces.texts) <= 1 << 15  # ids come from the tasks in as few bytes as they need
     kind = pa.int16() if narrow else pa.int32()
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         words = _words_in(next(b for x in left.column("words") if (b := x.as_py())))
-        bits = np.zeros(len(words), np.int64)
-        bits[right.column("at").to_numpy()] = right.column("bits").to_numpy()
-        short = pc.less_equal(pc.utf8_length(words), BITS).to_numpy(zero_copy_only=False)
-        if not bits[short].all():
+        asked = looked_up_words(words, whole)
+        bits = np.full(len(words), -1, np.int64)
+        packed = right.column("packed").to_numpy()
+        bits[asked[packed >> (BITS - 1)]] = packed & ((1 << (BITS - 1)) - 1)
+        if (bits[asked] < 0).any():
             raise RuntimeError("a word of a chunk was not looked up")
         size, flat = np.zeros(len(words), np.int32), array("i")
         for begin in range(0, len(words), SLICE):
             for i, (w, b) in enumerate(zip(words.slice(begin, SLICE).to_pylist(), bits[begin : begin + SLICE].tolist()), begin):
-                found = spelled.cut(w, b) if b else spelled.long(w)
+                found = spelled.cut(w, (b << 1) | (1 << len(w))) if b >= 0 else spelled.alone(w, len(whole) > 0)
                 size[i] = len(found)
                 flat.extend(found)
         del words, bits
