@@ -155,3 +155,10 @@ def test_tiers_of_search(spark):
     wanted = spark.createDataFrame([(w,) for w in ("coffee", "blue", "커피", "coxxee", "zzz", "", None)], "wanted string")
     got = {tuple(r) for r in retrieval.tiered_search(names, wanted).collect()}
     assert got == {("coffee", "coffee", 0), ("blue", "bluecoffee", 1), ("커피", "코끼리커피", 1), ("coxxee", "coffee", 4), ("coxxee", "cobyee", 4)}
+
+
+def test_names_terms_and_dates(spark):
+    df = spark.createDataFrame([("카페(구) ㈜ 별*", "Tue, 01 Oct 2024 09:00:00 +0900", 12345.0, "ab abc"), ("()", "x", 42.0, None)], "n string, d string, m double, t string")
+    got = values(df.select(expr.search_term(F.col("n")).alias("n"), expr.mail_date(F.col("d")).alias("d"), expr.amount_text(F.col("m")).alias("m"), expr.replaced(F.col("t"), {"ab": "abc", "abc": "X"}).alias("t")), "n", "d", "m", "t")
+    assert got == [("카페 별", datetime.date(2024, 10, 1), "123.5억원", "abc X"), (None, None, "42백만원", None)]
+    assert expr.ascii_names(["a b", "가", "a b", "ok_1"]) == ["au0020b", "uAC00", "au0020b_2", "ok_1"]
