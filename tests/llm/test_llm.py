@@ -169,6 +169,29 @@ def test_viterbi_fold_is_the_best_path(spark):
         assert got[w] == [ids.get(p, 0) for p in parts]
 
 
+@pytest.mark.parametrize("ordered", [True, False])
+def test_merge_fold_is_best_first_merging(spark, ordered):
+    rng = random.Random(11)
+    found, pieces_ = ["a", "b", "c", "▁"], set()
+    while len(pieces_) < 40:  # each piece is merged from earlier ones, as in training
+        x, y = rng.choice(found), rng.choice(found)
+        if "▁" not in y and len(x + y) < 9:
+            pieces_.add(x + y)
+            found.append(x + y)
+    normal = ["a", "b", "▁", *dict.fromkeys(p for p in found if len(p) > 1)]
+    rank = {p: i for i, p in enumerate(normal)} if ordered else {p: rng.randrange(30) for p in normal}
+    model = pieces.Pieces(pieces.BPE, [(p, i + 1, -float(rank[p])) for i, p in enumerate(normal)], [-1] * 256, 0, [b""] + [p.encode() for p in normal])
+    scores, ids = {p: s for p, _, s in model.normal}, {p: i for p, i, _ in model.normal}
+    assert ordered or not pieces.in_rank_order(model)
+    words = sorted({"▁" + "".join(rng.choice("aabbcd") for _ in range(rng.randint(0, 14))) for _ in range(150)} | set(normal))
+    got = {r.word: r.ids for r in pieces.segment(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    assert got == {w: [ids.get(p, 0) for p in pieces.merged(w, scores)] for w in words}
+    d = spark.createDataFrame([(i, " ".join(w.lstrip("▁") for w in words[i::7])) for i in range(7)], "doc_id long, text string")
+    split = re.compile(model.word)
+    want = {r.doc_id: [ids.get(p, 0) for w in split.findall("▁" + r.text.replace(" ", "▁")) for p in pieces.merged(w, scores)] for r in d.collect()}
+    assert {r.doc_id: r.ids for r in pieces.encode(d, model).collect()} == want
+
+
 def test_merging_with_a_heap_is_merging_by_hand():
     scores = {p: s for p, _, s in pieces.read_model().normal}
     for word in ("▁internationalisation", "aaaaaaaa", "▁Straßenbahn", "ba" * 30):
