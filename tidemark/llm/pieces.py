@@ -410,7 +410,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     width = shuffle_width(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     # fewer and larger chunks have fewer words in all; no shuffle
-    rows = rows.coalesce(-(-rows.rdd.getNumPartitions() // MERGED_PARTITIONS))
+    rows = rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // MERGED_PARTITIONS)))
     chunks = _chunks(rows, pieces.word).repartition(width, "chunk")
     # where pieces are merged from their own characters, a word that is a piece is found in the table at once
     whole = pa.array([p for p, _, _ in pieces.normal] if pieces.kind == BPE and in_rank_order(pieces) else [], pa.string())
