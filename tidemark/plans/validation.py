@@ -20,12 +20,12 @@ def baselines(spark, sf_dir):
     """Labelled rows with two scores that need no training: the rank of contract ends, and what fired beside how severe it is."""
     x = labelled(spark, sf_dir).where("healthy_at_t and label is not null")
     x = x.withColumn("single", F.round(F.coalesce(W.average_rank_share("end_rate", "year"), F.lit(0.5)), 6))
-    return x.withColumn("persistence", F.round(0.5 * F.col("n_events") / 3 + 0.5 * F.col("single"), 6))
+    return x.withColumn("persistence", F.round(0.5 * F.col("n_events") / 3 + 0.5 * F.col("single"), 8))
 
 
 BASELINES = f"""{LABELLED}, h AS (SELECT * FROM x WHERE healthy_at_t AND label IS NOT NULL),
  k AS (SELECT *, round(coalesce(CASE WHEN end_rate IS NOT NULL THEN (rank() OVER (PARTITION BY year ORDER BY end_rate NULLS LAST) + (count(*) OVER (PARTITION BY year, end_rate) - 1) / 2.0) / count(end_rate) OVER (PARTITION BY year) END, 0.5), 6) AS single FROM h),
- s AS (SELECT *, round(0.5::DOUBLE * n_events / 3 + 0.5 * single, 6) AS persistence FROM k)"""
+ s AS (SELECT *, round(0.5::DOUBLE * n_events / 3 + 0.5 * single, 8) AS persistence FROM k)"""
 
 
 @query(f"WITH {BASELINES} SELECT brand_id, year, label, single, persistence FROM s")
