@@ -331,6 +331,43 @@ def test_passages_cover_repeated_runs(spark):
     assert passages.repeated_passages(d.limit(0)).count() == 0
 
 
+def test_passages_are_found_beyond_the_first_document(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    run, other, third = fill(60), fill(60), fill(60)
+    texts = {
+        1: fill(50) + run[:30] + fill(50),
+        5: fill(50) + run[30:] + fill(50),
+        7: fill(50) + run + fill(50),
+        9: fill(50) + run + fill(50),
+        # the run's parts come first elsewhere in the source
+        20: fill(20) + other[:25] + fill(30) + other[35:] + fill(30) + other + fill(20),
+        21: fill(40) + other + fill(40),
+    }
+    for i in range(30):  # parts of a run in many documents, the whole in two
+        at = rng.randrange(30)
+        texts[30 + i] = fill(40) + third[at : at + 30] + fill(40)
+    texts[70], texts[71] = fill(40) + third + fill(40), fill(40) + third + fill(40)
+    got = passages.repeated_passages(spark.createDataFrame(list({i: " ".join(t) for i, t in texts.items()}.items()), "doc_id long, text string")).collect()
+    covered = {i: set() for i in texts}
+    for r in got:
+        at = 0
+        for k, w in enumerate(texts[r.doc_id]):
+            if r.start <= at and at + len(w) <= r.end:
+                covered[r.doc_id].add(k)
+            at += len(w) + 1
+    want = {i: set() for i in texts}
+    for i, t in texts.items():  # brute force over all pairs: runs of MIN_WORDS words in common
+        for n in range(len(t) - passages.MIN_WORDS + 1):
+            x = t[n : n + passages.MIN_WORDS]
+            if any(texts[j][m : m + passages.MIN_WORDS] == x for j in texts if j < i for m in range(len(texts[j]))):
+                want[i] |= set(range(n, n + passages.MIN_WORDS))
+    assert {i for i in want if want[i]} == {9, 21, 71}
+    assert all(want[i] <= covered[i] for i in texts)
+    assert {i for i in covered if covered[i]} == {9, 21, 71}
+
+
 def test_chains_have_the_best_score():
     rng = random.Random(4)
     for _ in range(30):
