@@ -462,6 +462,14 @@ def test_line_decisions(spark, docs, which):
     assert got == {i: sorted(k) for i, k in want.items()}
 
 
+def test_repetitive_lines_meet_across_the_limit(spark):
+    rng = random.Random(3)
+    once = "".join(rng.choice("abcdefgh ijkl") for _ in range(90))
+    rows = [(1, once), (2, once + once), (3, "-" * 60), (4, "-" * 160), (5, ". " * 30), (6, ". " * 90), (7, once[::-1])]
+    got = {r.doc_id: r.removed for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [], 4: [0], 5: [], 6: [0], 7: []}
+
+
 def test_dedupe_writes_the_texts(spark, docs, nothing):
     removed = {r.doc_id: set(r.removed) for r in lines.decisions(docs).collect()}
     got = lines.dedupe(docs)

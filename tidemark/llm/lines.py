@@ -2,7 +2,7 @@
 
 A line is its shingles of ``SHINGLE`` code points (a shorter line: itself).  Bands of ``ROWS`` minima meet
 in buckets; ``BANDS`` bands find a pair at Jaccard 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.995.
-Lines of up to ``LONG`` shingles take one hash function a minimum, longer ones one permutation in bins; around
+Lines of up to ``LONG`` distinct shingles take one hash function a minimum, longer ones one permutation in bins; around
 the limit lines carry both, so that no pair at the threshold falls between the two.
 """
 
@@ -58,15 +58,23 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             rows.append(line)
             keys.append(key)
 
-    few = np.flatnonzero(count <= LONG / SIMILARITY)
+    # similarity bounds the ratio of distinct shingles, not of windows, which may repeat
+    distinct, long = count.copy(), np.flatnonzero(count > LONG)
+    if len(long):
+        bits = np.uint64(len(long).bit_length())
+        packed = np.repeat(np.arange(len(long), dtype=np.uint64), count[long]) << (np.uint64(64) - bits) | value[(count > LONG)[owner]] >> bits
+        packed = np.sort(packed)
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
+        distinct[long] = np.bincount((packed >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(long))
+    few = np.flatnonzero(distinct <= LONG / SIMILARITY)
     if len(few):
-        v = value[(count <= LONG / SIMILARITY)[owner]]
+        v = value[(distinct <= LONG / SIMILARITY)[owner]]
         at = np.concatenate(([0], np.cumsum(count[few])[:-1]))
         low = np.stack([np.minimum.reduceat((v * odd) >> np.uint64(32), at) for odd in _ODD], axis=1)
         add(few, low, 0)
-    many = np.flatnonzero(count > LONG)
+    many = np.flatnonzero(distinct > LONG)
     if len(many):
-        chosen = (count > LONG)[owner]
+        chosen = (distinct > LONG)[owner]
         v, line = value[chosen], np.repeat(np.arange(len(many)), count[many])
         low = np.full(len(many) * k, 1 << 32, np.int64)
         np.minimum.at(low, line * k + ((v >> np.uint64(40)) * np.uint64(k) >> np.uint64(24)).astype(np.int64), (v & np.uint64(0xFFFFFFFF)).astype(np.int64))
