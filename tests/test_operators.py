@@ -96,6 +96,21 @@ def test_greedy_pairs_match_once_and_the_nearest_first(spark):
     assert values(joins.greedy_pairs(closed, opened, ["k"], -30, 90), "closed_id", "opened_id", "gap") == [(2, 7, 1)]
 
 
+def test_greedy_pairs_of_one_key_are_not_all_listed(spark):
+    rng, start = np.random.default_rng(5), datetime.date(2015, 1, 1)
+    side = lambda first: [(first + i, "a", start + datetime.timedelta(int(d))) for i, d in enumerate(rng.integers(0, 3000, 120))]
+    c, o = side(0), side(1000)
+    used, want = set(), []
+    for _, i, j, gap in sorted((abs((y - x).days), i, j, (y - x).days) for i, _, x in c for j, _, y in o if -30 <= (y - x).days <= 90):
+        if i not in used and j not in used:
+            used |= {i, j}
+            want.append((i, j, gap))
+    schema = "id long, k string, day date"
+    got = joins.greedy_pairs(spark.createDataFrame(c, schema), spark.createDataFrame(o, schema), ["k"], -30, 90)
+    assert sorted(values(got, "closed_id", "opened_id", "gap")) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_kernels():
     for p, rho in [(0.1, 0.15), (0.4, 0.42), (0.25, 0.05)]:
         assert kernels.asset_correlation(p, kernels.joint_default(p, rho)) == pytest.approx(rho, abs=1e-4)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cut
+
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -70,20 +74,25 @@ def next_period(left: DataFrame, right: DataFrame, key: str, period: str) -> Dat
 def greedy_pairs(closed: DataFrame, opened: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """One-to-one pairs of a closing and an opening of the same key within low..high days, smallest gap first.
 
-    ``closed`` has id, day; ``opened`` has id, day.  Groups are the events of one address: small by nature, so each is matched in one task.
+    ``closed`` has id, day; ``opened`` has id, day.  The join is by key and stretch of high - low days, so that only pairs of neighbouring stretches are
+    made.  Each round takes the pairs that are first by (gap's size, ids) for both their ends and drops the others of these
+    ends, which gives what taking one pair after another gives.
     """
-    import pandas as pd
-
-    pairs = closed.select(*keys, F.col("id").alias("closed_id"), F.col("day").alias("closed_day")).join(opened.select(*keys, F.col("id").alias("opened_id"), F.col("day").alias("opened_day")), keys)
-    pairs = pairs.withColumn("gap", F.date_diff("opened_day", "closed_day")).where((F.col("gap").between(low, high)) & (F.col("closed_id") != F.col("opened_id")))
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        used_c, used_o, out = set(), set(), []
-        for row in group.assign(size=group.gap.abs()).sort_values(["size", "closed_id", "opened_id"]).itertuples():
-            if row.closed_id not in used_c and row.opened_id not in used_o:
-                used_c.add(row.closed_id)
-                used_o.add(row.opened_id)
-                out.append((row.closed_id, row.opened_id, row.gap))
-        return pd.DataFrame(out, columns=["closed_id", "opened_id", "gap"])
-
-    return pairs.groupBy(*keys).applyInPandas(match, "closed_id long, opened_id long, gap int")
+    width = high - low + 1
+    stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / width)
+    c = closed.select(*keys, F.col("id").alias("closed_id"), F.col("day").alias("closed_day"))
+    c = c.withColumn("__stretch", F.explode(F.array_distinct(F.array(stretch(F.date_add("closed_day", low)), stretch(F.date_add("closed_day", high))))))
+    o = opened.select(*keys, F.col("id").alias("opened_id"), F.col("day").alias("opened_day")).withColumn("__stretch", stretch(F.col("opened_day")))
+    pairs = c.join(o, [*keys, "__stretch"]).withColumn("gap", F.date_diff("opened_day", "closed_day"))
+    pairs = pairs.where((F.col("gap").between(low, high)) & (F.col("closed_id") != F.col("opened_id")))
+    left = cut(pairs.select(*keys, "closed_id", "opened_id", "gap").distinct())
+    order = [F.abs("gap"), "closed_id", "opened_id", "gap"]
+    out = []
+    while not out or not left.isEmpty():
+        ranked = left.withColumn("__c", F.row_number().over(Window.partitionBy(*keys, "closed_id").orderBy(*order)))
+        ranked = ranked.withColumn("__o", F.row_number().over(Window.partitionBy(*keys, "opened_id").orderBy(*order)))
+        taken = cut(ranked.where("__c = 1 and __o = 1").drop("__c", "__o"))
+        out.append(taken)
+        left = cut(left.join(taken, [*keys, "closed_id"], "left_anti").join(taken, [*keys, "opened_id"], "left_anti"))
+    found = functools.reduce(DataFrame.unionByName, out)
+    return found.select(F.col("closed_id").cast("long").alias("closed_id"), F.col("opened_id").cast("long").alias("opened_id"), "gap")
