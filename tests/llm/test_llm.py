@@ -215,19 +215,53 @@ def test_merging_with_a_heap_is_merging_by_hand():
     ],
 )
 def test_main_text_cases(page, text):
-    assert main_text.extract(page or "", {}, 1.0) == text
+    assert main_text.extract(page or "", main_text.Model()) == text
 
 
 def test_main_text_finds_the_articles(spark):
     pages = table(spark, SF, "pages")
-    got = {r.page_id: r.text for r in main_text.main_texts(pages, *main_text.fit(pages, table(spark, SF, "documents"))).collect()}
+    got = {r.page_id: r.text for r in main_text.main_texts(pages, main_text.fit(pages, table(spark, SF, "documents"))).collect()}
     for r in pages.collect():
         inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(__import__("html").unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)[^>]*>", inner)]
         assert got[r.page_id] == " ".join(b for b in blocks if b)
     none = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
-    assert main_text.main_texts(none, *main_text.fit(none, table(spark, SF, "documents"))).collect()[0][2:] == ("", 0)
-    assert main_text.main_texts(none.limit(0), {}, 1.0).count() == 0
+    assert main_text.main_texts(none, main_text.fit(none, table(spark, SF, "documents"))).collect()[0][2:] == ("", 0)
+    assert main_text.main_texts(none.limit(0), main_text.Model()).count() == 0
+
+
+def test_the_scan_finds_content_without_semantic_tags(spark):
+    """Pages without article, nav or footer elements, in layouts that the prior does not know: weights and kinds are learned from others."""
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(n))
+    rows, shown = [], []
+    for i in range(400):
+        title, paragraphs = words(5), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 8))]
+        links = "".join(f'<li><a href="/{k}">{words(1)}</a></li>' for k in range(8))
+        inner = [f"<p>{p}</p>" for p in paragraphs]
+        inner.insert(1, f'<div class="zork">{words(6)}</div>')
+        body = f'<div class="topbox"><ul>{links}</ul></div><div class="quux">{words(9)}</div><div class="story"><h1>{title}</h1>{"".join(inner)}</div><div class="voices"><p>{words(12)}</p></div><div class="bottom">{words(6)}</div>'
+        rows.append((i, f"http://x.example/{i}", f"<html><body>{body}</body></html>"))
+        shown.append((i, " ".join([title, *paragraphs])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learned = pages.where("page_id < 200")
+    model = main_text.fit(learned, spark.createDataFrame(shown, "doc_id long, text string"))
+    got = {r.page_id: r.text for r in main_text.main_texts(pages, model).collect()}
+    assert sum(got[i] == t for i, t in shown if i >= 200) >= 198
+
+
+def test_the_scan_decides_on_the_pages(spark):
+    """With the prior gone, what labelled pages teach is enough."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = main_text.fit(pages.where("page_id % 2 = 0"), table(spark, "/root/testdata/sf0.01", "documents"))
+    rows = pages.where("page_id % 2 = 1").collect()
+    right = 0
+    for r in rows:
+        found = main_text.events(r.html)
+        begin, end = main_text.region(found, model.tags, model.word, model.elements)
+        inner = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        right += main_text.block_text(found[begin:end]) == main_text.block_text(main_text.events(inner))
+    assert right >= 0.99 * len(rows)
 
 
 # op5
@@ -441,7 +475,7 @@ def test_line_decisions(spark, docs, which):
     places = {}
     for i, t in texts.items():
         for k, line in enumerate(t.split("\n")):
-            if line.strip(" "):
+            if line.strip(lines.BLANK):
                 places.setdefault(line, []).append((i, k))
     sets = {line: {line[i : i + 8] for i in range(max(1, len(line) - 7))} for line in places}
     inverted = {}
@@ -470,6 +504,13 @@ def test_repetitive_lines_meet_across_the_limit(spark):
     assert got == {1: [], 2: [0], 3: [], 4: [0], 5: [], 6: [0], 7: []}
 
 
+def test_lines_of_white_space_stay(spark):
+    rows = [(1, "first\r\n\r\nsecond\r\n\r\nthird"), (2, "x\n\t\ny\n\t\nz"), (3, " \n\x0b\n \n\x0c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in lines.decisions(d).collect()} == {1: [], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in lines.dedupe(d).collect()} == dict(rows)
+
+
 def test_dedupe_writes_the_texts(spark, docs, nothing):
     removed = {r.doc_id: set(r.removed) for r in lines.decisions(docs).collect()}
     got = lines.dedupe(docs)

@@ -17,20 +17,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import codepoints, cut, mixed, shuffle_width, spans, whole_groups
+from tidemark.llm.common import bitmap_of, codepoints, cut, mixed, shuffle_width, spans, whole_groups
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 4, 10, 100, 0.8, 42
-#: Bits of the map of wanted lines, 16 MB whatever the input.
-MAP_BITS = 27
+#: Places in which the sketches of two lines of a bucket may differ; white space that a blank line is made of.
+APART, BLANK = 12, " \t\r\x0b\x0c"
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
 _ODD = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, band key) of every band of each line; lines hold no line feed."""
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, band key, sketch) of every band of each line; lines hold no line feed.
+
+    A sketch is two bits of each of the first 32 minima.
+    """
     k = ROWS * BANDS
     code = codepoints("\n".join(lines) + "\n").astype(np.uint64)
     end = np.flatnonzero(code == 10)
@@ -48,15 +51,19 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     value[shift[short]] = [xxhash.xxh64_intdigest(lines[i], SEED) for i in short]
     value = mixed(value)
     owner = np.repeat(np.arange(len(lines)), count)
-    rows, keys = [], []
+    rows, keys, sketches = [], [], []
 
     def add(line: np.ndarray, low: np.ndarray, scheme: int) -> None:
+        sketch = np.zeros(len(line), np.uint64)
+        for r in range(32):
+            sketch |= (low[:, r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)) << np.uint64(2 * r)
         for band in range(BANDS):
             key = np.full(len(line), scheme * BANDS + band, np.uint64)
             for r in range(ROWS):
                 key = mixed(key ^ (low[:, band * ROWS + r].astype(np.uint64) + np.uint64(r + 1)))
             rows.append(line)
             keys.append(key)
+            sketches.append(sketch)
 
     # similarity bounds the ratio of distinct shingles, not of windows, which may repeat
     distinct, long = count.copy(), np.flatnonzero(count > LONG)
@@ -82,22 +89,31 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         while (empty := low == 1 << 32).any():  # an empty bin takes the next one's minimum
             low = np.where(empty, np.roll(low, -1, axis=1), low)
         add(many, low, 1)
-    return np.concatenate(rows), np.concatenate(keys)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sketches)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches may be those of similar lines.
+
+    At Jaccard 0.8 each of 32 places differs with probability 0.15, so that more than APART of them do once in 5,000 pairs.
+    """
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= APART
 
 
 def _bands(docs: DataFrame) -> DataFrame:
-    """(key, line_id, n): each band key of each distinct line of a batch, with the line's number of times there."""
+    """(key, line_id, n, sketch): each band key of each distinct line of a batch, with the line's number of times there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def banded(block: list[str]) -> pa.RecordBatch:
-            seen = Counter(x for t in block for x in t.split("\n") if x.strip(" "))
+            seen = Counter(x for t in block for x in t.split("\n") if x.strip(BLANK))
             lines = list(seen)
             if not lines:
                 return pa.RecordBatch.from_pylist([], schema=schema)
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64).view(np.int64)
-            row, key = signatures(lines)
+            row, key, sketch = signatures(lines)
             times = np.fromiter(seen.values(), np.int32, len(lines))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(times[row])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(times[row]), pa.array(sketch.view(np.int64))], schema=schema)
 
         for batch in batches:
             block, size = [], 0
@@ -110,30 +126,53 @@ def _bands(docs: DataFrame) -> DataFrame:
             if block:
                 yield banded(block)
 
-    schema = pa.schema([("key", pa.int64()), ("line_id", pa.int64()), ("n", pa.int32())])
-    return docs.select("text").mapInArrow(run, "key long, line_id long, n int")
+    schema = pa.schema([("key", pa.int64()), ("line_id", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())])
+    return docs.select("text").mapInArrow(run, "key long, line_id long, n int, sketch long")
+
+
+def _clusters(sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a bucket's lines by their sketches, as stars; compares only with what is not linked yet."""
+    free, out = np.arange(len(sketch)), []
+    while len(free):
+        hub, free, todo = free[0], free[1:], [free[0]]
+        while todo and len(free):
+            x = todo.pop()
+            near = alike(sketch[free], sketch[x])
+            out += [(hub, i) for i in free[near]]
+            todo += free[near].tolist()
+            free = free[~near]
+    return out
 
 
 def _bucket_stars(bands: DataFrame) -> DataFrame:
-    """(a, b): for buckets of several lines, each line beside the bucket's most frequent one."""
+    """(a, b): for buckets of several lines, each line beside the bucket's most frequent one if their sketches are alike, else beside another that is alike."""
     dealt = bands.repartition(shuffle_width(bands.sparkSession), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+        held = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
         if held:  # a partition's packed numbers; sorting them here costs a tenth of sorting rows
-            key, line, n = (np.concatenate(x) for x in zip(*held))
+            key, line, n, sketch = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((line, key))
-            key, line, n = key[order], line[order], n[order]
+            key, line, n, sketch = key[order], line[order], n[order], sketch[order].view(np.uint64)
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1]))))
             n = np.add.reduceat(n.astype(np.int64), first)
-            key, line = key[first], line[first]
+            key, line, sketch = key[first], line[first], sketch[first]
             begin, end = spans(key)
-            many = end - begin > 1
-            out = [np.empty((0, 2), np.int64)]
-            for s, e in zip(begin[many], end[many]):
-                hub = s + int(np.argmax(n[s:e]))
-                out.append(np.stack((np.full(e - s - 1, line[hub]), np.delete(line[s:e], hub - s)), axis=1))
-            found = np.unique(np.concatenate(out), axis=0)
+            begin, end = begin[end - begin > 1], end[end - begin > 1]
+            size = end - begin
+            member = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            # the most frequent line of each bucket, of equal ones the one of the least id
+            ranked = member[np.lexsort((member, -n[member], np.repeat(begin, size)))]
+            hub = np.repeat(ranked[np.cumsum(size) - size], size)
+            near = alike(sketch[hub], sketch[member])
+            out = [np.stack((line[hub[near]], line[member[near]]), axis=1)]
+            for s, e in zip(begin, end) if not near.all() else ():
+                own = slice(np.searchsorted(member, s), np.searchsorted(member, e))
+                if not near[own].all():
+                    far = member[own]
+                    out.append(np.array([(line[far[i]], line[far[j]]) for i, j in _clusters(sketch[far])], np.int64).reshape(-1, 2))
+            found = np.concatenate(out)
+            found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -193,29 +232,18 @@ def stars_of_similar(value: np.ndarray, count: np.ndarray) -> list[tuple[int, in
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("trim(line) != ''").withColumn("line_id", F.xxhash64("line"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line", F.lit(BLANK)) != "").withColumn("line_id", F.xxhash64("line"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line_id, line) of all wanted lines, with a few others and some repeats.
-
-    The wanted ids set bits of a map of fixed size, which every task gets; lines whose bit is unset are not shuffled.
-    """
-    size = 1 << MAP_BITS
-    place = F.col("node").bitwiseAND(size - 1)
-    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
-    bitmap = np.zeros(size >> 6, np.int64)
-    found = words.toArrow()  # at most size / 64 rows
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    """(line_id, line) of all wanted lines, with a few others and some repeats; lines that a bit map of fixed size rules out are not shuffled."""
+    bits = bitmap_of(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.view(np.uint64)
         for batch in batches:
-            lines = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if x.strip(" ")})
+            lines = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if x.strip(BLANK)})
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64)
-            at = ids & np.uint64(size - 1)
-            hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(bits.holds(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit].view(np.int64)), pa.array([lines[i] for i in hit], pa.string())], names=["line_id", "line"])
 
     return docs.select("text").mapInArrow(run, "line_id long, line string")
@@ -224,7 +252,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(node, component): the lines, by the hash of their text, that have a line alike.
 
-    Buckets are first joined to coarse groups by ids alone; a line's text then travels once, to its coarse
+    Lines of a bucket whose sketches are alike are first joined to coarse groups by ids alone; a line's text then travels once, to its coarse
     group, where exact Jaccard similarity decides.  A group of more than ``GROUP`` lines is dealt into parts, and every
     pair of parts is a group of its own: all lines meet, no task holds more than two parts.
     """
@@ -271,7 +299,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, removed): for each document the numbers of its lines to remove, in order.
 
     Lines are what line feeds part, numbered from 0.  Of each class of lines (equal ones, and those linked by a
-    Jaccard similarity of 0.8 or more) the first by (doc_id, line number) stays.  Blank lines stay.  Rows with a null id take no part and are not returned.  Repeated rows with one id and
+    Jaccard similarity of 0.8 or more) the first by (doc_id, line number) stays.  Blank lines, those of white space only, stay.  Rows with a null id take no part and are not returned.  Repeated rows with one id and
     text are one document.  A document without lines, or of null or empty text, has an empty array; an
     empty table gives no rows.
     """

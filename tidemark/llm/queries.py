@@ -29,7 +29,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return main_text.main_texts(pages, *main_text.fit(pages, table(spark, sf_dir, "documents")))
+    return main_text.main_texts(pages, main_text.fit(pages, table(spark, sf_dir, "documents")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
