@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, decontaminate, language_id, lines, main_text, passages, pieces, quality, simhash, spotsigs, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import share_limit, table
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, line string, key string, component string"
@@ -100,11 +100,74 @@ def test_spotsigs_near_duplicates_on_the_documents(spark):
 # op2
 
 
+def language_model(spark, rows):
+    """The arrays, and a brute-force probability function by language, of (lang, text) rows."""
+    counts = language_id._counts(spark.createDataFrame([(a, b, False) for a, b in rows], "lang string, text string, aside boolean")).select("lang", "key", "n")
+    langs = sorted({a for a, _ in rows})
+    symbols = {a: [] for a in langs}
+    for lang, text in rows:
+        letters = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+        symbols[lang].append(("\0" * 3, letters + " " if letters else ""))
+
+    def brute(lang):
+        grams = [Counter() for _ in range(5)]
+        for head, text in symbols[lang]:
+            text = head + text.replace(" ", "\0")
+            grams[4].update(text[i - 3 : i + 1] for i in range(3, len(text)))
+        for k in (3, 2, 1):
+            grams[k] = Counter(g[1:] for g in grams[k + 1])
+        alphabet = len({g for x in langs for h, t in symbols[x] for g in (t.replace(" ", "\0"))})
+
+        def p(gram):
+            if not gram:
+                return 1 / (alphabet + 1)
+            own = grams[len(gram)]
+            beside = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+            if not beside:
+                return p(gram[1:])
+            return max(own[gram] - language_id.DISCOUNT, 0) / sum(beside) + language_id.DISCOUNT * len(beside) / sum(beside) * p(gram[1:])
+
+        return p
+
+    return counts, langs, {x: brute(x) for x in langs}
+
+
+def test_language_models_are_kneser_neys(spark):
+    rng = random.Random(14)
+    rows = [(lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(30))) for lang, letters in (("a", "abcde"), ("b", "bcdef"), ("a", "abxyz")) for _ in range(6)]
+    counts, langs, brute = language_model(spark, rows)
+    arrays = language_id._arrays(counts, langs, language_id.MODEL_CELLS)
+    texts = [t for _, t in rows[::3]] + ["abc zzz", "fade"]
+    for text in texts:
+        keys = language_id.ngrams([text], language_id.letter_table())[0]
+        got = language_id.log_probabilities(arrays, keys)
+        for key, row in zip(keys.tolist(), got):
+            gram = "".join(chr(key >> 16 * k & 0xFFFF) for k in (3, 2, 1, 0))
+            assert np.allclose(row, [np.log(brute[x](gram)) for x in langs], atol=1e-4)
+    small = language_id._arrays(counts, langs, 400)  # a pruned model still tells them apart
+    assert sum(len(g[0]) for g in small["grams"]) <= 200
+    h = language_id.cross_entropies(small, [t for _, t in rows], language_id.letter_table())
+    full = language_id.cross_entropies(arrays, [t for _, t in rows], language_id.letter_table())
+    wanted = np.array([langs.index(x) for x, _ in rows])
+    assert (full.argmin(axis=1) == wanted).all() and (h.argmin(axis=1) == wanted).mean() >= 0.9
+
+
+def test_samples_do_not_vanish():
+    for n in (10**5, 10**9, 10**11, 10**14):
+        limit = share_limit(4_000, n)
+        assert 3_999 <= limit * n / 2**63 <= 4_001
+
+
 def test_language_probabilities_sum_to_one():
     symbols = letters = language_id.letter_table()
     keys, count = language_id.ngrams(["abra kadabra", "", "!?", "bar"], letters)
     assert count.tolist() == [13, 0, 0, 4] and len(keys) == 17
-    model = language_id.KneserNey(*np.unique(keys, return_counts=True), alphabet=8)
+    levels, (now, n) = [], np.unique(keys, return_counts=True)
+    for k in (3, 2, 1, 0):
+        owner, at = np.unique(now >> np.uint64(16), return_inverse=True)
+        levels.append((now, n, np.bincount(at, n)[at], np.bincount(at)[at]))
+        now, n = np.unique(now & np.uint64((1 << 16 * k) - 1), return_counts=True)
+    model = language_id.KneserNey(levels, alphabet=8)
     inventory = np.array([0, *map(ord, "abrkd")], np.uint64)
     for context in ("abr", "zzz", "kad"):
         head = sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(context))
