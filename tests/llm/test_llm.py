@@ -67,14 +67,15 @@ def test_components(spark):
 
 def test_spotsigs_edits_and_order(spark, docs, nothing):
     got = spotsigs.edited_and_next(docs).collect()
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None), reverse=True)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
     want = []
     for i, (d, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
         n = len(t) // 3
         edited = t[: len(t) - n] + after[:n]
         want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), spotsigs.encoded(spotsigs.signatures(t)), spotsigs.encoded(spotsigs.signatures(edited))))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == sorted(want)
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == order(want)
     for r in got:
         a, b = (set(re.findall("." * 8, x)) for x in (r.fingerprint, r.edited_fingerprint))
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
@@ -82,7 +83,29 @@ def test_spotsigs_edits_and_order(spark, docs, nothing):
     assert spotsigs.fingerprints(nothing).count() == 0
 
 
-def test_spotsigs_near_duplicates(spark, docs):
+def test_signatures_are_chains_after_anchors():
+    rng = random.Random(2)
+    anchors = sorted(spotsigs.ANCHORS)
+    for n in (0, 1, 5, 40, 300):
+        words = [rng.choice(anchors) if rng.random() < 0.3 else "".join(rng.choice("bcdfg") for _ in range(4)) for _ in range(n)]
+        words[n // 2 : n // 2] = ["q" + c for c in "abcdefghijklmnopqrstuv"]  # a stretch without anchors
+        chains, last = [], None
+        for i, w in enumerate(words):
+            if w in anchors:
+                last = i
+            content = [x for x in words[i:] if x not in anchors]
+            since = sum(x not in anchors for x in words[(last if last is not None else 0) : i])
+            if w in anchors:
+                chains.append((w, *content[: spotsigs.CHAIN]))
+            elif last is None or since >= spotsigs.GAP:
+                chains.append(("", *content[: spotsigs.CHAIN]))
+        times = Counter(chains)
+        want = {xxhash.xxh32_intdigest(" ".join(c), k) for c, m in times.items() for k in range(m)}
+        assert set(spotsigs.signatures(" ".join(words)).tolist()) == want
+
+
+def test_spotsigs_near_duplicates(spark, docs, nothing):
+    assert spotsigs.near_duplicates(nothing).count() == 0
     known = {r.doc_id: set(spotsigs.signatures(r.text or "").tolist()) for r in docs.collect() if r.doc_id is not None}
     alike = lambda a, b: known[a] == known[b] or (known[a] and known[b] and len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b]))
     want = closure(known, alike)
@@ -465,6 +488,68 @@ def test_passages_are_found_beyond_the_first_document(spark):
     assert {i for i in covered if covered[i]} == {9, 21, 71}
 
 
+def words_covered(texts, found):
+    covered = {i: set() for i in texts}
+    for r in found:
+        at = 0
+        for k, w in enumerate(texts[r.doc_id]):
+            if r.start <= at and at + len(w) <= r.end:
+                covered[r.doc_id].add(k)
+            at += len(w) + 1
+    return covered
+
+
+def test_passages_whose_parts_come_first_elsewhere(spark):
+    """Two documents share a run; every part of it of up to 38 words comes first in some other document."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    texts, runs = {}, [fill(120) for _ in range(3)]
+    for n, run in enumerate(runs):
+        for size in (12, 25, 38):
+            for at in range(0, 121 - size, 3):
+                texts[1000 * n + 10 * at + size // 12] = fill(20) + run[at : at + size] + fill(20)
+    for n, run in enumerate(runs):
+        texts[9000 + n], texts[9100 + n], texts[9200 + n] = fill(30) + run + fill(30), fill(5) + run[:80] + fill(50), fill(33) + run[30:] + fill(4)
+    d = spark.createDataFrame([(i, " ".join(t), 1, 2) for i, t in texts.items()], "doc_id long, text string, hash long, pos int")
+    covered = words_covered(texts, passages.repeated_passages(d).collect())
+    for n in range(3):
+        assert len(covered[9100 + n] & set(range(5, 85))) >= 78 and len(covered[9200 + n] & set(range(33, 123))) >= 88
+    assert not any(covered[i] for i in texts if i < 9000)
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 60 words with each word replaced at a rate, beside many documents that hold some of the same phrases."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    texts, planted, recall = {}, {}, {}
+    for k, rate in enumerate((0.0, 0.03, 0.06, 0.1)):
+        for n in range(60):
+            run = fill(60)
+            i = 1000 * k + 10 * n
+            texts[i] = fill(30) + run + fill(30)
+            texts[i + 5] = fill(40) + [word() if rng.random() < rate else w for w in run] + fill(20)
+            planted[i + 5] = rate
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    covered = words_covered(texts, passages.repeated_passages(d).collect())
+    for i, rate in planted.items():
+        recall.setdefault(rate, []).append(len(covered[i] & set(range(40, 100))) >= 40)
+    assert [sum(x) / len(x) >= least for (_, x), least in zip(sorted(recall.items()), (1.0, 0.98, 0.95, 0.8))] == [True] * 4
+
+
+def test_repeats_inside_long_texts(spark):
+    """A line over and over in two documents, and a word over and over: the chains stay few, what repeats is found."""
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, "\n".join([line] * 3000)), (2, "\n".join([line] * 2500) + " and an end"), (3, "of " * 20_000), (4, "of " * 15_000 + "it"), (5, "İstanbul " + line), (6, "İstanbul İ " * 30 + "x"), (7, "İstanbul İ " * 30 + "y")]
+    got = {}
+    for r in sorted(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.n_words):
+        got[r.doc_id] = r  # the longest of each
+    assert {(i, r.source_id) for i, r in got.items()} == {(2, 1), (4, 3), (7, 6)}
+    assert got[2].n_words > 2400 * 13 and got[4].n_words > 14_000
+    assert rows[6][1][got[7].start : got[7].end].startswith("İstanbul") and got[7].end >= len("İstanbul İ " * 29)
+
+
 def test_chains_have_the_best_score():
     rng = random.Random(4)
     for _ in range(30):
@@ -528,6 +613,13 @@ def test_every_passage_within_the_budget_is_found(spark):
     assert len(blocks) > 3 and sorted(i for block in blocks for i, _ in block) == sorted(i for i, t in items if t is not None)
 
 
+def test_short_items_match_as_whole_words(spark):
+    d = spark.createDataFrame([(1, "How  far is\nThe Moon?", "x", 1), (2, "how far is the moonlight", "x", 1), (3, "far", "x", 1), (4, None, "x", 1), (5, "so: how far is the moon, really", "x", 1)], "doc_id long, text string, item_id string, start int")
+    b = spark.createDataFrame([(7, "how far is the moon"), (8, "how far is the moon"), (9, " ")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start, r.distance) for r in decontaminate.matches(d, b).collect()) == [(1, 7, 0, 0), (1, 8, 0, 0), (5, 7, 4, 0), (5, 8, 4, 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [2, 3, 4]
+
+
 # op10
 
 

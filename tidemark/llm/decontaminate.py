@@ -21,10 +21,10 @@ from tidemark.llm.common import texts
 
 #: Edits allowed for each code point of an item.
 ERROR_RATE = 0.1
-#: Items with fewer code points than this name no passage.
+#: Items with fewer code points than this match without an edit and as whole words only.
 MIN_CHARS = 40
-#: The items are sent to every task in blocks of about this many code points; each block costs one scan of the documents.
-BLOCK_CHARS = 64_000_000
+#: The items are sent to every task in blocks of about this many code points, whose automaton takes about 50 bytes each; each block costs one scan of the documents.
+BLOCK_CHARS = 4_000_000
 
 _SPACE = re.compile(r"\s+")
 
@@ -80,41 +80,53 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[1] >= 0 else None
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether a stretch neither begins nor ends inside a word."""
+    cut_before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not cut_before and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def matcher(items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
     """A function text -> [(item_id, start, end, distance)] in positions of the normalised text."""
-    table, automaton = {}, ahocorasick.Automaton()
+    table, users, automaton = {}, {}, ahocorasick.Automaton()
     for item_id, text in items:
         text = normalised(text)
-        if len(text) < min_chars:
+        if not text:
             continue
-        errors = int(len(text) * error_rate)
+        errors = int(len(text) * error_rate) if len(text) >= min_chars else 0
         parts = pieces(text, errors)
-        table[item_id] = (text, errors)
+        table[item_id, text] = errors
         for k, (at, piece) in enumerate(parts):
             following = parts[k + 1][1] if k < errors else ""
-            automaton.add_word(piece, [*automaton.get(piece, ()), (item_id, at + len(piece), following)])
+            users.setdefault(piece, []).append((item_id, text, at + len(piece), following))
+    for piece, uses in users.items():
+        automaton.add_word(piece, uses)
     if table:
         automaton.make_automaton()
 
     def find(raw: str) -> list[tuple[int, int, int, int]]:
         text = normalised(raw)
-        spans: dict[int, list[tuple[int, int]]] = {}
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        found = []
         for end, uses in automaton.iter(text) if table and text else ():
-            for item_id, done, following in uses:
+            for item_id, item, done, following in uses:
+                if len(item) < min_chars:
+                    if whole_words(text, end + 1 - len(item), end + 1):
+                        found.append((item_id, end + 1 - len(item), end + 1, 0))
+                    continue
                 if following and not within_one_edit(following, text[end + 1 : end + 2 + len(following)]):
                     continue
-                item, errors = table[item_id]
+                errors = table[item_id, item]
                 # the item starts within its error budget of where this piece says
                 start = end + 1 - done - errors
                 stop = start + len(item) + 2 * errors
-                known = spans.setdefault(item_id, [])
+                known = spans.setdefault((item_id, item), [])
                 if known and start <= known[-1][0] + 2 * errors:
                     known[-1] = (min(start, known[-1][0]), max(stop, known[-1][1]))
                 else:
                     known.append((start, stop))
-        found = []
-        for item_id, windows in spans.items():
-            item, errors = table[item_id]
+        for (item_id, item), windows in spans.items():
+            errors = table[item_id, item]
             for start, stop in windows:
                 start = max(0, start)
                 best = myers(item, text[start:stop], errors)
@@ -142,8 +154,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     """(doc_id, item_id, start, end, distance): every stretch of a text within an item's error budget.
 
     Texts and items are compared in lower case with white space collapsed; start and end are positions in
-    the text so normalised.  The budget is floor(error_rate * length); shorter items than ``min_chars`` name
-    no passage.  A null or empty text has no match, a null doc_id keeps its rows, repeated rows repeat their
+    the text so normalised.  The budget is floor(error_rate * length); items shorter than ``min_chars`` are found without an
+    edit and as whole words only, empty ones never.  A null or empty text has no match, a null doc_id keeps its rows, repeated rows repeat their
     matches, two items with one text both match.  An empty documents or benchmark table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())])

@@ -1,7 +1,8 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
-Every token of a bounded vocabulary has a sparse ternary index vector drawn from a seed.  Its word vector is the sum
-of the index vectors around it (itself included) over the whole corpus.  A document is the mean of its tokens' vectors; a network with
+Every token has a sparse ternary index vector, drawn from the hash of the token; nothing is listed and no token is left out.  Its word
+vector is the sum of the index vectors around it (itself included) over the whole corpus.  Tokens whose hashes share a slot share
+both vectors: this bounds the table at every size of corpus.  A document is the mean of its tokens' vectors; a network with
 one hidden layer, trained with numpy, and a temperature fitted on rows kept aside give the probability.
 """
 
@@ -12,117 +13,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_remainder, texts
+from tidemark.llm.common import cut, id_remainder, sampled, shuffle_width, texts
 
-#: Bound, in expectation, of the labelled rows that vocabulary and network are fitted on.
+#: Bound, in expectation, of the labelled rows that the network is fitted on.
 LABELLED_ROWS = 12_000
-#: Tokens of the vocabulary at most, dimensions, non-zeros of an index vector, neighbours on either side, hidden units.
-VOCABULARY, DIMENSIONS, NONZEROS, WINDOW, HIDDEN = 1_500, 96, 6, 2, 32
+#: Slots of the hash, dimensions, non-zeros of an index vector, neighbours on either side, hidden units.
+SLOTS, DIMENSIONS, NONZEROS, WINDOW, HIDDEN = 1 << 14, 96, 6, 2, 32
 EPOCHS, RATE, DECAY, SEED = 400, 0.01, 1e-4, 20
 #: From which score a text counts as good.
 GOOD = 0.3
-BLOCK = 1_500_000
+#: Tokens whose neighbours are added up at once, and slots that go into one row.
+BLOCK, ROW = 1_000_000, 64
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
-_SHAPES = [f"<{kind}{size}>" for kind in ("upper", "title", "lower", "mixed", "digits", "marks") for size in (1, 3, 6, 10, 99)]
 
 
-def shape(token: str) -> str:
-    """The class of a token outside the vocabulary: its case or kind and its length in steps."""
-    if token.isdigit():
-        kind = "digits"
-    elif not token[0].isalpha():
-        kind = "marks"
-    elif token.isupper() and len(token) > 1:
-        kind = "upper"
-    elif token.islower():
-        kind = "lower"
-    else:
-        kind = "title" if token[1:].islower() or len(token) == 1 else "mixed"
-    return f"<{kind}{next(s for s in (1, 3, 6, 10, 99) if len(token) <= s or s == 99)}>"
-
-
-class Numbers(dict):
-    """token -> number, remembering some classes of unlisted tokens."""
-
-    def __init__(self, listed: list[str]):
-        super().__init__((t, i) for i, t in enumerate(listed))
-        self.own = dict(self)
+class Slots(dict):
+    """token -> slot, remembering some."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > len(self.own) + 200_000:
+        if len(self) > 300_000:
             self.clear()
-            self.update(self.own)
-        self[token] = number = self.own[shape(token)]
-        return number
+        self[token] = slot = xxhash.xxh64_intdigest(token, SEED) & (SLOTS - 1)
+        return slot
 
     def of(self, text: str) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, _TOKEN.findall(text)), np.int32)
 
 
-def index_vectors(n: int) -> np.ndarray:
-    """Sparse ternary vectors, drawn one after another from a fixed seed."""
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, sign) of the non-zeros of each slot's vector, drawn one after another from a fixed seed."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((n, DIMENSIONS), np.int64)
-    for row in out:
-        row[rng.choice(DIMENSIONS, NONZEROS, replace=False)] = rng.permutation([1, -1] * (NONZEROS // 2))
-    return out
+    places = np.stack([rng.choice(DIMENSIONS, NONZEROS, replace=False) for _ in range(SLOTS)])
+    signs = np.stack([rng.permutation([1, -1] * (NONZEROS // 2)) for _ in range(SLOTS)])
+    return places.astype(np.int32), signs.astype(np.int64)
 
 
-def word_vectors(docs: DataFrame, listed: list[str]) -> np.ndarray:
-    """The context sums of every listed token over all rows of (doc_id, text), centred and of length one."""
-    n = len(listed)
+def context_sums(ids: np.ndarray, ends: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """For each slot the sum of the index vectors of its tokens and their neighbours; no neighbour is beyond the end of a text.
+
+    Pairs of slots are counted first, so that a pair that comes often is added once.
+    """
+    pairs, n = [ids.astype(np.int64) * SLOTS + ids], len(ids)
+    text = np.searchsorted(ends, np.arange(n), side="right")
+    for step in range(1, WINDOW + 1):
+        inside = text[:-step] == text[step:]
+        left, right = ids[:-step][inside].astype(np.int64), ids[step:][inside].astype(np.int64)
+        pairs += [left * SLOTS + right, right * SLOTS + left]
+    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+    token, around = pair // SLOTS, pair % SLOTS
+    sums = np.zeros(SLOTS * DIMENSIONS)
+    for k in range(NONZEROS):
+        sums += np.bincount(token * DIMENSIONS + places[around, k], times * signs[around, k], SLOTS * DIMENSIONS)
+    return sums.astype(np.int64)
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The context sums of every slot over all rows of (doc_id, text), centred and of length one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, pairs = Numbers(listed), np.zeros(n * n, np.int64)
+        slots, (places, signs) = Slots(), index_vectors()
+        sums = np.zeros(SLOTS * DIMENSIONS, np.int64)
         held, size = [], 0
 
         def add() -> None:
-            ids = np.concatenate(held).astype(np.int64)
-            for step in range(1, WINDOW + 1):
-                left, right = ids[:-step], ids[step:]
-                inside = np.ones(len(left), bool)
-                ends = np.cumsum([len(x) for x in held])[:-1]
-                for back in range(1, step + 1):  # no pair reaches over the end of a text
-                    inside[(ends - back)[(ends - back >= 0) & (ends - back < len(left))]] = False
-                np.add(pairs, np.bincount(left[inside] * n + right[inside], minlength=n * n), out=pairs)
-            np.add(pairs, np.bincount(ids * (n + 1), minlength=n * n), out=pairs)
+            np.add(sums, context_sums(np.concatenate(held), np.cumsum([len(x) for x in held]), places, signs), out=sums)
 
         for batch in batches:
             for t in batch.column(1).to_pylist():
-                held.append(numbers.of(t))
-                size += len(held[-1])
-                if size >= BLOCK:
-                    add()
-                    held, size = [], 0
+                own = slots.of(t)
+                for begin in range(0, len(own), BLOCK):  # a text of over BLOCK tokens is parted there
+                    held.append(own[begin : begin + BLOCK])
+                    size += len(held[-1])
+                    if size >= BLOCK:
+                        add()
+                        held, size = [], 0
         if size:
             add()
-        both = pairs.reshape(n, n)
-        sums = (both + both.T) @ index_vectors(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["token", "sums"])
-
-    totals = docs.mapInArrow(run, "token int, sums array<long>").groupBy("token").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(DIMENSIONS)]).alias("sums"))
-    vectors = np.zeros((n, DIMENSIONS))
-    for r in totals.collect():
-        vectors[r.token] = r["sums"]
+        parts = sums.reshape(-1, ROW * DIMENSIONS)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(parts[some]), pa.list_(pa.int64()))], names=["part", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a part's rows, one from each task, are added as they come
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = own.values.to_numpy()
+                found[part] = found[part] + x if part in found else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["part", "sums"])
+
+    parts = docs.mapInArrow(run, "part int, sums array<long>").repartition(shuffle_width(docs.sparkSession), "part").mapInArrow(total, "part int, sums array<long>")
+    vectors = np.zeros((SLOTS // ROW, ROW * DIMENSIONS))
+    found = parts.toArrow()  # a table of fixed size
+    for part, own in zip(found["part"].to_pylist(), found["sums"]):
+        vectors[part] = own.values.to_numpy()
+    vectors = vectors.reshape(SLOTS, DIMENSIONS)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = vectors / np.maximum(length, 1e-12)
     seen = length[:, 0] > 0
     if seen.any():
         vectors[seen] -= vectors[seen].mean(axis=0)
-    return vectors
+    return vectors.astype(np.float32)
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """The mean vector of a text's tokens, with the share of distinct tokens; zeros for none."""
     if not len(ids):
         return np.zeros(vectors.shape[1] + 1)
-    count = np.bincount(ids, minlength=len(vectors))
-    some = np.flatnonzero(count)
-    return np.append(count[some] @ vectors[some] / len(ids), len(some) / np.sqrt(len(ids)))
+    some, count = np.unique(ids, return_counts=True)
+    return np.append(count @ vectors[some] / len(ids), len(some) / np.sqrt(len(ids)))
 
 
 def train(x: np.ndarray, y: np.ndarray) -> dict:
@@ -167,7 +171,7 @@ def probabilities(net: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labelled_rows: int = LABELLED_ROWS) -> dict:
-    """A model: vocabulary and network from a hash sample of labelled rows that ``learn`` admits, word vectors from all rows.
+    """A model: the network from a hash sample of labelled rows that ``learn`` admits, word vectors from all rows.
 
     A null label counts as none, an id labelled twice as good if any label says so.  Without both classes the score is the
     share of good rows, or one half without labels.
@@ -178,28 +182,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labelle
     n, good = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     if good in (0, n):
         return {"constant": 0.5 if not n else float(good / n)}
-    if n > labelled_rows:
-        marks = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < int(1e6 * labelled_rows / n))
-    sample = cut(rows.join(F.broadcast(marks), "doc_id"))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(_TOKEN.findall(t))), pa.string())], names=["token"])
-
-    frequent = sample.mapInArrow(tokens, "token string").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
-    listed = _SHAPES + [r.token for r in frequent.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
-    vectors = word_vectors(rows, listed)
+    sample = cut(rows.join(F.broadcast(sampled(marks, "doc_id", labelled_rows, n, 3)), "doc_id"))
+    vectors = word_vectors(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(listed)
+        slots = Slots()
         for batch in batches:
-            x = [pooled(numbers.of(t), vectors).tolist() for t in batch.column(1).to_pylist()]
+            x = [pooled(slots.of(t), shared.value).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     table = sample.mapInArrow(pool, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").toArrow()
     net = train(np.array(table["x"].to_pylist()), np.array(table["quality"].to_pylist()))
-    return {"listed": listed, "vectors": vectors, "net": net}
+    return {"vectors": vectors, "net": net}
 
 
 def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +206,12 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        numbers = Numbers(m["listed"]) if "net" in m else None
+        slots = Slots()
         for batch in batches:
-            if numbers is None or not batch.num_rows:
+            if "net" not in m or not batch.num_rows:
                 s = np.full(batch.num_rows, m.get("constant", 0.5))
             else:
-                s = probabilities(m["net"], np.stack([pooled(numbers.of(t), m["vectors"]) for t in batch.column(1).to_pylist()]))
+                s = probabilities(m["net"], np.stack([pooled(slots.of(t), m["vectors"]) for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= GOOD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")

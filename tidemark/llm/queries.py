@@ -15,6 +15,11 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of SpotSigs: classes of alike fingerprints, by length partitions and pruned Jaccard."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs, ~language_id.held_out()))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "spotsigs_near_duplicates": spotsigs_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}

@@ -31,6 +31,8 @@ ANCHORS = frozenset(
 #: Content words in a chain, and after how many of them without an anchor each one begins a chain.
 CHAIN, GAP = 2, 12
 SIMILARITY = 0.8
+#: Stands for a null id, which comes last in descending order.
+NO_ID = -(2**63)
 #: Hex digits of a signature in a fingerprint.
 DIGITS = 8
 
@@ -41,7 +43,7 @@ def signatures(text: str) -> np.ndarray:
     """Sorted distinct 32-bit signature hashes of a text.
 
     Repeats of a signature are told apart by their number, so that sets compare as multisets.  Where no anchor has come for ``GAP``
-    content words, and before the first one, every content word begins a chain.  A chain cut off by the end of the text counts as it is.
+    content words, and before the first one, every content word begins a chain, so that texts with few anchors or in another language have signatures too.  A chain cut off by the end of the text counts as it is.
     A text without words is one signature, itself; an empty text has none.
     """
     words = _WORD.findall(text.lower())
@@ -147,10 +149,10 @@ def in_descending_order(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(bucket, doc_id, text, halo): the rows in descending (doc_id, text), sorted within partitions, each bucket with the row after its last.
 
     Ids alone are range-partitioned first; from each range's bounds every row knows its bucket, so texts are shuffled once.  The row that begins
-    a bucket is also sent, as halo, to the bucket before it; the very first one to the last.  Rows with a null id are left out.
+    a bucket is also sent, as halo, to the bucket before it; the very first one to the last.  A null id is ``NO_ID``, the least.
     """
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     ranged = rows.select("doc_id").repartitionByRange(shuffle_width(spark), F.desc("doc_id")).groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     ranges = sorted((r.high, r.low) for r in ranged.collect())[::-1]  # one row a partition
     if not ranges:
@@ -175,8 +177,8 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many, or all, of the next
     document's in descending (doc_id, text); the last document's next is the first.  Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited and near_next.  A null text is empty; rows with a null id, which have no place in
-    the order, are left out; repeated rows follow each other.  A single document is its own next.
+    fingerprint, edited_fingerprint, near_edited and near_next.  A null text is empty; rows with a null id come last in
+    the order and keep it; repeated rows follow each other.  A single document is its own next.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n = len(text) // 3
             edited = text[: len(text) - n] + after[:n]
             changed = own if edited == text else signatures(edited)
-            return doc_id, len(text), sha256(edited.encode()).hexdigest(), encoded(own), encoded(changed), likeness(own, changed), likeness(own, after_own)
+            return None if doc_id == NO_ID else doc_id, len(text), sha256(edited.encode()).hexdigest(), encoded(own), encoded(changed), likeness(own, changed), likeness(own, after_own)
 
         for batch in batches:
             out = []

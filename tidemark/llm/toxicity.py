@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_remainder, texts
+from tidemark.llm.common import cut, id_remainder, sampled, texts
 
 #: Bounds, in expectation, of the labelled rows and unlabelled rows that a model is fitted on.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 12_000
-#: Words of the model at most, and how far apart their document frequencies must be in standard errors.
-MODEL_WORDS, APART = 4_096, 4.0
+#: How far apart, in standard errors, the document frequencies of a word of the model must be; the bounded rows bound the words.
+APART = 4.0
 #: Full-batch Adam steps, their rate, and the weight of the L1 penalty.
 STEPS, RATE, SPARSE = 400, 0.1, 1e-4
 
@@ -81,12 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, positiv
         return Model({}, -500.0)
     prior = min(0.99, n_toxic / n_marked)
 
-    def sampled(frame: DataFrame, most: int, n: int, salt: int) -> DataFrame:
-        return frame if n <= most else frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1_000_000)) < int(1e6 * most / n))
-
     toxic = marks.where("toxic = 1").select("doc_id")
-    p = rows.join(F.broadcast(sampled(toxic, positive_rows, n_toxic, 1)), "doc_id").select("doc_id", "text", F.lit(True).alias("positive"))
-    u = sampled(rows, unlabelled_rows, rows.count(), 2).join(toxic, "doc_id", "left_anti").select("doc_id", "text", F.lit(False).alias("positive"))
+    p = rows.join(F.broadcast(sampled(toxic, "doc_id", positive_rows, n_toxic, 1)), "doc_id").select("doc_id", "text", F.lit(True).alias("positive"))
+    u = sampled(rows, "doc_id", unlabelled_rows, rows.count(), 2).join(toxic, "doc_id", "left_anti").select("doc_id", "text", F.lit(False).alias("positive"))
     sample = cut(p.union(u))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, positiv
     df = sample.mapInArrow(tokens, "word string, positive boolean").groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
     both, pooled = F.lit(1.0 / max(1, n_p) + 1.0 / max(1, n_u)), (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     z = F.abs(F.col("p") / max(1, n_p) - F.col("u") / max(1, n_u)) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * both)
-    chosen = df.where("p + u >= 3").withColumn("z", z).where(F.col("z") >= APART).orderBy(F.desc("z"), "word").limit(MODEL_WORDS)
+    chosen = df.where("p + u >= 3").withColumn("z", z).where(F.col("z") >= APART).orderBy("word")
     vocabulary = {r.word: i for i, r in enumerate(chosen.select("word").collect())}
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
