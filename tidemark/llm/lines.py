@@ -21,8 +21,8 @@ from tidemark.llm.common import bitmap_of, codepoints, cut, mixed, shuffle_width
 from tidemark.llm.components import connected_components
 
 SHINGLE, ROWS, BANDS, LONG, SIMILARITY, SEED = 8, 4, 10, 100, 0.8, 42
-#: Places in which the sketches of two lines of a bucket may differ; white space that a blank line is made of.
-APART, BLANK = 12, " \t\r\x0b\x0c"
+#: Places of a sketch, and of how many those of two lines of a bucket may differ; white space that a blank line is made of.
+PLACES, APART, BLANK = 24, 10, " \t\r\x0b\x0c"
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
@@ -32,7 +32,7 @@ _ODD = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line number, band key, sketch) of every band of each line; lines hold no line feed.
 
-    A sketch is two bits of each of the first 32 minima.
+    A sketch is two bits of each of the first PLACES minima.
     """
     k = ROWS * BANDS
     code = codepoints("\n".join(lines) + "\n").astype(np.uint64)
@@ -55,7 +55,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def add(line: np.ndarray, low: np.ndarray, scheme: int) -> None:
         sketch = np.zeros(len(line), np.uint64)
-        for r in range(32):
+        for r in range(PLACES):
             sketch |= (low[:, r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)) << np.uint64(2 * r)
         for band in range(BANDS):
             key = np.full(len(line), scheme * BANDS + band, np.uint64)
@@ -95,14 +95,17 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches may be those of similar lines.
 
-    At Jaccard 0.8 each of 32 places differs with probability 0.15, so that more than APART of them do once in 5,000 pairs.
+    At Jaccard 0.8 each of PLACES differs with probability 0.15, so that more than APART of them do once in 3,000 pairs.
     """
     x = a ^ b
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= APART
 
 
 def _bands(docs: DataFrame) -> DataFrame:
-    """(key, line_id, n, sketch): each band key of each distinct line of a batch, with the line's number of times there."""
+    """(key, line_id, rest): each band key of each distinct line of a batch, with the line's sketch and number of times there.
+
+    key holds 48 bits of the band key and 16 of the sketch, rest the sketch's other 32 and the number, up to 65535.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def banded(block: list[str]) -> pa.RecordBatch:
@@ -112,8 +115,10 @@ def _bands(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_pylist([], schema=schema)
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64).view(np.int64)
             row, key, sketch = signatures(lines)
-            times = np.fromiter(seen.values(), np.int32, len(lines))
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(times[row]), pa.array(sketch.view(np.int64))], schema=schema)
+            times = np.minimum(np.fromiter(seen.values(), np.int64, len(lines)), 0xFFFF).astype(np.uint64)
+            key = key >> np.uint64(16) << np.uint64(16) | sketch >> np.uint64(32)
+            rest = (sketch & np.uint64(0xFFFFFFFF)) << np.uint64(16) | times[row]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(rest.view(np.int64))], schema=schema)
 
         for batch in batches:
             block, size = [], 0
@@ -126,8 +131,8 @@ def _bands(docs: DataFrame) -> DataFrame:
             if block:
                 yield banded(block)
 
-    schema = pa.schema([("key", pa.int64()), ("line_id", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())])
-    return docs.select("text").mapInArrow(run, "key long, line_id long, n int, sketch long")
+    schema = pa.schema([("key", pa.int64()), ("line_id", pa.int64()), ("rest", pa.int64())])
+    return docs.select("text").mapInArrow(run, "key long, line_id long, rest long")
 
 
 def _clusters(sketch: np.ndarray) -> list[tuple[int, int]]:
@@ -146,14 +151,15 @@ def _clusters(sketch: np.ndarray) -> list[tuple[int, int]]:
 
 def _bucket_stars(bands: DataFrame) -> DataFrame:
     """(a, b): for buckets of several lines, each line beside the bucket's most frequent one if their sketches are alike, else beside another that is alike."""
-    dealt = bands.repartition(shuffle_width(bands.sparkSession), "key")
+    dealt = bands.repartition(shuffle_width(bands.sparkSession), F.shiftright("key", 16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        held = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
         if held:  # a partition's packed numbers; sorting them here costs a tenth of sorting rows
-            key, line, n, sketch = (np.concatenate(x) for x in zip(*held))
+            key, line, rest = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((line, key))
-            key, line, n, sketch = key[order], line[order], n[order], sketch[order].view(np.uint64)
+            key, line, rest = key[order].view(np.uint64), line[order], rest[order].view(np.uint64)
+            sketch, n, key = (key & np.uint64(0xFFFF)) << np.uint64(32) | rest >> np.uint64(16), rest & np.uint64(0xFFFF), key >> np.uint64(16)
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1]))))
             n = np.add.reduceat(n.astype(np.int64), first)
             key, line, sketch = key[first], line[first], sketch[first]
