@@ -58,11 +58,15 @@ def masked_number(col: Column) -> Column:
 
 
 def money(col: Column) -> Column:
-    """Commas, currency and percent signs off; accounting parentheses and the signs △ ▲ − mean below zero."""
-    s = F.trim(col)
-    below = s.rlike(r"^\(.*\)$|^[△▲−-]")
-    value = F.regexp_replace(s, r"[^0-9.]", "").try_cast("double")
-    return F.when(below, -value).otherwise(value)
+    """A number from text: commas, blanks, currency signs and a last 원, krw or % off; accounting parentheses and the signs △ ▲ − mean below zero.
+
+    Text with anything else in it is no amount.
+    """
+    s = F.trim(col.cast("string"))
+    s = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"^[△▲−]", "-"), r"[,\s₩$]", "")
+    s = F.regexp_replace(s, r"(?i)(원|krw|%)$", "")
+    return F.when(s.rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
 
 
 def unit_factor(header: Column) -> Column:
@@ -70,8 +74,8 @@ def unit_factor(header: Column) -> Column:
     return F.when(header.contains("억"), 100.0).when(header.contains("백만"), 1.0).when(header.contains("천"), 0.001).when(header.contains("원"), 0.000001)
 
 
-def origination_year(col: Column) -> Column:
-    """A year from YYYY, YYYYMMDD, dashed dates or spreadsheet serials, between 2000 and 2100 or from 1990."""
+def origination_year(col: Column, low: int = 2000, high: int = 2100) -> Column:
+    """A year from YYYY, YYYYMMDD, dashed dates or spreadsheet serials, between ``low`` and ``high``."""
     d = digits(col)
     serial = d.try_cast("int")
     year = (
@@ -79,7 +83,7 @@ def origination_year(col: Column) -> Column:
         .when(F.length(d) >= 8, F.substring(d, 1, 4).try_cast("int"))
         .when((F.length(d) == 5) & serial.between(20000, 80000), F.year(F.date_add(F.to_date(F.lit("1899-12-30")), serial)))
     )
-    return F.when(year.between(1990, 2100), year)
+    return F.when(year.between(low, high), year)
 
 
 def outcome(col: Column, dpd_threshold: int = 90) -> Column:
@@ -97,6 +101,64 @@ def first_match(col: Column, rules: list[tuple[str, str]], other: str) -> Column
     return out.otherwise(other)
 
 
+#: Kinds of collateral by their words.  The order is the rule: 무담보 holds 담보 and 임차보증금 holds 보증 (fixed values).
+COLLATERAL = [
+    ("신용", "무담보|무보증|순수신용|unsecured"),
+    ("담보", "보증금|전세"),
+    ("보증서", "신보|기보|보증|guarantee"),
+    ("담보", "부동산|저당|질권|예적금|담보|secured|mortgage|collateral"),
+    ("신용", "신용|credit"),
+]
+
+
+def collateral(col: Column) -> Column:
+    """보증서, 담보, 신용 or 기타 by the first rule that matches; 미기재 for a blank."""
+    t = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"\s+", "")
+    return F.when(t.isin("", "nan", "none", "-"), "미기재").otherwise(first_match(t, COLLATERAL, "기타"))
+
+
+def nfkc(col: Column) -> Column:
+    """Unicode's compatibility form."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return run(col)
+
+
+#: Legal forms of corporations, taken off a name before its punctuation (fixed values).
+LEGAL_FORMS = r"주식회사|㈜|\(주\)|유한회사|\(유\)|유한책임회사|합자회사|합명회사|농업회사법인|재단법인|사단법인|의료법인|학교법인"
+
+
+def corporate_name(col: Column) -> Column:
+    """Lower case without legal forms, then without punctuation; (주)앤하우스 becomes 앤하우스."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), LEGAL_FORMS, ""), r"[\s()（）\[\]{}·・,.\-_/&'\"]+", "")
+
+
+def hangul_only(col: Column) -> Column:
+    return F.regexp_replace(F.coalesce(col, F.lit("")), "[^가-힣]", "")
+
+
+def aliases(col: Column) -> Column:
+    """The normal names of a whole name, of what is outside its parentheses and of each part inside; of two letters or more, sorted."""
+    inside = F.regexp_extract_all(col, F.lit(r"[(（]([^)）]*)[)）]"), F.lit(1))
+    all_names = F.concat(F.array(col, F.regexp_replace(col, r"[(（][^)）]*[)）]", " ")), inside)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(all_names, normal_name), lambda x: F.length(x) >= 2)))
+
+
+def particle(word: Column, closed: str, open_: str) -> Column:
+    """A word with the particle that its last syllable asks for: ``closed`` after a final consonant, else ``open_``."""
+    code = F.ascii(F.substring(word, -1, 1))
+    return F.concat(word, F.when(code.between(0xAC00, 0xD7A3) & ((code - 0xAC00) % 28 != 0), closed).otherwise(open_))
+
+
+def title_names(brand: Column, title: Column) -> Column:
+    """Whether a title speaks of a brand: holds its name, or, of four letters and more, its first two and last two."""
+    ends = (F.length(brand) >= 4) & title.contains(F.substring(brand, 1, 2)) & title.contains(F.substring(brand, -2, 2))
+    return F.coalesce((F.length(brand) > 0) & (title.contains(brand) | ends), F.lit(False))
+
+
 def shown_percent(p: Column, cuts: list[float]) -> Column:
     """A percentage of one decimal that never rounds up across a grade's cut."""
     value, out = F.round(p * 100, 1), F
@@ -136,9 +198,14 @@ def search_term(col: Column, longest: int = 40) -> Column:
     return F.nullif(F.trim(F.substring(F.trim(bare), 1, longest)), F.lit(""))
 
 
-def mail_date(col: Column) -> Column:
-    """The date of a mail header's time stamp, such as Tue, 01 Oct 2024 09:00:00 +0900; NULL for anything else."""
-    return F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(col, r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("")), F.lit("d MMM yyyy")))
+def mail_time(col: Column) -> Column:
+    """The time of a mail header's stamp, such as Tue, 01 Oct 2024 09:00:00 +0900; NULL for anything else."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(col, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1), F.lit("")), F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+def mail_date(col: Column, zone: str = "+09:00") -> Column:
+    """The day of a mail header's stamp where the readers are."""
+    return F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(mail_time(col), F.current_timezone()), zone))
 
 
 def ascii_names(names: list[str]) -> list[str]:

@@ -16,16 +16,21 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def guarded_left_join(left: DataFrame, right: DataFrame, exact: list[str], loose: list[str], values: list[str], owner: str) -> DataFrame:
-    """Values of ``right`` by the exact keys, else by the looser keys where these name one owner only.
+def guarded_left_join(left: DataFrame, right: DataFrame, exact: list[str], loose: list[str], values: list[str], owner: str, left_owner: str | None = None) -> DataFrame:
+    """Values of ``right`` by the exact keys, else by the looser keys where these name one owner only, on the left too where ``left_owner`` is given.
 
     ``right`` is reduced to one row a key first, so the join keeps the rows of ``left``.  ``matched_by`` tells which level gave the values.
     """
     by_exact = right.groupBy(*exact).agg(*[F.max(v).alias(f"__e_{v}") for v in values], F.lit(True).alias("__e"))
     by_loose = right.groupBy(*loose).agg(*[F.max(v).alias(f"__l_{v}") for v in values], F.count_distinct(owner).alias("__owners")).where("__owners = 1").drop("__owners").withColumn("__l", F.lit(True))
     out = left.join(by_exact, exact, "left").join(by_loose, loose, "left")
-    by = F.when(F.col("__e"), "exact").when(F.col("__l"), "loose").otherwise("none")
-    picked = {v: F.when(F.col("__e"), F.col(f"__e_{v}")).otherwise(F.col(f"__l_{v}")) for v in values}
+    loosely = F.coalesce(F.col("__l"), F.lit(False))
+    if left_owner is not None:
+        alone = left.groupBy(*loose).agg(F.count_distinct(left_owner).alias("__own")).where("__own = 1").drop("__own").withColumn("__alone", F.lit(True))
+        out = out.join(alone, loose, "left")
+        loosely = loosely & F.coalesce(F.col("__alone"), F.lit(False))
+    by = F.when(F.col("__e"), "exact").when(loosely, "loose").otherwise("none")
+    picked = {v: F.when(F.col("__e"), F.col(f"__e_{v}")).when(loosely, F.col(f"__l_{v}")) for v in values}
     return out.withColumns({**picked, "matched_by": by}).select(*left.columns, *values, "matched_by")
 
 

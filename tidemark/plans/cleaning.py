@@ -59,7 +59,7 @@ def origination_years(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k, d = F.col("o_orderkey") % 5, F.col("o_orderdate").cast("date")
     shown = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyyMMdd")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.date_diff(d, F.to_date(F.lit("1899-12-30"))).cast("string")).otherwise("abc")
-    return o.groupBy(expr.origination_year(shown).alias("year")).agg(F.count("*").alias("n"))
+    return o.groupBy(expr.origination_year(shown, 1990).alias("year")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN k IN (0, 6) THEN 1 WHEN k IN (1, 7) THEN 0 WHEN k = 2 THEN NULL WHEN q >= 30 THEN 1 ELSE 0 END AS outcome, count(*) AS n
@@ -72,14 +72,18 @@ def outcome_parse(spark, sf_dir):
     return li.groupBy(expr.outcome(shown, 30).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-COLLATERAL = [("guarantee", "보증|guarant"), ("secured", "담보|mortgage|STEEL|BRASS"), ("unsecured", "신용|credit|TIN|NICKEL")]
+#: Phrases of loan books (fixed values of the test).
+PHRASES = ["보증서", "신용보증재단 보증서", "보증서담보대출", "임차보증금", "전세 보증금", "부동산 담보", "근저당", "예적금 담보", "신용", "순수 신용", "무담보", "무보증", "Unsecured", "secured loan", "mortgage", "guarantee", "", "-", "기계", "credit line"]
+_PHRASE = f"[{', '.join(repr(p) for p in PHRASES)}][CAST(p_partkey % {len(PHRASES)} + 1 AS INTEGER)]"
 
 
-@query("""SELECT CASE WHEN regexp_matches(p_type, '보증|guarant') THEN 'guarantee' WHEN regexp_matches(p_type, '담보|mortgage|STEEL|BRASS') THEN 'secured'
- WHEN regexp_matches(p_type, '신용|credit|TIN|NICKEL') THEN 'unsecured' ELSE 'other' END AS collateral, count(*) AS n, round(avg(p_retailprice), 6) AS price FROM part GROUP BY 1""")
+@query(f"""WITH t AS (SELECT regexp_replace(lower({_PHRASE}), '\\s+', '', 'g') AS t, p_retailprice FROM part)
+ SELECT CASE WHEN t IN ('', 'nan', 'none', '-') THEN '미기재' WHEN t LIKE '%무담보%' OR t LIKE '%무보증%' OR t LIKE '%순수신용%' OR t LIKE '%unsecured%' THEN '신용' WHEN t LIKE '%보증금%' OR t LIKE '%전세%' THEN '담보'
+ WHEN regexp_matches(t, '보증|신보|기보|guarantee') THEN '보증서' WHEN regexp_matches(t, '부동산|저당|질권|예적금|담보|secured|mortgage|collateral') THEN '담보' WHEN regexp_matches(t, '신용|credit') THEN '신용' ELSE '기타' END AS collateral,
+ count(*) AS n, round(avg(p_retailprice), 6) AS price FROM t GROUP BY 1""")
 def collateral_classify(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.groupBy(expr.first_match(F.col("p_type"), COLLATERAL, "other").alias("collateral")).agg(F.count("*").alias("n"), r6(F.avg("p_retailprice"), "price"))
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").groupBy(expr.collateral(phrase).alias("collateral")).agg(F.count("*").alias("n"), r6(F.avg("p_retailprice"), "price"))
 
 
 @query("""SELECT nullif(regexp_replace(lower(trim(p_name)), '[^a-z0-9가-힣]', '', 'g'), '') AS norm, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1""")

@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL, by name."""
 
-from tidemark.plans import cleaning, diagnosis, entities, events, labels, models, portfolio, search, serving, statistics, validation  # noqa: F401  (they register)
+from tidemark.plans import cleaning, diagnosis, entities, events, labels, models, parsing, portfolio, search, serving, statistics, validation, worklists  # noqa: F401  (they register)
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

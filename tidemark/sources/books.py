@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import first_match, money, unit_factor
+from tidemark.functions.expr import collateral, money, unit_factor
 from tidemark.sources.texts import fields, lines
 
 #: Words of headers by the role of their column, in the order they are looked for (fixed values).
@@ -19,8 +19,6 @@ ROLES = {
     "borrowers": ("차주수", "건수", "borrowers"),
 }
 TOTALS = r"^\s*(합\s*계|소\s*계|총\s*계|계|total|sub\s*total|grand total)\s*$"
-#: Kinds of collateral, the first that matches counts (fixed values).
-COLLATERAL = [("보증서", "보증|신보|기보|guarant"), ("담보", "담보|부동산|mortgage|collateral"), ("신용", "신용|credit|unsecured")]
 LGD = {"보증서": 0.10, "담보": 0.35, "신용": 0.45, "기타": 0.45, "미기재": 0.45}
 HEAD = 40
 
@@ -36,6 +34,18 @@ def header_row(rows: list[list[str]], within: int = 15) -> int:
     return next((i for i, r in enumerate(rows[:within]) if named(r, "brand") and named(r, "exposure") and len([c for c in r if c.strip()]) >= 2), 0)
 
 
+def layouts(rows: DataFrame, book: str, number: str, line: str) -> DataFrame:
+    """(book, delimiter, header): for many books at once the delimiter of most columns in the median of the first lines, and the number of the header's line."""
+    head = rows.where(F.col(number) <= HEAD)
+    marks = [",", "\t", ";", "|"]
+    counts = head.select(book, F.explode(F.array(*[F.struct(F.lit(-i).alias("first"), F.lit(d).alias("delimiter"), F.regexp_count(line, F.lit("[" + d + "]")).alias("n")) for i, d in enumerate(marks)])).alias("m")).select(book, "m.*")
+    best = counts.groupBy(book, "first", "delimiter").agg(F.median("n").alias("n")).groupBy(book).agg(F.max(F.struct("n", "first", "delimiter"))["delimiter"].alias("delimiter"))
+    plain = F.replace(F.lower(line), F.lit(" "), F.lit(""))
+    holds = lambda role: F.coalesce(*[F.when(plain.contains(w), True) for w in ROLES[role]], F.lit(False))
+    found = head.where((F.col(number) <= 15) & holds("brand") & holds("exposure")).groupBy(book).agg(F.min(number).alias("header"))
+    return best.join(found, book, "left").select(book, "delimiter", "header")
+
+
 def roles(header: list[str]) -> dict[str, int]:
     """The column of each role: the first word of the vocabulary that a header holds; a column has one role."""
     out: dict[str, int] = {}
@@ -54,10 +64,30 @@ def loss_rate(value: Column, recovery: bool) -> Column:
     return F.when(v.between(0, 1), F.round(v, 6))
 
 
+def unit_of(median_amount: Column, median_each: Column, repeated: Column, decimals: Column) -> Column:
+    """Millions that one unit is, from statistics of the amounts where no header says it: won, million or hundred million.
+
+    ``median_each`` is an amount by borrower: loans of small firms lie between 3 and 3,000 millions.  ``repeated`` is the share of rows whose
+    brand comes again, ``decimals`` that of amounts with decimals.  Thousands cannot be told from won by size.
+    """
+    fits = lambda factor: (median_each * factor).between(3.0, 3000.0)
+    one = F.when(fits(1.0) & ~fits(100.0), 1.0).when(fits(100.0) & ~fits(1.0), 100.0)
+    by_size = F.when(median_amount >= 1000, 1.0).when(repeated >= 0.3, 1.0).when(decimals >= 0.2, 100.0).when(median_amount < 100, 100.0).otherwise(1.0)
+    return F.when(median_amount.isNull(), 1.0).when(median_amount >= 1e6, 1e-6).otherwise(F.coalesce(one, by_size))
+
+
+def amount_statistics(rows: DataFrame, keys: list[str], brand: str, amount: str, borrowers: str) -> DataFrame:
+    """(*keys, median_amount, median_each, repeated, decimals) of each book."""
+    a, b = F.when(F.col(amount) > 0, F.col(amount)), F.col(borrowers)
+    per_brand = rows.groupBy(*keys, brand).agg(F.count("*").alias("n")).groupBy(*keys).agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("repeated"))
+    stats = rows.groupBy(*keys).agg(F.median(a).alias("median_amount"), F.median(F.when(b > 0, a / b)).alias("median_each"), F.avg((F.abs(a - F.round(a)) > 1e-9).cast("int")).alias("decimals"))
+    return stats.join(per_brand, keys) if keys else stats.crossJoin(F.broadcast(per_brand))
+
+
 def unit_of_values(book: DataFrame) -> float:
-    """Millions that one unit of ``exposure_raw`` is, from the median size where no header says it: won, thousand, million or hundred million."""
-    m = book.agg(F.median("exposure_raw")).first()[0] or 0.0
-    return 1e-6 if m >= 1e7 else 1.0 if m >= 1e3 else 100.0
+    """The unit of one book's ``exposure_raw``."""
+    s = amount_statistics(book, [], "brand_input", "exposure_raw", "n_borrowers")
+    return s.select(unit_of(*[F.col(c) for c in ("median_amount", "median_each", "repeated", "decimals")])).first()[0]
 
 
 def read_book(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -82,7 +112,7 @@ def read_book(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     )
     book = book.where(F.col("brand_input").isNotNull() & ~F.lower("brand_input").rlike(TOTALS) & (F.col("exposure_raw") > 0))
     factor = F.coalesce(unit_factor(F.lit(head)), F.lit(unit_of_values(book)))
-    kind = F.when(F.coalesce("collateral_raw", F.lit("")) == "", "미기재").otherwise(first_match(F.lower("collateral_raw"), COLLATERAL, "기타"))
+    kind = collateral(F.col("collateral_raw"))
     recovery = "lgd" in role and any(w in header[role["lgd"]].lower() for w in ("회수", "recovery"))
     default = F.element_at(F.create_map(*[F.lit(x) for kv in LGD.items() for x in kv]), F.col("collateral"))
     book = book.withColumn("collateral", kind)

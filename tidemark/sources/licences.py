@@ -41,6 +41,14 @@ def canonical(raw: DataFrame, service: Column) -> DataFrame:
     return out.withColumns({"opened_on": any_date(F.col("opened_on")), "closed_on": F.when(F.col("status_code") == "03", any_date(F.col("closed_on"))), "data_updated_at": any_timestamp(F.col("data_updated_at"))})
 
 
+def service_of(file: Column, services: dict[str, str]) -> Column:
+    """The service that a part of the file's name tells."""
+    out = F
+    for part, name in services.items():
+        out = out.when(file.contains(part), name)
+    return out.otherwise("unknown") if services else F.lit("unknown")
+
+
 def newest(rows: DataFrame) -> DataFrame:
     """The row of latest update of each (service, org_code, mng_no); rows without a management number all stay."""
     w = Window.partitionBy("service", "org_code", "mng_no").orderBy(F.desc_nulls_last("data_updated_at"), F.desc(F.xxhash64(*rows.columns)))
@@ -59,7 +67,4 @@ def licences(spark: SparkSession, paths: str | list[str], services: dict[str, st
         raise ValueError("no line names the management number's column")
     names = [h.strip().strip('"') for h in head[0].line.split(",")]
     raw = every.where((F.col("line") != head[0].line) & (F.trim("line") != "")).select("file", fields(F.col("line"), names, ",").alias("r")).select("file", "r.*")
-    service = F
-    for part, name in services.items():
-        service = service.when(F.col("file").contains(part), name)
-    return newest(canonical(raw, service.otherwise("unknown") if services else F.lit("unknown")))
+    return newest(canonical(raw, service_of(F.col("file"), services)))

@@ -62,3 +62,11 @@ def to_spreadsheet_csv(df: DataFrame, path: str) -> None:
 
 def schema_of(item_type: str) -> StructType:
     return StructType.fromDDL(item_type)
+
+
+#: Columns of persons, dropped at ingest (fixed values).
+PERSONAL = frozenset({"rprsvNm", "telno", "mbtlnum", "email", "lctnAddr"})
+
+
+def without_persons(df: DataFrame) -> DataFrame:
+    return df.drop(*PERSONAL)
