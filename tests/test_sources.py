@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import expr
 from tidemark.sources import books, disclosures, licences, snapshots
 
 
@@ -70,10 +71,35 @@ def test_book_of_a_bank(spark, tmp_path):
 
 def test_delimiters_and_units(spark):
     assert [books.delimiter([x] * 3) for x in ("a,b", "a\tb\tc", "a;b", "a|b", "a")] == [",", "\t", ";", "|", ","]
-    unit = lambda v: books.unit_of_values(spark.createDataFrame([(x,) for x in v], "exposure_raw double"))
+    unit = lambda v: books.unit_of_values(spark.createDataFrame([("a", x, None) for x in v], "brand_input string, exposure_raw double, n_borrowers double"))
     assert (unit([4.5e9]), unit([4500.0]), unit([45.5])) == (1e-6, 1.0, 100.0)
 
 
+def test_collateral_by_the_order_of_the_rules(spark):
+    phrases = {"보증서": "보증서", "신용보증재단 보증서": "보증서", "보증서담보대출": "보증서", "임차보증금": "담보", "전세": "담보", "부동산담보": "담보", "근저당": "담보", "예적금": "담보", "신용": "신용", "무담보": "신용", "무보증": "신용", "unsecured": "신용", "": "미기재", None: "미기재", "-": "미기재", "기계": "기타"}
+    got = spark.createDataFrame([(k,) for k in phrases], "s string").select("s", expr.collateral(F.col("s")).alias("k")).collect()
+    assert {r.s: r.k for r in got} == phrases
+
+
+def test_amounts_names_and_dates(spark):
+    one = lambda e, v: spark.createDataFrame([(v,)], "s string").select(e(F.col("s"))).first()[0]
+    for raw, value in {"1,234": 1234.0, "(500)": -500.0, "△30": -30.0, "▲1.5": -1.5, "−7": -7.0, "₩ 9,000원": 9000.0, "80%": 80.0, "A동 102호": None, "3층-2": None, "": None, "-": None}.items():
+        assert one(expr.money, raw) == value
+    assert one(expr.corporate_name, "(주)앤하우스") == one(expr.corporate_name, "앤하우스 주식회사") == "앤하우스"
+    assert one(expr.aliases, "피자나라 치킨공주(피나치공)") == ["피나치공", "피자나라치킨공주", "피자나라치킨공주피나치공"]
+    assert one(lambda c: expr.particle(c, "은", "는"), "본점") == "본점은" and one(lambda c: expr.particle(c, "은", "는"), "가게") == "가게는"
+    assert one(expr.origination_year, "1995") is None and one(expr.origination_year, "45047") == 2023
+    assert str(one(expr.mail_date, "Mon, 30 Sep 2024 23:00:00 +0000")) == "2024-10-01" and one(expr.mail_date, "yesterday") is None
+    assert one(expr.nfkc, "ＡＢ㈜") == "AB(주)"
+
+
+def test_unit_of_a_book(spark):
+    rows = lambda *v, b=None: spark.createDataFrame([(f"b{i}", float(x), b and float(b)) for i, x in enumerate(v)], "brand_input string, exposure_raw double, n_borrowers double")
+    assert [books.unit_of_values(r) for r in (rows(4.5e9), rows(4500), rows(45.5, 12.5), rows(45), rows(300, b=200), rows(120, b=120), rows(500))] == [1e-6, 1.0, 100.0, 100.0, 100.0, 100.0, 1.0]
+    loans = spark.createDataFrame([("a", 20.0, None), ("a", 30.0, None), ("b", 25.0, None)], "brand_input string, exposure_raw double, n_borrowers double")
+    assert books.unit_of_values(loans) == 1.0
+
+
 def test_tables_by_header_name(spark):
     page = "<h3>재무</h3><p>x</p><table><tr><th>연도</th><th>자산 </th><th>매출</th></tr><tr><td>2023</td><td>1,200</td><td>△<b>30</b></td></tr><tr><td>2022</td><td>0</td><td>-</td></tr><tr><td>only</td></tr></table>"
     df = spark.createDataFrame([(page,), ("<h3>none</h3>",), (None,)], "p string")
@@ -96,6 +122,11 @@ def test_sections_years_and_flags(spark):
 def test_statements_and_opinions(spark):
     amount = lambda s: spark.createDataFrame([(s,)], "s string").select(disclosures.statement_amount(F.col("s"), ["매출액", "영업수익"])).first()[0]
     assert amount("I. 매출액 (주1) 1,234,567 900") == 1234567.0 and amount("영업수익 (1,000)") == -1000.0 and amount("없다") is None
+    # years, notes and amounts of the text before the table are none
+    assert amount("매출액 2018년 1,234,567") == 1234567.0 and amount("매출액 (주14,17) 1,234,567") == 1234567.0 and amount("매출액 2018") is None and amount("매출액 - 5,000") == 0.0
+    both = spark.createDataFrame([("목차 손익계산서 10 매출액 1,419 백만원 " + "주석 " * 200 + "손 익 계 산 서 (단위: 원) 매출액 77,000",), ("영업손실 1,500",), ("영업손실 (1,500)",), ("영업이익 2,500",)], "s string")
+    assert both.select(disclosures.statement_amount(F.col("s"), ["매출액"], results=True)).first()[0] == 77000.0
+    assert [r[0] for r in both.select(disclosures.statement_amount(F.col("s"), [("영업이익", 1), ("영업손실", -1)])).collect()][1:] == [-1500.0, -1500.0, 2500.0]
     o = spark.createDataFrame([("감사의견: 적정의견",), ("의견거절",), ("an unqualified opinion",), ("",)], "s string").select(disclosures.audit_opinion(F.col("s"))).collect()
     assert [r[0] for r in o] == ["unqualified", "disclaimer", "unqualified", None]
     g = spark.createDataFrame([("계속기업으로서의 존속능력에 불확실성",), ("x" * 500,), ("x",)], "s string").select(disclosures.going_concern(F.col("s"))).collect()

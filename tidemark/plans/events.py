@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import ranked, running
 from tidemark.plans.base import query, r6, table
 from tidemark.streaming import licences
 
@@ -44,12 +45,16 @@ def yoy_signal(spark, sf_dir):
     return x.select("user_id", F.col("day").cast("string").alias("day"), "closes", "before", signal.alias("signal"))
 
 
-@query(f"""WITH {FLOWS}, a AS (SELECT day, CAST(sum(n_close) AS BIGINT) AS closes, CAST(sum(n_open) AS BIGINT) AS opens FROM f GROUP BY 1), b AS (SELECT *, lag(closes) OVER (ORDER BY day) AS before FROM a) SELECT CAST(day AS VARCHAR) AS day, closes, opens, coalesce(closes >= 20 AND closes >= 1.1 * before, false) AS bulk FROM b""")
+@query("""WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS closes, count(*) FILTER (event_type = 'signup') AS opens FROM events GROUP BY 1), b AS (SELECT *, CAST(100 + sum(opens - closes) OVER (ORDER BY day) AS BIGINT) AS active FROM a)
+ SELECT CAST(day AS VARCHAR) AS day, closes, opens, active, coalesce(closes >= 20 AND closes >= 0.3 * lag(active) OVER (ORDER BY day), false) AS bulk FROM b""")
 def bulk_flag(spark, sf_dir):
-    a = flows(spark, sf_dir).groupBy("day").agg(F.sum("n_close").alias("closes"), F.sum("n_open").alias("opens"))
-    before = a.select(F.date_add("day", 1).alias("day"), F.col("closes").alias("before"))
-    bulk = F.coalesce((F.col("closes") >= 20) & (F.col("closes") >= 1.1 * F.col("before")), F.lit(False))
-    return a.join(before, "day", "left").select(F.col("day").cast("string").alias("day"), "closes", "opens", bulk.alias("bulk"))
+    """Days on which twenty or more close, thirty percent or more of those active the day before; events are counted directly, no grid is made."""
+    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("closes"), F.count_if(F.col("event_type") == "signup").alias("opens"))
+    x = running(e, [F.asc("day")], {"net": F.col("opens") - F.col("closes")}).withColumn("active", 100 + F.col("net"))
+    last = ranked(x, [F.asc("day")], "place")
+    before = last.select((F.col("place") + 1).alias("place"), F.col("active").alias("before"))
+    bulk = F.coalesce((F.col("closes") >= 20) & (F.col("closes") >= 0.3 * F.col("before")), F.lit(False))
+    return last.join(before, "place", "left").select(F.col("day").cast("string").alias("day"), "closes", "opens", "active", bulk.alias("bulk"))
 
 
 @query(f"""WITH {FLOWS}, t AS (SELECT user_id, sum(n_open) AS o, sum(n_close) AS c, regr_slope(n_close, epoch(day) / 86400) AS slope FROM f GROUP BY 1) SELECT user_id, CAST(o AS BIGINT) AS opens, CAST(c AS BIGINT) AS closes, round(slope, 6) AS slope FROM t""")

@@ -118,12 +118,12 @@ def rank_pct_average(spark, sf_dir):
     return full_panel(spark, sf_dir).select("brand_id", "year", r6(W.average_rank_share("n_stores", "year", "mid"), "share"))
 
 
-@query(f"""WITH {FULL} SELECT brand_id, round(row_number() OVER (ORDER BY avg_sales, brand_id) * 1.0 / count(*) OVER (), 6) AS share FROM f WHERE year = 1998""")
+@query(f"""WITH {FULL} SELECT brand_id, year, round(row_number() OVER (ORDER BY avg_sales, brand_id, year) * 1.0 / count(*) OVER (), 6) AS share FROM f""")
 def rank_pct_first(spark, sf_dir):
     from tidemark.operators.ordered import ranked
 
-    x = ranked(panel(spark, sf_dir).where("year = 1998"), [F.asc("avg_sales"), F.asc("brand_id")])
-    return x.crossJoin(F.broadcast(x.agg(F.count("*").alias("n")))).select("brand_id", r6(F.col("rank") / F.col("n"), "share"))
+    x = ranked(panel(spark, sf_dir), [F.asc("avg_sales"), F.asc("brand_id"), F.asc("year")])
+    return x.crossJoin(F.broadcast(x.agg(F.count("*").alias("n")))).select("brand_id", "year", r6(F.col("rank") / F.col("n"), "share"))
 
 
 @query(f"""WITH {FULL} SELECT brand_id, year, CASE WHEN count(*) OVER (PARTITION BY year, mid) >= 5 THEN round((cume_dist() OVER w + (rank() OVER w - 1.0) / count(*) OVER (PARTITION BY year, mid)) / 2, 6) END AS share FROM f WINDOW w AS (PARTITION BY year, mid ORDER BY avg_sales)""")

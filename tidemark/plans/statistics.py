@@ -44,11 +44,6 @@ def metric_row(spark, sf_dir):
     return scored(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg(y), "base_rate"), r6(F.avg((p - y) * (p - y)), "brier"), r6(loss, "log_loss"))
 
 
-@query(f"WITH {SCORED} SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS rate FROM s GROUP BY 1")
-def reliability_bins(spark, sf_dir):
-    return M.calibration_table(scored(spark, sf_dir), "p", "y").select("bin", "n", r6("mean_score", "mean_score"), r6("rate", "rate"))
-
-
 @query(f"WITH {SCORED}, t AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS m, avg(y) AS r FROM s GROUP BY 1) SELECT round(sum(n * abs(r - m)) / sum(n), 6) AS ece FROM t")
 def ece(spark, sf_dir):
     return M.expected_calibration_error(M.calibration_table(scored(spark, sf_dir), "p", "y")).select(r6("ece", "ece"))

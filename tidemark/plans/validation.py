@@ -148,20 +148,6 @@ def exact_rate_table(spark, sf_dir):
     return t.mapInPandas(exact, "n_events int, n long, k long, rate double, low double, high double, p_above double")
 
 
-@query()
-def sibling_contrast(spark, sf_dir):
-    """(n_with, k_with, n_without, k_without, p_value): labels of rows whose industry and year had an earlier event beside the others, by Fisher's exact test."""
-    x = labelled(spark, sf_dir).where("label is not null and prev_stores is not null")
-    hit = F.col("n_events") > 0
-    t = x.agg(F.count_if(hit).alias("n_with"), F.coalesce(F.sum(F.when(hit, F.col("label"))), F.lit(0)).alias("k_with"), F.count_if(~hit).alias("n_without"), F.coalesce(F.sum(F.when(~hit, F.col("label"))), F.lit(0)).alias("k_without"))
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(p_value=[kernels.fisher_two_sided(int(r.k_with), int(r.n_with - r.k_with), int(r.k_without), int(r.n_without - r.k_without)) for r in b.itertuples()])
-
-    return t.mapInPandas(exact, "n_with long, k_with long, n_without long, k_without long, p_value double")
-
-
 #: Closings that a comparison needs, openings in the base, and the level of the test (fixed values).
 LEAST_EVENTS, LEAST_BASE, ALPHA = 3, 10, 0.05
 

@@ -22,7 +22,11 @@ def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = spark.read.parquet(path).schema
     name = f"daily_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
     # a stream reads a folder: a single file is named by its folder and a filter on the name
     parent, _, leaf = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(parent) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
