@@ -15,27 +15,63 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.select("id", F.explode(both).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def weighted(tf: DataFrame, df_table: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(id, term, weight): sublinear tf by smoothed idf, of length one for each text."""
-    x = tf.join(df_table, "term").crossJoin(F.broadcast(n_docs))
-    x = x.withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
-    norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return x.join(norm, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+def character_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf): runs of two to four characters inside each word, a blank put on either side of it.
 
+    A text's words are counted first, so that a word that comes often is cut once.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    counted = df.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    runs = F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda size: F.when(F.length("word") + 2 >= size, F.transform(F.sequence(F.lit(1), F.length("word") + 3 - size), lambda i: F.substr(padded, i, size))).otherwise(F.array().cast("array<string>"))))
+    return counted.select("id", "n", F.explode(runs).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02) -> DataFrame:
-    """(query_id, doc_id, score, place): the k nearest documents of each query by cosine, ties by id.
 
-    ``corpus`` has doc_id, text; ``queries`` has query_id, text.  Postings are read only for terms that a query has.
+def half_scores(tf: DataFrame, asked: DataFrame, n_docs: DataFrame, share: float, min_df: int) -> DataFrame:
+    """(query_id, doc_id, part): a share of the cosine of every query and document with a term in common.
+
+    Weights are 1 + ln(tf) times a smoothed idf; terms of fewer than ``min_df`` documents are none.  One pass by document adds up its length and keeps, of
+    its terms, only those that a query has.
+    """
+    frequency = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n_docs))
+    idf = frequency.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    weighed = tf.join(idf.join(wanted, "term", "left"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    kept = F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw")))
+    docs = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), kept.alias("kept")).where("size(kept) > 0")
+    d = docs.select(F.col("id").alias("doc_id"), "norm", F.explode("kept").alias("k")).select("doc_id", "k.term", (F.col("k.raw") / F.col("norm")).alias("dw"))
+    q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("qw"))
+    return d.join(q, "term").groupBy("query_id", "doc_id").agg((share * F.sum(F.col("qw") * F.col("dw"))).alias("part"))
+
+
+def scores(corpus: DataFrame, queries: DataFrame, least: float = 0.02) -> DataFrame:
+    """(query_id, doc_id, score): the mean of a cosine over words and pairs and one over characters of words, so that inflected or misspelled words count too.
+
+    ``corpus`` has doc_id, text; ``queries`` has query_id, text.
     """
-    tf = terms(corpus, "doc_id", "text")
-    df_table = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("n_docs"))
-    d = weighted(tf, df_table, n).select(F.col("id").alias("doc_id"), "term", F.col("weight").alias("dw"))
-    q = weighted(terms(queries, "query_id", "text"), df_table, n).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    s = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score")).where(F.col("score") >= least)
+    words = half_scores(terms(corpus, "doc_id", "text"), terms(queries, "query_id", "text"), n, 0.5, 1)
+    runs = half_scores(character_terms(corpus, "doc_id", "text"), character_terms(queries, "query_id", "text"), n, 0.5, 3)
+    return words.union(runs).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where(F.col("score") >= least)
+
+
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02) -> DataFrame:
+    """(query_id, doc_id, score, place): the k nearest documents of each query, ties by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return scores(corpus, queries, least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def scoped(found: DataFrame, scope: DataFrame, inside: int, k: int) -> DataFrame:
+    """(query_id, doc_id, score, scope, place): at most ``inside`` hits of a query's own scope, then others up to ``k`` in all, each with the scope it came by.
+
+    ``scope`` (query_id, doc_id) names what is inside.
+    """
+    x = found.join(scope.withColumn("own", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "doc_id"))
+    x = x.withColumn("scope", F.when(F.col("own") & (first <= inside), "own").otherwise("all"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("scope"), F.desc("score"), "doc_id"))
+    return x.withColumn("place", place).where(F.col("place") <= k).select("query_id", "doc_id", "score", "scope", "place")
 
 
 GRAM = 3
@@ -44,7 +80,7 @@ GRAM = 3
 def tiered_search(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, name, tier) for distinct ``names`` (name) and ``wanted`` (wanted), the best tier of each only.
 
-    Tier 0 is equal, 1 containing, 4 alike at both ends (two characters each, of four or more).  Every tier is an equi-join: a name that contains
+    Tier 0 is equal, 1 containing, 3 containing by the Hangul alone (two letters or more), 4 alike at both ends (two characters each, of four or more).  Every tier is an equi-join: a name that contains
     what is wanted holds its rarest gram, so the postings of one gram are read; what is shorter than a gram meets
     the names by itself.  Nulls and empty strings match nothing.
     """
@@ -54,15 +90,24 @@ def tiered_search(names: DataFrame, wanted: DataFrame) -> DataFrame:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(size))))
 
     exact = wanted.join(names, F.col("wanted") == F.col("name")).select("wanted", "name", F.lit(0).alias("tier"))
-    postings = names.where(F.length("name") >= GRAM).select("name", F.explode(grams("name", GRAM)).alias("gram"))
-    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(grams("wanted", GRAM)).alias("gram"))
-    rarest = asked.join(frequency, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
-    holding = rarest.select("wanted", "g.gram").join(postings, "gram").where(F.col("name").contains(F.col("wanted")))
-    short = names.select("name", F.explode(F.array_union(grams("name", 1), grams("name", 2))).alias("gram")).where(F.length("gram") < GRAM)
-    holding = holding.select("wanted", "name").union(short.join(wanted, F.col("gram") == F.col("wanted")).select("wanted", "name"))
+
+    def containing(names: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(wanted, name) of distinct names that hold what is wanted."""
+        postings = names.where(F.length("name") >= GRAM).select("name", F.explode(grams("name", GRAM)).alias("gram"))
+        frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
+        asked = wanted.where(F.length("wanted") >= GRAM).select("wanted", F.explode(grams("wanted", GRAM)).alias("gram"))
+        rarest = asked.join(frequency, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+        holding = rarest.select("wanted", "g.gram").join(postings, "gram").where(F.col("name").contains(F.col("wanted")))
+        short = names.select("name", F.explode(F.array_union(grams("name", 1), grams("name", 2))).alias("gram")).where(F.length("gram") < GRAM)
+        return holding.select("wanted", "name").union(short.join(wanted, F.col("gram") == F.col("wanted")).select("wanted", "name"))
+
+    holding = containing(names, wanted)
+    hangul = lambda df, c: df.select(c, F.regexp_replace(c, "[^가-힣]", "").alias("key")).where(F.length("key") >= 2)
+    n, w = hangul(names, "name"), hangul(wanted, "wanted")
+    keys = containing(n.select(F.col("key").alias("name")).distinct(), w.select(F.col("key").alias("wanted")).distinct()).select(F.col("wanted").alias("wkey"), F.col("name").alias("nkey"))
+    korean = keys.join(w, F.col("wkey") == F.col("key")).drop("key").join(n, F.col("nkey") == F.col("key")).select("wanted", "name", F.lit(3).alias("tier"))
     ends = lambda df, c: df.where(F.length(c) >= 4).withColumn("ends", F.concat(F.substring(c, 1, 2), F.right(c, F.lit(2))))
     alike = ends(wanted, "wanted").join(ends(names, "name"), "ends").select("wanted", "name", F.lit(4).alias("tier"))
-    every = exact.union(holding.withColumn("tier", F.lit(1))).union(alike).groupBy("wanted", "name").agg(F.min("tier").alias("tier"))
+    every = exact.union(holding.withColumn("tier", F.lit(1))).union(korean).union(alike).groupBy("wanted", "name").agg(F.min("tier").alias("tier"))
     best = every.groupBy("wanted").agg(F.min("tier").alias("tier"))
     return every.join(best, ["wanted", "tier"]).select("wanted", "name", "tier")

@@ -27,17 +27,36 @@ def tiered_search(spark, sf_dir):
     return retrieval.tiered_search(names, typed).join(names, "name").select("wanted", "name", "tier", "owners")
 
 
-@query(r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), qw AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
- tm AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0), tf AS (SELECT id, term, count(*) AS tf FROM tm GROUP BY 1, 2),
- qm AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM qw WHERE len(w) > 0), qf AS (SELECT id, term, count(*) AS tf FROM qm GROUP BY 1, 2),
- df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM w),
- dr AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term), n), dw AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM dr),
- qr AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS raw FROM qf JOIN df USING (term), n), qn AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM qr),
- s AS (SELECT qn.id AS query_id, dw.id AS doc_id, round(sum(qn.w * dw.w), 6) AS score FROM qn JOIN dw USING (term) GROUP BY 1, 2)
- SELECT query_id, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM s WHERE score >= 0.02) WHERE place <= 5""")
+_HALF = lambda h, least: f"""{h}f AS (SELECT term, count(*) AS df FROM {h}d GROUP BY 1 HAVING count(*) >= {least}), {h}i AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM {h}f, n),
+ {h}w AS (SELECT id, term, (1 + ln(tf)) * idf AS raw FROM {h}d JOIN {h}i USING (term)), {h}v AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM {h}w), {h}x AS (SELECT id, term, (1 + ln(tf)) * idf AS raw FROM {h}q JOIN {h}i USING (term)), {h}y AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM {h}x)"""
+_PAIRS = "list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
+_RUNS = "flatten(list_transform([2, 3, 4], lambda k: list_transform(generate_series(1, length(word) + 3 - k), lambda i: substr(' ' || word || ' ', i, k))))"
+SCORES = rf"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents), qw AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark), n AS (SELECT count(*) AS n FROM w),
+ wd AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_PAIRS}) AS term FROM w WHERE len(w) > 0) GROUP BY 1, 2), wq AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_PAIRS}) AS term FROM qw WHERE len(w) > 0) GROUP BY 1, 2),
+ cd AS (SELECT id, term, sum(m) AS tf FROM (SELECT id, m, unnest({_RUNS}) AS term FROM (SELECT id, word, count(*) AS m FROM (SELECT id, unnest(w) AS word FROM w) GROUP BY 1, 2)) GROUP BY 1, 2), cq AS (SELECT id, term, sum(m) AS tf FROM (SELECT id, m, unnest({_RUNS}) AS term FROM (SELECT id, word, count(*) AS m FROM (SELECT id, unnest(w) AS word FROM qw) GROUP BY 1, 2)) GROUP BY 1, 2),
+ {_HALF("w", 1)}, {_HALF("c", 3)}, parts AS (SELECT q.id AS query_id, d.id AS doc_id, 0.5 * sum(q.w * d.w) AS part FROM wy q JOIN wv d USING (term) GROUP BY 1, 2 UNION ALL SELECT q.id, d.id, 0.5 * sum(q.w * d.w) FROM cy q JOIN cv d USING (term) GROUP BY 1, 2),
+ s AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM parts GROUP BY 1, 2 HAVING round(sum(part), 6) >= 0.02)"""
+
+
+def _searched(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"""WITH {SCORES} SELECT query_id, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM s) WHERE place <= 5""")
 def tfidf_retrieve(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return retrieval.retrieve(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+    return retrieval.retrieve(*_searched(spark, sf_dir), 5)
+
+
+@query(f"""WITH {SCORES}, z AS (SELECT s.*, d.lang = ['en', 'de', 'fr', 'es'][CAST(query_id % 4 + 1 AS INTEGER)] AS own FROM s JOIN (SELECT doc_id, min(lang) AS lang FROM documents GROUP BY 1) d USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(own, false) ORDER BY score DESC, doc_id) AS k FROM z),
+ t AS (SELECT *, CASE WHEN own AND k <= 3 THEN 'own' ELSE 'all' END AS scope FROM r) SELECT query_id, doc_id, score, scope, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scope DESC, score DESC, doc_id) AS INTEGER) AS place FROM t) WHERE place <= 5""")
+def scoped_evidence(spark, sf_dir):
+    """Evidence in a query's own language first, then relaxed to all; each document once, with the scope that it came by."""
+    docs, queries = _searched(spark, sf_dir)
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("query_id") % 4 + 1).cast("int"))
+    langs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    found = retrieval.scores(docs, queries)
+    own = found.join(langs, "doc_id").where(F.col("lang") == lang).select("query_id", "doc_id")
+    return retrieval.scoped(found, own, 3, 5)
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"')) AS links FROM pages""")
