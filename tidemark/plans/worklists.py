@@ -339,3 +339,72 @@ def batch_screening(spark, sf_dir):
     x = lst.join(g, "id", "left").join(e, "id", "left")
     guidance = F.when(F.col("id").isNull(), "unmatched").when(F.col("grade") == "FS3", "ask").otherwise("pass")
     return x.select(F.col("own").alias("id"), "name", "grade", F.coalesce("findings", F.lit(0)).alias("findings"), guidance.alias("guidance"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('(주)', p_name) WHEN 1 THEN concat('주식회사 ', p_name) WHEN 2 THEN p_name ELSE '  ★ ' END AS raw FROM part), n AS (SELECT id, regexp_replace(regexp_replace(lower(trim(raw)), '^(\\(주\\)|주식회사)\\s*', ''), '[^a-z0-9가-힣]', '', 'g') AS norm FROM t)
+ SELECT nullif(norm, '') AS norm, count(*) AS n, min(id) AS first_id, norm <> '' AS kept FROM n GROUP BY 1, 4""")
+def identity_names(spark, sf_dir):
+    """Names in compatibility form without a legal form in front, letters and digits only; how many are left empty and dropped is counted."""
+    from tidemark.functions.expr import nfkc
+
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit("㈜"), "p_name")).when(k == 1, F.concat(F.lit("주식회사 "), "p_name")).when(k == 2, F.col("p_name")).otherwise("  ★ ")
+    norm = normal_name(F.regexp_replace(F.lower(F.trim(nfkc(raw))), r"^(\(주\)|주식회사)\s*", ""))
+    return p.select("p_partkey", norm.alias("norm")).groupBy("norm").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id")).withColumn("kept", F.col("norm").isNotNull())
+
+
+@query("""WITH a AS (SELECT l_suppkey AS id, count(*) AS total FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1), b AS (SELECT l_suppkey AS id, count(DISTINCT l_linenumber) AS regions FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1) SELECT coalesce(a.id, b.id) AS id, total, regions FROM a FULL JOIN b ON a.id = b.id""")
+def totals_and_regions(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    a = li.where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("total"))
+    b = li.where("l_suppkey % 4 <> 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.count_distinct("l_linenumber").alias("regions"))
+    return a.join(b, "id", "full").select("id", "total", "regions")
+
+
+@query("""WITH h AS (SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS fy, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT s_suppkey AS brand_id, fy, concat(s_name, ', ', fy, ': ', n, ' orders', CASE WHEN n >= 20 THEN ', large' ELSE '' END) AS text FROM h JOIN supplier ON s_nationkey = nation""")
+def account_sentences(spark, sf_dir):
+    """A sentence for each brand and fiscal year of its headquarters' accounts."""
+    o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    h = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("fy")).agg(F.count("*").alias("n"))
+    head = F.concat("s_name", F.lit(", "), F.col("fy").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" orders"))
+    return s.join(h, s.s_nationkey == h.nation).select(F.col("s_suppkey").alias("brand_id"), "fy", F.concat_ws(", ", head, F.when(F.col("n") >= 20, "large")).alias("text"))
+
+
+@query(f"""WITH {EXPOSURES}, g AS (SELECT nation, count(*) FILTER (p < 0.32) AS fs1, count(*) FILTER (p >= 0.32 AND p < 0.34) AS fs2, count(*) FILTER (p >= 0.34) AS fs3, count(*) AS total FROM x GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY fs3 * 1.0 / total, nation) AS place FROM g) SELECT nation, fs1, fs2, fs3, round(fs3 * 1.0 / total, 6) AS ratio, place FROM r WHERE place <= 10""")
+def grade_tail(spark, sf_dir):
+    """Grades by industry, wide, where there are enough; the ten of the least share of the worst grade, from the bottom up."""
+    x = exposures(spark, sf_dir).withColumn("grade", graded(F.col("p"), CUTS, GRADES))
+    g = x.groupBy("nation").pivot("grade", GRADES).count().fillna(0)
+    total = F.col("FS1") + F.col("FS2") + F.col("FS3")
+    g = g.select("nation", F.col("FS1").alias("fs1"), F.col("FS2").alias("fs2"), F.col("FS3").alias("fs3"), total.alias("total"), (F.col("FS3") / total).alias("r")).where("total >= 2")
+    return ranked(g, [F.asc("r"), F.asc("nation")], "place").where("place <= 10").select("nation", "fs1", "fs2", "fs3", r6("r", "ratio"), "place")
+
+
+@query(f"""WITH {EXPOSURES}, q AS (SELECT nation, quantile_cont(p, 0.6) AS a, quantile_cont(p, 0.9) AS b FROM x GROUP BY 1) SELECT nation, round(CASE WHEN nation % 2 = 0 THEN 0.32 ELSE a END, 6) AS low, round(CASE WHEN nation % 2 = 0 THEN 0.34 ELSE b END, 6) AS high, CASE WHEN nation % 2 = 0 THEN 'published' ELSE 'quantile' END AS basis FROM q""")
+def published_or_quantile_cuts(spark, sf_dir):
+    """The published cuts of an industry, else quantiles of its scores, with what they rest on."""
+    q = exposures(spark, sf_dir).groupBy("nation").agg(F.percentile("p", 0.6).alias("a"), F.percentile("p", 0.9).alias("b"))
+    published = F.when(F.col("nation") % 2 == 0, F.struct(F.lit(0.32).alias("a"), F.lit(0.34).alias("b")))
+    return q.select("nation", r6(F.coalesce(published["a"], "a"), "low"), r6(F.coalesce(published["b"], "b"), "high"), F.when(published.isNotNull(), "published").otherwise("quantile").alias("basis"))
+
+
+@query("""WITH t AS (SELECT l_suppkey AS id, max(l_extendedprice) AS top FROM lineitem GROUP BY 1) SELECT t.id, top, min(l_linestatus || l_returnflag) AS state FROM t JOIN lineitem ON l_suppkey = t.id AND l_extendedprice = top GROUP BY 1, 2 HAVING min(l_linestatus || l_returnflag) NOT LIKE '%N'""")
+def greatest_rows(spark, sf_dir):
+    """The row of greatest value of each key where its state is not clean; keys are asserted to be unique."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_extendedprice").alias("top"), F.concat("l_linestatus", "l_returnflag").alias("state"))
+    best = best_row(li, ["id"], [F.desc("top"), F.asc("state")])
+    if not best.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a key comes twice")
+    return best.where(~F.col("state").endswith("N"))
+
+
+#: Display names of features (fixed values of the test).
+SHOWN = {"growth": "Stores, change", "sales_growth": "Sales, change", "end_rate": "Contracts ended"}
+
+
+@query(f"""WITH {LABELLED}, u AS (SELECT unnest(['growth', 'sales_growth', 'end_rate', 'label']) AS name, unnest([growth, sales_growth, end_rate, label::DOUBLE]) AS v FROM x) SELECT name, CASE name WHEN 'growth' THEN 'Stores, change' WHEN 'sales_growth' THEN 'Sales, change' WHEN 'end_rate' THEN 'Contracts ended' ELSE replace(name, '_', ' ') END AS shown, count(v) AS known FROM u GROUP BY 1 HAVING count(v) > 0""")
+def feature_columns(spark, sf_dir):
+    """The numeric features that have any value, with the names they are shown by."""
+    long = labelled(spark, sf_dir).select("growth", "sales_growth", "end_rate", F.col("label").cast("double").alias("label"), F.lit(None).cast("double").alias("empty")).unpivot([], ["growth", "sales_growth", "end_rate", "label", "empty"], "name", "v")
+    shown = F.element_at(F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv]), F.col("name"))
+    return long.groupBy("name").agg(F.count("v").alias("known")).where("known > 0").select("name", F.coalesce(shown, F.replace("name", F.lit("_"), F.lit(" "))).alias("shown"), "known")
