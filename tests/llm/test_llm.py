@@ -332,7 +332,9 @@ def test_the_scan_finds_content_without_semantic_tags(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     learned = pages.where("page_id < 200")
     model = main_text.fit(learned, spark.createDataFrame(shown, "doc_id long, text string"))
-    got = {r.page_id: r.text for r in main_text.main_texts(pages, model).collect()}
+    clashing = pages.selectExpr("*", "'x' as text", "1 as n_chars", "2 as doc_id", "'y' as page")
+    assert main_text.fit(clashing.where("page_id < 200"), spark.createDataFrame([(i, t, "z") for i, t in shown], "doc_id long, text string, page string")) == model
+    got = {r.page_id: r.text for r in main_text.main_texts(clashing, model).collect()}
     assert sum(got[i] == t for i, t in shown if i >= 200) >= 198
 
 
@@ -416,6 +418,15 @@ def test_classifiers_on_held_out_labels(spark, docs, nothing, operator, label, l
     assert len({r.score for r in operator.scores(docs, none).collect()}) == 1
 
 
+def test_toxic_rows_aside_are_found(spark):
+    """Held-out recall on the larger table: nine in ten toxic rows, hardly any other."""
+    d, marks = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit(d, marks, ~toxicity.held_out())
+    aside = toxicity.scores(d, model).where(toxicity.held_out()).join(marks, "doc_id")
+    found, toxic, wrong, others = aside.agg(*[F.count_if(F.expr(c)) for c in ("toxic = 1 and predicted = 1", "toxic = 1", "toxic = 0 and predicted = 1", "toxic = 0")]).first()
+    assert found >= 0.9 * toxic and wrong <= 0.02 * others
+
+
 def test_the_negative_risk_is_not_fitted_below_nothing():
     rng = np.random.default_rng(0)
     rows = [np.array([0] if i < 30 else [], np.int64) for i in range(40)] + [np.array([0] if i < 20 else [1], np.int64) for i in range(200)]

@@ -22,6 +22,8 @@ from tidemark.llm.common import cut, shuffle_width, spans, texts, whole_groups
 from tidemark.llm.components import connected_components
 
 SEGMENTS, WIDTH, TOLERANCE, WORDS, SEED = 4, 16, 3, 3, 42
+#: Shingles of a text that are hashed at once.
+BLOCK = 100_000
 
 
 def text_fingerprint(data: bytes, words: int = WORDS) -> int:
@@ -29,15 +31,13 @@ def text_fingerprint(data: bytes, words: int = WORDS) -> int:
     parts = data.lower().split()
     if not parts:
         return 0
-    n = len(parts)
-    if n <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(b" ".join(s), SEED) for s in zip(*(parts[k:] for k in range(words)))]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+    n, digest = max(1, len(parts) - words + 1), xxhash.xxh64_intdigest
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, n, BLOCK):  # a long text's hashes are added up in blocks
+        own = parts[begin : min(begin + BLOCK, n) + words - 1]
+        hashes = [digest(b" ".join(s), SEED) for s in zip(*(own[k:] for k in range(words)))] if len(parts) >= words else [digest(b" ".join(parts), SEED)]
+        ones += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +113,8 @@ def links(fps: DataFrame) -> DataFrame:
     Groups stream through sorted partitions as 8-byte values, so none is collected whole by Spark, and
     a group of s members gives fewer than s links, never all pairs.
     """
-    keyed = _chain_keys(fps).repartition(shuffle_width(fps.sparkSession), "key").sortWithinPartitions("key")
+    # spread first: every fingerprint gives dozens of keys
+    keyed = _chain_keys(fps.repartition(shuffle_width(fps.sparkSession))).repartition(shuffle_width(fps.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, probe, fp in whole_groups(batches, 3):
