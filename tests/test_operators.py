@@ -166,6 +166,8 @@ def test_exact_rates_hold_their_rate(spark):
 def test_tiers_of_search(spark):
     from tidemark.operators import retrieval
 
+    korean = retrieval.tiered_search(spark.createDataFrame([("BBQ 비비큐",), ("비비큐1호",), ("큐",)], "name string"), spark.createDataFrame([("bhc비비큐",), ("x큐",)], "wanted string"))
+    assert {tuple(r) for r in korean.collect()} == {("bhc비비큐", "BBQ 비비큐", 3), ("bhc비비큐", "비비큐1호", 3)}
     names = spark.createDataFrame([(n,) for n in ("bluecoffee", "coffee", "cafe", "coffeehouse", "코끼리커피", "cobyee", "", None)], "name string")
     wanted = spark.createDataFrame([(w,) for w in ("coffee", "blue", "커피", "coxxee", "zzz", "", None)], "wanted string")
     got = {tuple(r) for r in retrieval.tiered_search(names, wanted).collect()}
