@@ -51,8 +51,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove a table of ``written`` that nothing reads any more."""
-    context = table.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    context, files = table.sparkSession.sparkContext, table.inputFiles()
+    if not files:
+        return
+    folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
     if folder.getName().startswith("table-"):
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
