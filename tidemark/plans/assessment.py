@@ -343,3 +343,30 @@ def boosted_candidates(spark, sf_dir):
         if best is None or auc > best[0]:
             best = (auc, depth, scored_)
     return best[2](x.where("split = 'test'")).withColumn("depth", F.lit(best[1]))
+
+
+_LOW, _HIGH = (f"(k * 1.0 / n + 1.9207294103470573 / n {s} 1.959963984540054 * sqrt((k * 1.0 / n) * (1 - k * 1.0 / n) / n + 3.8414588206941146 / (4.0 * n * n))) / (1 + 3.8414588206941146 / n)" for s in "-+")
+
+
+@query(f"""WITH {LABELLED}, c AS (SELECT year, least(n_events, 2) AS grade, count(*) AS n, CAST(sum(label) AS BIGINT) AS k FROM x WHERE label IS NOT NULL AND prev_stores IS NOT NULL GROUP BY 1, 2), v AS (SELECT *, k * 1.0 / n AS rate, {_LOW} AS low, {_HIGH} AS high FROM c)
+ SELECT year, CAST(grade AS INTEGER) AS grade, n, k, round(rate, 6) AS rate, rate < lead(rate) OVER w AS rises, high < lead(low) OVER w AS apart FROM v WINDOW w AS (PARTITION BY year ORDER BY grade)""")
+def realised_by_year(spark, sf_dir):
+    """Rates by year and grade, whether the next grade's is higher, and whether the two Wilson intervals part."""
+    from tidemark.functions.expr import wilson
+
+    x = labelled(spark, sf_dir).where("label is not null and prev_stores is not null")
+    c = x.groupBy("year", F.least("n_events", F.lit(2)).alias("grade")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    w = Window.partitionBy("year").orderBy("grade")  # a handful of grades
+    v = c.withColumns({"r": F.col("k") / F.col("n"), "low": low, "high": high})
+    return v.select("year", "grade", "n", "k", r6("r", "rate"), (F.col("r") < F.lead("r").over(w)).alias("rises"), (F.col("high") < F.lead("low").over(w)).alias("apart"))
+
+
+@query(f"""WITH {LABELLED}, b AS (SELECT year, grp, count(*) FILTER (prev_stores >= 2) AS pool, quantile_cont(growth, 0.2) FILTER (prev_stores >= 2) AS low FROM g GROUP BY 1, 2) SELECT g.brand_id, g.year, pool, coalesce(growth < low, false) AS fired FROM g JOIN b USING (year, grp)""")
+def pool_masked_flags(spark, sf_dir):
+    """Flags against a group quantile that only the pool's rows make, laid on all rows of the group."""
+    pool = F.col("prev_stores") >= 2
+    x = labelled(spark, sf_dir).select("brand_id", "year", "grp", "growth", "prev_stores")
+    sizes = x.groupBy("year", "grp").agg(F.count_if(pool).alias("pool"))
+    q = W.group_quantiles(x, ["year", "grp"], {"low": ("growth", 0.2)}, pool)
+    return q.join(sizes, ["year", "grp"]).select("brand_id", "year", "pool", F.coalesce(F.col("growth") < F.col("low"), F.lit(False)).alias("fired"))
