@@ -121,7 +121,7 @@ _SIBS = f"""{LABELLED}, m AS (SELECT x.*, c_nationkey AS hq FROM x JOIN customer
 
 @query(f"""WITH {_SIBS}, h AS (SELECT z.*, unnest(range(greatest(0, k_with + k_without - n_without), least(n_with, k_with + k_without) + 1)) AS a FROM z),
  d AS (SELECT *, exp(lgamma(n_with + 1) - lgamma(a + 1) - lgamma(n_with - a + 1) + lgamma(n_without + 1) - lgamma(k_with + k_without - a + 1) - lgamma(n_without - k_with - k_without + a + 1) - lgamma(n_with + n_without + 1) + lgamma(k_with + k_without + 1) + lgamma(n_with + n_without - k_with - k_without + 1)) AS pr FROM h)
- SELECT n_with, k_with, n_without, k_without, round(least(1, sum(pr) FILTER (pr <= (1 + 1e-7) * own)), 4) AS p_value FROM (SELECT d.*, max(CASE WHEN a = k_with THEN pr END) OVER () AS own FROM d) GROUP BY 1, 2, 3, 4""")
+ SELECT n_with, k_with, n_without, k_without, round(least(1, sum(pr) FILTER (pr <= (1 + 1e-7) * own)), 6) AS p_value FROM (SELECT d.*, max(CASE WHEN a = k_with THEN pr END) OVER () AS own FROM d) GROUP BY 1, 2, 3, 4""")
 def sibling_contrast(spark, sf_dir):
     """Labels of brands with a sibling of the same headquarters and year in trouble against those without, by Fisher's exact test.
 
@@ -136,7 +136,7 @@ def sibling_contrast(spark, sf_dir):
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(p_value=[round(kernels.fisher_two_sided(int(r.k_with), int(r.n_with - r.k_with), int(r.k_without), int(r.n_without - r.k_without)), 4) for r in b.itertuples()])
+            yield b.assign(p_value=[round(kernels.fisher_two_sided(int(r.k_with), int(r.n_with - r.k_with), int(r.k_without), int(r.n_without - r.k_without)), 6) for r in b.itertuples()])
 
     return t.mapInPandas(exact, "n_with long, k_with long, n_without long, k_without long, p_value double")
 
