@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, main_text, passages, pieces, quality, simhash, spotsigs, toxicity
+from tidemark.llm import decontaminate, language_id, lines, main_text, passages, pieces, quality, runs, simhash, spotsigs, toxicity, whitening
 from tidemark.llm.common import table
 
 
@@ -66,6 +66,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decisions(table(spark, sf_dir, "documents"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_language_id": op2_language_id,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
     "spotsigs_near_duplicates": spotsigs_near_duplicates,
 }
 
