@@ -63,7 +63,7 @@ class Counted(int):
     __hash__ = int.__hash__
 
 
-@pytest.mark.parametrize("n", [1_000, 16_000])
+@pytest.mark.parametrize("n", [1_000, 8_000])
 def test_words_are_compared_a_linear_number_of_times(n):
     for x in shapes(random.Random(4), n):
         for order in (x, [max(x) - v for v in x]):
@@ -74,7 +74,7 @@ def test_words_are_compared_a_linear_number_of_times(n):
             Counted.seen = 0
             runs.left_extensions(counted, nss)
             assert Counted.seen <= 2 * n
-            for i in random.Random(5).sample(range(len(x)), 40):
+            for i in random.Random(5).sample(range(len(x)), 12):
                 assert order[i : i + agree[i]] == order[nss[i] : nss[i] + agree[i]]
                 assert nss[i] == len(x) or order[nss[i] :] < order[i:]
                 assert all(order[k : k + 300] >= order[i : i + 300] for k in range(i + 1, min(nss[i], i + 40)))

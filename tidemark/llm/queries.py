@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, lines, main_text, passages, pieces, quality, runs, simhash, spotsigs, toxicity, whitening
+from tidemark.llm import decontaminate, language_id, lines, main_text, passages, pieces, pii, quality, runs, simhash, spotsigs, toxicity, whitening
 from tidemark.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decisions(table(spark, sf_dir, "documents"))
 
 
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_planted(table(spark, sf_dir, "documents"))))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_disclosure": op11_disclosure,
     "op12_runs": op12_runs,
     "op13_whitening": op13_whitening,
     "spotsigs_near_duplicates": spotsigs_near_duplicates,
