@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 
 _NORMAL = NormalDist()
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
 
 
 def normal_cdf(x: float) -> float:
@@ -21,10 +22,9 @@ def normal_quantile(p: float) -> float:
 def joint_default(p: float, rho: float) -> float:
     """P(X < c, Y < c) of two standard normals with correlation rho, c the quantile of p: Plackett's integral by Gauss-Legendre."""
     h = normal_quantile(p)
-    nodes, weights = np.polynomial.legendre.leggauss(40)
-    r = rho * (nodes + 1) / 2
+    r = rho * (_NODES + 1) / 2
     density = np.exp(-h * h / (1 + r)) / (2 * math.pi * np.sqrt(1 - r * r))
-    return p * p + float(rho / 2 * (weights * density).sum())
+    return p * p + float(rho / 2 * (_WEIGHTS * density).sum())
 
 
 def asset_correlation(p: float, p11: float) -> float | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
@@ -73,3 +74,19 @@ def contributions(names: DataFrame, rho_between: float, rho_within: float, draws
             yield pd.DataFrame({"name": batch.id, "contribution": [losses(row)[bad].sum() / PART / len(bad) for row in batch.itertuples()]})
 
     return names.select("id", "p", "borrowers", "exposure", "lgd").mapInPandas(run, "name long, contribution double")
+
+
+def quantile_errors(every: DataFrame, levels: list[float]) -> DataFrame:
+    """(level, quantile, standard_error) of ``every`` draw's loss.
+
+    The number of draws below a quantile has the deviation sqrt(n q (1 - q)), so the order statistics as far on either side of it are
+    two of the quantile's standard errors apart: no second simulation and no resampling.
+    """
+    n = every.count()
+    out = []
+    for q in levels:
+        step = math.sqrt(q * (1 - q) / max(n, 1))
+        out += [q, max(q - step, 0.0), min(q + step, 1.0)]
+    found = every.agg(F.percentile("loss", F.array(*[F.lit(q) for q in out])).alias("v"))
+    rows = F.array(*[F.struct(F.lit(q).alias("level"), F.element_at("v", 3 * i + 1).alias("quantile"), ((F.element_at("v", 3 * i + 3) - F.element_at("v", 3 * i + 2)) / 2).alias("standard_error")) for i, q in enumerate(levels)])
+    return found.select(F.explode(rows).alias("r")).select("r.*")
