@@ -93,6 +93,16 @@ def test_amounts_names_and_dates(spark):
     assert one(expr.nfkc, "ＡＢ㈜") == "AB(주)"
 
 
+def test_units_totals_and_loss_rates(spark):
+    factors = {"여신잔액(억원)": 100.0, "금액 (백만원)": 1.0, "잔액(천원)": 0.001, "여신잔액(만원)": 0.01, "잔액(원)": 1e-6, "MKRW": 1.0, "Balance in million": 1.0, "KRW": 1e-6, "won": 1e-6, "브랜드": None, "천안": None, None: None}
+    got = spark.createDataFrame([(k,) for k in factors], "s string").select("s", expr.unit_factor(F.col("s")).alias("f")).collect()
+    assert {r.s: r.f for r in got} == factors
+    names = {"합 계": True, "총계(2024)": True, "소계 - 서울": True, "계": True, "합": True, "전체": True, "Sub Total": True, "SUM": True, "Grand-Total": True, "계란나라": False, "합정치킨": False, "summer": False}
+    got = spark.createDataFrame([(k,) for k in names], "s string").select("s", books.is_total(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in got} == names
+    assert books.LGD["담보"] == 0.25
+
+
 def test_unit_of_a_book(spark):
     rows = lambda *v, b=None: spark.createDataFrame([(f"b{i}", float(x), b and float(b)) for i, x in enumerate(v)], "brand_input string, exposure_raw double, n_borrowers double")
     assert [books.unit_of_values(r) for r in (rows(4.5e9), rows(4500), rows(45.5, 12.5), rows(45), rows(300, b=200), rows(120, b=120), rows(500))] == [1e-6, 1.0, 100.0, 100.0, 100.0, 100.0, 1.0]
@@ -124,6 +134,7 @@ def test_statements_and_opinions(spark):
     assert amount("I. 매출액 (주1) 1,234,567 900") == 1234567.0 and amount("영업수익 (1,000)") == -1000.0 and amount("없다") is None
     # years, notes and amounts of the text before the table are none
     assert amount("매출액 2018년 1,234,567") == 1234567.0 and amount("매출액 (주14,17) 1,234,567") == 1234567.0 and amount("매출액 2018") is None and amount("매출액 - 5,000") == 0.0
+    assert amount("매 출 액 1,234,567") == 1234567.0 and amount("매출액 ( 1,500 )") == -1500.0 and amount("매출액 1,23 4567") is None and amount("매출액 (1,5") is None
     both = spark.createDataFrame([("목차 손익계산서 10 매출액 1,419 백만원 " + "주석 " * 200 + "손 익 계 산 서 (단위: 원) 매출액 77,000",), ("영업손실 1,500",), ("영업손실 (1,500)",), ("영업이익 2,500",)], "s string")
     assert both.select(disclosures.statement_amount(F.col("s"), ["매출액"], results=True)).first()[0] == 77000.0
     assert [r[0] for r in both.select(disclosures.statement_amount(F.col("s"), [("영업이익", 1), ("영업손실", -1)])).collect()][1:] == [-1500.0, -1500.0, 2500.0]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import re
 
 import pandas as pd
@@ -69,9 +72,17 @@ def money(col: Column) -> Column:
     return F.when(s.rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
 
 
+#: Words of a header by the millions that its unit is, in the order they are looked for (fixed values).
+UNITS = ((("억", "ekw"), 100.0), (("백만", "mkrw", "million"), 1.0), (("천원",), 0.001), (("만원",), 0.01))
+
+
 def unit_factor(header: Column) -> Column:
     """Factor to millions that a header names; NULL where it names none."""
-    return F.when(header.contains("억"), 100.0).when(header.contains("백만"), 1.0).when(header.contains("천"), 0.001).when(header.contains("원"), 0.000001)
+    h = F.regexp_replace(F.lower(header), r"[^\p{L}\p{N}]", "")
+    out = F
+    for words, factor in UNITS:
+        out = out.when(reduce(or_, [h.contains(w) for w in words]), factor)
+    return out.when(h.endswith("원") | h.endswith("won") | h.contains("krw"), 0.000001)
 
 
 def origination_year(col: Column, low: int = 2000, high: int = 2100) -> Column:
@@ -133,7 +144,7 @@ LEGAL_FORMS = r"주식회사|㈜|\(주\)|유한회사|\(유\)|유한책임회사
 
 def corporate_name(col: Column) -> Column:
     """Lower case without legal forms, then without punctuation; (주)앤하우스 becomes 앤하우스."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), LEGAL_FORMS, ""), r"[\s()（）\[\]{}·・,.\-_/&'\"]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), LEGAL_FORMS, ""), r"[^\p{L}\p{N}]", "")
 
 
 def hangul_only(col: Column) -> Column:

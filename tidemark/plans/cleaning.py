@@ -42,13 +42,14 @@ def bno_checksum(spark, sf_dir):
     return b.select(F.col("c_custkey").alias("brand_id"), "bno", expr.masked_number(F.col("bno")).alias("masked"), expr.check_digit_ok(F.col("bno")).alias("valid"))
 
 
-@query("""WITH s AS (SELECT *, CASE s_suppkey % 4 WHEN 0 THEN '금액(억원)' WHEN 1 THEN '금액(백만원)' WHEN 2 THEN '금액(천원)' ELSE '금액(원)' END AS header FROM supplier)
- SELECT s_suppkey AS id, round(CASE WHEN header LIKE '%억%' THEN 100.0 WHEN header LIKE '%백만%' THEN 1.0 WHEN header LIKE '%천%' THEN 0.001 ELSE 0.000001 END
- * round(s_acctbal, 2), 6) AS mkrw FROM s""")
+#: Headers and the millions that their unit is.
+HEADERS = [("금액(억원)", 100.0), ("금액(백만원)", 1.0), ("금액(천원)", 0.001), ("금액(원)", 0.000001), ("여신잔액(만원)", 0.01), ("Balance (MKRW)", 1.0), ("amount, million won", 1.0), ("exposure KRW", 0.000001), ("천안 지점", None), ("잔액 원", 0.000001)]
+
+
+@query(f"""SELECT s_suppkey AS id, round(CASE s_suppkey % {len(HEADERS)} {" ".join(f"WHEN {i} THEN {'NULL' if f is None else f'{f}::DOUBLE'}" for i, (_, f) in enumerate(HEADERS))} END * round(s_acctbal, 2), 6) AS mkrw FROM supplier""")
 def unit_parse(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    m = F.col("s_suppkey") % 4
-    header = F.when(m == 0, "금액(억원)").when(m == 1, "금액(백만원)").when(m == 2, "금액(천원)").otherwise("금액(원)")
+    header = F.element_at(F.array(*[F.lit(h) for h, _ in HEADERS]), (F.col("s_suppkey") % len(HEADERS) + 1).cast("int"))
     shown = F.when(F.col("s_acctbal") < 0, F.concat(F.lit("("), F.format_number(-F.col("s_acctbal"), 2), F.lit(")"))).otherwise(F.format_number("s_acctbal", 2))
     return s.select(F.col("s_suppkey").alias("id"), r6(expr.unit_factor(header) * expr.money(shown), "mkrw"))
 

@@ -185,10 +185,11 @@ FOUND = f"""li AS (SELECT l_suppkey AS brand_id, CAST(year(l_shipdate) AS INTEGE
  lag(revenue) OVER w AS prev_revenue, sum(CASE WHEN operating_income < 0 THEN 0 ELSE 1 END) OVER w AS hb FROM h0 WHERE nation % 6 <> 0 AND (nation * 3 + fiscal_year) % 4 <> 0 AND NOT (nation % 6 = 1 AND fiscal_year > 1997) WINDOW w AS (PARTITION BY nation ORDER BY fiscal_year)),
  h2 AS (SELECT *, sum(CASE WHEN operating_income < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY nation, hb ORDER BY fiscal_year) AS loss_years FROM h1),
  b AS (SELECT p4.*, k.own_startup_pct AS startup_pct, category_yoy, h2.* EXCLUDE (nation) FROM p4 LEFT JOIN p4 k ON k.brand_id = p4.brand_id AND k.year = p4.known_year LEFT JOIN cat ON cat.grp = p4.grp AND cat.year = p4.year ASOF LEFT JOIN h2 ON h2.nation = p4.nation AND p4.year - 1 >= h2.fiscal_year),
- fired AS ({" UNION ALL ".join(f"SELECT brand_id, year, n_stores, grp, '{c}' AS code, '{g}' AS category, '{d}' AS direction, {_LEVEL(c, d, s)} AS severity, {k} AS place FROM b WHERE {t}" for k, (c, g, d, s, t) in enumerate(RULES))}),
- sup AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{x}')" for k, v in SUPPRESSES.items() for x in v)}) AS s(by_code, gone)),
- x AS (SELECT f.*, CAST(CASE {" ".join(f"WHEN direction = '{d}' AND severity = '{s}' THEN {w}" for d, t in WEIGHTS.items() for s, w in t.items())} END AS DOUBLE) AS weight FROM fired f
- WHERE NOT EXISTS (SELECT 1 FROM fired g JOIN sup ON sup.by_code = g.code WHERE sup.gone = f.code AND g.brand_id = f.brand_id AND g.year = f.year))"""
+ fired AS (SELECT brand_id, year, n_stores, grp, r.code AS code, r.category AS category, r.direction AS direction, r.severity AS severity, r.place AS place FROM (SELECT brand_id, year, n_stores, grp, unnest(list_filter([
+ {", ".join(f"CASE WHEN {t} THEN struct_pack(code := '{c}', category := '{g}', direction := '{d}', severity := {_LEVEL(c, d, s)}, place := {k}) END" for k, (c, g, d, s, t) in enumerate(RULES))}], lambda q: q IS NOT NULL)) AS r FROM b)),
+ sup(by_code, gone) AS (VALUES {", ".join(f"('{k}', '{x}')" for k, v in SUPPRESSES.items() for x in v)}),
+ gone AS (SELECT DISTINCT brand_id, year, sup.gone AS code FROM fired JOIN sup ON sup.by_code = fired.code),
+ x AS (SELECT f.*, CAST(CASE {" ".join(f"WHEN direction = '{d}' AND severity = '{s}' THEN {w}" for d, t in WEIGHTS.items() for s, w in t.items())} END AS DOUBLE) AS weight FROM fired f ANTI JOIN gone USING (brand_id, year, code))"""
 
 
 @query(f"WITH {FOUND} SELECT brand_id, year, code, category, direction, severity, weight FROM x")

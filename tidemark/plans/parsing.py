@@ -126,17 +126,27 @@ def account_gates(spark, sf_dir):
     return g.groupBy((F.col("id") % 10).alias("kind")).agg(F.count("*").alias("n"), F.count("assets").alias("balanced"), F.count("operating_income").alias("sound"), F.count("fee_total").alias("fees"))
 
 
-STATEMENTS = ["매출액 2018년 1,234,567", "목차 손익계산서---- 10 매출액 23백만원 주석 포괄손익계산서 (단위: 원) 매출액 (주14,17) 9,876,543 8,000", "영업수익 (1,000)", "매출액 - 5,000", "매출액 2,018", "없다", "Ⅰ. 매 출 액 12"]
-LOSSES = ["영업손실 1,500", "영업손실 (1,500)", "영업이익 2,500", "영업이익 △700,000", "영업손실 2017", "", "영업이익 0"]
+#: A statement's text by kind around an amount, and what the amount is worth there; the last year's stands first.
+STATEMENTS = [
+    ("매출액 2018년 {}", 1), ("목차 손익계산서 10 매출액 9,999 백만원 주석 포괄 손 익 계 산 서 (단 위: 원) 매 출 액 (주14,17) {} 8,000", 1), ("영업수익 ({})", -1), ("매출액 - {}", 0), ("매출액 2,018 {}", None),
+    ("Ⅰ. 매 출 액 ( {} ) 7,000", -1), ("영업손실 {}", None), ("영 업 수 익 △{}", -1), ("매출액(주석 3) 12 {} 매출액 5,555", 1),
+]
+LOSSES = [("영업손실 {}", -1), ("영업손실 ({})", -1), ("영업이익 {}", 1), ("영 업 이 익 △{}", -1), ("영업손실 2017", None), ("영업이익 0", 0)]
 
 
-@query(f"""WITH t AS (SELECT {_sql_pick("s_suppkey", STATEMENTS)} AS a, {_sql_pick("s_suppkey", LOSSES)} AS b FROM supplier) SELECT a AS statement, count(*) AS n,
- max(CASE {" ".join(f"WHEN a = '{s}' THEN {v}" for s, v in zip(STATEMENTS, (1234567, 9876543, -1000, 0, 2018, "NULL", "NULL")))} END)::DOUBLE AS revenue, max(CASE {" ".join(f"WHEN b = '{s}' THEN {v}" for s, v in zip(LOSSES, (-1500, -1500, 2500, -700000, "NULL", "NULL", 0)))} END)::DOUBLE AS income FROM t GROUP BY 1""")
+def _worth(key: str, kinds: list, other: str) -> str:
+    return f"CASE {key} % {len(kinds)} " + " ".join(f"WHEN {i} THEN {other if w is None else f'{w} * v'}" for i, (_, w) in enumerate(kinds)) + " END"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS id, CAST(10000 + round(abs(s_acctbal) * 100) AS DOUBLE) AS v FROM supplier)
+ SELECT id, CASE WHEN id % {len(STATEMENTS)} = 4 THEN 2018 ELSE {_worth("id", STATEMENTS, "NULL")} END::DOUBLE AS revenue, CAST({_worth("id", LOSSES, "NULL")} AS DOUBLE) AS income FROM s""")
 def statement_amounts(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(_pick("s_suppkey", STATEMENTS).alias("a"), _pick("s_suppkey", LOSSES).alias("b"))
+    """Revenue and operating income of statements whose labels and amounts are written in nine and six ways around a supplier's figure."""
+    v = F.format_number(10000 + F.round(F.abs("s_acctbal") * 100), 0)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), *[F.replace(_pick("s_suppkey", [t for t, _ in kinds]), F.lit("{}"), v).alias(n) for n, kinds in (("a", STATEMENTS), ("b", LOSSES))])
     revenue = disclosures.statement_amount(F.col("a"), ["매출액", "영업수익"], results=True)
     income = disclosures.statement_amount(F.col("b"), [("영업이익", 1), ("영업손실", -1)])
-    return s.groupBy(F.col("a").alias("statement")).agg(F.count("*").alias("n"), F.max(revenue).alias("revenue"), F.max(income).alias("income"))
+    return s.select("id", revenue.alias("revenue"), income.alias("income"))
 
 
 @query("""WITH r AS (SELECT s_suppkey AS book, unnest(generate_series(1, 50)) AS line FROM supplier), c AS (SELECT *, CASE WHEN line <= 3 THEN 0 ELSE 1 + book % 3 END AS real, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS noise FROM r WHERE line <= 40)

@@ -18,8 +18,10 @@ ROLES = {
     "lgd": ("lgd", "손실률", "회수율", "recovery"),
     "borrowers": ("차주수", "건수", "borrowers"),
 }
-TOTALS = r"^\s*(합\s*계|소\s*계|총\s*계|계|total|sub\s*total|grand total)\s*$"
-LGD = {"보증서": 0.10, "담보": 0.35, "신용": 0.45, "기타": 0.45, "미기재": 0.45}
+#: Names of rows that add up others, without blanks and marks, and how further ones begin (fixed values).
+TOTALS, TOTAL_STARTS = ("합계", "총계", "소계", "계", "합", "total", "subtotal", "sum", "grandtotal", "전체"), ("합계", "총계", "소계")
+#: Loss rates by collateral (fixed values).
+LGD = {"보증서": 0.10, "담보": 0.25, "신용": 0.45, "기타": 0.45, "미기재": 0.45}
 HEAD = 40
 
 
@@ -57,6 +59,13 @@ def roles(header: list[str]) -> dict[str, int]:
     return out
 
 
+def is_total(name: Column) -> Column:
+    """Whether a row's name says that it adds up others."""
+    plain = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+    starts = [plain.startswith(w) for w in TOTAL_STARTS]
+    return plain.isin(*TOTALS) | starts[0] | starts[1] | starts[2]
+
+
 def loss_rate(value: Column, recovery: bool) -> Column:
     """A loss rate from a share or percentage, or one minus a recovery; outside 0 to 1 it is unknown."""
     v = F.when(value > 1, value / 100).otherwise(value)
@@ -110,7 +119,7 @@ def read_book(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     book = raw.where(F.coalesce(F.trim(names[role["exposure"]]), F.lit("")) != head).select(
         F.nullif(col("brand"), F.lit("")).alias("brand_input"), money(col("exposure")).alias("exposure_raw"), col("collateral").alias("collateral_raw"), money(col("lgd")).alias("lgd_input"), money(col("borrowers")).alias("n_borrowers")
     )
-    book = book.where(F.col("brand_input").isNotNull() & ~F.lower("brand_input").rlike(TOTALS) & (F.col("exposure_raw") > 0))
+    book = book.where(F.col("brand_input").isNotNull() & ~is_total(F.col("brand_input")) & (F.col("exposure_raw") > 0))
     factor = F.coalesce(unit_factor(F.lit(head)), F.lit(unit_of_values(book)))
     kind = collateral(F.col("collateral_raw"))
     recovery = "lgd" in role and any(w in header[role["lgd"]].lower() for w in ("회수", "recovery"))
