@@ -529,8 +529,9 @@ def test_passages_whose_parts_come_first_elsewhere(spark):
     assert not any(covered[i] for i in texts if i < 9000)
 
 
-def test_recall_of_edited_passages(spark):
-    """Passages of 60 words with each word replaced at a rate, beside many documents that hold some of the same phrases."""
+@pytest.mark.parametrize("rivals", [0, 6])
+def test_recall_of_edited_passages(spark, rivals):
+    """Passages of 60 words with each word replaced at a rate; before each one ``rivals`` documents that hold a phrase of 20 of its words."""
     rng = random.Random(23)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     fill = lambda n: [word() for _ in range(n)]
@@ -539,6 +540,9 @@ def test_recall_of_edited_passages(spark):
         for n in range(60):
             run = fill(60)
             i = 1000 * k + 10 * n
+            for r in range(rivals):
+                at = min(40, 10 * r)
+                texts[i - 10_000 * (r + 1)] = fill(25) + run[at : at + 20] + fill(25)
             texts[i] = fill(30) + run + fill(30)
             texts[i + 5] = fill(40) + [word() if rng.random() < rate else w for w in run] + fill(20)
             planted[i + 5] = rate
@@ -546,7 +550,19 @@ def test_recall_of_edited_passages(spark):
     covered = words_covered(texts, passages.repeated_passages(d).collect())
     for i, rate in planted.items():
         recall.setdefault(rate, []).append(len(covered[i] & set(range(40, 100))) >= 40)
-    assert [sum(x) / len(x) >= least for (_, x), least in zip(sorted(recall.items()), (1.0, 0.98, 0.95, 0.8))] == [True] * 4
+    assert [sum(x) / len(x) >= least for (_, x), least in zip(sorted(recall.items()), (1.0, 0.98, 0.95, 0.9))] == [True] * 4
+
+
+def test_passages_whose_phrases_are_common(spark):
+    """Each phrase of an edited passage comes first in more documents than are all tried; pairs of neighbouring seeds tell them apart."""
+    rng = random.Random(29)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    run = fill(60)
+    texts = {100 * r + k: fill(10) + run[at : at + 14] + fill(10) for r, at in enumerate(range(0, 50, 8)) for k in range(passages.FEW + 4)}
+    texts[5000] = fill(20) + run + fill(20)
+    texts[6000] = fill(30) + [w if i % 12 else "edited" for i, w in enumerate(run)] + fill(10)
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert any((r.doc_id, r.source_id) == (6000, 5000) and r.n_words >= 50 for r in found)
 
 
 def test_repeats_inside_long_texts(spark):
