@@ -164,18 +164,6 @@ def longest_prefix_match(spark, sf_dir):
     return prefixes.join(brands, "brand").groupBy("id").agg(F.max(F.length("brand")).cast("long").alias("matched"), F.max_by("brand", F.length("brand")).alias("brand"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM conversations), g AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t WHERE len(w) > 0),
- n AS (SELECT unnest(['the', 'and the', 'of the', 'to', 'in', 'is a', 'that', 'der', 'die', 'und die', 'et', 'la', 'que', 'de la']) AS gram) SELECT conv_id, turn, arg_min(gram, struct_pack(a := -length(gram), b := gram)) AS found, count(*) AS n FROM g JOIN n USING (gram) GROUP BY 1, 2""")
-def names_in_texts(spark, sf_dir):
-    """Listed names that a text holds as whole words, the longest first: word grams equi-joined to the list."""
-    names = "the|and the|of the|to|in|is a|that|der|die|und die|et|la|que|de la".split("|")
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    g = t.select("conv_id", "turn", F.explode(F.array_distinct(F.concat("w", two))).alias("gram"))
-    listed = F.broadcast(spark.createDataFrame([(n,) for n in names], "gram string"))  # a fixed list
-    return g.join(listed, "gram").groupBy("conv_id", "turn").agg(F.min(F.struct((-F.length("gram")).alias("a"), F.col("gram").alias("b")))["b"].alias("found"), F.count("*").alias("n"))
-
-
 @query(f"""WITH {PANEL} SELECT brand_id, year, 'Brand ' || CAST(brand_id AS VARCHAR) || ' had ' || CAST(n_stores AS VARCHAR) || ' stores in ' || CAST(year AS VARCHAR) || CASE WHEN n_end > 0 THEN ', ' || CAST(n_end AS VARCHAR) || ' ended' ELSE '' END || '.' AS sentence FROM p""")
 def row_sentences(spark, sf_dir):
     """Rows as sentences, for retrieval."""
