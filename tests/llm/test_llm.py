@@ -1,6 +1,7 @@
 """Each operator against a brute-force form on a small table with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -297,6 +298,10 @@ def test_merging_with_a_heap_is_merging_by_hand():
         ("<html><body><nav><a href=/>Home</a></nav><header>Site</header><article><header><h1>T</h1></header><p>One.<p>Two<br>three</p><div class='ad'>Buy</div><p>Four</p></article><section id=comments><article class=comment><p>nice post</p></article></section><aside>side</aside><footer>&copy;</footer></body></html>", "T One. Two three Four"),
         ("<div id='cookie-notice'>We use cookies</div><div class='content with-sidebar'><h1>Head</h1><p>Body text here</p></div><form><label>Name</label></form>", "Head Body text here"),
         ("<!-- <p>hidden</p> --><p>a&nbsp;b</p><p", "a b <p"),
+        ("<p>a</p><script>function go() { return 1 }", "a"),
+        ("<p>a</p><svg><path d=1><p>an svg that is not closed</p>", "a an svg that is not closed"),
+        ("<p>a</p><!-- never closed b", "a"),
+        ("<p title='>'>a</p><p>it's <b id='x>b</b></p><p>c</p>", "a it's b c"),
         ("<nav>never closed <p>and so kept</p>", "never closed and so kept"),
     ],
 )
@@ -338,6 +343,37 @@ def test_the_scan_finds_content_without_semantic_tags(spark):
     assert sum(got[i] == t for i, t in shown if i >= 200) >= 198
 
 
+def test_elements_of_unknown_classes_stay(spark):
+    """A class word that no labelled page has, and plain containers, are no reason to drop what the region holds."""
+    model = main_text.Model({"p": -0.1, "div": -0.2, "/p": -0.05, "/div": -0.05}, 1.0, {"div": (0, 5_000), "p": (900, 3), ".quux": (0, 400)})
+    inner = "<p>" + "word " * 30 + "</p>"
+    page = f'<div>{inner}<div class="zork"><p>an odd class</p></div><div><p>plain</p></div><div class="quux">buy</div>{inner}</div>'
+    assert main_text.extract(page, model) == " ".join(["word"] * 30 + ["an odd class plain"] + ["word"] * 30)
+
+
+def test_events_are_linear():
+    import time
+
+    for piece in ("<a ", "<a href='", "<a \"' ", "<!", "<!-- ", "</script ", "<script>", "<svg>", "<a '\">", "<a \"\" '>", "<p>"):
+        page = piece * (1_000_000 // len(piece))
+        for end in ("", ">", "'>"):
+            began = time.perf_counter()
+            main_text.events(page + end)
+            assert time.perf_counter() - began < 4, piece
+
+
+def test_region_is_the_best_of_all_stretches():
+    rng = random.Random(31)
+    tags = {"p": -1.5, "/p": -0.5, "b": -0.25, "/b": -0.25, ".ad": -3.0}
+    for _ in range(60):
+        page = "".join(rng.choice(["<p>", "</p>", "<b>", "</b>", "<i class=ad>", "one two ", "three ", "a b c d e "]) for _ in range(rng.randrange(14)))
+        found = main_text.events(page)
+        worth = [main_text.score(*e, tags, 1.0, False) for e in found]
+        sums = {(i, j): sum(worth[i:j]) for i in range(len(found)) for j in range(i + 1, len(found) + 1)}
+        begin, end = main_text.region(found, tags, 1.0, {})
+        assert sum(worth[begin:end]) == pytest.approx(max([0.0, *sums.values()]))
+
+
 def test_the_scan_decides_on_the_pages(spark):
     """With the prior gone, what labelled pages teach is enough."""
     pages = table(spark, "/root/testdata/sf0.01", "pages")
@@ -404,6 +440,43 @@ def area(score, y):
     return ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2) if len(pos) and len(neg) else 1.0
 
 
+def test_word_vectors_and_pooling_by_the_definition(spark, docs):
+    """Context sums, their centring, pooling and the network's slope against plain loops."""
+    texts = [r.text or "" for r in docs.collect()]
+    places, signs = quality.index_vectors()
+    assert all(len(set(p)) == quality.NONZEROS for p in places[:500].tolist()) and not signs.sum(axis=1).any()
+    slots, want = quality.Slots(), {}
+    for t in texts:
+        ids = slots.of(t).tolist()
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                v = want.setdefault(a, np.zeros(quality.DIMENSIONS))
+                v[places[ids[j]]] += signs[ids[j]]
+    vectors = {a: v / max(np.linalg.norm(v), 1e-12) for a, v in want.items()}
+    mean = np.mean([v for a, v in vectors.items() if want[a].any()], axis=0)
+    got = quality.word_vectors(docs.select("doc_id", F.coalesce("text", F.lit(""))))
+    for a, v in vectors.items():
+        assert got[a] == pytest.approx(v - (mean if want[a].any() else 0), abs=1e-5)
+    ids = slots.of("the cat and the dog.")
+    x = quality.pooled(ids, got)
+    assert x[:-1] == pytest.approx(sum(got[i] for i in ids) / len(ids), abs=1e-6) and x[-1] == pytest.approx(len(set(ids.tolist())) / math.sqrt(len(ids)))
+    assert not quality.pooled(ids[:0], got).any()
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    y = (np.tanh(x[:, 0] * 2) + x[:, 1] > 0).astype(float)
+    net = quality.train(x, y)
+    p = quality.probabilities(net, x)
+    assert ((p > 0.5) == (y == 1)).mean() > 0.9 and -np.mean(np.where(y == 1, np.log(p), np.log(1 - p))) < 0.3
+
+
+def test_a_long_text_is_parted(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    ids = quality.Slots().of("a b c d e " * 40)
+    places, signs = quality.index_vectors()
+    want = sum(quality.context_sums(ids[i : i + 50], np.array([min(50, len(ids) - i)]), places, signs) for i in range(0, len(ids), 50)).reshape(quality.SLOTS, -1)
+    assert {quality.Slots()[w] for w in "abcde"} == set(np.flatnonzero(want.any(axis=1)).tolist())
+
+
 @pytest.mark.parametrize("operator, label, least", [(toxicity, "toxic", 0.9), (quality, "quality", 0.95)])
 def test_classifiers_on_held_out_labels(spark, docs, nothing, operator, label, least):
     sf = "/root/testdata/sf0.1"

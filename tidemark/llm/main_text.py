@@ -38,6 +38,12 @@ BLOCKS = frozenset(
     "table caption tbody td tfoot th thead tr ul".split()
 )
 FRAMES = frozenset("article main body html section".split())
+#: Elements that are text up to their own closing tag, or to the end of the page.
+UNPARSED = frozenset("script style noscript textarea title iframe xmp".split())
+#: Tags that say nothing of what they hold, so that only their class, id and role words speak.
+CONTAINERS = frozenset("div span p section table tbody tr td ul ol li dl dd center font".split())
+#: Tags of a page whose quotes do not pair up, after which quotes are no longer looked at there.
+UNPAIRED = 64
 #: Tags, and words of a class, id or role, whose elements are rarely content; what labelled pages show outweighs them.
 RARELY_CONTENT = frozenset(
     "nav footer aside form button dialog menu "
@@ -48,6 +54,7 @@ RARELY_CONTENT = frozenset(
 )
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -66,28 +73,40 @@ class Model:
 
 
 def events(page: str) -> Events:
-    """(kind, name, attributes or text): kind is open, close or text.  Comments and declarations are left out; of raw elements only the tags."""
-    out, at = [], 0
+    """(kind, name, attributes or text): kind is open, close or text.  Comments and declarations are left out; of raw elements only the tags.
+
+    Linear in the page: no tag is looked for after the last ``>``, a script or the like that is not closed runs to the end, and after
+    UNPAIRED tags with quotes that do not pair up quotes mean nothing.
+    """
+    out, at, last, unpaired, endless = [], 0, page.rfind(">") + 1, 0, set()
     while True:
-        m = _TAG.search(page, at)
+        m = (_TAG if unpaired < UNPAIRED else _PLAIN_TAG).search(page, at, last)
         if not m:
             break
         if m.start() > at:
             out.append(("text", "", page[at : m.start()]))
         at = m.end()
-        name = m[2] or m[5]
+        if unpaired < UNPAIRED:
+            unpaired += m[5] is not None
+            closing, name, rest = (m[4], m[5], m[6]) if m[5] else (m[1], m[2], m[3])
+        else:
+            closing, name, rest = m[1], m[2], m[3]
         if not name:
             continue
-        name = name.lower()
-        closing, rest = (m[1] or m[4] or ""), (m[3] or m[6] or "")
+        name, rest = name.lower(), rest or ""
         out.append(("close" if closing else "open", name, rest))
-        if not closing and name in RAW and not rest.endswith("/"):
-            end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+        if not closing and name in RAW and name not in endless and not rest.endswith("/"):
+            end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at, last)
             if end:
                 out.append(("close", name, ""))
                 at = end.end()
-    if at < len(page):
-        out.append(("text", "", page[at:]))
+            elif name in UNPARSED:
+                return out
+            else:
+                endless.add(name)  # none of its kind is closed from here on
+    rest = page[at:].split("<!--", 1)[0]
+    if rest:
+        out.append(("text", "", rest))
     return out
 
 
@@ -115,23 +134,25 @@ def tag_weight(kind: str, name: str, rest: str, tags: dict[str, float]) -> float
     return min(known) if known else default_weight(name)
 
 
-def region(found: Events, tags: dict[str, float], word: float, counts: dict[str, tuple[int, int]]) -> tuple[int, int]:
+def shunned(found: Events, counts: dict[str, tuple[int, int]]) -> np.ndarray:
+    """How many elements around each event are of a kind that labelled pages show to be no content."""
+    out = np.zeros(len(found) + 1, np.int64)
+    for i, j in elements(found).items():
+        if content_odds(*found[i][1:], counts, 0.0) < UNWANTED:
+            out[i + 1] += 1
+            out[j] -= 1
+    return np.cumsum(out)
+
+
+def region(found: Events, tags: dict[str, float], word: float, counts: dict[str, tuple[int, int]], kept_out: np.ndarray | None = None) -> tuple[int, int]:
     """Begin and end of the events of greatest sum; of equal sums the first, and of those the longest.
 
     Words of an element whose kind labelled pages show to be no content score below zero.
     """
-    shunned = np.zeros(len(found) + 1, np.int64)
-    for i, j in elements(found).items():
-        if content_odds(*found[i][1:], counts, 0.0) < UNWANTED:
-            shunned[i + 1] += 1
-            shunned[j] -= 1
-    shunned = np.cumsum(shunned)
+    kept_out = shunned(found, counts) if kept_out is None else kept_out
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, name, text) in enumerate(found):
-        if kind == "text":
-            total += (-word if shunned[i] else word) * len(text.split())
-        else:
-            total += tag_weight(kind, name, text, tags)
+        total += score(kind, name, text, tags, word, bool(kept_out[i]))
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -139,6 +160,11 @@ def region(found: Events, tags: dict[str, float], word: float, counts: dict[str,
     return span
 
 
+def score(kind: str, name: str, text: str, tags: dict[str, float], word: float, kept_out: bool) -> float:
+    """What an event adds to a stretch."""
+    return (-word if kept_out else word) * len(text.split()) if kind == "text" else tag_weight(kind, name, text, tags)
+
+
 def elements(found: Events) -> dict[int, int]:
     """Where each element that is closed begins and ends."""
     ends: dict[int, int] = {}
@@ -152,13 +178,21 @@ def elements(found: Events) -> dict[int, int]:
 
 
 def content_odds(name: str, rest: str, counts: dict[str, tuple[int, int]], prior: float = PRIOR) -> float:
-    """The least log odds that a feature of an element gives its words to be content."""
-    out = 0.0
-    for f in features(name, rest):
+    """The log odds that an element's words are content: the least that a class, id or role word gives that is known, else what its name gives.
+
+    A container's name says nothing: paragraphs stand in divs on one page and adverts on another.
+    """
+    own, *words = features(name, rest)
+
+    def odds(f: str) -> float | None:
+        seen, against = f in counts, prior if f in RARELY_CONTENT or f == ".hidden" else 0.0
         content, other = counts.get(f, (0, 0))
-        against = prior if f in RARELY_CONTENT or f == ".hidden" else 0.0
-        out = min(out, float(np.log((content + 1) / (other + against + 1))))
-    return out
+        return float(np.log((content + 1) / (other + against + 1))) if seen or against else None
+
+    known = [x for x in map(odds, words) if x is not None]
+    if not known and own not in CONTAINERS:
+        known = [odds(own) or 0.0]
+    return min([0.0, *known])
 
 
 def content(found: Events, begin: int, end: int, counts: dict[str, tuple[int, int]]) -> Events:
@@ -248,15 +282,18 @@ def labelled_counts(page: str, text: str) -> Counter:
     return out
 
 
-def agreement(page: str, text: str, tags: dict[str, float], word: float, counts: dict[str, tuple[int, int]]) -> float:
-    """The F1 of the scan's region with the content, in words."""
+def agreements(page: str, text: str, tried: list[dict[str, float]], word: float, counts: dict[str, tuple[int, int]]) -> list[float]:
+    """The F1 of the scan's region with the content, in words, by each of several weights of the tags; the page is read once."""
     shown = labelled(page, text)
     if shown is None:
-        return 0.0
+        return [0.0] * len(tried)
     found, _, _, per_event = shown
-    begin, end = region(found, tags, word, counts)
-    words = sum(len(own.split()) for kind, _, own in found[begin:end] if kind == "text")
-    return 2 * float(per_event[begin:end].sum()) / max(1.0, words + float(per_event.sum()))
+    kept_out, words = shunned(found, counts), np.cumsum([0] + [len(own.split()) if kind == "text" else 0 for kind, _, own in found])
+    inside, out = np.cumsum(np.append(0, per_event)), []
+    for tags in tried:
+        begin, end = region(found, tags, word, counts, kept_out)
+        out.append(2 * float(inside[end] - inside[begin]) / max(1.0, float(words[end] - words[begin]) + float(inside[-1])))
+    return out
 
 
 def fit(pages: DataFrame, documents: DataFrame, labelled_pages: int = LABELLED_PAGES) -> Model:
@@ -294,7 +331,7 @@ def fit(pages: DataFrame, documents: DataFrame, labelled_pages: int = LABELLED_P
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[agreement(page, text, tags, word, kinds) for tags in tried] for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = [agreements(page, text, tried, word, kinds) for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.float64()) for k in range(len(UNITS))], names=names)
 
     names = [f"u{k}" for k in range(len(UNITS))]

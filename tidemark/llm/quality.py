@@ -17,17 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_remainder, sampled, shuffle_width, texts
+from tidemark.llm.common import cut, id_remainder, mixed, sampled, shuffle_width, texts
 
 #: Bound, in expectation, of the labelled rows that the network is fitted on.
 LABELLED_ROWS = 12_000
 #: Slots of the hash, dimensions, non-zeros of an index vector, neighbours on either side, hidden units.
-SLOTS, DIMENSIONS, NONZEROS, WINDOW, HIDDEN = 1 << 14, 96, 6, 2, 32
+SLOTS, DIMENSIONS, NONZEROS, WINDOW, HIDDEN = 1 << 16, 64, 4, 2, 32
 EPOCHS, RATE, DECAY, SEED = 400, 0.01, 1e-4, 20
 #: From which score a text counts as good.
 GOOD = 0.3
 #: Tokens whose neighbours are added up at once, and slots that go into one row.
-BLOCK, ROW = 1_000_000, 64
+BLOCK, ROW = 1_000_000, 256
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
@@ -46,11 +46,12 @@ class Slots(dict):
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(dimension, sign) of the non-zeros of each slot's vector, drawn one after another from a fixed seed."""
-    rng = np.random.default_rng(SEED)
-    places = np.stack([rng.choice(DIMENSIONS, NONZEROS, replace=False) for _ in range(SLOTS)])
-    signs = np.stack([rng.permutation([1, -1] * (NONZEROS // 2)) for _ in range(SLOTS)])
-    return places.astype(np.int32), signs.astype(np.int64)
+    """(dimension, sign) of the non-zeros of each slot's vector, from the hash of the slot: a start and an odd step, so that the dimensions differ, and as many plus as minus."""
+    h = mixed(np.arange(SLOTS, dtype=np.uint64) + np.uint64(SEED << 32))
+    start, step = (h & np.uint64(0xFFFF)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64) | 1
+    places = (start[:, None] + step[:, None] * np.arange(NONZEROS)) % DIMENSIONS
+    turn = ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64)[:, None]
+    return places.astype(np.int32), np.where((np.arange(NONZEROS) + turn) % 2 == 0, 1, -1).astype(np.int64)
 
 
 def context_sums(ids: np.ndarray, ends: np.ndarray, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -83,6 +84,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         def add() -> None:
             np.add(sums, context_sums(np.concatenate(held), np.cumsum([len(x) for x in held]), places, signs), out=sums)
 
+        def packed() -> pa.RecordBatch:
+            # rows of ROW slots, only those with a slot that came
+            parts = sums.reshape(-1, ROW * DIMENSIONS)
+            some = np.flatnonzero(parts.any(axis=1))
+            rows = pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(parts[some].astype(np.int32)), pa.list_(pa.int32()))], names=["part", "sums"])
+            sums[:] = 0
+            return rows
+
         for batch in batches:
             for t in batch.column(1).to_pylist():
                 own = slots.of(t)
@@ -92,22 +101,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     if size >= BLOCK:
                         add()
                         held, size = [], 0
+                        if np.abs(sums).max() >= 2**30:  # before they pass 32 bits
+                            yield packed()
         if size:
             add()
-        parts = sums.reshape(-1, ROW * DIMENSIONS)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(parts[some]), pa.list_(pa.int64()))], names=["part", "sums"])
+        yield packed()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a part's rows, one from each task, are added as they come
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = own.values.to_numpy()
-                found[part] = found[part] + x if part in found else x.copy()
+                x = own.values.to_numpy().astype(np.int64)
+                found[part] = found[part] + x if part in found else x
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["part", "sums"])
 
-    parts = docs.mapInArrow(run, "part int, sums array<long>").repartition(shuffle_width(docs.sparkSession), "part").mapInArrow(total, "part int, sums array<long>")
+    parts = docs.mapInArrow(run, "part int, sums array<int>").repartition(shuffle_width(docs.sparkSession), "part").mapInArrow(total, "part int, sums array<long>")
     vectors = np.zeros((SLOTS // ROW, ROW * DIMENSIONS))
     found = parts.toArrow()  # a table of fixed size
     for part, own in zip(found["part"].to_pylist(), found["sums"]):
