@@ -168,6 +168,15 @@ def test_language_models_are_kneser_neys(spark):
         for key, row in zip(keys.tolist(), got):
             gram = "".join(chr(key >> 16 * k & 0xFFFF) for k in (3, 2, 1, 0))
             assert np.allclose(row, [np.log(brute[x](gram)) for x in langs], atol=1e-4)
+    # with all n-grams and with 40 % of them the probabilities of a context sum to one in each language
+    whole = sum(len(g[0]) for g in arrays["grams"])
+    some = language_id._arrays(counts, langs, int(0.4 * whole * len(langs)))
+    assert sum(len(g[0]) for g in some["grams"]) <= 0.4 * whole
+    symbols = np.array([0, *sorted({ord(c) for _, t in rows for c in t if c.isalpha()}), 0x7A7A], np.uint64)
+    for a in (arrays, some):
+        for context in {int(k) >> 16 for t in texts for k in language_id.ngrams([t], language_id.letter_table())[0]}:
+            sums = np.exp(language_id.log_probabilities(a, (np.uint64(context) << np.uint64(16)) | symbols)).sum(axis=0)
+            assert np.allclose(sums, 1.0, atol=1e-4)
     small = language_id._arrays(counts, langs, 400)  # a pruned model still tells them apart
     assert sum(len(g[0]) for g in small["grams"]) <= 200
     h = language_id.cross_entropies(small, [t for _, t in rows], language_id.letter_table())
@@ -189,7 +198,7 @@ def test_language_probabilities_sum_to_one():
     levels, (now, n) = [], np.unique(keys, return_counts=True)
     for k in (3, 2, 1, 0):
         owner, at = np.unique(now >> np.uint64(16), return_inverse=True)
-        levels.append((now, n, np.bincount(at, n)[at], np.bincount(at)[at]))
+        levels.append((now, n, np.bincount(at, n)[at]))
         now, n = np.unique(now & np.uint64((1 << 16 * k) - 1), return_counts=True)
     model = language_id.KneserNey(levels, alphabet=8)
     inventory = np.array([0, *map(ord, "abrkd")], np.uint64)
