@@ -55,14 +55,14 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
 
 
 def stability_index(reference: DataFrame, actual: DataFrame, score: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """(bin, n_ref, n_act, part): population stability by reference quantiles; shares are floored."""
+    """(bin, n_ref, n_act, part): population stability by reference quantiles; shares are floored, parts of fewer than 20 reference or 10 actual rows unknown."""
     edges = [float("-inf"), *quantile_edges(reference, score, bins)]
     count = lambda d, name: binned(d, score, edges).groupBy("bin").agg(F.count("*").alias(name))
     every = reference.sparkSession.range(len(edges)).select(F.col("id").cast("int").alias("bin"))
     t = every.join(count(reference, "n_ref"), "bin", "left").join(count(actual, "n_act"), "bin", "left").fillna(0, ["n_ref", "n_act"])
     totals = t.agg(F.sum("n_ref").alias("r"), F.sum("n_act").alias("a"))
     e, a = (F.greatest(F.col(x) / F.col(y), F.lit(floor)) for x, y in (("n_ref", "r"), ("n_act", "a")))
-    return t.crossJoin(F.broadcast(totals)).select("bin", "n_ref", "n_act", ((a - e) * F.log(a / e)).alias("part"))
+    return t.crossJoin(F.broadcast(totals)).select("bin", "n_ref", "n_act", F.when((F.col("r") >= 20) & (F.col("a") >= 10), (a - e) * F.log(a / e)).alias("part"))
 
 
 def transition_matrix(history: DataFrame, key: str, period: str, grade: str) -> DataFrame:

@@ -286,24 +286,32 @@ def gate_sensitivity(spark, sf_dir):
     return at.groupBy("gate").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k"), r6(F.avg("label"), "rate"), F.count_distinct("year").alias("folds"))
 
 
-DRAWS = 50
+DRAWS = 400
+#: How a Poisson(1) weight comes from sixteen bits of a hash, and what the intervals say.
+_WEIGHT = "CASE WHEN u >= 65296 THEN 5 WHEN u >= 64292 THEN 4 WHEN u >= 60273 THEN 3 WHEN u >= 48218 THEN 2 WHEN u >= 24109 THEN 1 ELSE 0 END"
+_VERDICT = "CASE WHEN gap_low > 0 AND auc_low > 0.5 THEN 'separates' WHEN gap_high < 0 THEN 'reversed' WHEN gap_mean > 0 AND auc_mean > 0.5 THEN 'leans' ELSE 'open' END"
 
 
-@query(f"""WITH {LABELLED}, y AS (SELECT brand_id, n_events >= 1 AS bad, label FROM x WHERE label IS NOT NULL), b AS (SELECT brand_id, count(*) FILTER (bad) AS n1, coalesce(sum(label) FILTER (bad), 0) AS k1, count(*) FILTER (NOT bad) AS n0, coalesce(sum(label) FILTER (NOT bad), 0) AS k0 FROM y GROUP BY 1),
- w AS (SELECT d, b.*, ('0x' || left(md5(concat(CAST(d AS VARCHAR), ':', CAST(brand_id AS VARCHAR))), 4))::INT AS u FROM b, range({DRAWS}) t(d)), c AS (SELECT *, CASE WHEN u >= 64915 THEN 4 WHEN u >= 60273 THEN 3 WHEN u >= 48218 THEN 2 WHEN u >= 24109 THEN 1 ELSE 0 END AS m FROM w),
- gaps AS (SELECT d, sum(m * k1) * 1.0 / nullif(sum(m * n1), 0) - sum(m * k0) * 1.0 / nullif(sum(m * n0), 0) AS gap FROM c GROUP BY 1) SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(avg(gap), 6) AS mean, round(quantile_cont(gap, 0.975), 6) AS high, CASE WHEN quantile_cont(gap, 0.025) > 0 THEN 'separates' ELSE 'open' END AS verdict FROM gaps""")
+@query(f"""WITH {LABELLED}, b AS (SELECT brand_id, n_events AS g, sum(label) AS k, count(*) - sum(label) AS h FROM x WHERE label IS NOT NULL GROUP BY 1, 2),
+ w AS (SELECT d, b.*, ('0x' || left(md5(concat(CAST(d AS VARCHAR), ':', CAST(brand_id AS VARCHAR))), 4))::INT AS u FROM b, range({DRAWS}) t(d)), c AS (SELECT d, g, CAST(sum({_WEIGHT} * k) AS DOUBLE) AS k, CAST(sum({_WEIGHT} * h) AS DOUBLE) AS h FROM w GROUP BY 1, 2),
+ a AS (SELECT *, coalesce(sum(h) OVER (PARTITION BY d ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+ s AS (SELECT d, sum(k) FILTER (g >= 1) / nullif(sum(k + h) FILTER (g >= 1), 0) - sum(k) FILTER (g = 0) / nullif(sum(k + h) FILTER (g = 0), 0) AS gap, sum(k * (below + h / 2)) / nullif(sum(k) * sum(h), 0) AS auc FROM a GROUP BY 1),
+ r AS (SELECT {", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_low, round(avg({m}), 6) AS {m}_mean, round(quantile_cont({m}, 0.975), 6) AS {m}_high" for m in ("gap", "auc"))}, count(gap) AS draws FROM s) SELECT *, {_VERDICT} AS verdict FROM r""")
 def cluster_bootstrap(spark, sf_dir):
-    """The gap of rates with and without events, by resampling whole brands: each brand's counts once, a Poisson weight a draw."""
-    bad, y = F.col("n_events") >= 1, F.col("label").cast("long")
+    """The gap of rates with and without events and the events' AUC, by resampling whole brands: a brand's counts by number of events once, a Poisson weight a draw."""
     x = labelled(spark, sf_dir).where("label is not null")
-    b = x.groupBy("brand_id").agg(F.count_if(bad).alias("n1"), F.coalesce(F.sum(F.when(bad, y)), F.lit(0)).alias("k1"), F.count_if(~bad).alias("n0"), F.coalesce(F.sum(F.when(~bad, y)), F.lit(0)).alias("k0"))
+    b = x.groupBy("brand_id", F.col("n_events").alias("g")).agg(F.sum("label").alias("k"), (F.count("*") - F.sum("label")).alias("h"))
     w = b.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
-    u = F.conv(F.substring(F.md5(F.concat(F.col("d").cast("string"), F.lit(":"), F.col("brand_id").cast("string"))), 1, 4), 16, 10).cast("int")
-    m = F.when(u >= 64915, 4).when(u >= 60273, 3).when(u >= 48218, 2).when(u >= 24109, 1).otherwise(0)
-    total = lambda c: F.sum(F.col("m") * F.col(c))
-    g = w.withColumn("m", m).groupBy("d").agg((F.try_divide(total("k1"), total("n1")) - F.try_divide(total("k0"), total("n0"))).alias("gap"))
-    low = F.percentile("gap", 0.025)
-    return g.agg(r6(low, "low"), r6(F.avg("gap"), "mean"), r6(F.percentile("gap", 0.975), "high"), F.when(low > 0, "separates").otherwise("open").alias("verdict"))
+    w = w.withColumn("u", F.conv(F.substring(F.md5(F.concat(F.col("d").cast("string"), F.lit(":"), F.col("brand_id").cast("string"))), 1, 4), 16, 10).cast("int"))
+    c = w.groupBy("d", "g").agg(*[F.sum(F.expr(f"({_WEIGHT}) * {v}")).cast("double").alias(v) for v in ("k", "h")])
+    # a draw has a row for each number of events, four at most
+    below = F.coalesce(F.sum("h").over(Window.partitionBy("d").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    a = c.withColumn("below", below)
+    rate = lambda on: F.try_divide(F.sum(F.when(on, F.col("k"))), F.sum(F.when(on, F.col("k") + F.col("h"))))
+    auc = F.try_divide(F.sum(F.col("k") * (F.col("below") + F.col("h") / 2)), F.sum("k") * F.sum("h"))
+    s = a.groupBy("d").agg((rate(F.col("g") >= 1) - rate(F.col("g") == 0)).alias("gap"), auc.alias("auc"))
+    ends = [r6(f, f"{m}_{n}") for m in ("gap", "auc") for n, f in (("low", F.percentile(m, 0.025)), ("mean", F.avg(m)), ("high", F.percentile(m, 0.975)))]
+    return s.agg(*ends, F.count("gap").alias("draws")).withColumn("verdict", F.expr(_VERDICT))
 
 
 FEATURES = ["growth", "sales_growth", "end_rate", "n_stores", "prev_stores", "n_events"]

@@ -246,15 +246,22 @@ def amount_texts(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("id"), expr.particle(F.col("s_name"), "은", "는").alias("topic"), expr.particle(place, "은", "는").alias("place"), expr.amount_text(F.col("s_acctbal")).alias("amount"), change.alias("change"))
 
 
-@query("""WITH m AS (SELECT item_id, unnest(regexp_extract_all(concat(text, ' 12.5 and 1,250 and 99'), '\\d[\\d,]*\\.?\\d*')) AS t FROM benchmark), v AS (SELECT item_id, CAST(rtrim(replace(t, ',', ''), '.') AS DOUBLE) AS x FROM m WHERE length(replace(t, ',', '')) < 12)
- SELECT item_id, count(*) AS n, count(*) FILTER (abs(x - 12.5) <= 0.0125 OR abs(x - 0.125) <= 0.000125 OR abs(x - 1250) <= 1.25) AS supported FROM v GROUP BY 1""")
+@query(r"""WITH h AS (SELECT doc_id, left(coalesce(text, ''), length(coalesce(text, '')) // 2) AS a, substr(coalesce(text, ''), length(coalesce(text, '')) // 2 + 1) AS b FROM documents),
+ v AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(b, '[0-9][0-9,]*[.]?[0-9]*'), lambda t: rtrim(replace(t, ',', ''), '.')), lambda t: length(t) < 12), lambda t: CAST(t AS DOUBLE)) AS x, list_transform(list_filter(list_transform(regexp_extract_all(a, '[0-9][0-9,]*[.]?[0-9]*'), lambda t: rtrim(replace(t, ',', ''), '.')), lambda t: length(t) < 12), lambda t: CAST(t AS DOUBLE)) AS c FROM h)
+ SELECT doc_id, len(x) AS n, len(list_filter(x, lambda n: len(list_filter(c, lambda m: abs(n - m) <= 0.001 * m OR abs(n - m * 100) <= 0.1 * m OR abs(n * 100 - m) <= 0.001 * m)) > 0)) AS supported FROM v WHERE len(x) > 0""")
 def supported_numbers(spark, sf_dir):
-    """Numbers of a text that a context of one number supports: within a thousandth, as they are or as a percentage either way."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" 12.5 and 1,250 and 99")).alias("text"))
-    m = b.select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\d[\d,]*\.?\d*"), F.lit(0))).alias("t")).where(F.length(F.replace("t", F.lit(","), F.lit(""))) < 12)
-    x = F.rtrim(F.replace("t", F.lit(","), F.lit("")), F.lit(".")).cast("double")
-    near = lambda v: F.abs(F.col("x") - v) <= 0.001 * v
-    return m.withColumn("x", x).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(near(12.5) | near(0.125) | near(1250.0)).alias("supported"))
+    """Of the numbers in the second half of a text those that one in its first half supports: within a thousandth, as it is or as a percentage either way."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+
+    def numbers(part):
+        plain = F.transform(F.regexp_extract_all(part, F.lit("[0-9][0-9,]*[.]?[0-9]*"), F.lit(0)), lambda t: F.rtrim(F.replace(t, F.lit(","), F.lit("")), F.lit(".")))
+        return F.transform(F.filter(plain, lambda t: F.length(t) < 12), lambda t: t.cast("double"))
+
+    d = table(spark, sf_dir, "documents").select("doc_id", numbers(F.substring(text, F.lit(1), half)).alias("c"), numbers(F.substring(text, half + 1, F.length(text))).alias("x")).where("size(x) > 0")
+    near = lambda n, m: (F.abs(n - m) <= 0.001 * m) | (F.abs(n - m * 100) <= 0.1 * m) | (F.abs(n * 100 - m) <= 0.001 * m)
+    held = F.filter("x", lambda n: F.exists("c", lambda m: near(n, m)))
+    return d.select("doc_id", F.size("x").cast("long").alias("n"), F.size(held).cast("long").alias("supported"))
 
 
 @query("""SELECT o_orderkey AS id, CAST(greatest(0.001, least(0.999, least(greatest(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 400000 END, o_totalprice / 500000), 0), 1))) AS DOUBLE) AS p, round(ln(1 + greatest(o_totalprice - 50000, 0)), 6) AS log_price FROM orders""")

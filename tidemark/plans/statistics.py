@@ -67,7 +67,7 @@ def hosmer_lemeshow_bins(spark, sf_dir):
  g AS (SELECT DISTINCT x FROM (SELECT unnest(quantile_cont(CAST(v AS DOUBLE), [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS x FROM r)),
  b AS (SELECT unnest(generate_series(0, (SELECT count(*) FROM g))) AS bin), rb AS (SELECT (SELECT count(*) FROM g WHERE x <= v) AS bin, count(*) AS n FROM r GROUP BY 1), ab AS (SELECT (SELECT count(*) FROM g WHERE x <= v) AS bin, count(*) AS n FROM a GROUP BY 1),
  t AS (SELECT CAST(b.bin AS INTEGER) AS bin, coalesce(rb.n, 0) AS n_ref, coalesce(ab.n, 0) AS n_act FROM b LEFT JOIN rb USING (bin) LEFT JOIN ab USING (bin)),
- s AS (SELECT *, greatest(n_ref * 1.0 / sum(n_ref) OVER (), 1e-6) AS e, greatest(n_act * 1.0 / sum(n_act) OVER (), 1e-6) AS a FROM t) SELECT bin, n_ref, n_act, round((a - e) * ln(a / e), 6) AS part FROM s""")
+ s AS (SELECT *, greatest(n_ref * 1.0 / sum(n_ref) OVER (), 1e-6) AS e, greatest(n_act * 1.0 / sum(n_act) OVER (), 1e-6) AS a FROM t) SELECT bin, n_ref, n_act, CASE WHEN (SELECT sum(n_ref) FROM t) >= 20 AND (SELECT sum(n_act) FROM t) >= 10 THEN round((a - e) * ln(a / e), 6) END AS part FROM s""")
 def psi(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     t = M.stability_index(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "n_chars")

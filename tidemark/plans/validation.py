@@ -97,7 +97,7 @@ def watch_score(spark, sf_dir):
 
 #: Poisson(1) up to five, for resampling weights (fixed values).
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-DRAWS = 50
+DRAWS = 200
 
 
 def _weight(key: Column) -> Column:
@@ -109,16 +109,30 @@ def _weight(key: Column) -> Column:
 _W = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in POISSON)
 
 
+def _lift_sql(score: str) -> str:
+    """Each draw's lift of a score: the weighted rate among the first tenth of the weight, over that of all; rows of one score share its place."""
+    return f"""SELECT b, sum(y * least(greatest((top - before) / n, 0), 1)) / any_value(top) / (any_value(yy) / any_value(nn)) AS lift FROM (SELECT *, sum(n) OVER (PARTITION BY b) AS nn, sum(y) OVER (PARTITION BY b) AS yy, greatest(1, floor(sum(n) OVER (PARTITION BY b) * 0.1)) AS top,
+ coalesce(sum(n) OVER (PARTITION BY b ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT b, {score} AS v, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * label) AS DOUBLE) AS y FROM w GROUP BY 1, 2 HAVING sum(w) > 0)) WHERE yy > 0 GROUP BY b"""
+
+
 @query(f"""WITH {BASELINES}, d AS (SELECT b, label, single, persistence, CAST('0x' || substr(md5(CAST(brand_id AS VARCHAR) || ':' || CAST(year AS VARCHAR) || ':' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s, (SELECT unnest(range({DRAWS})) AS b)),
- w AS (SELECT *, {_W} AS w FROM d), m AS (SELECT b, sum(w * ((single - label) * (single - label) - (persistence - label) * (persistence - label))) / sum(w) AS gain FROM w GROUP BY 1)
- SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(avg(gain), 6) AS mean, round(quantile_cont(gain, 0.975), 6) AS high, round(avg(CAST(gain > 0 AS INT)), 6) AS win_rate FROM m""")
+ w AS (SELECT *, {_W} AS w FROM d), m AS (SELECT b, p.lift - q.lift AS gain FROM ({_lift_sql("persistence")}) p JOIN ({_lift_sql("single")}) q USING (b))
+ SELECT count(*) AS draws, round(quantile_cont(gain, 0.025), 6) AS low, round(avg(gain), 6) AS mean, round(quantile_cont(gain, 0.975), 6) AS high, round(avg(CAST(gain > 0 AS INT)), 6) AS win_rate FROM m""")
 def paired_bootstrap(spark, sf_dir):
-    """The gain of one score over another in squared error, over draws that both share: weights in one aggregate, no resampled table."""
+    """The gain of one score over another in lift, over draws that both share: weights add up by draw and score, no resampled table."""
     x = baselines(spark, sf_dir).select("brand_id", "year", "label", "single", "persistence", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("b"))
-    square = lambda c: (F.col(c) - F.col("label")) * (F.col(c) - F.col("label"))
-    w = x.withColumn("w", _weight(F.concat_ws(":", "brand_id", "year", "b")))
-    m = w.groupBy("b").agg((F.sum(F.col("w") * (square("single") - square("persistence"))) / F.sum("w")).alias("gain"))
-    return m.agg(r6(F.percentile("gain", 0.025), "low"), r6(F.avg("gain"), "mean"), r6(F.percentile("gain", 0.975), "high"), r6(F.avg((F.col("gain") > 0).cast("int")), "win_rate"))
+    w = x.withColumn("w", _weight(F.concat_ws(":", "brand_id", "year", "b"))).where("w > 0")
+
+    def lifts(score: str):
+        v = w.groupBy("b", F.col(score).alias("v")).agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col("label")).cast("double").alias("y"))
+        own = Window.partitionBy("b")
+        before = F.coalesce(F.sum("n").over(own.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        v = v.withColumns({"before": before, "nn": F.sum("n").over(own), "yy": F.sum("y").over(own)}).withColumn("top", F.greatest(F.lit(1.0), F.floor(F.col("nn") * 0.1)))
+        share = F.least(F.greatest((F.col("top") - F.col("before")) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+        return v.where("yy > 0").groupBy("b", "top", "nn", "yy").agg(F.sum(F.col("y") * share).alias("k")).select("b", (F.col("k") / F.col("top") / (F.col("yy") / F.col("nn"))).alias(score))
+
+    m = lifts("persistence").join(lifts("single"), "b").select((F.col("persistence") - F.col("single")).alias("gain"))
+    return m.agg(F.count("*").alias("draws"), r6(F.percentile("gain", 0.025), "low"), r6(F.avg("gain"), "mean"), r6(F.percentile("gain", 0.975), "high"), r6(F.avg((F.col("gain") > 0).cast("int")), "win_rate"))
 
 
 @query(f"""WITH {BASELINES}, a AS (SELECT year, label, row_number() OVER (PARTITION BY year ORDER BY md5('7:' || CAST(brand_id AS VARCHAR)), brand_id) AS place FROM s), b AS (SELECT year, persistence, row_number() OVER (PARTITION BY year ORDER BY brand_id) AS place FROM s)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,13 +20,13 @@ CUTS, GRADES = [0.32, 0.34], ["FS1", "FS2", "FS3"]
 _GRADE = "CASE WHEN p < 0.32 THEN 'FS1' WHEN p < 0.34 THEN 'FS2' ELSE 'FS3' END"
 
 
-@query("""WITH l AS (SELECT c_custkey AS id, c_mktsegment AS brand, c_nationkey % 5 AS corp FROM customer WHERE c_custkey % 40 < 12), r AS (SELECT s_suppkey AS sid, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS brand, s_nationkey % 3 AS corp, s_acctbal AS v FROM supplier WHERE s_suppkey % 5 <> 1 OR s_nationkey % 3 = 0),
+@query("""WITH l AS (SELECT c_custkey AS id, c_mktsegment AS brand, c_nationkey % 5 AS corp FROM customer), r AS (SELECT s_suppkey AS sid, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS brand, s_nationkey % 3 AS corp, s_acctbal AS v FROM supplier WHERE s_suppkey % 5 <> 1 OR s_nationkey % 3 = 0),
  e AS (SELECT brand, corp, max(v) AS v FROM r GROUP BY 1, 2), z AS (SELECT brand, max(v) AS v FROM r GROUP BY 1 HAVING count(DISTINCT corp) = 1), u AS (SELECT brand FROM l GROUP BY 1 HAVING count(DISTINCT corp) = 1)
  SELECT l.id, CASE WHEN e.brand IS NOT NULL THEN e.v WHEN u.brand IS NOT NULL THEN z.v END AS v, CASE WHEN e.brand IS NOT NULL THEN 'exact' WHEN u.brand IS NOT NULL AND z.brand IS NOT NULL THEN 'loose' ELSE 'none' END AS matched_by
  FROM l LEFT JOIN e ON e.brand = l.brand AND e.corp = l.corp LEFT JOIN z ON z.brand = l.brand LEFT JOIN u ON u.brand = l.brand""")
 def two_sided_guarded_join(spark, sf_dir):
     """Values by brand and corporation, else by brand where one corporation bears it on each side."""
-    left = table(spark, sf_dir, "customer").where("c_custkey % 40 < 12").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("brand"), (F.col("c_nationkey") % 5).alias("corp"))
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("brand"), (F.col("c_nationkey") % 5).alias("corp"))
     brand = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     right = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 1 or s_nationkey % 3 = 0").select(brand.alias("brand"), (F.col("s_nationkey") % 3).alias("corp"), F.col("s_acctbal").alias("v"))
     return guarded_left_join(left, right, ["brand", "corp"], ["brand"], ["v"], "corp", left_owner="corp").select("id", "v", "matched_by")
@@ -54,9 +57,10 @@ def coverage_links(spark, sf_dir):
 
 #: How sure a match is, by the tier that gave it; a fuzzy one is never confirmed.
 @query("""WITH b AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS name, p_brand AS alias FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT name, min(id) AS id, count(*) AS c FROM b GROUP BY 1), a AS (SELECT alias, min(id) AS id, count(*) AS c FROM b GROUP BY 1),
- l AS (SELECT l_orderkey AS oid, l_linenumber AS ln, l_extendedprice AS e, CASE WHEN l_partkey % 4 = 0 THEN l_partkey END AS given, CASE l_partkey % 4 WHEN 1 THEN p_name WHEN 2 THEN p_brand WHEN 3 THEN concat(left(p_name, 4), '?') END AS raw FROM lineitem JOIN part ON p_partkey = l_partkey),
- m AS (SELECT l.*, CASE WHEN g.id IS NOT NULL THEN 'id' WHEN n.name IS NOT NULL THEN CASE WHEN n.c > 1 THEN 'homonym' ELSE 'exact' END WHEN a.alias IS NOT NULL THEN CASE WHEN a.c > 1 THEN 'homonym' ELSE 'alias' END WHEN raw LIKE '%?' THEN 'fuzzy' ELSE 'none' END AS status
- FROM l LEFT JOIN b g ON g.id = l.given LEFT JOIN n ON n.name = regexp_replace(lower(l.raw), '[^a-z0-9]', '', 'g') LEFT JOIN a ON a.alias = l.raw)
+ l AS (SELECT l_orderkey AS oid, l_linenumber AS ln, l_extendedprice AS e, CASE WHEN l_partkey % 4 = 0 THEN l_partkey END AS given, CASE l_partkey % 4 WHEN 1 THEN p_name WHEN 2 THEN p_brand WHEN 3 THEN CASE WHEN l_partkey % 8 = 3 THEN substr(p_name, 2, 6) ELSE reverse(p_name) END END AS raw FROM lineitem JOIN part ON p_partkey = l_partkey),
+ f AS (SELECT raw, bool_or(contains(n.name, key)) AS fuzzy FROM (SELECT DISTINCT raw, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS key FROM l WHERE raw IS NOT NULL) JOIN n ON length(key) >= 3 GROUP BY 1),
+ m AS (SELECT l.*, CASE WHEN g.id IS NOT NULL THEN 'id' WHEN n.name IS NOT NULL THEN CASE WHEN n.c > 1 THEN 'homonym' ELSE 'exact' END WHEN a.alias IS NOT NULL THEN CASE WHEN a.c > 1 THEN 'homonym' ELSE 'alias' END WHEN f.fuzzy THEN 'fuzzy' ELSE 'none' END AS status
+ FROM l LEFT JOIN b g ON g.id = l.given LEFT JOIN n ON n.name = regexp_replace(lower(l.raw), '[^a-z0-9]', '', 'g') LEFT JOIN a ON a.alias = l.raw LEFT JOIN f ON f.raw = l.raw)
  SELECT status, count(*) AS n, round(sum(e), 2) AS exposure, status IN ('id', 'exact', 'alias') AS confirmed FROM m GROUP BY 1""")
 def match_cascade(spark, sf_dir):
     """Loans to brands by id, exact name, alias, then fuzzy; names that several brands bear are homonyms; counts and exposure by status."""
@@ -66,11 +70,17 @@ def match_cascade(spark, sf_dir):
     by_alias = b.groupBy("alias").agg(F.count("*").alias("alias_c"))
     li = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("e"))
     k = F.col("l_partkey") % 4
-    raw = F.when(k == 1, F.col("p_name")).when(k == 2, F.col("p_brand")).when(k == 3, F.concat(F.substring("p_name", 1, 4), F.lit("?")))
+    part_of = F.when(F.col("l_partkey") % 8 == 3, F.substring("p_name", 2, 6)).otherwise(F.reverse("p_name"))
+    raw = F.when(k == 1, F.col("p_name")).when(k == 2, F.col("p_brand")).when(k == 3, part_of)
     loans = li.join(p.select("p_partkey", "p_name", "p_brand"), li.l_partkey == p.p_partkey).select("e", F.when(k == 0, F.col("l_partkey")).alias("given"), raw.alias("raw")).withColumn("name", normal_name(F.col("raw")))
     m = loans.join(b.select(F.col("id").alias("given"), F.lit(True).alias("has_id")), "given", "left").join(by_name, "name", "left").join(by_alias, F.col("raw") == F.col("alias"), "left")
+    # a name of three letters or more that some brand's name holds: every stretch of a brand's name is a key
+    n = F.length("name")
+    stretches = F.flatten(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.transform(F.sequence(F.lit(3), n - i + 1), lambda size: F.substring("name", i, size))))
+    held = by_name.where(n >= 3).select(F.explode(stretches).alias("name")).distinct().withColumn("held", F.lit(True))
+    m = m.join(held, "name", "left")
     named = lambda c, s: F.when(F.col(c) > 1, "homonym").when(F.col(c) == 1, s)
-    status = F.coalesce(F.when(F.col("has_id"), F.lit("id")), named("name_c", "exact"), named("alias_c", "alias"), F.when(F.col("raw").endswith("?"), F.lit("fuzzy")), F.lit("none"))
+    status = F.coalesce(F.when(F.col("has_id"), F.lit("id")), named("name_c", "exact"), named("alias_c", "alias"), F.when(F.col("held"), F.lit("fuzzy")), F.lit("none"))
     t = m.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("e"), 2).alias("exposure"))
     return t.withColumn("confirmed", F.col("status").isin("id", "exact", "alias"))
 
@@ -221,12 +231,12 @@ def brands_side_by_side(spark, sf_dir):
     return wide.select("item", *[r6(F.col(str(k)), f"b{k}") for k in (1, 2, 3)])
 
 
-@query(f"""WITH {FULL}, s AS (SELECT a.brand_id, a.year, a.n_stores * 1.0 / nullif(b.n_stores, 0) - 1 AS g, a.avg_sales / nullif(b.avg_sales, 0) - 1 AS s FROM f a LEFT JOIN f b ON b.brand_id = a.brand_id AND b.year = a.year - 1) SELECT brand_id, year, round(g, 6) AS store_growth, round(s, 6) AS sales_growth FROM s WHERE year = 2000""")
+@query(f"""WITH {FULL}, s AS (SELECT a.brand_id, a.year, a.n_stores * 1.0 / nullif(b.n_stores, 0) - 1 AS g, a.avg_sales / nullif(b.avg_sales, 0) - 1 AS s FROM f a LEFT JOIN f b ON b.brand_id = a.brand_id AND b.year = a.year - 1) SELECT brand_id, year, round(g, 6) AS store_growth, round(s, 6) AS sales_growth FROM s""")
 def section_frame(spark, sf_dir):
     """Ratios to the exact year before; unknown without one."""
     f = full_panel(spark, sf_dir)
     before = f.select("brand_id", (F.col("year") + 1).alias("year"), F.col("n_stores").alias("n"), F.col("avg_sales").alias("s"))
-    x = f.join(before, ["brand_id", "year"], "left").where("year = 2000")
+    x = f.join(before, ["brand_id", "year"], "left")
     return x.select("brand_id", "year", r6(F.try_divide(F.col("n_stores"), F.col("n")) - 1, "store_growth"), r6(F.try_divide(F.col("avg_sales"), F.col("s")) - 1, "sales_growth"))
 
 
@@ -270,10 +280,10 @@ def patched_rows(spark, sf_dir):
     return out
 
 
-@query("""WITH q AS (SELECT s_suppkey AS id FROM supplier), e AS (SELECT l_suppkey AS id, max(l_orderkey) AS last, arg_max(CASE l_linenumber % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'open' ELSE 'held' END, l_orderkey * 100 + l_linenumber) AS state, count(*) AS changes FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 20 = 0) GROUP BY 1) SELECT q.id, coalesce(state, 'new') AS state, coalesce(changes, 0) AS changes FROM q LEFT JOIN e USING (id)""")
+@query("""WITH q AS (SELECT s_suppkey AS id FROM supplier), e AS (SELECT l_suppkey AS id, max(l_orderkey) AS last, arg_max(CASE l_linenumber % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'open' ELSE 'held' END, l_orderkey * 100 + l_linenumber) AS state, count(*) AS changes FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM lineitem) GROUP BY 1) SELECT q.id, coalesce(state, 'new') AS state, coalesce(changes, 0) AS changes FROM q LEFT JOIN e USING (id)""")
 def queue_states(spark, sf_dir):
     """The last state of each queue entry from an append-only log; entries never touched are new."""
-    log = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber").distinct()
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber").distinct()
     k = F.col("l_linenumber") % 3
     state = F.when(k == 0, "done").when(k == 1, "open").otherwise("held")
     last = log.groupBy("id").agg(F.max_by(state, F.struct("l_orderkey", "l_linenumber")).alias("state"), F.count("*").alias("changes"))
@@ -309,14 +319,38 @@ def masked_frame(spark, sf_dir):
     return x.select("alias", F.col("c_acctbal").alias("v"), F.replace(F.replace(note, F.col("c_name"), F.col("alias")), F.col("n_name"), F.lit("a company")).alias("note"))
 
 
-@query("""SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"who":"***"}') AS props FROM events WHERE event_id % 10 = 0""")
+#: Keys whose values are personal, wherever in a document they stand.
+PERSONAL = frozenset(("who", "name", "phone"))
+
+
+@query("""SELECT event_id, concat('{"props":', CASE WHEN json_valid(props) THEN CAST(CAST(props AS JSON) AS VARCHAR) ELSE 'null' END, ',"who":"***","parties":[{"role":"user","name":"***","n":', user_id, '},[{"phone":"***"}],"none"],"count":', event_id % 7, '}') AS props
+ FROM (SELECT event_id, user_id, replace(props, ' ', '') AS props FROM events)""")
 def masked_json(spark, sf_dir):
-    """JSON evidence with the values of personal keys masked, whatever else it holds."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
-    raw = F.concat(F.rtrim("props", F.lit("}")), F.lit(', "who": "user '), F.col("user_id").cast("string"), F.lit('"}'))
-    parsed = F.from_json(raw, "map<string,string>")
-    masked = F.transform_values(parsed, lambda k, v: F.when(k.isin("who", "name", "phone"), F.lit("***")).otherwise(v))
-    return e.select("event_id", F.to_json(F.struct(masked["k"].cast("long").alias("k"), masked["who"].alias("who"))).alias("props"))
+    """Evidence as JSON of any shape: the values of personal keys masked at every depth, everything else as it is."""
+    user = F.col("user_id").cast("string")
+    raw = F.concat(F.lit('{"props": '), F.coalesce("props", F.lit("null")), F.lit(', "who": "user '), user, F.lit('", "parties": [{"role": "user", "name": {"first": "'), user, F.lit('"}, "n": '), user, F.lit('}, [{"phone": ["'), user, F.lit('", 1]}], "none"], "count": '), (F.col("event_id") % 7).cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", masked_documents(raw, PERSONAL).alias("props"))
+
+
+def masked_documents(col, keys):
+    """JSON texts, without blanks, whose values of ``keys`` give way to three stars, objects and lists included; text that is no JSON becomes NULL."""
+
+    def masked(x):
+        if isinstance(x, dict):
+            return {k: "***" if k in keys and v is not None else masked(v) for k, v in x.items()}
+        return [masked(v) for v in x] if isinstance(x, list) else x
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(masked(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(col)
 
 
 @query(f"""WITH {FULL}, x AS (SELECT mid, count(*) AS n, count(*) FILTER (n_stores >= 4) AS high, round(quantile_cont(n_stores::DOUBLE, 0.5), 6) AS median_stores, round(quantile_cont(n_end * 1.0::DOUBLE / n_stores, 0.5), 6) AS median_risk FROM f WHERE year = 2000 GROUP BY 1),
