@@ -56,3 +56,24 @@ def test_documents_without_names_are_none(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert rows and all(r.n > 0 and r.text != docs[r.doc_id] and r.text.count("<") >= r.n for r in rows)
     assert all(" ".join(w.lower() for w in WORD.findall(docs[r.doc_id])[:2]) for r in rows)
+
+
+def test_retrieval_with_small_blocks_and_by_join_is_the_same(spark, monkeypatch):
+    from tidemark.operators import retrieval
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    corpus = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30))) or None, rng.choice(("x", "y", None))) for i in range(80)], "doc_id long, text string, scope string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(6)), rng.choice(("x", "y"))) for i in range(7)] + [(8, None, "x"), (9, "zzzz", None)], "query_id long, text string, scope string")
+
+    def answer():
+        near = sorted((r.query_id, r.doc_id, round(r.score, 5), r.place) for r in retrieval.retrieve(corpus, queries, 4).collect())
+        return near, sorted((r.query_id, r.doc_id, round(r.score, 5), r.scope, r.place) for r in retrieval.scoped(corpus, queries, 2, 4).collect())
+
+    whole = answer()
+    assert len(whole[0]) == 28 and {s for *_, s, _ in whole[1]} == {"own", "all"}
+    monkeypatch.setattr(retrieval, "CELLS", 300)
+    assert answer() == whole
+    monkeypatch.setattr(retrieval, "SENT_TERMS", 0)
+    assert answer() == whole
+    assert retrieval.retrieve(corpus, queries.limit(0), 4).count() == 0 and retrieval.retrieve(corpus.limit(0), queries, 4).count() == 0

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cut
+
 
 def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): words and pairs of neighbouring words of each text."""
@@ -27,11 +36,10 @@ def character_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.select("id", "n", F.explode(runs).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
 
-def half_scores(tf: DataFrame, asked: DataFrame, n_docs: DataFrame, share: float, min_df: int) -> DataFrame:
-    """(query_id, doc_id, part): a share of the cosine of every query and document with a term in common.
+def weighted(tf: DataFrame, asked: DataFrame, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
+    """((id, norm, kept), (query_id, term, weight)): documents with their length and, of their terms, only those that a query has, as (term, weight before the length); and queries of length one.
 
-    Weights are 1 + ln(tf) times a smoothed idf; terms of fewer than ``min_df`` documents are none.  One pass by document adds up its length and keeps, of
-    its terms, only those that a query has.
+    Weights are 1 + ln(tf) times a smoothed idf; terms of fewer than ``min_df`` documents are none.
     """
     frequency = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n_docs))
     idf = frequency.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -39,35 +47,146 @@ def half_scores(tf: DataFrame, asked: DataFrame, n_docs: DataFrame, share: float
     weighed = tf.join(idf.join(wanted, "term", "left"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     kept = F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw")))
     docs = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), kept.alias("kept")).where("size(kept) > 0")
-    d = docs.select(F.col("id").alias("doc_id"), "norm", F.explode("kept").alias("k")).select("doc_id", "k.term", (F.col("k.raw") / F.col("norm")).alias("dw"))
     q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("qw"))
-    return d.join(q, "term").groupBy("query_id", "doc_id").agg((share * F.sum(F.col("qw") * F.col("dw"))).alias("part"))
+    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    return docs, q
+
 
+#: Terms whose idf goes to every task, about 100 MB; a larger vocabulary is joined by shuffle.
+SENT_TERMS = 1_000_000
 
-def scores(corpus: DataFrame, queries: DataFrame, least: float = 0.02) -> DataFrame:
-    """(query_id, doc_id, score): the mean of a cosine over words and pairs and one over characters of words, so that inflected or misspelled words count too.
 
-    ``corpus`` has doc_id, text; ``queries`` has query_id, text.
+def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: DataFrame, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
+    """What ``weighted`` gives for the characters of words, without moving a document's terms: their kinds are few, so that their idf goes to the documents; None if they are not.
+
+    ``id_col`` names a document once.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    own = corpus.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
+
+    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for w in batch["w"]:
+                found.update(set().union(*map(word_runs, set(w))))
+            if len(found) > SENT_TERMS:
+                yield pd.DataFrame(found.items(), columns=["term", "n"])
+                found.clear()
+        yield pd.DataFrame(found.items(), columns=["term", "n"])
+
+    frequency = own.select("w").mapInPandas(kinds, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
+    idf = cut(frequency.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    if idf.count() > SENT_TERMS:
+        return None
+    q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    table = idf.join(asked.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left").toPandas()
+    shared = corpus.sparkSession.sparkContext.broadcast({t: (i, w is True) for t, i, w in zip(table["term"], table["idf"], table["wanted"])})
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            rows = []
+            for doc, w in zip(batch["id"], batch["w"]):
+                tf: Counter = Counter()
+                for word, n in Counter(w).items():
+                    for t in word_runs(word):
+                        tf[t] += n
+                held = [(t, 1 + math.log(n), *known[t]) for t, n in tf.items() if t in known]
+                kept = [{"term": t, "raw": f * i} for t, f, i, wanted in held if wanted]
+                if kept:
+                    rows.append((doc, math.sqrt(sum((f * i) ** 2 for _, f, i, _ in held)), kept))
+            yield pd.DataFrame(rows, columns=["id", "norm", "kept"])
+
+    return own.mapInPandas(weigh, "id long, norm double, kept array<struct<term:string,raw:double>>"), q
+
+
+@lru_cache(maxsize=200_000)
+def word_runs(word: str) -> tuple[str, ...]:
+    """The runs of two to four characters of a word with a blank on either side, repeats included."""
+    padded = f" {word} "
+    return tuple(padded[i : i + size] for size in (2, 3, 4) for i in range(len(padded) - size + 1))
+
+
+#: Cells (terms times queries) of the table of query weights that goes to every task, 64 MB; more queries are asked in blocks.
+CELLS = 8_000_000
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02) -> DataFrame:
+    """(query_id, doc_id, score, own): for each query at least the k nearest documents of its own scope and the k nearest of others, among some that are further.
+
+    ``corpus`` has doc_id, text, scope; ``queries`` has query_id, text, scope; a document is ``own`` if the scopes are equal.  The score is the mean of a
+    cosine over words and pairs and one over characters of words, so that inflected or misspelled words count too.  Documents stay
+    where they are: the weights of the queries' terms, which are few, go to them in blocks of CELLS, and of each batch of documents only
+    the nearest come out, so that a term of every text costs a column and no join.
     """
     n = corpus.agg(F.count("*").alias("n_docs"))
-    words = half_scores(terms(corpus, "doc_id", "text"), terms(queries, "query_id", "text"), n, 0.5, 1)
-    runs = half_scores(character_terms(corpus, "doc_id", "text"), character_terms(queries, "query_id", "text"), n, 0.5, 3)
-    return words.union(runs).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where(F.col("score") >= least)
+    asked_runs = character_terms(queries, "query_id", "text")
+    runs = weighted_in_place(corpus, "doc_id", "text", asked_runs, n, 3) or weighted(character_terms(corpus, "doc_id", "text"), asked_runs, n, 3)
+    halves = [weighted(terms(corpus, "doc_id", "text"), terms(queries, "query_id", "text"), n, 1), runs]
+    sides = [d.select("id", F.col("norm").alias(f"norm{i}"), F.col("kept.term").alias(f"term{i}"), F.col("kept.raw").alias(f"raw{i}")) for i, (d, _) in enumerate(halves)]
+    scopes = corpus.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("scope").cast("string")).alias("scope"))
+    docs = sides[0].join(sides[1], "id", "full").join(scopes, "id", "left").select("id", "scope", *[f"{c}{i}" for i in (0, 1) for c in ("norm", "term", "raw")])
+    asked = halves[0][1].withColumn("half", F.lit(0)).union(halves[1][1].withColumn("half", F.lit(1))).toPandas()  # the queries' own terms
+    own = dict(queries.select("query_id", F.col("scope").cast("string")).collect())
+    ids, out = sorted(set(asked["query_id"])), None
+    size = max(1, CELLS // max(1, asked["term"].nunique()))
+    for begin in range(0, max(1, len(ids)), size):
+        block = ids[begin : begin + size]
+        part = _nearest_of(docs, asked[asked["query_id"].isin(block)], block, [own.get(q) for q in block], k, least)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _nearest_of(docs: DataFrame, asked: pd.DataFrame, ids: list, scopes: list, k: int, least: float) -> DataFrame:
+    places, tables = [], []
+    for half in (0, 1):
+        rows = asked[asked["half"] == half]
+        place = {t: i for i, t in enumerate(sorted(set(rows["term"])))}
+        table = np.zeros((len(place), len(ids)))
+        table[rows["term"].map(place).to_numpy(int), rows["query_id"].map({q: i for i, q in enumerate(ids)}).to_numpy(int)] = rows["weight"]
+        places.append(place)
+        tables.append(table)
+    shared = docs.sparkSession.sparkContext.broadcast((places, tables))
+    scope_of = np.array([s is not None for s in scopes]), np.array(["" if s is None else s for s in scopes], object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, tables = shared.value
+        for batch in batches:
+            score = np.zeros((len(batch), len(ids)))
+            for half in (0, 1):
+                place, table = places[half], tables[half]
+                for i, (norm, own_terms, raw) in enumerate(zip(batch[f"norm{half}"], batch[f"term{half}"], batch[f"raw{half}"])):
+                    if own_terms is not None and len(own_terms):
+                        at = [place.get(t, -1) for t in own_terms]
+                        known = [j for j, a in enumerate(at) if a >= 0]
+                        if known:
+                            score[i] += 0.5 / norm * (np.asarray(raw, float)[known] @ table[[at[j] for j in known]])
+            score = np.round(score, 6)
+            inside = scope_of[0][None, :] & (batch["scope"].fillna("\0").to_numpy(object)[:, None] == scope_of[1][None, :])
+            doc = batch["id"].to_numpy()
+            order = np.argsort(doc, kind="stable")
+            rows = []
+            for q in range(len(ids)):
+                best = order[np.argsort(-score[order, q], kind="stable")]
+                best = best[score[best, q] >= least]
+                for side in (True, False):
+                    rows += [(ids[q], doc[i], score[i, q], side) for i in best[inside[best, q] == side][:k]]
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score", "own"])
+
+    return docs.mapInPandas(run, "query_id long, doc_id long, score double, own boolean")
 
 
 def retrieve(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02) -> DataFrame:
     """(query_id, doc_id, score, place): the k nearest documents of each query, ties by id."""
+    found = nearest(corpus.withColumn("scope", F.lit(None).cast("string")), queries.withColumn("scope", F.lit(None).cast("string")), k, least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scores(corpus, queries, least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "doc_id", "score", "place")
 
 
-def scoped(found: DataFrame, scope: DataFrame, inside: int, k: int) -> DataFrame:
-    """(query_id, doc_id, score, scope, place): at most ``inside`` hits of a query's own scope, then others up to ``k`` in all, each with the scope it came by.
-
-    ``scope`` (query_id, doc_id) names what is inside.
-    """
-    x = found.join(scope.withColumn("own", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+def scoped(corpus: DataFrame, queries: DataFrame, inside: int, k: int, least: float = 0.02) -> DataFrame:
+    """(query_id, doc_id, score, scope, place): at most ``inside`` hits of a query's own scope, then others up to ``k`` in all, each with the scope it came by; columns as in ``nearest``."""
+    x = nearest(corpus, queries, max(inside, k), least)
     first = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "doc_id"))
     x = x.withColumn("scope", F.when(F.col("own") & (first <= inside), "own").otherwise("all"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("scope"), F.desc("score"), "doc_id"))

@@ -53,10 +53,7 @@ def scoped_evidence(spark, sf_dir):
     """Evidence in a query's own language first, then relaxed to all; each document once, with the scope that it came by."""
     docs, queries = _searched(spark, sf_dir)
     lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("query_id") % 4 + 1).cast("int"))
-    langs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    found = retrieval.scores(docs, queries)
-    own = found.join(langs, "doc_id").where(F.col("lang") == lang).select("query_id", "doc_id")
-    return retrieval.scoped(found, own, 3, 5)
+    return retrieval.scoped(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("scope")), queries.withColumn("scope", lang), 3, 5)
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"')) AS links FROM pages""")
