@@ -144,3 +144,18 @@ def test_statements_and_opinions(spark):
     assert [r[0] for r in g] == [1, 0, None]
     b = spark.createDataFrame([(100.0, 50.0, 50.0, 10.0, 5.0, 1.0), (100.0, 10.0, 50.0, -1.0, 5.0, 1.0), (None, 1.0, 1.0, 10.0, 50.0, 1.0)], "assets double, liabilities double, equity double, revenue double, operating_income double, net_income double")
     assert [tuple(r) for r in disclosures.balance_gate(b).collect()] == [(100.0, 50.0, 50.0, 10.0, 5.0, 1.0), (None,) * 6, (None, 1.0, 1.0, None, None, None)]
+
+
+def test_audit_reports_by_spans(spark):
+    read = lambda t: spark.createDataFrame([(t,)], "t string").select(disclosures.audit_reading(F.col("t")).alias("r"), disclosures.going_concern_reading(F.col("t")).alias("g")).first()
+    fair, title = "우리의 의견으로는 재무제표는 공정하게 표시하고 있습니다. ", "외부 감사인의 감사보고서 주식회사 가 이사회 귀중 "
+    assert read(None).r is None and read(None).g is None and read("").r is None and read("").g == 0
+    # another report's or an earlier year's opinion, in the past tense or mid-sentence, is none
+    assert tuple(read(title + "감사의견 우리는 감사했습니다. " + fair + "기타사항 전기에는 의견을 표명하지 않았습니다.").r) == ("unqualified", "heading")
+    assert tuple(read(title + fair + "내부회계관리제도 검토보고서 재무제표에 대하여 의견을 표명하지 않습니다.").r) == ("unqualified", "sentence")
+    assert tuple(read(title + "한정 의견: 우리는 감사했습니다. " + fair).r) == ("qualified", "heading")
+    assert tuple(read("한정의견이 표명되었습니다. " + fair).r) == ("unqualified", "sentence")
+    # doubt counts in the basis of a modified opinion, not in what is said of everybody's duties
+    assert read(title + "한정의견근거 계속기업 가정에 의문이 있습니다. 감사인의 책임 없음").g == 1
+    assert read(title + "한정의견근거 재고 실사를 못했습니다. 감사인의 책임 계속기업의 불확실성을 평가합니다").g == 0
+    assert read(title + "한정의견근거 단락에 적은 대로 계속기업 불확실").g == 0

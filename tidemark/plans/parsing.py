@@ -126,6 +126,31 @@ def account_gates(spark, sf_dir):
     return g.groupBy((F.col("id") % 10).alias("kind")).agg(F.count("*").alias("n"), F.count("assets").alias("balanced"), F.count("operating_income").alias("sound"), F.count("fee_total").alias("fees"))
 
 
+_TITLE, _TO = "독립된 감사인의 감사보고서", " 주주 및 이사회 귀중 "
+_FAIR = "우리의 의견으로는 재무제표는 2023. 12. 31 현재의 재무상태를 {}공정하게 표시하고 있{}. "
+_LATER = "기타사항 전기 재무제표에 대한 감사보고서에는 한정의견이 표명되었습니다. 감사보고서일 현재로 유효 주석 관계기업의 감사인은 의견거절 우리는 표명하였습니다. "
+#: Audit reports around a supplier's name: text, opinion, where it comes from, doubt about going concern.
+REPORTS = [
+    (f"목차 {_TITLE} 1 {_TITLE}{_TO}감 사 의 견 우리는 {{}}의 재무제표를 감사하였습니다. {_FAIR.format('', '습니다')}감사의견근거 우리는 독립적입니다. {_LATER}", "unqualified", "heading", 0),
+    (f"{_TITLE}{_TO}의견 거절 우리는 {{}}의 재무제표에 대하여 의견을 표명하지 않습니다. 의견거절근거 계속기업으로서의 존속능력에 유의적 의문이 있습니다. {_LATER}", "disclaimer", "heading", 1),
+    (f"{_TITLE}{_TO}감사의견 우리는 {{}}를 감사하였습니다. {_FAIR.format('한정 사항의 영향을 제외하고 ', '습니다')}", "qualified", "heading", 0),
+    (f"{_TITLE}{_TO}본 감사인은 {{}}를 감사하였습니다. {_FAIR.format('', '지 않습니다')}{_LATER}", "adverse", "sentence", 0),
+    (f"{_TITLE}{_TO}{{}} 감사인의 책임 계속기업 관련 불확실성이 있는지 결론을 내립니다. {_FAIR.format('', '습니다')}재무상태표 (단위: 원) 의견거절 우리는", "unqualified", "sentence", 0),
+    (f"{_TITLE}{_TO}{{}} 재무상태표 (단위: 원) 자산 한정의견 우리는 그렇게 봅니다.", "qualified", "text", 0),
+    ("{} 회사는 의견거절을 받은 적이 없습니다. 계속기업 관련 중요한 불확실성", None, None, 1),
+    (f"{{}} 부 적 정 의 견: 우리는 감사하였습니다. 강조사항 불확실성이 계속기업 가정에 있습니다. 기타정보 없음.", "adverse", "heading", 1),
+]
+
+
+@query(f"""SELECT s_suppkey AS id, {" ".join(f"CASE s_suppkey % {len(REPORTS)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if r[k] is None else repr(r[k])) for i, r in enumerate(REPORTS)) + f" END AS {n}," for k, n in ((1, "opinion"), (2, "source"), (3, "doubt")))[:-1]} FROM supplier""")
+def audit_reports(spark, sf_dir):
+    """Opinion, where it was read, and doubt about going concern, from reports with contents, earlier years' opinions and notes around them."""
+    s = table(spark, sf_dir, "supplier")
+    text = F.replace(_pick("s_suppkey", [r[0] for r in REPORTS]), F.lit("{}"), F.col("s_name"))
+    x = s.select(F.col("s_suppkey").alias("id"), disclosures.audit_reading(text).alias("r"), disclosures.going_concern_reading(text).cast("int").alias("doubt"))
+    return x.select("id", "r.opinion", "r.source", "doubt")
+
+
 #: A statement's text by kind around an amount, and what the amount is worth there; the last year's stands first.
 STATEMENTS = [
     ("매출액 2018년 {}", 1), ("목차 손익계산서 10 매출액 9,999 백만원 주석 포괄 손 익 계 산 서 (단 위: 원) 매 출 액 (주14,17) {} 8,000", 1), ("영업수익 ({})", -1), ("매출액 - {}", 0), ("매출액 2,018 {}", None),
