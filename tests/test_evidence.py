@@ -216,3 +216,15 @@ def test_error_of_a_quantile(spark):
     for r in rows:
         boots = [np.quantile(losses[rng.integers(0, 8_000, 8_000)], r.level) for _ in range(600)]
         assert r.quantile == pytest.approx(np.quantile(losses, r.level)) and r.standard_error == pytest.approx(np.std(boots, ddof=1), rel=0.15)
+
+
+def test_cohorts_are_scored_by_the_fitted_model(spark):
+    rows = evidence.cohort_scores(spark, "/root/testdata/sf0.001").collect()
+    years = sorted({r.year for r in rows})
+    assert len(years) == 2 and years[1] == years[0] + 1 and len({r.p for r in rows}) > 3
+    ends = [0.0, *evidence.BANDS, 1.0]
+    assert all(ends[r.grade - 1] <= r.shown <= ends[r.grade] and (r.shown == r.p or r.shown in (ends[r.grade - 1], round(ends[r.grade] - 1e-6, 6))) for r in rows)
+    whole = spark.createDataFrame([(1, 2000, 0.1, 1.0, 2.0, 9)], "brand_id long, year int, end_rate double, n_events double, n_stores double, extra int")
+    assert evidence.strict(whole, evidence.NEEDED).columns == ["brand_id", "year", *evidence.NEEDED]
+    with pytest.raises(ValueError):
+        evidence.strict(whole.drop("n_events"), evidence.NEEDED)

@@ -278,12 +278,31 @@ def cohort_grades(spark, sf_dir):
     return g.select("brand_id", "year", "grade", r6(shown, "shown"))
 
 
-@query(f"""WITH {LABELLED}, gates AS (SELECT unnest([1, 2, 3]) AS gate) SELECT CAST(gate AS INTEGER) AS gate, count(*) AS n, CAST(sum(label) AS BIGINT) AS k, round(avg(label), 6) AS rate, count(DISTINCT year) AS folds FROM x, gates WHERE label IS NOT NULL AND healthy_at_t AND n_stores >= gate GROUP BY 1""")
+GATES = (1, 2, 3)
+
+
+def _gated_sql(gate: int) -> str:
+    """Labels made anew for a gate, and each year's lift of the rate of contract ends."""
+    return f"""SELECT {gate} AS gate, year, n, k, rate, top / nullif(rate, 0) AS lift FROM (WITH {LABELLED.replace("/*gate*/", f"WHERE n_stores >= {gate}")}, o AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY end_rate DESC NULLS LAST, brand_id) AS rk, greatest(1, floor(count(*) OVER (PARTITION BY year) * 0.1)) AS top FROM x WHERE label IS NOT NULL AND healthy_at_t)
+ SELECT year, count(*) AS n, sum(label) AS k, avg(label) AS rate, avg(label) FILTER (rk <= top) AS top FROM o GROUP BY 1)"""
+
+
+@query(f"""WITH f AS ({" UNION ALL ".join(map(_gated_sql, GATES))}), c AS (SELECT year FROM f WHERE lift IS NOT NULL GROUP BY 1 HAVING count(*) = {len(GATES)})
+ SELECT CAST(gate AS INTEGER) AS gate, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(k) / sum(n), 6) AS rate, count(*) AS folds, count(c.year) AS common_folds, round(avg(lift) FILTER (c.year IS NOT NULL), 6) AS common_lift FROM f LEFT JOIN c USING (year) GROUP BY 1""")
 def gate_sensitivity(spark, sf_dir):
-    """The sample under three settings of the size gate; a row counts for each that it passes."""
-    x = labelled(spark, sf_dir).where("label is not null and healthy_at_t")
-    at = x.withColumn("gate", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda g: F.col("n_stores") >= g)))
-    return at.groupBy("gate").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k"), r6(F.avg("label"), "rate"), F.count_distinct("year").alias("folds"))
+    """The whole procedure under three settings of the size gate: events, labels and folds made anew, lifts compared on the years that all three can score."""
+    out = None
+    for gate in GATES:
+        x = labelled(spark, sf_dir, gate).where("label is not null and healthy_at_t")
+        n = F.count("*").over(Window.partitionBy("year"))
+        first = F.row_number().over(Window.partitionBy("year").orderBy(F.desc_nulls_last("end_rate"), "brand_id")) <= F.greatest(F.lit(1), F.floor(n * 0.1))
+        y = x.withColumn("first", first).groupBy("year").agg(F.count("*").alias("n"), F.sum("label").alias("k"), F.avg("label").alias("rate"), F.avg(F.when(F.col("first"), F.col("label"))).alias("top"))
+        y = y.select(F.lit(gate).alias("gate"), "year", "n", "k", F.try_divide("top", "rate").alias("lift"))
+        out = y if out is None else out.union(y)
+    common = out.where("lift is not null").groupBy("year").agg(F.count("*").alias("c")).where(F.col("c") == len(GATES)).select("year", F.lit(True).alias("common"))
+    f = out.join(common, "year", "left")
+    own = F.col("common").isNotNull()
+    return f.groupBy("gate").agg(F.sum("n").alias("n"), F.sum("k").cast("long").alias("k"), r6(F.sum("k") / F.sum("n"), "rate"), F.count("*").alias("folds"), F.count_if(own).alias("common_folds"), r6(F.avg(F.when(own, F.col("lift"))), "common_lift"))
 
 
 DRAWS = 400

@@ -234,3 +234,40 @@ def risk_evidence(spark, sf_dir):
 def tail_errors(spark, sf_dir):
     """(level, quantile, standard_error): quantiles of the simulated loss with their simulation error."""
     return simulate.quantile_errors(simulate.totals(_names(spark, sf_dir), 0.05, 0.4, 20_000), [0.95, 0.99, 0.999])
+
+
+#: Cuts of grades and the features that a cohort must have.
+BANDS, NEEDED = [0.035, 0.06], ["end_rate", "n_events", "n_stores"]
+
+
+def strict(cohort, wanted: list[str]):
+    """The keys and features of a cohort that a model was fitted on; a missing one is an error, others are dropped."""
+    missing = [c for c in wanted if c not in cohort.columns]
+    if missing:
+        raise ValueError(f"the cohort lacks {missing}")
+    return cohort.select("brand_id", "year", *wanted)
+
+
+@query()
+def cohort_scores(spark, sf_dir):
+    """(brand_id, year, p, grade, shown): the last two cohorts, each scored by the model fitted on the years before both; the grade by its calibrated step, the shown value kept inside its grade's band."""
+    x = labelled(spark, sf_dir).where("healthy_at_t").withColumn("end_rate", F.coalesce("end_rate", F.lit(0.0)))
+    x = cut(x.select("brand_id", "year", F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in NEEDED]))
+    last = x.agg(F.max("year")).first()[0]
+    train = x.where((F.col("year") < last - 1) & F.col("label").isNotNull())
+    moments = train.agg(*[F.avg(c) for c in NEEDED], *[F.stddev_pop(c) for c in NEEDED]).first()
+    m = len(NEEDED)
+    scaled = [(F.col(c) - moments[i]) / (moments[m + i] or 1.0) for i, c in enumerate(NEEDED)]
+    problem = regression.Problem(scaled, ridge=1.0)
+    (beta,) = regression.newton(train, [problem], "label")
+    raw = regression.chance(problem, beta)
+    levels = calibration.shrunk_levels(calibration.isotonic_blocks(train.withColumn("raw", raw), "raw", "label"), STRENGTH)
+    out = None
+    for year in (last - 1, last):
+        cohort = strict(x.where(F.col("year") == year), NEEDED).withColumn("p", raw)
+        step = calibration.stepped(F.col("p"), levels)
+        grade = F.when(step < BANDS[0], 0).when(step < BANDS[1], 1).otherwise(2)
+        low, high = F.get(F.array(*map(F.lit, [0.0, *BANDS])), grade), F.get(F.array(*map(F.lit, [*[b - 1e-6 for b in BANDS], 1.0])), grade)
+        cohort = cohort.select("brand_id", "year", r6("p", "p"), (grade + 1).alias("grade"), r6(F.least(F.greatest(F.col("p"), low), high), "shown"))
+        out = cohort if out is None else out.union(cohort)
+    return out

@@ -18,9 +18,10 @@ def lagged(spark, sf_dir):
     return p.withColumns({"prev_stores": W.guarded_lag("n_stores", "brand_id", "year"), "prev_sales": W.guarded_lag("avg_sales", "brand_id", "year")})
 
 
-def labelled(spark, sf_dir):
-    """Events of deterioration by group quantiles, the healthy gate and the label of the following year."""
+def labelled(spark, sf_dir, gate: int = 0):
+    """Events of deterioration by group quantiles, the healthy gate and the label of the following year; of brand years of ``gate`` stores or more."""
     x = lagged(spark, sf_dir)
+    x = x.where(F.col("n_stores") >= gate) if gate else x
     x = x.withColumns({
         "growth": F.round(ratio(F.col("n_stores"), F.col("prev_stores")) - 1, 6),
         "sales_growth": F.round(ratio(F.col("avg_sales"), F.col("prev_sales")) - 1, 6),
@@ -41,7 +42,7 @@ def labelled(spark, sf_dir):
 
 
 LABELLED = f"""{FULL}, {LAGGED}, g AS (SELECT *, round(CAST(n_stores AS DOUBLE) / prev_stores - 1, 6) AS growth, round(avg_sales / prev_sales - 1, 6) AS sales_growth, round(CAST(n_end AS DOUBLE) / prev_stores, 6) AS end_rate,
- CASE WHEN count(*) OVER (PARTITION BY year, mid) >= {FINE_ROWS} THEN mid ELSE major END AS grp FROM l),
+ CASE WHEN count(*) OVER (PARTITION BY year, mid) >= {FINE_ROWS} THEN mid ELSE major END AS grp FROM l /*gate*/),
  q AS (SELECT year, grp, quantile_cont(growth, 0.2) AS q_store, quantile_cont(sales_growth, 0.2) AS q_sales, quantile_cont(end_rate, 0.8) AS q_end FROM g GROUP BY 1, 2),
  e AS (SELECT g.*, coalesce(growth < q_store, false) AS ev_store, coalesce(sales_growth < q_sales, false) AS ev_sales, coalesce(end_rate > q_end, false) AS ev_contract FROM g JOIN q USING (year, grp)),
  n AS (SELECT *, CAST(ev_store AS INT) + CAST(ev_sales AS INT) + CAST(ev_contract AS INT) AS n_events FROM e),
