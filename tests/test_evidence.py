@@ -228,3 +228,21 @@ def test_cohorts_are_scored_by_the_fitted_model(spark):
     assert evidence.strict(whole, evidence.NEEDED).columns == ["brand_id", "year", *evidence.NEEDED]
     with pytest.raises(ValueError):
         evidence.strict(whole.drop("n_events"), evidence.NEEDED)
+
+
+def test_auc_and_lift_by_group(spark):
+    from tidemark.operators import metrics
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(2), round(rng.random(), 1), rng.randrange(2)) for _ in range(300)] + [("c", 0, 0.5, 1), ("a", 0, None, 1)]
+    got = {(r.g, r.h): r for r in metrics.auc_and_lift(spark.createDataFrame(rows, "g string, h int, s double, y int").repartition(3), ["g", "h"], "s", "y").collect()}
+    for key in {r[:2] for r in rows}:
+        own = [(s, y) for g, h, s, y in rows if (g, h) == key and s is not None]
+        pairs = [(a > b) + 0.5 * (a == b) for a, y in own if y for b, z in own if not z]
+        assert got[key].n == len(own) and (got[key].auc == pytest.approx(sum(pairs) / len(pairs)) if pairs else got[key].auc is None)
+        top, left, hit = max(1, len(own) // 10), max(1, len(own) // 10), 0.0
+        for s in sorted({s for s, _ in own}, reverse=True):
+            at = [y for t, y in own if t == s]
+            hit += sum(at) * min(1.0, max(0, left) / len(at))
+            left -= len(at)
+        assert got[key].lift == pytest.approx(hit / top / (sum(y for _, y in own) / len(own)))

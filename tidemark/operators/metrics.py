@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import ranked, value_table
+from tidemark.operators.ordered import ranked, running, value_table
 
 
 def auc_ks(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -20,6 +20,23 @@ def auc_ks(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def auc_and_lift(df: DataFrame, keys: list[str], score: str, label: str, share: float = 0.1) -> DataFrame:
+    """(*keys, n, auc, lift) of each group from one order of all groups' scores; ties count one half in the AUC, and at the lift's edge by their share of it."""
+    at = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    t = running(at, [*[F.asc(k) for k in keys], F.asc(score)], {"cum": F.col("n"), "cum_pos": F.col("pos")})
+    totals = t.groupBy(*keys).agg(F.max("cum").alias("end"), F.max("cum_pos").alias("end_pos"), F.sum("n").alias("__n"), F.sum("pos").alias("__pos"))
+    t = t.join(F.broadcast(totals), keys)  # a row a group
+    neg = F.col("n") - F.col("pos")
+    below = F.col("cum") - F.col("cum_pos") - neg - (F.col("end") - F.col("end_pos") - F.col("__n") + F.col("__pos"))
+    top = F.greatest(F.lit(1), F.floor(F.col("__n") * share))
+    part = F.least(F.greatest((top - (F.col("end") - F.col("cum"))) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    return t.groupBy(*keys).agg(
+        F.max("__n").alias("n"),
+        F.try_divide(F.sum(F.col("pos") * (below + neg / 2)), F.max(F.col("__pos") * (F.col("__n") - F.col("__pos")))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * part) / F.max(top), F.max(F.col("__pos") / F.col("__n"))).alias("lift"),
+    )
+
+
 def top_share(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     """The rows of the first max(1, floor(n * share)) in a total order, with ``rank`` and ``k``."""
     placed = ranked(df, order)

@@ -21,12 +21,16 @@ class Problem:
         return [F.lit(1.0), *self.features]
 
 
-def _chance(columns: list[Column], beta: np.ndarray) -> Column:
-    z = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], columns[1:])), F.lit(float(beta[0])))
+def _chance(columns: list[Column], beta: list[Column]) -> Column:
+    z = sum((b * c for b, c in zip(beta[1:], columns[1:])), beta[0])
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def _sums(problem: Problem, beta: np.ndarray, label: Column) -> tuple[list[Column], list[Column]]:
+def _literals(beta: np.ndarray) -> list[Column]:
+    return [F.lit(float(b)) for b in beta]
+
+
+def _sums(problem: Problem, beta: list[Column], label: Column) -> tuple[list[Column], list[Column]]:
     """Gradient and upper triangle of the information, as aggregates."""
     x, p = problem.columns(), _chance(problem.columns(), beta)
     held = lambda c: F.coalesce(F.sum(F.when(problem.rows, c)), F.lit(0.0))
@@ -40,35 +44,41 @@ def _square(values: list[float], m: int) -> np.ndarray:
 
 
 def newton(rows: DataFrame, problems: list[Problem], label: str, steps: int = 60, tolerance: float = 1e-9) -> list[np.ndarray]:
-    """The coefficients of each problem, intercept first.  A step is one aggregate for all problems that have not settled; only sums reach the driver."""
-    y = F.col(label).cast("double")
+    """The coefficients of each problem, intercept first.  A step is one aggregate for all problems; only sums reach the driver."""
+    y, spark = F.col(label).cast("double"), rows.sparkSession
     found = [np.zeros(len(p.features) + 1) for p in problems]
-    open_ones = list(range(len(problems)))
+    # coefficients come as a row beside the data, so that a step runs the code that the first one compiled
+    names = [[f"__b{i}_{j}" for j in range(len(b))] for i, b in enumerate(found)]
+    wanted = [_sums(p, [F.col(n) for n in own], y) for p, own in zip(problems, names)]
+    sums = [c.alias(f"s{n}") for n, c in enumerate(c for g, h in wanted for c in g + h)]
+    open_ones = set(range(len(problems)))
     for _ in range(steps):
         if not open_ones:
             break
-        wanted = [_sums(problems[i], found[i], y) for i in open_ones]
-        values = list(rows.agg(*[c.alias(f"s{n}") for n, c in enumerate(c for g, h in wanted for c in g + h)]).first())
-        for i, (g, h) in zip(list(open_ones), wanted):
+        row = spark.createDataFrame([tuple(float(v) for b in found for v in b)], ", ".join(f"{n} double" for own in names for n in own))
+        values = list(rows.crossJoin(F.broadcast(row)).agg(*sums).first())  # one row
+        for i, (g, h) in enumerate(wanted):
             m = len(g)
-            gradient, information, values = np.array(values[:m], float), _square(values[m : m + len(h)], m), values[m + len(h) :]
+            own, values = values[: m + len(h)], values[m + len(h) :]
+            if i not in open_ones:
+                continue
             penalty = np.array([0.0] + [problems[i].ridge] * (m - 1))
-            step = np.linalg.solve(information + np.diag(penalty + 1e-9), gradient - penalty * found[i])
+            step = np.linalg.solve(_square(own[m:], m) + np.diag(penalty + 1e-9), np.array(own[:m], float) - penalty * found[i])
             found[i] = found[i] + step
             if np.abs(step).max() < tolerance:
-                open_ones.remove(i)
+                open_ones.discard(i)
     return found
 
 
 def chance(problem: Problem, beta: np.ndarray) -> Column:
     """The probability that a fitted problem gives."""
-    return _chance(problem.columns(), beta)
+    return _chance(problem.columns(), _literals(beta))
 
 
 def cluster_covariance(rows: DataFrame, problem: Problem, beta: np.ndarray, label: str, cluster: str) -> tuple[np.ndarray, int]:
     """(covariance, clusters): the sandwich of the information and the outer products of the clusters' scores, times G / (G - 1)."""
     y, m = F.col(label).cast("double"), len(beta)
-    gradient, information = _sums(problem, beta, y)
+    gradient, information = _sums(problem, _literals(beta), y)
     scores = rows.groupBy(cluster).agg(*[c.alias(f"u{i}") for i, c in enumerate(gradient)], *[c.alias(f"h{i}") for i, c in enumerate(information)], F.count_if(problem.rows).alias("n")).where("n > 0")
     meat = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i in range(m) for j in range(i, m)]
     found = scores.agg(F.count("*"), *meat, *[F.sum(f"h{i}") for i in range(len(information))]).first()

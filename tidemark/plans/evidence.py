@@ -216,13 +216,10 @@ def risk_evidence(spark, sf_dir):
     sets = {"base": [F.col("z")], "with_risk": [F.col("z"), F.col("risk")]}
     problems = {(name, f): regression.Problem(cols, F.col("fold") != f, 1.0) for name, cols in sets.items() for f in range(FOLDS)}
     fits = dict(zip(problems, regression.newton(x, list(problems.values()), "label")))
-    gains = {}
-    for name, cols in sets.items():
-        own = F.coalesce(*[F.when(F.col("fold") == f, regression.chance(problems[name, f], fits[name, f])) for f in range(FOLDS)])
-        scored = x.withColumn("s", own)
-        aucs = [metrics.auc_ks(scored.where(F.col("fold") == f), "s", "label").first()["auc"] for f in range(FOLDS)]
-        aucs = [a for a in aucs if a is not None]
-        gains[name] = sum(aucs) / len(aucs) if aucs else None
+    own = {name: F.coalesce(*[F.when(F.col("fold") == f, regression.chance(problems[name, f], fits[name, f])) for f in range(FOLDS)]) for name in sets}
+    long = x.select("fold", "label", F.explode(F.array(*[F.struct(F.lit(name).alias("model"), e.alias("s")) for name, e in own.items()])).alias("e")).select("fold", "label", "e.*")
+    means = {r["model"]: r["auc"] for r in metrics.auc_and_lift(long, ["model", "fold"], "s", "label").groupBy("model").agg(F.avg("auc").alias("auc")).collect()}  # two rows
+    gains = {name: means.get(name) for name in sets}
     gain = None if None in gains.values() else gains["with_risk"] - gains["base"]
     row = (b, se, math.exp(b), math.exp(b - 1.96 * se), math.exp(b + 1.96 * se), p, groups, gains["base"], gains["with_risk"], gain)
     names = ["beta", "se", "odds_ratio", "or_low", "or_high", "p_value", "clusters", "auc_base", "auc_with_risk", "gain"]
@@ -271,3 +268,25 @@ def cohort_scores(spark, sf_dir):
         cohort = cohort.select("brand_id", "year", r6("p", "p"), (grade + 1).alias("grade"), r6(F.least(F.greatest(F.col("p"), low), high), "shown"))
         out = cohort if out is None else out.union(cohort)
     return out
+
+
+#: Groups of features, each stage with those before it.
+GROUPS = [("size", ["n_stores"]), ("history", ["prev_stores"]), ("growth", ["growth"]), ("sales", ["sales_growth"]), ("events", ["end_rate", "n_events"])]
+
+
+@query()
+def feature_ablation(spark, sf_dir):
+    """(stage, group, n_features, split, n, auc, lift): what each group of features adds to a logistic model of those before it; all stages are fitted in the same passes."""
+    names = [c for _, group in GROUPS for c in group]
+    x = split(labelled(spark, sf_dir).where("healthy_at_t and label is not null").select("brand_id", "year", F.col("label").cast("double").alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]))
+    x = cut(x)
+    train = x.where("split = 'train'")
+    moments = train.agg(*[F.avg(c) for c in names], *[F.stddev_pop(c) for c in names]).first()
+    scaled = [(F.col(c) - moments[i]) / (moments[len(names) + i] or 1.0) for i, c in enumerate(names)]
+    sizes = [sum(len(g) for _, g in GROUPS[: k + 1]) for k in range(len(GROUPS))]
+    problems = [regression.Problem(scaled[:m], ridge=1.0) for m in sizes]
+    fits = regression.newton(train, problems, "label")
+    stages = F.array(*[F.struct(F.lit(k + 1).alias("stage"), F.lit(g).alias("group"), F.lit(sizes[k]).alias("n_features"), regression.chance(problems[k], fits[k]).alias("s")) for k, (g, _) in enumerate(GROUPS)])
+    long = x.where("split != 'train'").select("split", "label", F.explode(stages).alias("e")).select("split", "label", "e.*")
+    out = metrics.auc_and_lift(long, ["stage", "group", "n_features", "split"], "s", "label")
+    return out.select("stage", "group", "n_features", "split", "n", r6("auc", "auc"), r6("lift", "lift"))
