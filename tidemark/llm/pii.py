@@ -35,7 +35,7 @@ TERM = r"(?<![\p{L}\p{M}\p{N}@._%+-])\p{L}[\p{L}\p{M}]{2,}+(?![\p{N}@_%+-]|\.[\p
 WINDOW = 64
 #: Bits of an identifier that a term leaves at most to be generalised or removed, the share of its information that it discloses at least, and documents that the two must share.
 GENERALISE_BITS, REMOVE_BITS, SHARE, SUPPORT = 1.0, 0.15, 0.5, 2
-#: Candidate terms up to which they are sent to every task (about 100 MB); more are joined by shuffle.
+#: Candidate terms, or keys of texts, up to which they are sent to every task (about 100 MB); more are joined by shuffle.
 SENT_TERMS = 1_000_000
 
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -196,14 +196,22 @@ def term_spans(docs: DataFrame, known: DataFrame, told: DataFrame, id_col: str =
     holders = known.where(F.size("entities") > 0).select(*key, "entities").dropDuplicates(key)
     held = holders.select(*key, F.explode("entities").alias("entity"))
     named = held.join(told.select("entity").distinct(), "entity", "left_semi")
-    rows = texts(docs, id_col, text_col).select("text", *_keys()).join(named.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
+    asked = named.select(*key).distinct()
+    # texts stay where they are while the keys of those that are asked for fit every task
+    asked = F.broadcast(asked) if asked.count() <= SENT_TERMS else asked
+    rows = texts(docs, id_col, text_col).select("text", *_keys()).join(asked, key, "left_semi").dropDuplicates(key)
     size = F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), lambda t: F.length(t))
     gaps = F.transform(F.split("text", TERM, -1), lambda g: F.length(g))
-    words = rows.select(*key, F.posexplode(F.arrays_zip(terms(F.col("text")).alias("term"), size.alias("size"), F.slice(gaps, F.lit(1), F.size(size)).alias("gap"))).alias("at", "word"))
-    words = words.select(*key, "at", "word.*").withColumn("end", F.expr("sum(gap + size) over (partition by k1, k2 order by at)"))
+
+    def placed(s: Column) -> Column:
+        steps = F.zip_with(F.slice(s["gaps"], 1, F.size(s["size"])), s["size"], lambda g, n: g + n)
+        end = F.zip_with(before_each(steps), steps, lambda before, step: before + step)
+        return F.arrays_zip(s["term"].alias("term"), s["size"].alias("size"), end.alias("end"))
+
+    words = rows.select(*key, F.explode(let(F.struct(terms(F.col("text")).alias("term"), size.alias("size"), gaps.alias("gaps")), placed)).alias("word")).select(*key, "word.*")
     wanted = words.join(told.select("entity", "term", "action"), "term").join(named, [*key, "entity"], "left_semi")
     spans = wanted.groupBy(*key, "end", "size").agg(F.max("action").alias("kind"))  # 'removed' comes after 'generalised'
-    span = F.struct("kind", (F.col("end") - F.col("size")).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    span = F.struct("kind", (F.col("end") - F.col("size")).cast("bigint").alias("start"), "end")
     return spans.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("told"))
 
 
