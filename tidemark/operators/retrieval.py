@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import cut
 
 
+def by_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` placed by id: texts move once, so that counts of an (id, term) need no shuffle of their terms."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): words and pairs of neighbouring words of each text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    w = df.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
+    w = by_id(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     both = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
     return w.select("id", F.explode(both).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -36,69 +41,118 @@ def character_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.select("id", "n", F.explode(runs).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
 
-def weighted(tf: DataFrame, asked: DataFrame, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """((id, norm, kept), (query_id, term, weight)): documents with their length and, of their terms, only those that a query has, as (term, weight before the length); and queries of length one.
+def numbered(asked: DataFrame) -> pd.Series:
+    """The queries' terms, which are few, each with its number."""
+    found = sorted(r["term"] for r in asked.select("term").distinct().collect())
+    return pd.Series(np.arange(len(found), dtype=np.int32), index=pd.Index(found, dtype=object))
+
+
+def _idf(frequency: DataFrame, n_docs: DataFrame, min_df: int) -> DataFrame:
+    """(term, idf) from (term, df), cut: it is read more than once."""
+    known = frequency.where(F.col("df") >= min_df).crossJoin(F.broadcast(n_docs))
+    return cut(known.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+
+
+def _of_length_one(asked: DataFrame, idf: DataFrame) -> DataFrame:
+    """(query_id, term, weight)"""
+    q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    length = q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return q.join(length, "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def weighted(tf: DataFrame, asked: DataFrame, numbers: pd.Series, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
+    """((id, norm, place, raw), (query_id, term, weight)): documents with their length and, of their terms, only those that a query has, as numbers and weights before the length; and queries of length one.
 
     Weights are 1 + ln(tf) times a smoothed idf; terms of fewer than ``min_df`` documents are none.
     """
-    frequency = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n_docs))
-    idf = frequency.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    idf = _idf(tf.groupBy("term").agg(F.count("tf").alias("df")), n_docs, min_df)
+    wanted = tf.sparkSession.createDataFrame(pd.DataFrame({"term": numbers.index, "place": numbers.to_numpy()}), "term string, place int")
     weighed = tf.join(idf.join(wanted, "term", "left"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    kept = F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw")))
-    docs = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), kept.alias("kept")).where("size(kept) > 0")
-    q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("weight"))
-    return docs, q
+    kept = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "raw"))).alias("kept")
+    docs = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), kept).where("size(kept) > 0")
+    return docs.select("id", "norm", F.col("kept.place").alias("place"), F.col("kept.raw").alias("raw")), _of_length_one(asked, idf)
 
 
 #: Terms whose idf goes to every task, about 100 MB; a larger vocabulary is joined by shuffle.
 SENT_TERMS = 1_000_000
+#: Words of documents that are weighed at once.
+WORDS = 500_000
 
 
-def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: DataFrame, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
+def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: DataFrame, numbers: pd.Series, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
     """What ``weighted`` gives for the characters of words, without moving a document's terms: their kinds are few, so that their idf goes to the documents; None if they are not.
 
     ``id_col`` names a document once.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    own = corpus.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
+    texts = corpus.select(id_col, text_col)
+    if texts.rdd.getNumPartitions() < 2 * corpus.sparkSession.sparkContext.defaultParallelism:  # a few files leave most cores idle
+        texts = by_id(texts, id_col)
+    own = texts.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
 
     def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
         for batch in batches:
             for w in batch["w"]:
                 found.update(set().union(*map(word_runs, set(w))))
-            if len(found) > SENT_TERMS:
-                yield pd.DataFrame(found.items(), columns=["term", "n"])
-                found.clear()
+                if len(found) > SENT_TERMS:
+                    yield pd.DataFrame(found.items(), columns=["term", "n"])
+                    found.clear()
         yield pd.DataFrame(found.items(), columns=["term", "n"])
 
-    frequency = own.select("w").mapInPandas(kinds, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
-    idf = cut(frequency.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    frequency = own.select("w").mapInPandas(kinds, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    idf = _idf(frequency, n_docs, min_df)
     if idf.count() > SENT_TERMS:
         return None
-    q = asked.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    q = q.join(q.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (F.col("raw") / F.col("norm")).alias("weight"))
-    table = idf.join(asked.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left").toPandas()
-    shared = corpus.sparkSession.sparkContext.broadcast({t: (i, w is True) for t, i, w in zip(table["term"], table["idf"], table["wanted"])})
+    table = idf.toPandas()
+    place = numbers.reindex(table["term"]).fillna(-1).to_numpy(np.int32)
+    shared = corpus.sparkSession.sparkContext.broadcast((dict(zip(table["term"], range(len(table)))), table["idf"].to_numpy(), place))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known, idf, place = shared.value
+        numbers_of: dict[str, np.ndarray] = {}
+
+        def runs(word: str) -> np.ndarray:
+            if word not in numbers_of:
+                if len(numbers_of) >= WORDS:
+                    numbers_of.clear()
+                numbers_of[word] = np.array([known[t] for t in word_runs(word) if t in known], np.int64)
+            return numbers_of[word]
+
+        def block(ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
+            code, kinds = pd.factorize(np.concatenate(texts))
+            owner = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+            pair, times = np.unique(owner * len(kinds) + code, return_counts=True)
+            of = [runs(w) for w in kinds]
+            size = np.array([len(r) for r in of])
+            flat, begin = np.concatenate(of), np.cumsum(size) - size
+            kind, n = pair % len(kinds), size[pair % len(kinds)]
+            at = np.repeat(begin[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            key = np.repeat(pair // len(kinds), n) * len(idf) + flat[at]
+            order = np.argsort(key, kind="stable")
+            key, first = np.unique(key[order], return_index=True)
+            tf = np.add.reduceat(np.repeat(times, n)[order], first) if len(key) else np.zeros(0)
+            doc, term = key // max(1, len(idf)), key % max(1, len(idf))
+            raw = (1 + np.log(tf)) * idf[term]
+            norm = np.sqrt(np.bincount(doc, raw * raw, len(texts)))
+            kept = place[term] >= 0
+            end = np.cumsum(np.bincount(doc[kept], minlength=len(texts)))[:-1]
+            out = pd.DataFrame({"id": ids, "norm": norm, "place": np.split(place[term[kept]], end), "raw": np.split(raw[kept], end)})
+            return out[out["place"].map(len) > 0]
+
         for batch in batches:
-            rows = []
+            ids, texts, size = [], [], 0
             for doc, w in zip(batch["id"], batch["w"]):
-                tf: Counter = Counter()
-                for word, n in Counter(w).items():
-                    for t in word_runs(word):
-                        tf[t] += n
-                held = [(t, 1 + math.log(n), *known[t]) for t, n in tf.items() if t in known]
-                kept = [{"term": t, "raw": f * i} for t, f, i, wanted in held if wanted]
-                if kept:
-                    rows.append((doc, math.sqrt(sum((f * i) ** 2 for _, f, i, _ in held)), kept))
-            yield pd.DataFrame(rows, columns=["id", "norm", "kept"])
+                ids.append(doc)
+                texts.append(w)
+                size += len(w)
+                if size >= WORDS:
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
+            if texts:
+                yield block(ids, texts)
 
-    return own.mapInPandas(weigh, "id long, norm double, kept array<struct<term:string,raw:double>>"), q
+    return own.mapInPandas(weigh, "id long, norm double, place array<int>, raw array<double>"), _of_length_one(asked, idf)
 
 
 @lru_cache(maxsize=200_000)
@@ -121,30 +175,34 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, least: float = 0.02)
     the nearest come out, so that a term of every text costs a column and no join.
     """
     n = corpus.agg(F.count("*").alias("n_docs"))
-    asked_runs = character_terms(queries, "query_id", "text")
-    runs = weighted_in_place(corpus, "doc_id", "text", asked_runs, n, 3) or weighted(character_terms(corpus, "doc_id", "text"), asked_runs, n, 3)
-    halves = [weighted(terms(corpus, "doc_id", "text"), terms(queries, "query_id", "text"), n, 1), runs]
-    sides = [d.select("id", F.col("norm").alias(f"norm{i}"), F.col("kept.term").alias(f"term{i}"), F.col("kept.raw").alias(f"raw{i}")) for i, (d, _) in enumerate(halves)]
+    asked = [terms(queries, "query_id", "text"), character_terms(queries, "query_id", "text")]
+    numbers = [numbered(a) for a in asked]
+    runs = weighted_in_place(corpus, "doc_id", "text", asked[1], numbers[1], n, 3) or weighted(character_terms(corpus, "doc_id", "text"), asked[1], numbers[1], n, 3)
+    halves = [weighted(terms(corpus, "doc_id", "text"), asked[0], numbers[0], n, 1), runs]
+    sides = [d.select("id", *[F.col(c).alias(f"{c}{i}") for c in ("norm", "place", "raw")]) for i, (d, _) in enumerate(halves)]
     scopes = corpus.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("scope").cast("string")).alias("scope"))
-    docs = sides[0].join(sides[1], "id", "full").join(scopes, "id", "left").select("id", "scope", *[f"{c}{i}" for i in (0, 1) for c in ("norm", "term", "raw")])
+    docs = sides[0].join(sides[1], "id", "full").join(scopes, "id", "left").select("id", "scope", *[f"{c}{i}" for i in (0, 1) for c in ("norm", "place", "raw")])
     asked = halves[0][1].withColumn("half", F.lit(0)).union(halves[1][1].withColumn("half", F.lit(1))).toPandas()  # the queries' own terms
+    asked["place"] = [numbers[half][term] for half, term in zip(asked["half"], asked["term"])]
     own = dict(queries.select("query_id", F.col("scope").cast("string")).collect())
     ids, out = sorted(set(asked["query_id"])), None
     size = max(1, CELLS // max(1, asked["term"].nunique()))
     for begin in range(0, max(1, len(ids)), size):
         block = ids[begin : begin + size]
-        part = _nearest_of(docs, asked[asked["query_id"].isin(block)], block, [own.get(q) for q in block], k, least)
+        part = _nearest_of(docs, asked[asked["query_id"].isin(block)], list(map(len, numbers)), block, [own.get(q) for q in block], k, least)
         out = part if out is None else out.union(part)
     return out
 
 
-def _nearest_of(docs: DataFrame, asked: pd.DataFrame, ids: list, scopes: list, k: int, least: float) -> DataFrame:
+def _nearest_of(docs: DataFrame, asked: pd.DataFrame, sizes: list[int], ids: list, scopes: list, k: int, least: float) -> DataFrame:
     places, tables = [], []
     for half in (0, 1):
         rows = asked[asked["half"] == half]
-        place = {t: i for i, t in enumerate(sorted(set(rows["term"])))}
-        table = np.zeros((len(place), len(ids)))
-        table[rows["term"].map(place).to_numpy(int), rows["query_id"].map({q: i for i, q in enumerate(ids)}).to_numpy(int)] = rows["weight"]
+        used, row = np.unique(rows["place"].to_numpy(int), return_inverse=True)
+        place = np.full(sizes[half], -1, np.int32)
+        place[used] = np.arange(len(used))
+        table = np.zeros((len(used), len(ids)))
+        table[row, rows["query_id"].map({q: i for i, q in enumerate(ids)}).to_numpy(int)] = rows["weight"]
         places.append(place)
         tables.append(table)
     shared = docs.sparkSession.sparkContext.broadcast((places, tables))
@@ -156,12 +214,11 @@ def _nearest_of(docs: DataFrame, asked: pd.DataFrame, ids: list, scopes: list, k
             score = np.zeros((len(batch), len(ids)))
             for half in (0, 1):
                 place, table = places[half], tables[half]
-                for i, (norm, own_terms, raw) in enumerate(zip(batch[f"norm{half}"], batch[f"term{half}"], batch[f"raw{half}"])):
-                    if own_terms is not None and len(own_terms):
-                        at = [place.get(t, -1) for t in own_terms]
-                        known = [j for j, a in enumerate(at) if a >= 0]
-                        if known:
-                            score[i] += 0.5 / norm * (np.asarray(raw, float)[known] @ table[[at[j] for j in known]])
+                for i, (norm, own, raw) in enumerate(zip(batch[f"norm{half}"], batch[f"place{half}"], batch[f"raw{half}"])):
+                    if own is not None and len(own):
+                        at = place[np.asarray(own, int)]
+                        known = at >= 0
+                        score[i] += 0.5 / norm * (np.asarray(raw, float)[known] @ table[at[known]])
             score = np.round(score, 6)
             inside = scope_of[0][None, :] & (batch["scope"].fillna("\0").to_numpy(object)[:, None] == scope_of[1][None, :])
             doc = batch["id"].to_numpy()
