@@ -794,3 +794,18 @@ def test_parts_of_a_large_group_all_meet(spark, monkeypatch):
     monkeypatch.setattr(lines, "GROUP", 7)
     got = lines.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 40 and len({r.component for r in got}) == 1
+
+
+def test_a_line_of_every_document_goes_once_a_task(spark):
+    rows = [(i, f"the line that stands on every page of the site\nwords of page {i * 7919} alone and of no other {i}\n{'ab' if i % 2 else 'cd'}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        bands = lines._bands(d).groupBy("line_id").count().collect()
+        hot = lines._texts_of(d, spark.createDataFrame([(r.line_id,) for r in bands], "node long")).groupBy("line").count().collect()
+        removed = {r.doc_id: r.removed for r in lines.decisions(d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r["count"] for r in bands) <= 3 * 2 * lines.BANDS and len(bands) == 603
+    assert max(r["count"] for r in hot) <= 3 and len(hot) == 603
+    assert removed[0] == [] and removed[1] == [0] and all(r[:1] == [0] and 2 in r for i, r in removed.items() if i > 1)

@@ -26,6 +26,9 @@ PLACES, APART, BLANK = 24, 10, " \t\r\x0b\x0c"
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
+#: Lines a task remembers to have given, about 25 MB.
+SENT = 1 << 18
+
 _ODD = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -101,21 +104,41 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= APART
 
 
+class Given:
+    """The lines a task has given already.  A line that stands in most documents thus goes once a task into the shuffle, not once a batch.
+
+    Beyond ``SENT`` lines others are not remembered and may be given again; what reads them takes repeats as one.
+    """
+
+    def __init__(self) -> None:
+        self._ids: set[int] = set()
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        """The places of ids that are not known to have been given, which they are from now on."""
+        at = np.array([i for i, x in enumerate(ids.tolist()) if x not in self._ids], np.int64)
+        self._ids.update(ids[at[: max(0, SENT - len(self._ids))]].tolist())
+        return at
+
+
 def _bands(docs: DataFrame) -> DataFrame:
-    """(key, line_id, rest): each band key of each distinct line of a batch, with the line's sketch and number of times there.
+    """(key, line_id, rest): each band key of each distinct line of a task, with the line's sketch and its number of times in the batch where the task met it.
 
     key holds 48 bits of the band key and 16 of the sketch, rest the sketch's other 32 and the number, up to 65535.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = Given()
+
         def banded(block: list[str]) -> pa.RecordBatch:
             seen = Counter(x for t in block for x in t.split("\n") if x.strip(BLANK))
             lines = list(seen)
-            if not lines:
-                return pa.RecordBatch.from_pylist([], schema=schema)
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64).view(np.int64)
-            row, key, sketch = signatures(lines)
-            times = np.minimum(np.fromiter(seen.values(), np.int64, len(lines)), 0xFFFF).astype(np.uint64)
+            new = given.new(ids)
+            if not len(new):
+                return pa.RecordBatch.from_pylist([], schema=schema)
+            times = np.minimum(np.fromiter(seen.values(), np.int64, len(lines))[new], 0xFFFF).astype(np.uint64)
+            ids = ids[new]
+            row, key, sketch = signatures([lines[i] for i in new])
             key = key >> np.uint64(16) << np.uint64(16) | sketch >> np.uint64(32)
             rest = (sketch & np.uint64(0xFFFFFFFF)) << np.uint64(16) | times[row]
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(rest.view(np.int64))], schema=schema)
@@ -150,7 +173,7 @@ def _clusters(sketch: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucket_stars(bands: DataFrame) -> DataFrame:
-    """(a, b): for buckets of several lines, each line beside the bucket's most frequent one if their sketches are alike, else beside another that is alike."""
+    """(a, b): for buckets of several lines, each line beside the bucket's most frequent one, as far as tasks have counted it, if their sketches are alike, else beside another that is alike."""
     dealt = bands.repartition(shuffle_width(bands.sparkSession), F.shiftright("key", 16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +269,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = bitmap_of(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = Given()
         for batch in batches:
             lines = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if x.strip(BLANK)})
             ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64)
             hit = np.flatnonzero(bits.holds(ids))
+            hit = hit[given.new(ids[hit])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit].view(np.int64)), pa.array([lines[i] for i in hit], pa.string())], names=["line_id", "line"])
 
     return docs.select("text").mapInArrow(run, "line_id long, line string")
