@@ -77,3 +77,42 @@ def test_retrieval_with_small_blocks_and_by_join_is_the_same(spark, monkeypatch)
     monkeypatch.setattr(retrieval, "SENT_TERMS", 0)
     assert answer() == whole
     assert retrieval.retrieve(corpus, queries.limit(0), 4).count() == 0 and retrieval.retrieve(corpus.limit(0), queries, 4).count() == 0
+
+
+def test_titles_that_name(spark):
+    from tidemark.operators import scan
+
+    rng = random.Random(4)
+    word = lambda low, high: "".join(rng.choice("abcd커피") for _ in range(rng.randint(low, high)))
+    names = [word(1, 7) for _ in range(150)] + ["", None, "abab", "zzzz", "aa", "커피"]
+    titles = [word(0, 12) for _ in range(200)] + ["", None, "a", "ab", "abab"]
+    titles += titles[:20]
+    speaks = lambda n, t: n in t or (len(n) >= 4 and n[:2] in t and n[-2:] in t)
+    want = {}
+    for t in {t for t in titles if t}:
+        found = sorted(n for n in {n for n in names if n} if speaks(n, t))
+        if found:
+            want[t] = (len(found), found[0])
+    frame = lambda values, c: spark.createDataFrame([(v,) for v in values], f"{c} string")
+    got = scan.titles_naming(frame(names, "name"), frame(titles, "title")).collect()
+    assert len(got) == len(want) and {r.title: (r.n_names, r.first_name) for r in got} == want
+    nothing = frame([], "name"), frame([], "title")
+    assert scan.titles_naming(nothing[0], frame(titles, "title")).count() == 0 and scan.titles_naming(frame(names, "name"), nothing[1]).count() == 0
+
+
+def test_amounts_are_read_back(spark):
+    from tidemark.plans.matching import FORMS, amounts_read_back
+
+    for r in amounts_read_back(spark, "/root/testdata/sf0.001").collect():
+        assert (r.known, r.same) == ((r.n, r.n) if FORMS[r.form][1] else (0, 0))
+
+
+def test_category_terms(spark):
+    from tidemark.functions.expr import category_term
+
+    rows = [("인생냉면", "한식", "외식", "냉면"), ("집밥", "치킨", "외식", "치킨"), ("집밥", " 한식 ", "외식", "한식"), ("집", "기타 외국식 음식점업종류", "음식", "음식"), (None, None, None, "외식"), ("", "", " 서비스 ", "서비스"), ("커", "커", "x", "한글자")]
+    words = {"커": "한글자", "냉면": "냉면", "치킨": "치킨"}
+    d = spark.createDataFrame(rows, "brand string, mid string, major string, want string")
+    from pyspark.sql import functions as F
+
+    assert all(r.term == r.want for r in d.withColumn("term", category_term(F.col("brand"), F.col("mid"), F.col("major"), words)).collect())

@@ -240,3 +240,10 @@ def replaced(col: Column, words: dict[str, str]) -> Column:
         return s.map(lambda t: None if t is None else pattern.sub(lambda m: words[m[0]], t))
 
     return run(col)
+
+
+def category_term(brand: Column, mid: Column, major: Column, words: dict[str, str], longest: int = 10, other: str = "외식") -> Column:
+    """What a brand is compared with: the first of ``words`` (of two letters or more) in its name, then one in its industry, then a short name of the industry itself, then the sector."""
+    named = [F.when(brand.contains(k), F.lit(v)) for k, v in words.items() if len(k) >= 2] + [F.when(mid.contains(k), F.lit(v)) for k, v in words.items() if k]
+    short = F.trim(F.coalesce(mid, F.lit("")))
+    return F.coalesce(*named, F.when(F.length(short).between(1, longest), short), F.trim(F.coalesce(F.nullif(major, F.lit("")), F.lit(other))))

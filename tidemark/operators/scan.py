@@ -83,3 +83,29 @@ def prefixes(text: Column, least: int, most: int) -> Column:
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def titles_naming(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """(title, n_names, first_name): for each distinct ``title`` that speaks of a distinct ``name`` of ``names``, how many it speaks of and the least of them.
+
+    Both are normal names.  A title speaks of a name that it holds, or of one of four letters or more whose first two and last two
+    letters it holds.  The latter holds for all names of the same ends, so these are one class, found by the end that fewer
+    titles have; names are not expanded.  Shorter names are found as the titles' own pieces.  Nulls and empty strings name nothing.
+    """
+    names, titles = names.where("name != ''").select("name").distinct(), titles.where("title != ''").select("title").distinct()
+
+    def pieces(size: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.length("title") - (size - 1))
+        return titles.where(F.length("title") >= size).select("title", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("title", i, F.lit(size))))).alias("piece"))
+
+    pairs = pieces(2)
+    held = pairs.groupBy("piece").agg(F.count("*").alias("n"))
+    ends = names.where(F.length("name") >= 4).groupBy(F.substring("name", 1, 2).alias("first"), F.right("name", F.lit(2)).alias("last")).agg(F.count("*").alias("names"), F.min("name").alias("least"))
+    ends = ends.join(held.select(F.col("piece").alias("first"), F.col("n").alias("n_first")), "first").join(held.select(F.col("piece").alias("last"), F.col("n").alias("n_last")), "last")
+    rarer = F.col("n_first") <= F.col("n_last")
+    asked = ends.select(F.when(rarer, F.col("first")).otherwise(F.col("last")).alias("piece"), F.when(rarer, F.col("last")).otherwise(F.col("first")).alias("other"), "names", "least")
+    found = pairs.join(asked, "piece").where(F.col("title").contains(F.col("other"))).select("title", "names", "least")
+    for size in (1, 2, 3):
+        short = names.where(F.length("name") == size).select(F.col("name").alias("piece"))
+        found = found.union((pairs if size == 2 else pieces(size)).join(short, "piece").select("title", F.lit(1).cast("long"), F.col("piece")))
+    return found.groupBy("title").agg(F.sum("names").alias("n_names"), F.min("least").alias("first_name"))
