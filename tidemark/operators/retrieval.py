@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +74,7 @@ def weighted(tf: DataFrame, asked: DataFrame, numbers: pd.Series, n_docs: DataFr
 #: Terms whose idf goes to every task, about 100 MB; a larger vocabulary is joined by shuffle.
 SENT_TERMS = 1_000_000
 #: Words of documents that are weighed at once.
-WORDS = 500_000
+WORDS = 200_000
 
 
 def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: DataFrame, numbers: pd.Series, n_docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
@@ -90,17 +88,19 @@ def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: Data
         texts = by_id(texts, id_col)
     own = texts.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
 
-    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for w in batch["w"]:
-                found.update(set().union(*map(word_runs, set(w))))
-                if len(found) > SENT_TERMS:
-                    yield pd.DataFrame(found.items(), columns=["term", "n"])
-                    found.clear()
-        yield pd.DataFrame(found.items(), columns=["term", "n"])
-
-    frequency = own.select("w").mapInPandas(kinds, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, cache, counts = {}, {}, np.zeros(0, np.int64)
+        for _, owner, code, words in _blocks(batches):
+            of = _numbers_of(words, cache, lambda t: numbers.setdefault(t, len(numbers)))
+            doc, term, _ = _expanded(owner, code, of)
+            term = np.unique(doc * len(numbers) + term) % max(1, len(numbers))
+            counts = np.concatenate((counts, np.zeros(len(numbers) - len(counts), np.int64))) + np.bincount(term, minlength=len(numbers))
+            if len(numbers) > SENT_TERMS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts)], names=["term", "n"])
+                numbers, cache, counts = {}, {}, np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts)], names=["term", "n"])
+
+    frequency = own.mapInArrow(kinds, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
     idf = _idf(frequency, n_docs, min_df)
     if idf.count() > SENT_TERMS:
         return None
@@ -108,54 +108,59 @@ def weighted_in_place(corpus: DataFrame, id_col: str, text_col: str, asked: Data
     place = numbers.reindex(table["term"]).fillna(-1).to_numpy(np.int32)
     shared = corpus.sparkSession.sparkContext.broadcast((dict(zip(table["term"], range(len(table)))), table["idf"].to_numpy(), place))
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf, place = shared.value
-        numbers_of: dict[str, np.ndarray] = {}
-
-        def runs(word: str) -> np.ndarray:
-            if word not in numbers_of:
-                if len(numbers_of) >= WORDS:
-                    numbers_of.clear()
-                numbers_of[word] = np.array([known[t] for t in word_runs(word) if t in known], np.int64)
-            return numbers_of[word]
-
-        def block(ids: list, texts: list[np.ndarray]) -> pd.DataFrame:
-            code, kinds = pd.factorize(np.concatenate(texts))
-            owner = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
-            pair, times = np.unique(owner * len(kinds) + code, return_counts=True)
-            of = [runs(w) for w in kinds]
-            size = np.array([len(r) for r in of])
-            flat, begin = np.concatenate(of), np.cumsum(size) - size
-            kind, n = pair % len(kinds), size[pair % len(kinds)]
-            at = np.repeat(begin[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            key = np.repeat(pair // len(kinds), n) * len(idf) + flat[at]
+        cache: dict[str, np.ndarray] = {}
+        for ids, owner, code, words in _blocks(batches):
+            doc, term, times = _expanded(owner, code, _numbers_of(words, cache, known.get))
+            key = doc * len(idf) + term
             order = np.argsort(key, kind="stable")
             key, first = np.unique(key[order], return_index=True)
-            tf = np.add.reduceat(np.repeat(times, n)[order], first) if len(key) else np.zeros(0)
+            tf = np.add.reduceat(times[order], first) if len(key) else np.zeros(0)
             doc, term = key // max(1, len(idf)), key % max(1, len(idf))
             raw = (1 + np.log(tf)) * idf[term]
-            norm = np.sqrt(np.bincount(doc, raw * raw, len(texts)))
+            norm = np.sqrt(np.bincount(doc, raw * raw, len(ids)))
             kept = place[term] >= 0
-            end = np.cumsum(np.bincount(doc[kept], minlength=len(texts)))[:-1]
-            out = pd.DataFrame({"id": ids, "norm": norm, "place": np.split(place[term[kept]], end), "raw": np.split(raw[kept], end)})
-            return out[out["place"].map(len) > 0]
-
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc, w in zip(batch["id"], batch["w"]):
-                ids.append(doc)
-                texts.append(w)
-                size += len(w)
-                if size >= WORDS:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-            if texts:
-                yield block(ids, texts)
-
-    return own.mapInPandas(weigh, "id long, norm double, place array<int>, raw array<double>"), _of_length_one(asked, idf)
+            size = np.bincount(doc[kept], minlength=len(ids))
+            begin = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            out = pa.RecordBatch.from_arrays([ids, pa.array(norm), pa.ListArray.from_arrays(begin, pa.array(place[term[kept]])), pa.ListArray.from_arrays(begin, pa.array(raw[kept]))], names=["id", "norm", "place", "raw"])
+            yield out.filter(pa.array(size > 0))
+
+    return own.mapInArrow(weigh, "id long, norm double, place array<int>, raw array<double>"), _of_length_one(asked, idf)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[str]]]:
+    """(ids, text of each word, kind of each word, kinds) of (id, words), about WORDS words at once; a longer text is a block of its own."""
+    for batch in batches:
+        at, start = batch.column(1).offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            end = min(batch.num_rows, max(start + 1, int(np.searchsorted(at, at[start] + WORDS, "right")) - 1))
+            word = batch.column(1).slice(start, end - start).flatten().dictionary_encode()
+            yield batch.column(0).slice(start, end - start), np.repeat(np.arange(end - start), np.diff(at[start : end + 1])), word.indices.to_numpy().astype(np.int64), word.dictionary.to_pylist()
+            start = end
+
+
+def _numbers_of(words: list[str], cache: dict[str, np.ndarray], number: Callable[[str], int | None]) -> list[np.ndarray]:
+    """The numbers of each word's runs, as far as they have one."""
+    if len(cache) > WORDS:
+        cache.clear()
+    for w in words:
+        if w not in cache:
+            cache[w] = np.array([n for t in word_runs(w) if (n := number(t)) is not None], np.int64)
+    return [cache[w] for w in words]
+
+
+def _expanded(owner: np.ndarray, code: np.ndarray, of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, run, times): the runs of each distinct word of each text, and how often the word comes there."""
+    pair, times = np.unique(owner * max(1, len(of)) + code, return_counts=True)
+    size = np.array([len(r) for r in of], np.int64)
+    flat, begin = np.concatenate([*of, np.zeros(0, np.int64)]), np.cumsum(size) - size
+    kind = pair % max(1, len(of))
+    n = size[kind]
+    at = np.repeat(begin[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(pair // max(1, len(of)), n), flat[at], np.repeat(times, n)
 
 
-@lru_cache(maxsize=200_000)
 def word_runs(word: str) -> tuple[str, ...]:
     """The runs of two to four characters of a word with a blank on either side, repeats included."""
     padded = f" {word} "
