@@ -120,7 +120,8 @@ def read_book(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
         F.nullif(col("brand"), F.lit("")).alias("brand_input"), money(col("exposure")).alias("exposure_raw"), col("collateral").alias("collateral_raw"), money(col("lgd")).alias("lgd_input"), money(col("borrowers")).alias("n_borrowers")
     )
     book = book.where(F.col("brand_input").isNotNull() & ~is_total(F.col("brand_input")) & (F.col("exposure_raw") > 0))
-    factor = F.coalesce(unit_factor(F.lit(head)), F.lit(unit_of_values(book)))
+    said = spark.range(1).select(unit_factor(F.lit(head))).first()[0]  # amounts are looked at only where the header says nothing
+    factor = F.lit(unit_of_values(book) if said is None else said)
     kind = collateral(F.col("collateral_raw"))
     recovery = "lgd" in role and any(w in header[role["lgd"]].lower() for w in ("회수", "recovery"))
     default = F.element_at(F.create_map(*[F.lit(x) for kv in LGD.items() for x in kv]), F.col("collateral"))
