@@ -179,3 +179,11 @@ def test_names_terms_and_dates(spark):
     got = values(df.select(expr.search_term(F.col("n")).alias("n"), expr.mail_date(F.col("d")).alias("d"), expr.amount_text(F.col("m")).alias("m"), expr.replaced(F.col("t"), {"ab": "abc", "abc": "X"}).alias("t")), "n", "d", "m", "t")
     assert got == [("카페 별", datetime.date(2024, 10, 1), "123.5억원", "abc X"), (None, None, "42백만원", None)]
     assert expr.ascii_names(["a b", "가", "a b", "ok_1"]) == ["au0020b", "uAC00", "au0020b_2", "ok_1"]
+
+
+def test_alarm_holds_where_the_bases_add_up_to_nothing(spark):
+    from tidemark.plans.validation import alarm
+
+    rows = [(4, 5, -7, 7), (4, 5, 0, 0), (None, 5, None, 60), (1, 30, 100, 100), (30, 1, 100, 100), (5, 5, 100, 100)]
+    df = spark.createDataFrame(rows, "b long, a long, b0 long, b1 long")
+    assert values(df, alarm(F.col("b"), F.col("a"), F.col("b0"), F.col("b1"))) == [("hold",), ("hold",), ("same",), ("worse",), ("better",), ("same",)]

@@ -171,11 +171,12 @@ def alarm(before: Column, after: Column, base_before: Column, base_after: Column
 
     @F.pandas_udf("double")
     def above(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([1 - kernels.binomial_cdf(int(a) - 1, int(b), c) for a, b, c in zip(k, n, p)])
+        return pd.Series([None if pd.isna(c) else 1 - kernels.binomial_cdf(int(a) - 1, int(b), c) for a, b, c in zip(k, n, p)], dtype="float64")
 
-    n, p = before + after, base_after / (base_before + base_after)
-    up, down = above(after, n, p), above(before, n, 1 - p)
+    n = before + after
     thin = (base_before < LEAST_BASE) | (base_after < LEAST_BASE) | (n < LEAST_EVENTS)
+    p = F.when(~thin, base_after / (base_before + base_after))  # thin bases may add up to zero
+    up, down = above(after, n, p), above(before, n, 1 - p)
     worse = after * base_before > before * base_after
     return F.when(thin, "hold").when(worse & (up <= ALPHA), "worse").when(~worse & (down <= ALPHA), "better").otherwise("same")
 
