@@ -51,6 +51,16 @@ def test_names_equal_a_brute_scan(spark, monkeypatch):
     assert scan.hits(t.limit(0), "id", "text", n, "name").count() == 0 and scan.hits(t, "id", "text", n.limit(0), "name").count() == 0
 
 
+def test_candidates_grow_with_the_texts_and_not_with_the_names_of_a_word(spark):
+    rng, words = random.Random(5), [f"w{i}" for i in range(20)]
+    names = sorted({f"{a} {b}" for a in words for b in words})
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(4)]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert scan.phrases(t.select("id", scan.words(F.col("text")).alias("own")), [2]).count() == 4 * 49
+    got = {r.id: [tuple(h) for h in r.hits] for r in scan.hits(t, "id", "text", spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()}
+    assert got == {i: scanned(text, names)[0] for i, text in enumerate(texts)}
+
+
 def test_documents_without_names_are_none(spark):
     rows = names_replaced(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

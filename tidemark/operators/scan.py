@@ -1,13 +1,15 @@
-"""Names from a table found in free text: an equi-join on each name's rarest word, verification in place, the longest of the leftmost."""
+"""Names from a table found in free text: an equi-join on all words of a name, the longest of the leftmost."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cut
+
 WORD = r"[\p{L}\p{N}]+"
-#: Names up to which their keys are sent to every task; more are joined by shuffle.
-SENT_NAMES = 500_000
+#: Names that the texts speak of up to which they are sent to every task, about 200 MB; more are joined by shuffle.
+SENT_NAMES = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -15,31 +17,31 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def keyed_names(names: DataFrame, name: str, spoken: DataFrame) -> DataFrame:
-    """(name, words, key, at): distinct names with their words and the one of them, at a place from 0, that ``spoken`` (word, n) has least; ties by length, then place."""
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("words", words(F.col("name"))).where("size(words) > 0")
-    each = n.select("name", "words", F.posexplode("words").alias("at", "word")).join(spoken, "word", "left")
-    rarest = each.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("word")).alias("l"), "at", "word")).alias("k"), F.first("words").alias("words"))
-    return rarest.where("k.n > 0").select("name", "words", F.col("k.word").alias("key"), F.col("k.at").alias("at"))
+def phrases(placed: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, start, size, phrase): the stretches of each size at every place of (id, own), in words from 0; as many rows as words for each size."""
+    at = placed.where("size(own) > 0").select("id", "own", F.posexplode("own").alias("start", "word"))
+    each = at.select("id", "own", "start", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")).where("start + size <= size(own)")
+    return each.select("id", "start", "size", F.array_join(F.slice("own", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
 
 
 def hits(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name: str) -> DataFrame:
     """(id, hits): for each text that holds a name as whole words, array<(start, size, name)> of all places, in words from 0, overlaps and all.
 
-    ``id_col`` names a text.  The words of the names that the texts use at all are counted first; then each name is looked up by its rarest
-    word, so that a frequent word brings no candidates unless it is the whole name.  A place's other words are checked against the text, which
-    the candidates come back to.
+    ``id_col`` names a text.  A name is met by all of its words at once: each place of a text gives one phrase for each number of words that names
+    have, so that the rows grow with the texts and not with the names of a word.  Names that no text speaks of go first, by the hashes of the
+    phrases; the others go to the texts, which are placed by id, so that the hits of a text need no shuffle.
     """
-    spread = texts.select(F.col(id_col).alias("id"), F.posexplode(words(F.coalesce(text_col, F.lit("")))).alias("pos", "word"))
-    used = names.select(F.explode(words(F.col(name))).alias("word")).distinct()
-    small = used.count() <= SENT_NAMES
-    sent = F.broadcast if small else (lambda d: d)
-    spoken = spread.join(sent(used), "word").groupBy("word").agg(F.count("*").alias("n"))
-    keyed = keyed_names(names, name, spoken)
-    found = spread.withColumnRenamed("word", "key").join(sent(keyed), "key").where("pos >= at").groupBy("id").agg(F.collect_list(F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "name")).alias("maybe"))
-    checked = texts.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("own")).join(found, "id")
-    good = F.filter("maybe", lambda m: F.slice(F.col("own"), m["start"] + 1, F.size(m["words"])) == m["words"])
-    return checked.select("id", F.array_sort(F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.size(m["words"]).alias("size"), m["name"].alias("name")))).alias("hits")).where("size(hits) > 0")
+    spark = texts.sparkSession
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("own", words(F.col("name"))).where("size(own) > 0")
+    n = cut(n.select("name", F.size("own").alias("size"), F.array_join("own", " ").alias("phrase")))
+    sizes = sorted(r.size_ for r in n.select(F.col("size").alias("size_")).distinct().collect()) or [1]  # how many words a name can have
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(width, "id").select("id", words(F.coalesce("text", F.lit(""))).alias("own"))
+    said = phrases(placed, sizes)
+    spoken = cut(n.join(said.select(F.xxhash64("phrase").alias("hash")).distinct(), F.xxhash64(n["phrase"]) == F.col("hash"), "left_semi"))
+    small = spoken.count() <= SENT_NAMES
+    found = said.join(F.broadcast(spoken) if small else spoken.hint("merge"), ["phrase", "size"])
+    return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "name"))).alias("hits"))
 
 
 def leftmost_longest(found: Column) -> Column:
