@@ -48,3 +48,12 @@ def test_aliases_past_five_digits(spark, tables):
     c = spark.range(1, 134_000).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.5).alias("c_acctbal"), F.lit("X").alias("c_mktsegment"))
     found = same(spark, "masked_frame", tables(customer=c.coalesce(1)))
     assert len(found) > 100_000
+
+
+def test_fits_read_the_prepared_rows_and_not_the_tables(spark):
+    from tidemark.plans.assessment import prepared
+
+    x, n = prepared(spark, SF)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert n > 0 and "Exchange" not in plan and "parquet" not in plan
+    assert {"features", "weight", "split", "label"} <= set(x.columns)

@@ -15,7 +15,7 @@ from tidemark.functions import kernels
 from tidemark.functions.expr import graded
 from tidemark.operators import metrics as M
 from tidemark.operators import windows as W
-from tidemark.operators.ordered import ranked
+from tidemark.operators.ordered import cut, ranked
 from tidemark.plans.base import FULL, full_panel, query, r6, table
 from tidemark.plans.labels import LABELLED, labelled
 from tidemark.plans.portfolio import EXPOSURES, exposures
@@ -339,14 +339,14 @@ FEATURES = ["growth", "sales_growth", "end_rate", "n_stores", "prev_stores", "n_
 def prepared(spark, sf_dir):
     """The labelled sample with its time split, imputed by training medians and standardised; weights balance the classes."""
     x = labelled(spark, sf_dir).where("healthy_at_t and label is not null").select("brand_id", "year", F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    x = split(x)
+    x = cut(split(cut(x)))  # every pass of the fits reads these rows, not the tables
     train = x.where("split = 'train'")
     imputed = Imputer(strategy="median", inputCols=FEATURES, outputCols=[f"i_{c}" for c in FEATURES]).fit(train)
     vector = VectorAssembler(inputCols=[f"i_{c}" for c in FEATURES], outputCol="raw")
     scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(vector.transform(imputed.transform(train)))
     n, k = train.agg(F.count("*"), F.sum("label")).first()
     weight = F.when(F.col("label") == 1, n / (2 * max(1.0, k))).otherwise(n / (2 * max(1.0, n - k)))
-    return scaler.transform(vector.transform(imputed.transform(x))).withColumn("weight", weight), n
+    return scaler.transform(vector.transform(imputed.transform(x))).withColumn("weight", weight).select("brand_id", "year", "label", "split", "features", "weight"), n
 
 
 @query()
