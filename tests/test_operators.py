@@ -187,3 +187,14 @@ def test_alarm_holds_where_the_bases_add_up_to_nothing(spark):
     rows = [(4, 5, -7, 7), (4, 5, 0, 0), (None, 5, None, 60), (1, 30, 100, 100), (30, 1, 100, 100), (5, 5, 100, 100)]
     df = spark.createDataFrame(rows, "b long, a long, b0 long, b1 long")
     assert values(df, alarm(F.col("b"), F.col("a"), F.col("b0"), F.col("b1"))) == [("hold",), ("hold",), ("same",), ("worse",), ("better",), ("same",)]
+
+
+def test_rows_in_draws_have_the_weight_of_their_hash(spark):
+    import hashlib
+
+    from tidemark.plans.validation import DRAWS, POISSON, _in_draws
+
+    got = {(r.v, r.b): r.w for r in _in_draws(spark.createDataFrame([(7, "3:1995:"), (8, "4:1995:")], "v int, key string"), "key").collect()}
+    share = lambda key, b: int(hashlib.md5(f"{key}{b}".encode()).hexdigest()[:8], 16) / 4294967296
+    wanted = {(v, b): sum(share(key, b) >= c for c in POISSON) for v, key in ((7, "3:1995:"), (8, "4:1995:")) for b in range(DRAWS)}
+    assert got == {k: w for k, w in wanted.items() if w}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels
 from tidemark.operators import windows as W
+from tidemark.operators.ordered import cut
 from tidemark.plans.base import query, r6
 from tidemark.plans.events import FLOWS, flows
 from tidemark.plans.labels import LABELLED, labelled
@@ -100,10 +102,19 @@ POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 DRAWS = 200
 
 
-def _weight(key: Column) -> Column:
-    """A Poisson weight from a key's hash: any task draws the same."""
-    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+#: The eight hex digits from which on a weight grows; digits of the same case are in order as text, so that no number is read from them.
+_STEPS = [f"{math.ceil(c * 4294967296):08x}" for c in POISSON]
+
+
+def _in_draws(x: DataFrame, key: str) -> DataFrame:
+    """``x`` once for each draw ``b`` with its Poisson weight ``w`` from the hash of key and draw, without those of none: any task draws the same.
+
+    The hash is made inside the exploded list, once a row and draw: a filter or a sum over cases would make it anew for each mention.
+    """
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda b: F.struct(b.alias("b"), F.substring(F.md5(F.concat(key, b.cast("string"))), 1, 8).alias("u")))
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("d", F.explode(drawn))
+    x = x.select("*", F.col("d.b").alias("b"), F.col("d.u").alias("u")).where(F.col("u") >= _STEPS[0])
+    return x.withColumn("w", sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in _STEPS), F.lit(0))).drop("d", "u", key)
 
 
 _W = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in POISSON)
@@ -120,11 +131,13 @@ def _lift_sql(score: str) -> str:
  SELECT count(*) AS draws, round(quantile_cont(gain, 0.025), 6) AS low, round(avg(gain), 6) AS mean, round(quantile_cont(gain, 0.975), 6) AS high, round(avg(CAST(gain > 0 AS INT)), 6) AS win_rate FROM m""")
 def paired_bootstrap(spark, sf_dir):
     """The gain of one score over another in lift, over draws that both share: weights add up by draw and score, no resampled table."""
-    x = baselines(spark, sf_dir).select("brand_id", "year", "label", "single", "persistence", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("b"))
-    w = x.withColumn("w", _weight(F.concat_ws(":", "brand_id", "year", "b"))).where("w > 0")
+    x = baselines(spark, sf_dir).select("label", "single", "persistence", F.concat(F.concat_ws(":", "brand_id", "year"), F.lit(":")).alias("key"))
+    w = _in_draws(x, "key")
+    # both scores of a row at once: of rows of the same two scores only the sums are needed, so that a weight is drawn once
+    w = cut(w.groupBy("b", "single", "persistence").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("y")))
 
     def lifts(score: str):
-        v = w.groupBy("b", F.col(score).alias("v")).agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col("label")).cast("double").alias("y"))
+        v = w.groupBy("b", F.col(score).alias("v")).agg(F.sum("w").cast("double").alias("n"), F.sum("y").cast("double").alias("y"))
         own = Window.partitionBy("b")
         before = F.coalesce(F.sum("n").over(own.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         v = v.withColumns({"before": before, "nn": F.sum("n").over(own), "yy": F.sum("y").over(own)}).withColumn("top", F.greatest(F.lit(1.0), F.floor(F.col("nn") * 0.1)))
