@@ -96,46 +96,77 @@ def length_partition(size: np.ndarray, similarity: float = SIMILARITY) -> np.nda
     return np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity) + 1e-9).astype(np.int64)
 
 
+def linked(at: np.ndarray, up: np.ndarray, packed: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs that link the alike sets of one group: packed signatures, the group's signature being each set's ``at``-th in the common order.
+
+    Sets of the partition below (``up``) meet each other in their own group.  Two sets are compared only if what follows the group's signature can suffice:
+    in the group of the first signature that both have it does, if they are alike.
+    """
+    size = np.array([len(x) // 4 for x in packed])
+    free = np.arange(len(size))
+
+    def candidates(x: int, of: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(size[x], size[of]), np.maximum(size[x], size[of])
+        least = np.ceil((small + large) * (similarity / (1 + similarity)) - 1e-9)
+        return of[(small >= similarity * large) & (np.minimum(size[x] - at[x], size[of] - at[of]) >= least) & ~(up[x] & up[of])]
+
+    if up.all() or (len(size) <= 64 and not any(len(candidates(x, free[x + 1 :])) for x in free)):
+        return
+    number = np.unique(np.frombuffer(b"".join(packed), ">u4"), return_inverse=True)[1]
+    sets = np.split(number, np.cumsum(size)[:-1])
+    mark = np.zeros(int(number.max()) + 1, np.int32)
+    while len(free):
+        seed, free = int(free[0]), free[1:]
+        todo = [seed]
+        while todo and len(free):
+            x = todo.pop()
+            near = candidates(x, free)
+            if not len(near):
+                continue
+            mark[sets[x]] = 1
+            both = np.add.reduceat(mark[np.concatenate([sets[j] for j in near])], np.cumsum(size[near]) - size[near])
+            mark[sets[x]] = 0
+            near = near[both / (size[x] + size[near] - both) >= similarity]
+            yield from ((seed, int(j)) for j in near)
+            todo += near.tolist()
+            free = np.setdiff1d(free, near, assume_unique=True)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): classes of documents linked by a likeness of ``similarity`` or more.
 
     Equal fingerprints are one class from the start.  Candidates share a length partition (or neighbouring ones) and a signature of
     their prefix: of a set of n sorted signatures, rarest first, the first n - ceil(similarity * n) + 1; alike sets always share one.
-    Inside a group a set is compared exactly with those not linked yet, within the length bound, so a group of copies
-    gives a star, not all pairs.  Empty texts form one class.  A null doc_id keeps its row with its class's id.
+    Inside a group a set is compared exactly with those not linked yet (see ``linked``), so a group of copies gives a star, not all pairs.  Empty texts form one class.  A null doc_id keeps its row with its class's id.
     """
     rows = cut(fingerprints(docs, id_col, text_col).select("doc_id", F.xxhash64("fingerprint").alias("fp"), "fingerprint"))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("fingerprint").alias("fingerprint"))
-    signature = F.transform(F.sequence(F.lit(1), F.length("fingerprint"), F.lit(DIGITS)), lambda i: F.substr("fingerprint", i, F.lit(DIGITS)))
-    exploded = classes.where("fingerprint != ''").select("fp", F.explode(signature).alias("sig"))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                sets = [decoded(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets).astype(np.int64))], names=["fp", "sig"])
+
+    exploded = classes.where("fingerprint != ''").select("fp", "fingerprint").mapInArrow(parted, "fp long, sig long")
     frequency = exploded.groupBy("sig").agg(F.count("*").alias("df"))
     ordered = exploded.join(frequency.where("df > 1"), "sig").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"))
     size = F.length("fingerprint") / DIGITS
-    prefix = (size - F.ceil(size * similarity - 1e-9) + 1).cast("int")
-    # signatures of one document only come before all others and meet nothing: they use up the prefix
-    alone = (size - F.size("order")).cast("int")
     part = F.floor(F.log(size) / F.lit(-float(np.log(similarity))) + 1e-9)
-    keyed = ordered.join(classes, "fp").where(prefix > alone).select("fp", "fingerprint", F.explode(F.slice("order", F.lit(1), prefix - alone)).alias("o"), part.alias("part"))
-    keyed = keyed.select(F.explode(F.array("part", F.col("part") + 1)).alias("part"), "o.sig", "fp", "fingerprint")
-    keyed = keyed.select(F.xxhash64("sig", "part").alias("key"), "fp", "fingerprint").repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key", "fp")
+    # with a set of its own partition or the one below a set shares at least its similarity; with one of the partition above, whose sets have a least length, more
+    above = F.greatest(size, F.pow(F.lit(1 / similarity), part + 1) * (1 - 1e-6))
+    own = size - F.ceil(size * similarity - 1e-9) + 1
+    up = size - F.ceil((size + above) * (similarity / (1 + similarity)) - 1e-9) + 1
+    roles = F.explode(F.array(F.struct(part.alias("part"), own.cast("int").alias("prefix"), F.lit(False).alias("up")), F.struct((part + 1).alias("part"), up.cast("int").alias("prefix"), F.lit(True).alias("up"))))
+    # signatures of one document only come before all others and meet nothing: they use up the prefix
+    keyed = ordered.join(classes, "fp").select("fp", "order", (size - F.size("order")).cast("int").alias("alone"), F.unhex("fingerprint").alias("set"), roles.alias("r")).where("r.prefix > alone")
+    keyed = keyed.select("fp", "set", "alone", "r.part", "r.up", F.posexplode(F.slice("order", F.lit(1), F.col("r.prefix") - F.col("alone"))).alias("at", "o"))
+    keyed = keyed.select(F.xxhash64("o.sig", "part").alias("key"), "fp", (F.col("alone") + F.col("at")).alias("at"), "up", "set").repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, text in whole_groups(batches, 3):
-            out = []
-            for s, e in zip(*spans(key)):
-                if e - s < 2:
-                    continue
-                sets = [decoded(t) for t in text[s:e]]
-                sizes, free = np.array([len(x) for x in sets]), list(range(e - s))
-                while free:
-                    seed, *free = free
-                    todo = [seed]
-                    while todo and free:
-                        x = todo.pop()
-                        near = [j for j in free if min(sizes[x], sizes[j]) >= similarity * max(sizes[x], sizes[j]) and likeness(sets[x], sets[j]) >= similarity]
-                        out += [(fp[s + seed], fp[s + j]) for j in near]
-                        todo += near
-                        free = [j for j in free if j not in set(near)]
+        for key, fp, at, up, packed in whole_groups(batches, 5):
+            out = [(fp[s + x], fp[s + y]) for s, e in zip(*spans(key)) if e - s > 1 for x, y in linked(at[s:e], up[s:e], packed[s:e], similarity)]
             found = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
