@@ -34,9 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids, decoded_sha256): the piece ids, and the digest of the text decoded from them."""
-    model = pieces.read_model()
-    found = pieces.encode(docs, model)
-    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2(pieces.decode(F.col("ids"), model), 256).alias("decoded_sha256"))
+    found = pieces.encode_and_decode(docs, pieces.read_model())
+    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -35,3 +35,12 @@ def test_stages_one_by_one(spark):
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "n_ids", "ids", "decoded_sha256"] and found.count() > 0
+
+
+def test_the_piece_table_is_not_in_the_plan(spark):
+    """The driver keeps the text of a plan many times over; the table as a literal made it 1.1 million characters."""
+    found = corpus_pipeline.encode_pieces(spark, table(spark, SF, "documents"), SF)
+    plan = found._jdf.queryExecution()
+    assert len(plan.executedPlan().toString()) < 50_000
+    rows = plan.executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "piece_table" not in rows  # a row does not hold the table

@@ -400,7 +400,25 @@ def looked_up_words(words: pa.Array, whole: pa.Array) -> np.ndarray:
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for every row: the model's piece ids of its whole text.
+    """(doc_id, ids) for every row: the model's piece ids of its whole text; ``_encoded`` tells how."""
+    return _encoded(docs, pieces, id_col, text_col).select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
+
+
+def encode_and_decode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and the text decoded from the ids.
+
+    The table is a subquery of one row.  As a literal, a megabyte of it would stand in every text that Spark makes of the plan, anew at each step
+    of adaptive execution, in the driver's memory.
+    """
+    rows = _encoded(docs, pieces, id_col, text_col)
+    table = rows.sparkSession.createDataFrame([(_bytes_of(pieces),)], "pieces array<string>").scalar()
+    # a function with a body may not name a subquery, so a column does; used once, it is put where it is used, and no row holds the table
+    rows = rows.withColumn("piece_table", table)
+    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids"), _text(F.col("ids"), F.col("piece_table")).alias("decoded"))
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids) for every row, the ids as small numbers where they fit.
 
     As in the model's own normaliser a blank is put before the text and no white space is dropped; characters that are no
     piece are spelled by their bytes.  A null or empty text has no ids.  Null ids and repeated rows keep their rows; an empty table
@@ -474,15 +492,21 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 begin = end
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(kind))], names=["doc_id", "ids"])
 
-    return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, f"doc_id long, ids array<{'smallint' if narrow else 'int'}>").select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
+    return chunks.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(assembled, f"doc_id long, ids array<{'smallint' if narrow else 'int'}>")
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
     """The text of a column of ids: pieces' bytes joined, the blank put before the text taken off; null for null.
 
-    Ids outside the table and control pieces give nothing.
+    Ids outside the table and control pieces give nothing.  The whole table stands in the plan's text; ``encode_and_decode`` spares that.
     """
-    table = F.from_json(F.lit(json.dumps([t.hex() for t in pieces.texts])), "array<string>")
+    return _text(ids, F.from_json(F.lit(json.dumps(_bytes_of(pieces))), "array<string>"))
+
+
+def _bytes_of(pieces: Pieces) -> list[str]:
+    return [t.hex() for t in pieces.texts]
+
+
+def _text(ids: Column, table: Column) -> Column:
     code = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i + 1), F.lit(""))), "")
-    text = F.decode(F.unhex(code), "UTF-8")
-    return F.when(text.startswith(" "), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return F.regexp_replace(F.decode(F.unhex(code), "UTF-8"), "^ ", "")
