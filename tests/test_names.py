@@ -61,6 +61,18 @@ def test_candidates_grow_with_the_texts_and_not_with_the_names_of_a_word(spark):
     assert got == {i: scanned(text, names)[0] for i, text in enumerate(texts)}
 
 
+def test_what_every_task_gets_does_not_grow_with_the_names(spark, monkeypatch):
+    rng, words = random.Random(6), [f"w{i}" for i in range(20)]
+    names = sorted({f"{a} {b}" for a in words for b in words if rng.random() < 0.5} | {"w3 w4 w5", "w7"})
+    texts = [" ".join(rng.choice([*words, "x", "y"]) for _ in range(50)) for _ in range(4)]
+    monkeypatch.setattr(scan, "SENT_NAMES", 10)
+    monkeypatch.setattr(scan, "MAP_BITS", 8)  # four rows of 64 bits: most phrases that are no name have a name's bit
+    found = scan.hits(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: [tuple(h) for h in r.hits] for r in found.collect()} == {i: scanned(text, names)[0] for i, text in enumerate(texts)}
+    assert plan.count("BroadcastHashJoin [place") == 1 == plan.count("BroadcastHashJoin") and "SortMergeJoin [phrase" in plan
+
+
 def test_documents_without_names_are_none(spark):
     rows = names_replaced(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import cut
 
 WORD = r"[\p{L}\p{N}]+"
-#: Names that the texts speak of up to which they are sent to every task, about 200 MB; more are joined by shuffle.
-SENT_NAMES = 2_000_000
+#: Names up to which they are sent to every task, about 2 MB; more are joined by shuffle, and only a bit map of fixed size goes to every task.
+SENT_NAMES = 20_000
+#: Bits of that map: at most 2^19 rows of 64 bits, about 25 MB, whatever the names.
+MAP_BITS = 25
 
 
 def words(text: Column) -> Column:
@@ -28,22 +30,29 @@ def hits(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name: s
     """(id, hits): for each text that holds a name as whole words, array<(start, size, name)> of all places, in words from 0, overlaps and all.
 
     ``id_col`` names a text.  A name is met by all of its words at once: each place of a text gives one phrase for each number of words that names
-    have, so that the rows grow with the texts and not with the names of a word.  Names that no text speaks of go first, by the hashes of the
-    phrases; the others go to the texts, which are placed by id, so that the hits of a text need no shuffle.
+    have, so that the rows grow with the texts and not with the names of a word.  Of many names a bit map of their phrases' hashes goes to the texts; the
+    phrases that it lets through are few more than the hits, and these alone are shuffled.  What the driver and a task hold does not grow with the names.
     """
-    spark = texts.sparkSession
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("own", words(F.col("name"))).where("size(own) > 0")
     n = cut(n.select("name", F.size("own").alias("size"), F.array_join("own", " ").alias("phrase")))
     sizes = sorted(r.size_ for r in n.select(F.col("size").alias("size_")).distinct().collect()) or [1]  # how many words a name can have
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(width, "id").select("id", words(F.coalesce("text", F.lit(""))).alias("own"))
-    said = phrases(placed, sizes)
-    spoken = cut(n.join(said.select(F.xxhash64("phrase").alias("hash")).distinct(), F.xxhash64(n["phrase"]) == F.col("hash"), "left_semi"))
-    small = spoken.count() <= SENT_NAMES
-    found = said.join(F.broadcast(spoken) if small else spoken.hint("merge"), ["phrase", "size"])
+    said = phrases(texts.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("own")), sizes)
+    if n.count() <= SENT_NAMES:
+        found = said.join(F.broadcast(n), ["phrase", "size"])
+    else:
+        found = _sifted(said, n).join(n.hint("merge"), ["phrase", "size"])
     return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "name"))).alias("hits"))
 
 
+def _sifted(said: DataFrame, names: DataFrame) -> DataFrame:
+    """``said`` without the phrases whose hash no name has in a map of MAP_BITS bits."""
+    at = F.xxhash64("phrase").bitwiseAND((1 << MAP_BITS) - 1)
+    place, bit = F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
+    bits = names.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    placed = said.select("*", place.alias("place"), bit.alias("bit")).join(F.broadcast(bits), "place")
+    return placed.where(F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(1) == 1).select(said.columns)
+
+
 def leftmost_longest(found: Column) -> Column:
     """Of hits in the order of their starts those that stay when a text is read from the left and the longest name at a place is taken; of equally long ones the first by name."""
     best = F.array_sort(F.transform(found, lambda h: F.struct(h["start"].alias("start"), (-h["size"]).alias("less"), h["name"].alias("name"))))
