@@ -796,6 +796,26 @@ def test_parts_of_a_large_group_all_meet(spark, monkeypatch):
     assert len(got) == 40 and len({r.component for r in got}) == 1
 
 
+def test_versions_of_a_line_are_not_all_compared(monkeypatch):
+    rng = random.Random(14)
+    base = [rng.choice(("the", "of", "and", "tion")) + rng.choice("abcdefg") + rng.choice(("er", "ing", "st")) for _ in range(60)]
+    found = {"ab", "the of", " ".join(base)}
+    while len(found) < 700:
+        i, j = sorted(rng.sample(range(61), 2))
+        rate = rng.choice((0, 0.03, 0.2))
+        found.add(" ".join(rng.choice(base) + "x" if rng.random() < rate else w for w in base[i:j]))
+    found = sorted(found)
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in found]
+    want = closure(range(len(found)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    value, count = lines.shingle_sets(found)
+    read, marked = [], lines._marked
+    monkeypatch.setattr(lines, "_marked", lambda *a: read.append(int(a[3].sum())) or marked(*a))
+    links = set(lines.stars_of_similar(value, count))
+    got = closure(range(len(found)), lambda a, b: (a, b) in links or (b, a) in links)
+    assert got == want and len(set(want.values())) > 100
+    assert sum(read) < 0.05 * len(found) * count.sum()  # a tenth or so of what comparing each with all not linked yet would read
+
+
 def test_a_line_of_every_document_goes_once_a_task(spark):
     rows = [(i, f"the line that stands on every page of the site\nwords of page {i * 7919} alone and of no other {i}\n{'ab' if i % 2 else 'cd'}") for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -26,6 +26,8 @@ PLACES, APART, BLANK = 24, 10, " \t\r\x0b\x0c"
 #: Code points that are hashed at once, and lines of a coarse group that are compared in one task.
 BLOCK, GROUP = 2_000_000, 20_000
 
+#: Words of 64 bits of the parities of a set of shingles.
+WORDS = 16
 #: Lines a task remembers to have given, about 25 MB.
 SENT = 1 << 18
 
@@ -230,36 +232,58 @@ def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def stars_of_similar(value: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
     """Links of exact Jaccard >= SIMILARITY among shingle sets, as stars over line numbers.
 
-    A line is compared with the lines that nothing is linked to yet, so a close group costs little more than one pass.
+    A line is compared with the lines that nothing is linked to yet, so a close group costs little more than one pass.  Of the others those go first
+    that have too many or too few shingles, then those whose parities show that too few are common; neither drops a link.
     """
     if len(count) == 2:
         both = len(np.intersect1d(value[: count[0]], value[count[0] :], assume_unique=True))
         return [(0, 1)] if both >= SIMILARITY * (len(value) - both) - 1e-9 else []
-    code = np.unique(value, return_inverse=True)[1].astype(np.int32)
-    sets = np.split(code, np.cumsum(count)[:-1])
-    mark = np.zeros(code.max() + 1, np.int32)
-    free, links = np.arange(1, len(count)), []
-    seed, todo = 0, [0]
-    flat, start = code[count[0] :], np.cumsum(count[1:]) - count[1:]
-    while len(free):
-        if not todo:  # the lines not linked yet begin anew with their first
-            seed, free = free[0], free[1:]
-            todo, flat, start = [seed], flat[count[seed] :], start[1:] - count[seed]
+    order = np.argsort(count, kind="stable")  # by size, so that lines of sizes too far apart are passed over together
+    code, begin = np.unique(value, return_inverse=True)[1].astype(np.int32), np.cumsum(count) - count
+    mark, bits = np.zeros(code.max() + 1, np.int32), _parities(value, count)[order]
+    size, begin = count[order], begin[order]
+    alive, links, todo = np.ones(len(order), bool), [], []
+    left = len(order)
+    while left:
+        if not todo:  # the lines not linked yet begin anew with the first of them
+            seed = int(np.argmax(alive))
+            alive[seed], todo, left = False, [seed], left - 1
             continue
         x = todo.pop()
-        mark[sets[x]] = 1
-        both = np.add.reduceat(mark[flat], start)
-        mark[sets[x]] = 0
-        alike = both >= SIMILARITY * (count[x] + count[free] - both) - 1e-9
-        if alike.any():
-            found = free[alike]
-            links += [(int(seed), int(i)) for i in found]
-            todo += found.tolist()
-            flat, free = flat[np.repeat(~alike, count[free])], free[~alike]
-            start = np.cumsum(count[free]) - count[free]
+        low, high = np.searchsorted(size, SIMILARITY * size[x] - 1e-9), np.searchsorted(size, size[x] / SIMILARITY + 1e-9, "right")
+        # of two sets' common shingles there are at most half of what their sizes leave over the parities that differ
+        most = size[x] + size[low:high] - np.bitwise_count(bits[low:high] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        free = low + np.flatnonzero(alive[low:high] & (most * (1 + SIMILARITY) >= 2 * SIMILARITY * (size[x] + size[low:high]) - 1e-6))
+        if not len(free):
+            continue
+        n, own = size[free], code[begin[x] : begin[x] + size[x]]
+        mark[own] = 1
+        both = _marked(mark, code, begin[free], n)
+        mark[own] = 0
+        found = free[both >= SIMILARITY * (size[x] + n - both) - 1e-9]
+        links += [(int(order[seed]), int(order[i])) for i in found]
+        alive[found] = False
+        todo += found.tolist()
+        left -= len(found)
+        if left < len(order) // 2 and not todo:  # what is linked is left behind
+            order, size, begin, bits = (a[alive] for a in (order, size, begin, bits))
+            alive = np.ones(left, bool)
     return links
 
 
+def _marked(mark: np.ndarray, code: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many shingles of each of some sets, at ``begin`` in code and n long, are marked."""
+    start = np.cumsum(n) - n
+    return np.add.reduceat(mark[code[np.repeat(begin - start, n) + np.arange(n.sum())]], start)
+
+
+def _parities(value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each set, of each of 64 * WORDS bits that shingles have, whether an odd number of its shingles has it."""
+    odd = np.zeros(len(count) * 64 * WORDS, np.uint8)
+    np.add.at(odd, np.repeat(np.arange(len(count)), count) * (64 * WORDS) + (value % np.uint64(64 * WORDS)).astype(np.int64), 1)
+    return np.packbits(odd & 1).reshape(len(count), -1).view(np.uint64)
+
+
 def _exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line", F.lit(BLANK)) != "").withColumn("line_id", F.xxhash64("line"))
 
@@ -293,7 +317,8 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     found = _texts_of(docs, coarse.select("node")).join(coarse.withColumnRenamed("node", "line_id"), "line_id")
     found = found.groupBy("line_id", "component").agg(F.min("line").alias("line")).join(several, "component", "left")
     part = F.pmod(F.xxhash64(F.col("line_id"), F.lit(1)), F.col("parts"))
-    rank = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda j: j != part)  # the part itself meets in each of these
+    rank = F.transform(others, lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
     dealt = found.select("component", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(rank)).alias("part"), "line_id", "line")
     grouped = dealt.select(F.xxhash64("component", "part").alias("key"), "component", "line_id", "line")
     grouped = grouped.repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key", "line_id")
