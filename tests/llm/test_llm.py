@@ -647,6 +647,49 @@ def test_passages_whose_phrases_are_common(spark):
     assert any((r.doc_id, r.source_id) == (6000, 5000) and r.n_words >= 50 for r in found)
 
 
+def test_every_holder_of_a_common_phrase_is_a_source(spark):
+    """A passage whose only seeds are a phrase that more documents hold than are all tried, none of them but one with the passage around it."""
+    rng = random.Random(31)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    phrase, before, after = fill(14), fill(18), fill(18)
+    edited = lambda words: [w if i % 5 != 4 else fill(1)[0] for i, w in enumerate(words)]
+    around = lambda: edited(before[::-1])[::-1] + phrase + edited(after)
+    texts = {k: fill(20) + phrase + fill(20) for k in range(passages.FEW + 14)}
+    texts[15] = fill(30) + before + phrase + after + fill(30)
+    texts |= {500: fill(9) + around() + fill(9), 501: fill(3) + around() + fill(40), 600: fill(50) + phrase + after[:5] + fill(50)}
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in found} == {(500, 15), (501, 15)} and all(r.n_words >= 44 for r in found)
+
+
+def test_places_of_one_key_by_all_pairs():
+    """The lookups of places of one key find the pairs that comparing all of them finds, up to later ones than a sure one."""
+    rng = random.Random(37)
+    n, size = 220, 9
+    base = np.array([[rng.randrange(1, 9) for _ in range(passages.AROUND)] for _ in range(2)], np.uint32)
+    words = np.stack([np.where(np.random.default_rng(k).random(base.shape) < rng.choice((0.05, 0.15, 0.9)), np.random.default_rng(k + n).integers(1, 900, base.shape), base) for k in range(n)]).astype(np.uint32)
+    doc = np.arange(n) // 2
+    asking = np.array([rng.random() < 0.7 for _ in range(n)])
+    got = {tuple(x) for x in passages.alike_places(doc, asking, words, size).tolist()}
+    want, sure_of = set(), {}
+    for x in range(n):
+        same = (words[x] == words[:x]) & (words[x] > 0)
+        run = np.logical_and.accumulate(same, axis=2).sum(axis=2)  # the longer key that both are places of
+        for y in range(x):
+            if asking[x] and doc[y] < doc[x]:
+                left, right = int(run[y, 0]), int(run[y, 1])
+                rest = np.zeros((1, 2, passages.AROUND // 2), bool)
+                for side, k in ((0, left), (1, right)):
+                    part = same[y, side, k : k + passages.AROUND // 2]
+                    rest[0, side, : len(part)] = part
+                sure, maybe = passages._around_alike(rest, np.array([size + left + right]))
+                if size + left + right >= passages.MIN_WORDS or maybe[0]:
+                    want.add((doc[x], doc[y]))
+                if size + left + right >= passages.MIN_WORDS or sure[0]:
+                    sure_of[x] = min(sure_of.get(x, n), doc[y])
+    assert got <= want and len(sure_of) > 50
+    assert all((doc[x], y) in got for x, y in sure_of.items())
+
+
 def test_repeats_inside_long_texts(spark):
     """A line over and over in two documents, and a word over and over: the chains stay few, what repeats is found."""
     line = "one two three four five six seven eight nine ten eleven twelve thirteen"
